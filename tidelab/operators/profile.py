@@ -36,13 +36,14 @@ def _text_value(df: DataFrame, c: str):
     return F.col(c).cast("string")
 
 
-def null_counts(df: DataFrame) -> DataFrame:
+def null_counts(df: DataFrame, types: dict[str, str] | None = None) -> DataFrame:
     """``(ordinal, column_name, data_type, null_count)`` in one single-row aggregate."""
+    types = types or {}
     entries = [
         F.struct(
             F.lit(i).alias("ordinal"),
             F.lit(c).alias("column_name"),
-            F.lit(type_name(df.schema[c].dataType)).alias("data_type"),
+            F.lit(types.get(c) or type_name(df.schema[c].dataType)).alias("data_type"),
             F.count_if(_null_cond(df, c)).alias("null_count"),
         )
         for i, c in enumerate(df.columns)
@@ -73,13 +74,16 @@ def distinct_counts(df: DataFrame, approx: bool = False, rsd: float = 0.02) -> D
     )
 
 
-def profile_columns(df: DataFrame, target: str | None = None, approx: bool = False) -> DataFrame:
+def profile_columns(
+    df: DataFrame, target: str | None = None, approx: bool = False, types: dict[str, str] | None = None
+) -> DataFrame:
     """Column metadata: ``(ordinal, column_name, data_type, is_target, has_nulls, null_count, unique_count)``.
 
     Both inputs of the final join have one row per column (a bound known at plan time), so the
-    null-count side is broadcast.
+    null-count side is broadcast. ``types`` overrides the type names (text columns typed by
+    ``infer_types`` before coercion).
     """
-    nulls = null_counts(df)
+    nulls = null_counts(df, types)
     uniq = distinct_counts(df, approx=approx)
     return (
         uniq.join(F.broadcast(nulls), "column_name")

@@ -29,7 +29,7 @@ def load_all() -> tuple[dict[str, Workload], dict[str, str]]:
     # Import for side effects (registration).
     from tidelab.workloads import charts  # noqa: F401
 
-    for mod in ("profile", "schema", "prep", "sqllab", "ingest", "ml", "experiments", "catalog"):
+    for mod in ("schema", "profile", "prep", "sqllab", "ingest", "ml", "experiments", "catalog"):
         try:
             __import__(f"tidelab.workloads.{mod}")
         except ModuleNotFoundError as e:
