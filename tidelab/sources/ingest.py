@@ -7,7 +7,9 @@ and profiled from the staged copy. The raw file is therefore parsed exactly once
 copy cuts the lineage so a lost executor never re-parses the CSV.
 
 ``multiline=True`` (default) handles quoted newlines but makes each file a single split; use
-``multiline=False`` for large clean files so Spark can split them.
+``multiline=False`` for large clean files so Spark can split them. Files with uniform LF, CRLF or
+CR endings are read as is; a file that mixes endings should go through ``ingest_csv_text`` (which
+normalises them) or be normalised upstream.
 """
 
 from __future__ import annotations
@@ -140,9 +142,10 @@ def write_text(spark: SparkSession, path: str, text: str) -> None:
 
 
 def ingest_csv_text(spark: SparkSession, text: str, name: str | None = None, **kwargs) -> IngestResult:
-    """CSV given as text: written to the shared scratch folder, then read like a file (an in-memory
-    line split would break quoted newlines)."""
+    """CSV given as text: line endings normalised (CRLF and lone CR → LF, as the original parser
+    does), written to the shared scratch folder, then read like a file (an in-memory line split
+    would break quoted newlines)."""
     folder = scratch_dir(spark, "csv-text")
     path = f"{folder}/upload.csv"
-    write_text(spark, path, text)
+    write_text(spark, path, text.replace("\r\n", "\n").replace("\r", "\n"))
     return ingest_csv(spark, path, name=name or "pasted", **kwargs)
