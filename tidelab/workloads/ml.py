@@ -152,3 +152,24 @@ SELECT {_r4("sqrt(mse)")} AS rmse, {_r4("mae")} AS mae,
 def metrics_regression_q(spark, sf_dir):
     li = read_table(spark, sf_dir, "lineitem")
     return regression_metrics(li.select(F.col("l_extendedprice").alias("label"), (F.col("l_quantity") * 1500.0).alias("prediction")))
+
+
+from tidelab.ml.knn import knn_predict  # noqa: E402
+
+
+@register(
+    "knn_exact",
+    """
+WITH e AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v, label FROM embeddings),
+d AS (SELECT a.vec_id AS q, b.vec_id AS n, b.label AS label, list_distance(a.v, b.v) AS dist
+      FROM e a JOIN e b ON a.vec_id <> b.vec_id),
+r AS (SELECT q, label, row_number() OVER (PARTITION BY q ORDER BY dist, n) AS rk FROM d),
+v AS (SELECT q, label, count(*) AS c FROM r WHERE rk <= 5 GROUP BY q, label),
+m AS (SELECT q, label, c, max(c) OVER (PARTITION BY q) AS mc FROM v)
+SELECT q AS query_id, min(label) AS prediction FROM m WHERE c = mc GROUP BY q""",
+)
+def knn_exact_q(spark, sf_dir):
+    """Leave-one-out 5-NN label vote over all embeddings."""
+    e = read_table(spark, sf_dir, "embeddings")
+    return knn_predict(e, e, k=5, train_id="vec_id", query_id="vec_id", features="embedding", label="label",
+                       exclude_self=True, max_cell_rows=64, max_query_rows=128)
