@@ -30,7 +30,18 @@ from pyspark.sql import types as T
 from tidelab.session import ensure_checkpoint_dir
 
 
-class _RffParams(HasFeaturesCol, HasSeed):
+class _Setters:
+    def setFeaturesCol(self, value):
+        return self._set(featuresCol=value)
+
+    def setLabelCol(self, value):
+        return self._set(labelCol=value)
+
+    def setPredictionCol(self, value):
+        return self._set(predictionCol=value)
+
+
+class _RffParams(_Setters, HasFeaturesCol, HasSeed):
     outputCol = Param(Params._dummy(), "outputCol", "mapped features", TypeConverters.toString)
     numFeatures = Param(Params._dummy(), "numFeatures", "number of random features", TypeConverters.toInt)
     gamma = Param(Params._dummy(), "gamma", "RBF gamma (<= 0: 1 / n_features)", TypeConverters.toFloat)
@@ -76,7 +87,7 @@ class RandomFourierModel(Model, _RffParams):
         return dataset.withColumn(out, array_to_vector(rff(vector_to_array(F.col(self.getFeaturesCol())))))
 
 
-class _SvrParams(HasFeaturesCol, HasLabelCol, HasPredictionCol):
+class _SvrParams(_Setters, HasFeaturesCol, HasLabelCol, HasPredictionCol):
     C = Param(Params._dummy(), "C", "inverse regularisation", TypeConverters.toFloat)
     epsilon = Param(Params._dummy(), "epsilon", "insensitive tube half-width", TypeConverters.toFloat)
     maxIter = Param(Params._dummy(), "maxIter", "iterations", TypeConverters.toInt)
@@ -147,7 +158,7 @@ class LinearSVRModel(Model, _SvrParams):
         return dataset.withColumn(self.getPredictionCol(), dot + F.lit(float(self.b)))
 
 
-class _AdaParams(HasFeaturesCol, HasLabelCol, HasPredictionCol, HasSeed):
+class _AdaParams(_Setters, HasFeaturesCol, HasLabelCol, HasPredictionCol, HasSeed):
     numRounds = Param(Params._dummy(), "numRounds", "boosting rounds", TypeConverters.toInt)
     learningRate = Param(Params._dummy(), "learningRate", "shrinkage", TypeConverters.toFloat)
     numClasses = Param(Params._dummy(), "numClasses", "number of classes (0: infer)", TypeConverters.toInt)

@@ -104,6 +104,9 @@ class Catalog:
     def log(self, name: str) -> AppendLog:
         return self.logs[name]
 
+    def schema(self, name: str) -> str:
+        return LOG_SCHEMAS[name]
+
     def table_name(self, dataset_id: int, storage_key: str | None = None) -> str:
         if storage_key and storage_key.replace("_", "a").isalnum() and not storage_key[0].isdigit():
             return storage_key

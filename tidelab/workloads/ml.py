@@ -173,3 +173,74 @@ def knn_exact_q(spark, sf_dir):
     e = read_table(spark, sf_dir, "embeddings")
     return knn_predict(e, e, k=5, train_id="vec_id", query_id="vec_id", features="embedding", label="label",
                        exclude_self=True, max_cell_rows=64, max_query_rows=128)
+
+
+from tidelab.ml.runner import benchmark, cross_validate  # noqa: E402
+
+
+def _quality_frame(spark, sf_dir):
+    """Classification frame: document quality from length, language, source and the toxicity flag."""
+    lab = read_table(spark, sf_dir, "labels")
+    doc = read_table(spark, sf_dir, "documents").select("doc_id", "n_chars", "lang", "source")
+    return lab.join(doc, "doc_id").select("n_chars", "lang", "source", "toxic", "quality")
+
+
+def _price_frame(spark, sf_dir):
+    """Regression frame: line price from quantity, discount, tax and flags."""
+    li = read_table(spark, sf_dir, "lineitem")
+    return li.select("l_quantity", "l_discount", "l_tax", "l_returnflag", "l_linestatus", "l_extendedprice")
+
+
+def _model_workload(key: str, model: str, task: str, params: dict | None = None):
+    def run(spark, sf_dir):
+        frame = _quality_frame(spark, sf_dir) if task == "classification" else _price_frame(spark, sf_dir)
+        target = "quality" if task == "classification" else "l_extendedprice"
+        res = benchmark(frame, target, task, [model], {model: params or {}})
+        return res.runs_df(spark).drop("duration_ms")
+
+    run.__name__ = key
+    register(key)(run)
+
+
+for _key, _model, _task, _params in [
+    ("model_linear_regression", "Linear Regression", "regression", None),
+    ("model_ridge", "Ridge", "regression", None),
+    ("model_lasso", "Lasso", "regression", None),
+    ("model_svr", "SVR", "regression", None),
+    ("model_decision_tree", "Decision Tree", "regression", None),
+    ("model_logistic_regression", "Logistic Regression", "classification", None),
+    ("model_knn", "KNN", "classification", None),
+    ("model_svm_linear", "SVM", "classification", {"kernel": 0}),
+    ("model_svm_rbf", "SVM", "classification", {"kernel": "rbf"}),
+    ("model_svm_poly", "SVM", "classification", {"kernel": 2}),
+    ("model_naive_bayes", "Naive Bayes", "classification", None),
+    ("model_random_forest", "Random Forest", "classification", None),
+    ("model_gradient_boosting", "XGBoost", "classification", None),
+    ("model_adaboost", "AdaBoost", "classification", None),
+]:
+    _model_workload(_key, _model, _task, _params)
+
+
+@register("cross_validate")
+def cross_validate_q(spark, sf_dir):
+    return cross_validate(_quality_frame(spark, sf_dir), "quality", "Logistic Regression", "classification", folds=3)
+
+
+@register(
+    "linreg_1d",
+    """
+SELECT ROUND(regr_slope(l_extendedprice, l_quantity) * 100) / 100 AS slope,
+       ROUND(regr_intercept(l_extendedprice, l_quantity) * 100) / 100 AS intercept FROM lineitem""",
+)
+def linreg_1d_q(spark, sf_dir):
+    """One-feature least squares through Spark ML (normal-equation solver) against the closed form."""
+    from pyspark.ml.feature import VectorAssembler
+    from pyspark.ml.regression import LinearRegression
+
+    from tidelab.functions.text import round_value
+
+    li = read_table(spark, sf_dir, "lineitem").select("l_quantity", "l_extendedprice")
+    data = VectorAssembler(inputCols=["l_quantity"], outputCol="features").transform(li)
+    m = LinearRegression(featuresCol="features", labelCol="l_extendedprice", regParam=0.0, solver="normal").fit(data)
+    row = spark.range(1).select(F.lit(float(m.coefficients[0])).alias("slope"), F.lit(float(m.intercept)).alias("intercept"))
+    return row.select(round_value(F.col("slope"), 2).alias("slope"), round_value(F.col("intercept"), 2).alias("intercept"))
