@@ -163,6 +163,26 @@ def benchmark(
     return BenchmarkResult(task, target, features, train_split, random_state, int(stats["n_train"]), int(stats["n_test"]), runs)
 
 
+def resolve_inputs(catalog, dataset_id: int, target: str | None = None, features: list[str] | None = None,
+                   task: str | None = None) -> tuple[DataFrame, str, list[str], str]:
+    """(G19, G20) target: request → latest preparation → dataset → last column; features: request →
+    latest preparation (selected and derived) → every non-target column; task: request → profile rule."""
+    df = catalog.load(dataset_id)
+    meta = catalog.dataset(dataset_id) or {}
+    prep = catalog.latest_preparation(dataset_id)
+    tgt = target or (prep or {}).get("target_column") or meta.get("target_column") or df.columns[-1]
+    if tgt not in df.columns:
+        raise ValueError(f"target {tgt!r} not in dataset {dataset_id}")
+    feats = features
+    if not feats and prep and prep.get("dataset_id") == dataset_id:
+        try:
+            feats = [f for f in json.loads(prep.get("selected_features_json") or "[]") if f in df.columns]
+        except ValueError:
+            feats = None
+    feats = feats or [c for c in df.columns if c != tgt]
+    return df, tgt, feats, task or infer_problem_type(df, tgt)
+
+
 def train(df: DataFrame, target: str, model: str, task: str | None = None, params: dict | None = None, **kwargs) -> BenchmarkResult:
     """Train one model (a one-model benchmark)."""
     return benchmark(df, target, task, [model], {model: params or {}}, **kwargs)

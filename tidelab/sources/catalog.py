@@ -168,6 +168,66 @@ class Catalog:
     def list_datasets(self) -> DataFrame:
         return list_datasets(self.logs["datasets"].read(), self.logs["dataset_columns"].read())
 
+    def columns(self, dataset_id: int) -> DataFrame:
+        return self.logs["dataset_columns"].read().where(F.col("dataset_id") == F.lit(dataset_id)).orderBy("id")
+
+    def prepare(
+        self,
+        dataset_id: int,
+        target: str | None = None,
+        features: list[str] | None = None,
+        rename: dict | None = None,
+        derived: list | None = None,
+        version_name: str | None = None,
+        task_type: str | None = None,
+        exact_ratio: bool = False,
+        allow_target: bool = False,
+    ) -> dict:
+        """Prepared version (D1–D15): one select written as a new table, a child dataset row with
+        parent id and version, and lineage rows (preparation, feature selection, transformations)."""
+        from tidelab.operators.prep import DEFAULT_VERSION, dropped_features, prepare
+        from tidelab.operators.profile import profile_columns
+
+        meta = self.dataset(dataset_id)
+        if meta is None:
+            raise KeyError(f"dataset {dataset_id} not found")
+        src = self.load(dataset_id)
+        target = (target or meta.get("target_column") or "").strip()
+        out, plan = prepare(src, target, features, rename, derived, exact_ratio=exact_ratio, allow_target=allow_target)
+        version = (version_name or DEFAULT_VERSION).strip()
+        cfg = json.loads(plan.to_json())
+        new_id = self.register_dataset(
+            out, f"{meta['name']} · {version}", source_type="prepared", description=meta.get("description"),
+            target_column=plan.target_output, parent_dataset_id=dataset_id, version_name=version, prep_config=cfg,
+            columns_meta=profile_columns(out, plan.target_output).drop("ordinal").withColumn("ordinal", F.lit(0)),
+            table=f"prepared_{dataset_id}_{int(now().timestamp() * 1000)}",
+        )
+        new_meta = self.dataset(new_id)
+        ts = now()
+        prep_id = self.logs["dataset_preparations"].max_id() + 1
+        self.logs["dataset_preparations"].append(self.spark.createDataFrame([(
+            prep_id, new_id, dataset_id, version, self.table_name(dataset_id, meta["storage_key"]), new_meta["storage_key"],
+            plan.target_output, json.dumps(plan.feature_outputs + [d.name for d in plan.derived]), json.dumps(plan.rename),
+            json.dumps([d.__dict__ for d in plan.derived]), plan.to_json(), ts)], LOG_SCHEMAS["dataset_preparations"]))
+        dropped = dropped_features(src.columns, plan.features, plan.target)
+        self.logs["feature_selections"].append(self.spark.createDataFrame([(
+            None, new_id, prep_id, plan.target_output, json.dumps(plan.feature_outputs), json.dumps(dropped),
+            task_type or "classification", ts)], LOG_SCHEMAS["feature_selections"]))
+        trans = [(None, new_id, prep_id, "feature_selection", json.dumps({"selected": plan.features, "dropped": dropped}), ts)]
+        if plan.rename:
+            trans.append((None, new_id, prep_id, "rename", json.dumps(plan.rename), ts))
+        for d in plan.derived:
+            trans.append((None, new_id, prep_id, "derived_column", json.dumps(d.__dict__), ts))
+        self.logs["dataset_transformations"].append(self.spark.createDataFrame(trans, LOG_SCHEMAS["dataset_transformations"]))
+        return {"dataset_id": new_id, "preparation_id": prep_id, "plan": plan, "dropped": dropped}
+
+    def latest_preparation(self, dataset_id: int) -> dict | None:
+        """Latest preparation whose source or result is ``dataset_id``."""
+        from tidelab.operators.prep import list_preparations
+
+        rows = list_preparations(self.logs["dataset_preparations"].read(), dataset_id).limit(1).collect()
+        return rows[0].asDict() if rows else None
+
 
 def list_datasets(datasets: DataFrame, columns: DataFrame) -> DataFrame:
     """Datasets ordered by id, each with its table name and inferred problem type — one join with
