@@ -95,53 +95,84 @@ class _SvrParams(_Setters, HasFeaturesCol, HasLabelCol, HasPredictionCol):
 
 
 class LinearSVR(Estimator, _SvrParams):
-    """Minimises ½‖w‖² + C·Σ max(0, |y − w·x − b| − ε) / n by full-batch sub-gradient descent."""
+    """ε-insensitive linear SVR: minimises ½‖w‖² + C·Σ max(0, |y − w·x − b| − ε).
+
+    Start: the ridge solution ``(XᵀX + I/C)⁻¹Xᵀy`` from one distributed pass (per-partition
+    ``XᵀX``/``Xᵀy`` summed by the ``Summarizer`` aggregate — d² numbers per partition). Then
+    ``maxIter`` full-batch sub-gradient passes with normalised, decaying steps; each pass also
+    returns the objective, and the best iterate is kept.
+    """
 
     @keyword_only
-    def __init__(self, featuresCol="features", labelCol="label", predictionCol="prediction", C=1.0, epsilon=0.1, maxIter=60, stepSize=1.0):
+    def __init__(self, featuresCol="features", labelCol="label", predictionCol="prediction", C=1.0, epsilon=0.1, maxIter=30, stepSize=0.1):
         super().__init__()
-        self._setDefault(featuresCol="features", labelCol="label", predictionCol="prediction", C=1.0, epsilon=0.1, maxIter=60, stepSize=1.0)
+        self._setDefault(featuresCol="features", labelCol="label", predictionCol="prediction", C=1.0, epsilon=0.1, maxIter=30, stepSize=0.1)
         self._set(**self._input_kwargs)
 
+    @staticmethod
+    def _sum_arrays(df: DataFrame, fn, width: int) -> np.ndarray:
+        rows = df.mapInPandas(fn, "g array<double>").select(array_to_vector("g").alias("g"))
+        out = rows.agg(Summarizer.sum(F.col("g")).alias("s")).collect()[0]["s"]
+        return np.zeros(width) if out is None else out.toArray()
+
     def _fit(self, dataset: DataFrame) -> "LinearSVRModel":
         fc, lc = self.getFeaturesCol(), self.getLabelCol()
         data = dataset.select(vector_to_array(F.col(fc)).alias("x"), F.col(lc).cast("double").alias("y")).persist()
         try:
-            n = data.count()
             first = data.limit(1).collect()
             d = len(first[0]["x"]) if first else 0
             C, eps = self.getOrDefault(self.C), self.getOrDefault(self.epsilon)
-            y_mean = data.agg(F.avg("y")).collect()[0][0] or 0.0
-            w, b = np.zeros(d), float(y_mean)
-            for it in range(self.getOrDefault(self.maxIter)):
-                wb = np.append(w, b)
 
-                def grad(batches, wb=wb):
-                    g = np.zeros(len(wb))
+            def gram(batches):
+                acc = np.zeros((d + 1) * (d + 1) + (d + 1))
+                for pdf in batches:
+                    if not len(pdf):
+                        continue
+                    X = np.hstack([np.stack(pdf["x"].to_numpy()), np.ones((len(pdf), 1))])
+                    y = pdf["y"].to_numpy()
+                    acc[: (d + 1) ** 2] += (X.T @ X).ravel()
+                    acc[(d + 1) ** 2 :] += X.T @ y
+                yield pd.DataFrame({"g": [acc.tolist()]})
+
+            acc = self._sum_arrays(data, gram, (d + 1) ** 2 + d + 1)
+            A = acc[: (d + 1) ** 2].reshape(d + 1, d + 1)
+            reg = np.eye(d + 1) / max(C, 1e-12)
+            reg[d, d] = 1e-12  # the intercept is not penalised
+            wb = np.linalg.solve(A + reg, acc[(d + 1) ** 2 :])
+
+            def objective_and_grad(wb):
+                def part(batches, wb=wb):
+                    g = np.zeros(d + 2)
                     for pdf in batches:
                         if not len(pdf):
                             continue
                         X = np.stack(pdf["x"].to_numpy())
                         r = pdf["y"].to_numpy() - (X @ wb[:-1] + wb[-1])
                         s = np.where(r > eps, -1.0, np.where(r < -eps, 1.0, 0.0))
-                        g[:-1] += X.T @ s
-                        g[-1] += s.sum()
+                        g[:d] += X.T @ s
+                        g[d] += s.sum()
+                        g[d + 1] += np.maximum(np.abs(r) - eps, 0.0).sum()
                     yield pd.DataFrame({"g": [g.tolist()]})
 
-                g = (
-                    data.mapInPandas(grad, "g array<double>")
-                    .select(array_to_vector("g").alias("g"))
-                    .agg(Summarizer.sum(F.col("g")).alias("s"))
-                    .collect()[0]["s"].toArray()
-                )
-                step = self.getOrDefault(self.stepSize) / math.sqrt(it + 1)
-                gw = w + C * g[:-1] / max(n, 1)
-                gb = C * g[-1] / max(n, 1)
-                w = w - step * gw
-                b = b - step * gb * max(1.0, abs(y_mean))
+                out = self._sum_arrays(data, part, d + 2)
+                grad = C * out[: d + 1]
+                grad[:d] += wb[:d]
+                return 0.5 * float(wb[:d] @ wb[:d]) + C * out[d + 1], grad
+
+            best_obj, grad = objective_and_grad(wb)
+            best = wb.copy()
+            scale = self.getOrDefault(self.stepSize) * max(1.0, float(np.linalg.norm(wb)))
+            for it in range(self.getOrDefault(self.maxIter)):
+                norm = float(np.linalg.norm(grad))
+                if norm == 0:
+                    break
+                wb = wb - (scale / math.sqrt(it + 1)) * grad / norm
+                obj, grad = objective_and_grad(wb)
+                if obj < best_obj:
+                    best_obj, best = obj, wb.copy()
         finally:
             data.unpersist()
-        m = LinearSVRModel(w, b)
+        m = LinearSVRModel(best[:-1], float(best[-1]))
         m._set(featuresCol=fc, predictionCol=self.getPredictionCol())
         return m
 
