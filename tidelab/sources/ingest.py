@@ -25,7 +25,7 @@ from tidelab.operators.profile import PREVIEW_ROWS, distinct_counts, null_counts
 from tidelab.operators.schema import coerce, drop_blank_rows, infer_types, resolve_target
 from tidelab.session import scratch_dir
 
-BOM = "﻿"
+BOM = "\ufeff"
 
 
 class IngestError(ValueError):
