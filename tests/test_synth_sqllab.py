@@ -77,3 +77,20 @@ def test_text_fallback():
         text_check("WITH a AS (SELECT 1) INSERT INTO t SELECT * FROM a")
     with pytest.raises(SqlGuardError):
         text_check("UPDATE t SET a = 1")
+
+
+def test_chart_logging_and_sql_text(spark):
+    from tidelab.operators.charts import chart_data, chart_sql
+
+    lab = SqlLab(spark, history_path=scratch_dir(spark, "history"))
+    lab.register("retail_sales", synth_retail(spark))
+    q = chart_sql("retail_sales", "bar", "region", "revenue", "sum", 3)
+    via_sql = {r["label"]: r["value"] for r in lab.run(q).df.collect()}
+    via_df = {r["label"]: r["value"] for r in chart_data(synth_retail(spark), "bar", "region", "revenue", "sum", 3).collect()}
+    assert via_sql.keys() == via_df.keys() and all(abs(via_sql[k] - via_df[k]) < 0.011 for k in via_sql)
+    lab.log_chart("retail_sales", "bar", "region", "revenue", dataset_id=1)
+    names = [r["query_name"] for r in lab.history().collect()]
+    assert names[0] == "DataViz bar - region / revenue"
+    sample = chart_data(synth_retail(spark), "scatter", "ad_spend", "revenue", limit=20, sample="random").collect()
+    again = chart_data(synth_retail(spark), "scatter", "ad_spend", "revenue", limit=20, sample="random").collect()
+    assert len(sample) == 20 and sample == again

@@ -56,6 +56,8 @@ def chart_data(
     order_by: str = "value",
     scatter_order=None,
     share: bool | None = None,
+    sample: str | None = None,
+    seed: int = 42,
 ) -> DataFrame:
     """Chart points for ``chart_type``.
 
@@ -63,7 +65,8 @@ def chart_data(
     * line: the same, value ascending (``order_by="label"`` sorts by the label instead).
     * pie: adds ``share`` = value / total of the kept slices.
     * scatter: ``(x, y)`` doubles where both are present; ``scatter_order`` (column names)
-      makes the first-k choice deterministic, otherwise it is any k rows (a plain ``LIMIT``).
+      makes the first-k choice deterministic, ``sample="random"`` takes a reproducible
+      pseudo-random k (hash order, a per-task top-k), otherwise it is any k rows (a plain ``LIMIT``).
 
     Ties on the sort value are broken by label so the top-k cut is deterministic.
     """
@@ -78,6 +81,8 @@ def chart_data(
         pts = df.where(xc.isNotNull() & yc.isNotNull())
         if scatter_order:
             pts = pts.orderBy(*[_as_col(c) for c in scatter_order])
+        elif sample == "random":
+            pts = pts.orderBy(F.xxhash64(F.lit(seed), *[pts[c] for c in pts.columns]))
         return pts.limit(k).select(to_number(xc).alias("x"), to_number(yc).alias("y"))
 
     if x is None or x == "":
@@ -152,3 +157,19 @@ def suggest_chart(df: DataFrame) -> ChartPreset:
 def chart_query_name(chart_type: str, x: str, y: str | None) -> str:
     """History name used when chart queries are logged."""
     return f"DataViz {chart_type} - {x} / {y or 'count'}"
+
+
+def _ident(name: str) -> str:
+    return "`" + name.replace("`", "``") + "`"
+
+
+def chart_sql(table: str, chart_type: str, x: str, y: str | None = None, aggregation: str = "sum", limit: int = 12) -> str:
+    """The SQL text equivalent to ``chart_data`` on a registered view — what the history records."""
+    k = clamp_limit(limit)
+    if chart_type == "scatter":
+        return (f"SELECT {_ident(x)} AS x, {_ident(y)} AS y FROM {_ident(table)} "
+                f"WHERE {_ident(x)} IS NOT NULL AND {_ident(y)} IS NOT NULL LIMIT {k}")
+    agg = "COUNT(*)" if aggregation == "count" or not y else f"{aggregation.upper()}({_ident(y)})"
+    direction = "ASC" if chart_type == "line" else "DESC"
+    return (f"SELECT {_ident(x)} AS label, ROUND({agg}, 2) AS value FROM {_ident(table)} "
+            f"WHERE {_ident(x)} IS NOT NULL GROUP BY {_ident(x)} ORDER BY value {direction} LIMIT {k}")

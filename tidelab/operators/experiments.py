@@ -51,6 +51,11 @@ def leaderboard(runs: DataFrame, metrics: DataFrame, experiment_id: int | None =
     return ranked.withColumn("rank", F.col("rank").cast("int"))
 
 
+def ranked_scores(runs: DataFrame, metrics: DataFrame, experiment_id: int | None = None) -> DataFrame:
+    """Leaderboard rows that have a score (what a score chart plots)."""
+    return leaderboard(runs, metrics, experiment_id).where(F.col("score").isNotNull())
+
+
 def list_experiments(experiments: DataFrame, runs: DataFrame, metrics: DataFrame, dataset_id: int | None = None) -> DataFrame:
     """Experiments newest first with ``run_count, failed_runs, successful_runs, avg_duration_ms,
     best_model, best_score`` — one group-by over runs instead of one detail query per experiment."""

@@ -74,6 +74,13 @@ class SqlLab:
         batch = self.spark.createDataFrame([row], "dataset_id long, query_name string, query_text string, created_at timestamp")
         self.history_log.append(batch)
 
+    def log_chart(self, table: str, chart_type: str, x: str, y: str | None = None, aggregation: str = "sum",
+                  limit: int = 12, dataset_id: int | None = None) -> None:
+        """Chart queries are logged too, under ``DataViz <type> - <x> / <y>`` (F8)."""
+        from tidelab.operators.charts import chart_query_name, chart_sql
+
+        self.log(chart_sql(table, chart_type, x, y, aggregation, limit), dataset_id, chart_query_name(chart_type, x, y))
+
     def history(self, dataset_id: int | None = None) -> DataFrame:
         return query_history(self.history_log.read(), dataset_id)
 

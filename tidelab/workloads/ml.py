@@ -172,7 +172,7 @@ def knn_exact_q(spark, sf_dir):
     """Leave-one-out 5-NN label vote over all embeddings."""
     e = read_table(spark, sf_dir, "embeddings")
     return knn_predict(e, e, k=5, train_id="vec_id", query_id="vec_id", features="embedding", label="label",
-                       exclude_self=True, max_cell_rows=64, max_query_rows=128)
+                       exclude_self=True, max_cell_rows=256, max_query_rows=1024)
 
 
 from tidelab.ml.runner import benchmark, cross_validate  # noqa: E402
