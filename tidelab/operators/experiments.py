@@ -16,20 +16,23 @@ from tidelab.plans.ranking import rank_within
 SCORE_PRECEDENCE = ["score", "f1", "r2", "accuracy"]
 
 
-def _latest_key():
-    """Recency key of a metric row: its id; the value breaks ties so duplicated ids stay deterministic."""
-    return F.struct(F.col("id"), F.col("metric_value"))
+def _dedup_ids(metrics: DataFrame) -> DataFrame:
+    """One row per (run, metric, id): rows sharing an id keep the largest value, so "latest wins"
+    stays deterministic when ids repeat. A hash aggregate with map-side combine."""
+    return metrics.groupBy("run_id", "metric_name", "id").agg(F.max("metric_value").alias("metric_value"))
 
 
 def _latest(metric: str):
-    """Value of ``metric`` with the highest metric id (duplicates: the latest wins)."""
-    return F.max_by(F.col("metric_value"), F.when(F.col("metric_name") == metric, _latest_key()))
+    """Value of ``metric`` with the highest metric id. ``max_by`` over primitive value and ordering
+    keeps the aggregate hash-based (no sort), partial per task."""
+    return F.max_by(F.col("metric_value"), F.when(F.col("metric_name") == metric, F.col("id")))
 
 
 def run_scores(metrics: DataFrame, precedence: list[str] | None = None) -> DataFrame:
-    """``(run_id, score)`` — first present of score, f1, r2, accuracy; one partial aggregate."""
+    """``(run_id, score)`` — first present of score, f1, r2, accuracy (the latest of each)."""
     names = precedence or SCORE_PRECEDENCE
-    agg = metrics.where(F.col("metric_name").isin(names)).groupBy("run_id").agg(*[_latest(m).alias(f"_m_{i}") for i, m in enumerate(names)])
+    m = _dedup_ids(metrics.where(F.col("metric_name").isin(names)))
+    agg = m.groupBy("run_id").agg(*[_latest(n).alias(f"_m_{i}") for i, n in enumerate(names)])
     return agg.select("run_id", F.coalesce(*[F.col(f"_m_{i}") for i in range(len(names))]).alias("score"))
 
 
@@ -61,25 +64,24 @@ def list_experiments(experiments: DataFrame, runs: DataFrame, metrics: DataFrame
     best_model, best_score`` — one group-by over runs instead of one detail query per experiment."""
     if dataset_id is not None:
         experiments = experiments.where(F.col("dataset_id") == F.lit(dataset_id))
-    s = scored_runs(runs, metrics).withColumn("ok", _usable().cast("int"))
-    key = F.struct(F.col("ok"), F.col("score"), (-F.col("id")).alias("nid"))
-    per = s.groupBy("experiment_id").agg(
+    per = runs.groupBy("experiment_id").agg(
         F.count(F.lit(1)).alias("run_count"),
         F.count_if(F.col("status") == "failed").alias("failed_runs"),
         F.round(F.avg(F.when(F.col("duration_ms") > 0, F.col("duration_ms")))).alias("avg_duration_ms"),
-        F.max_by(F.struct("model_name", "score"), key).alias("_best"),
-        F.max("ok").alias("_any_ok"),
     )
+    # Best run = first leaderboard entry, kept only when usable (a failed or unscored run is no "best").
+    best = leaderboard(runs, metrics).where((F.col("rank") == 1) & (F.col("ok") == 1)).select(
+        F.col("experiment_id").alias("_bx"), F.col("model_name").alias("best_model"), F.col("score").alias("best_score"))
     e = experiments.alias("e")
-    j = e.join(per, F.col("e.id") == per.experiment_id, "left")
+    j = e.join(per, F.col("e.id") == per.experiment_id, "left").join(best, F.col("e.id") == F.col("_bx"), "left")
     return j.select(
         "e.*",
         F.coalesce("run_count", F.lit(0)).alias("run_count"),
         F.coalesce("failed_runs", F.lit(0)).alias("failed_runs"),
         (F.coalesce("run_count", F.lit(0)) - F.coalesce("failed_runs", F.lit(0))).alias("successful_runs"),
         F.col("avg_duration_ms"),
-        F.when(F.col("_any_ok") == 1, F.col("_best.model_name")).alias("best_model"),
-        F.when(F.col("_any_ok") == 1, F.col("_best.score")).alias("best_score"),
+        "best_model",
+        "best_score",
     ).orderBy(F.col("e.id").desc())
 
 
@@ -98,7 +100,7 @@ def metrics_long(runs: DataFrame, metrics: DataFrame) -> DataFrame:
 def metrics_map(metrics: DataFrame) -> DataFrame:
     """``(run_id, metrics map<string,double>)`` — the latest value per name. Pre-aggregated per
     (run, name) first, so each run's map holds one entry per distinct metric name."""
-    latest = metrics.groupBy("run_id", "metric_name").agg(F.max_by("metric_value", _latest_key()).alias("v"))
+    latest = _dedup_ids(metrics).groupBy("run_id", "metric_name").agg(F.max_by("metric_value", "id").alias("v"))
     return latest.groupBy("run_id").agg(F.map_from_entries(F.collect_list(F.struct("metric_name", "v"))).alias("metrics"))
 
 
@@ -129,11 +131,12 @@ def run_artifacts(runs: DataFrame, artifacts: DataFrame) -> DataFrame:
 
 def compare_runs(runs: DataFrame, metrics: DataFrame, metric_names: list[str], configs: DataFrame | None = None) -> DataFrame:
     """One row per run, one column per metric (latest value), plus duration and params."""
-    pv = metrics.where(F.col("metric_name").isin(metric_names)).groupBy("run_id").pivot("metric_name", metric_names).agg(
-        F.max_by("metric_value", _latest_key()))
+    m = _dedup_ids(metrics.where(F.col("metric_name").isin(metric_names)))
+    pv = m.groupBy("run_id").agg(*[_latest(n).alias(n) for n in metric_names])
     out = runs.select(F.col("id").alias("run_id"), "experiment_id", "model_name", "status", "duration_ms").join(pv, "run_id", "left")
     if configs is not None:
-        latest_cfg = configs.groupBy("run_id").agg(F.max_by("params_json", "id").alias("params_json"))
+        last = configs.groupBy("run_id").agg(F.max("id").alias("id"))
+        latest_cfg = configs.join(last, ["run_id", "id"], "left_semi").select("run_id", "params_json")
         out = out.join(latest_cfg, "run_id", "left")
     return out
 

@@ -79,23 +79,39 @@ def profile_columns(
 ) -> DataFrame:
     """Column metadata: ``(ordinal, column_name, data_type, is_target, has_nulls, null_count, unique_count)``.
 
-    Both inputs of the final join have one row per column (a bound known at plan time), so the
-    null-count side is broadcast. ``types`` overrides the type names (text columns typed by
-    ``infer_types`` before coercion).
+    Exact mode is one scan: cells are unpivoted to ``(column, value)`` (null for null/blank cells)
+    and counted per pair with map-side combine; a second aggregate per column turns pair counts into
+    the distinct count (non-null pairs) and the null count (the null pair's count). ``types``
+    overrides the type names (text columns typed by ``infer_types`` before coercion).
     """
-    nulls = null_counts(df, types)
-    uniq = distinct_counts(df, approx=approx)
-    return (
-        uniq.join(F.broadcast(nulls), "column_name")
-        .select(
-            "ordinal",
-            "column_name",
-            "data_type",
-            (F.col("column_name") == F.lit(target or "")).cast("int").alias("is_target"),
-            (F.col("null_count") > 0).cast("int").alias("has_nulls"),
-            F.col("null_count").cast("long").alias("null_count"),
-            F.col("unique_count").cast("long").alias("unique_count"),
+    types = types or {}
+    meta = [(i, c, types.get(c) or type_name(df.schema[c].dataType)) for i, c in enumerate(df.columns)]
+    if approx:
+        nulls = null_counts(df, types)
+        uniq = distinct_counts(df, approx=True)
+        # Both sides have one row per column (a bound known at plan time).
+        base = uniq.join(F.broadcast(nulls), "column_name")
+    else:
+        pairs = F.array(*[F.struct(F.lit(i).alias("ordinal"), _text_value(df, c).alias("value")) for i, c, _ in meta])
+        cells = df.select(F.inline(pairs))
+        per_pair = cells.groupBy("ordinal", "value").agg(F.count(F.lit(1)).alias("n"))
+        per_col = per_pair.groupBy("ordinal").agg(
+            F.count("value").alias("unique_count"),
+            F.coalesce(F.sum(F.when(F.col("value").isNull(), F.col("n"))), F.lit(0)).alias("null_count"),
         )
+        names = df.sparkSession.createDataFrame(meta, "ordinal int, column_name string, data_type string")
+        # One row per column on each side: the name table is broadcast.
+        base = per_col.join(F.broadcast(names), "ordinal", "right").select(
+            "ordinal", "column_name", "data_type",
+            F.coalesce("null_count", F.lit(0)).alias("null_count"), F.coalesce("unique_count", F.lit(0)).alias("unique_count"))
+    return base.select(
+        "ordinal",
+        "column_name",
+        "data_type",
+        (F.col("column_name") == F.lit(target or "")).cast("int").alias("is_target"),
+        (F.col("null_count") > 0).cast("int").alias("has_nulls"),
+        F.col("null_count").cast("long").alias("null_count"),
+        F.col("unique_count").cast("long").alias("unique_count"),
     )
 
 
