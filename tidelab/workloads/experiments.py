@@ -113,7 +113,7 @@ def leaderboard_q(spark, sf_dir):
     _with(_SCORES + """,
 ranked AS (SELECT *, row_number() OVER (PARTITION BY experiment_id ORDER BY ok DESC, score DESC NULLS LAST, id) AS rk FROM scored),
 per AS (
-  SELECT experiment_id, count(*) AS run_count, count_if(status = 'failed') AS failed_runs,
+  SELECT experiment_id, count(*) AS run_count, CAST(count_if(status = 'failed') AS BIGINT) AS failed_runs,
          ROUND(AVG(CASE WHEN duration_ms > 0 THEN duration_ms END)) AS avg_duration_ms,
          max(ok) AS any_ok,
          max(CASE WHEN rk = 1 THEN model_name END) AS best_model0, max(CASE WHEN rk = 1 THEN score END) AS best_score0

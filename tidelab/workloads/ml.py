@@ -116,7 +116,8 @@ def roc_auc_q(spark, sf_dir):
     "confusion_matrix",
     f"""
 WITH p AS ({_CLS_SQL})
-SELECT label, count_if(prediction = 0) AS pred_0, count_if(prediction = 1) AS pred_1 FROM p GROUP BY label""",
+SELECT label, CAST(count_if(prediction = 0) AS BIGINT) AS pred_0, CAST(count_if(prediction = 1) AS BIGINT) AS pred_1
+FROM p GROUP BY label""",
 )
 def confusion_matrix_q(spark, sf_dir):
     return confusion_matrix(_cls_pred(spark, sf_dir), classes=[0, 1])

@@ -14,10 +14,10 @@ def _profile_sql(table_sql: str, columns: list[tuple[str, str, bool]], target: s
     for i, (c, dtype, is_str) in enumerate(columns):
         if is_str:
             t = duck_trim(c)
-            nulls = f"count_if({c} IS NULL OR {t} = '')"
+            nulls = f"CAST(count_if({c} IS NULL OR {t} = '') AS BIGINT)"
             uniq = f"count(DISTINCT CASE WHEN {t} <> '' THEN {t} END)"
         else:
-            nulls = f"count_if({c} IS NULL)"
+            nulls = f"CAST(count_if({c} IS NULL) AS BIGINT)"
             uniq = f"count(DISTINCT {c})"
         parts.append(
             f"SELECT {i} AS ordinal, '{c}' AS column_name, '{dtype}' AS data_type, "
@@ -64,8 +64,8 @@ ORDERS_COLS = [
     f"""
 WITH p AS ({_profile_sql("SELECT * FROM orders", ORDERS_COLS, "o_orderstatus")})
 SELECT CAST(sum(null_count) AS BIGINT) AS total_nulls,
-       count_if(data_type IN ('INTEGER','REAL')) AS numeric_count,
-       count_if(data_type NOT IN ('INTEGER','REAL')) AS categorical_count,
+       CAST(count_if(data_type IN ('INTEGER','REAL')) AS BIGINT) AS numeric_count,
+       CAST(count_if(data_type NOT IN ('INTEGER','REAL')) AS BIGINT) AS categorical_count,
        count(*) AS column_count
 FROM p""",
 )

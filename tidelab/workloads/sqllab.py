@@ -39,7 +39,7 @@ SELECT n_orders AS orders_per_customer, COUNT(*) AS customers
 FROM per_customer GROUP BY n_orders""",
     "sql_window": """
 SELECT o_orderkey, o_custkey,
-       ROW_NUMBER() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS rn,
+       CAST(ROW_NUMBER() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS BIGINT) AS rn,
        ROUND(SUM(o_totalprice) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey
              ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) * 100) / 100 AS running_total
 FROM orders""",
