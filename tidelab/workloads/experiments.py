@@ -213,3 +213,18 @@ UNION ALL SELECT 'best_accuracy', CAST(max(metric_value) AS DOUBLE) FROM metrics
 def workspace_summary_q(spark, sf_dir):
     lg = _logs(spark, sf_dir)
     return workspace_summary(lg["datasets"], lg["queries"], lg["experiments"], lg["metrics"])
+
+
+from tidelab.operators.experiments import ranked_scores  # noqa: E402
+
+
+@register(
+    "ranked_scores",
+    _with(_SCORES + """,
+lb AS (SELECT *, CAST(row_number() OVER (PARTITION BY experiment_id ORDER BY ok DESC, score DESC NULLS LAST, id) AS INTEGER) AS rank
+       FROM scored)
+SELECT * FROM lb WHERE score IS NOT NULL"""),
+)
+def ranked_scores_q(spark, sf_dir):
+    lg = _logs(spark, sf_dir)
+    return ranked_scores(lg["runs"], lg["metrics"])

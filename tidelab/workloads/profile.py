@@ -116,3 +116,26 @@ FROM p""",
 )
 def problem_types_q(spark, sf_dir):
     return problem_types(profile_columns(read_table(spark, sf_dir, "labels"), target="quality"))
+
+
+from tidelab.operators.profile import preview  # noqa: E402
+from tidelab.sources.catalog import ensure_columns  # noqa: E402
+
+
+@register("preview", "SELECT * FROM orders ORDER BY o_orderkey LIMIT 10")
+def preview_q(spark, sf_dir):
+    """First 10 rows (A4), made deterministic by the key order."""
+    return preview(read_table(spark, sf_dir, "orders"), 10, order_by=["o_orderkey"])
+
+
+@register(
+    "schema_evolution",
+    """
+SELECT o_orderkey, CAST(o_custkey AS BIGINT) AS o_custkey, o_totalprice, CAST(NULL AS VARCHAR) AS o_comment,
+       CAST(NULL AS INTEGER) AS o_shippriority
+FROM orders""",
+)
+def schema_evolution_q(spark, sf_dir):
+    """Older rows read against a newer schema: missing columns appear as typed nulls."""
+    old = read_table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_totalprice")
+    return ensure_columns(old, "o_orderkey long, o_custkey long, o_totalprice double, o_comment string, o_shippriority int")
