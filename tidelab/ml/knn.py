@@ -28,6 +28,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
+from tidelab.session import materialize
+
 
 def _as_array(df: DataFrame, col: str) -> DataFrame:
     dtype = df.schema[col].dataType
@@ -143,7 +145,8 @@ def knn_search(
         w = Window.partitionBy("query_id").orderBy("distance", "neighbor_id")
         # Per query at most (k + 8) rows per candidate group reach this window.
         out = pairs.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
-        return out.checkpoint(eager=True)
+        # Materialised before ``cells`` is released: the result no longer depends on it.
+        return materialize(out, "knn")
     finally:
         cells.unpersist()
 

@@ -1,7 +1,7 @@
 """Training and benchmarking.
 
 A benchmark splits once (hash split on a content key), fits the preprocessing on the training rows,
-checkpoints the prepared train/test frames to the shared checkpoint folder (one lineage cut; every
+writes the prepared train/test frames as Parquet into the shared checkpoint folder (one lineage cut; every
 model then reads the same frozen rows, and a lost executor re-reads the checkpoint instead of
 recomputing the split), and fits each model in turn. A failing model becomes a ``failed`` run and
 the rest continue. Metrics are Spark aggregates; the only driver-side data are the per-run metric
@@ -26,6 +26,7 @@ from tidelab.ml.registry import default_models, merge_params
 from tidelab.ml.split import split_threshold
 from tidelab.sources.catalog import now
 from tidelab.operators.schema import infer_problem_type
+from tidelab.session import materialize
 
 RUN_SCHEMA = "run_id long, model_name string, status string, duration_ms long, error_message string, score double, rank int, params_json string"
 
@@ -99,7 +100,7 @@ def _with_score(pred: DataFrame) -> tuple[DataFrame, bool]:
 
 
 def prepare_benchmark_data(df: DataFrame, target: str, features: list[str], task: str, train_split: float = 80, random_state: int = 42):
-    """Split, fit preprocessing on train, return checkpointed (train, test, stats)."""
+    """Split, fit preprocessing on train, return materialised (train, test, stats)."""
     keyed = df.withColumn("_key", content_key(df, features + [target]))
     keyed = keyed.withColumn("_is_train", md5_key(random_state, F.col("_key")) < F.lit(split_threshold(train_split)))
     keyed = keyed.where(F.col(target).isNotNull())
@@ -107,11 +108,9 @@ def prepare_benchmark_data(df: DataFrame, target: str, features: list[str], task
     transformed = pre.transform(keyed)
     if task == "classification":
         transformed = label_indexer(keyed, target).transform(transformed)
-    prepared = (
-        transformed
-        .select("features", "label", "_is_train")
-        .withColumn("_rid", F.monotonically_increasing_id())
-        .checkpoint(eager=True)
+    prepared = materialize(
+        transformed.select("features", "label", "_is_train").withColumn("_rid", F.monotonically_increasing_id()),
+        "benchmark-data",
     )
     stats = prepared.agg(
         F.count_if("_is_train").alias("n_train"), F.count_if(~F.col("_is_train")).alias("n_test"),
@@ -195,7 +194,7 @@ def cross_validate(df: DataFrame, target: str, model: str, task: str | None = No
     task = task or infer_problem_type(df, target)
     features = features or [c for c in df.columns if c != target]
     keyed = df.where(F.col(target).isNotNull()).withColumn("_fold", F.pmod(md5_key(seed, content_key(df, features + [target])), F.lit(folds)))
-    keyed = keyed.checkpoint(eager=True)
+    keyed = materialize(keyed, "cv-folds")
     rows = []
     for k in range(folds):
         tr, te = keyed.where(F.col("_fold") != k), keyed.where(F.col("_fold") == k)

@@ -4,8 +4,8 @@
 group holds a third of the table, one task sorts a third of the table. ``rank_within`` gives the
 same numbers without that: the rows are range-partitioned on (group, order) — the range bounds are
 sampled, so a hot group is cut across many partitions — sorted inside each partition, and tagged
-with the partition id and a within-partition position. The frame is checkpointed to the shared
-checkpoint folder (freezing ids, cutting lineage, surviving executor loss). A small table of
+with the partition id and a within-partition position. The frame is written as Parquet into the
+shared checkpoint folder (freezing ids, cutting lineage, surviving executor loss). A small table of
 per-(partition, group) counts then yields each partition's offset inside its group (its size is at
 most #partitions + #groups), which is joined back.
 """
@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tidelab.session import ensure_checkpoint_dir
+from tidelab.session import ensure_checkpoint_dir, materialize
 
 
 def _name(c) -> str:
@@ -43,8 +43,8 @@ def rank_within(
         .sortWithinPartitions(*keys)
         .withColumn("_pid", F.spark_partition_id())
         .withColumn("_mid", F.monotonically_increasing_id())
-        .checkpoint(eager=True)
     )
+    ranged = materialize(ranged, "rank")
     stats = ranged.groupBy("_pid", *group_cols).agg(
         F.count(F.lit(1)).alias("_cnt"), F.min("_mid").alias("_first")
     )

@@ -8,7 +8,6 @@ create one.
 
 from __future__ import annotations
 
-import os
 import tempfile
 import uuid
 
@@ -52,12 +51,18 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
 
 
 def scratch_dir(spark: SparkSession, name: str = "scratch") -> str:
-    """A fresh, unique folder under the shared checkpoint directory."""
+    """A fresh, unique (not yet existing) path under the shared checkpoint directory."""
     base = ensure_checkpoint_dir(spark)
-    path = base.rstrip("/") + f"/tidelab-{name}-{uuid.uuid4().hex[:12]}"
-    if path.startswith("file:"):
-        os.makedirs(path[len("file:"):], exist_ok=True)
-    return path
+    return base.rstrip("/") + f"/tidelab-{name}-{uuid.uuid4().hex[:12]}"
+
+
+def materialize(df, name: str = "stage"):
+    """Cut lineage by writing ``df`` as Parquet into the shared checkpoint folder and reading it
+    back. Survives executor loss like ``checkpoint()``, reads columnar (pruned, with file-size
+    statistics for the planner) when the frame is used several times."""
+    path = scratch_dir(df.sparkSession, name)
+    df.write.mode("overwrite").parquet(path)
+    return df.sparkSession.read.parquet(path)
 
 
 def table_path(sf_dir: str, name: str) -> str:
