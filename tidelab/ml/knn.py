@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from tidelab.session import materialize
+from tidelab.session import materialize, spread
 
 
 def _as_array(df: DataFrame, col: str) -> DataFrame:
@@ -55,8 +55,8 @@ def knn_search(
     row by Euclidean distance, ties broken by neighbour id. ``exclude_self`` drops pairs with equal
     ids (leave-one-out when both sides are the same table)."""
     spark = train.sparkSession
-    tr = _as_array(train.select(F.col(train_id).alias("tid"), F.col(features).alias("x")), "x").where(F.col("x").isNotNull())
-    qs = _as_array(queries.select(F.col(query_id).alias("qid"), F.col(features).alias("x")), "x").where(F.col("x").isNotNull())
+    tr = _as_array(spread(train).select(F.col(train_id).alias("tid"), F.col(features).alias("x")), "x").where(F.col("x").isNotNull())
+    qs = _as_array(spread(queries).select(F.col(query_id).alias("qid"), F.col(features).alias("x")), "x").where(F.col("x").isNotNull())
     n_train = tr.count()
     if n_train == 0:
         return spark.createDataFrame([], "query_id long, neighbor_id long, distance double, rank int")

@@ -18,15 +18,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tidelab.functions.hashing import md5_key
 from tidelab.ml.knn import knn_predict
 from tidelab.ml.metrics import class_report, classification_metrics, confusion_long, regression_metrics, roc_auc
 from tidelab.ml.pipeline import build_estimator, build_preprocessing, label_indexer
 from tidelab.ml.registry import default_models, merge_params
-from tidelab.ml.split import split_threshold
 from tidelab.sources.catalog import now
 from tidelab.operators.schema import infer_problem_type
-from tidelab.session import materialize
+from tidelab.session import materialize, spread
 
 RUN_SCHEMA = "run_id long, model_name string, status string, duration_ms long, error_message string, score double, rank int, params_json string"
 
@@ -99,19 +97,32 @@ def _with_score(pred: DataFrame) -> tuple[DataFrame, bool]:
     return pred, False
 
 
+def split_flag(key: F.Column, train_pct: float, seed: int) -> F.Column:
+    """``True`` for training rows: ``xxhash64(seed, key)`` bucketed into 10,000 slots, the first
+    ``train_pct`` percent train — one cheap hash per row, no string building."""
+    slots = int(round(float(train_pct) * 100))
+    return F.pmod(F.xxhash64(F.lit(int(seed)), key), F.lit(10000)) < F.lit(slots)
+
+
 def prepare_benchmark_data(df: DataFrame, target: str, features: list[str], task: str, train_split: float = 80, random_state: int = 42):
-    """Split, fit preprocessing on train, return materialised (train, test, stats)."""
-    keyed = df.withColumn("_key", content_key(df, features + [target]))
-    keyed = keyed.withColumn("_is_train", md5_key(random_state, F.col("_key")) < F.lit(split_threshold(train_split)))
-    keyed = keyed.where(F.col(target).isNotNull())
-    pre = build_preprocessing(keyed, features, target, task).fit(keyed.where("_is_train"))
-    transformed = pre.transform(keyed)
-    if task == "classification":
-        transformed = label_indexer(keyed, target).transform(transformed)
-    prepared = materialize(
-        transformed.select("features", "label", "_is_train").withColumn("_rid", F.monotonically_increasing_id()),
-        "benchmark-data",
-    )
+    """Split, fit preprocessing on train, return materialised (train, test, stats).
+
+    The keyed input is persisted while the preprocessing stages fit (each stage is one pass); the
+    transformed frame is written once as Parquet into the shared checkpoint folder, so every model
+    reads the same frozen rows and a lost executor re-reads files instead of refitting anything."""
+    keyed = spread(df.where(F.col(target).isNotNull()))
+    keyed = keyed.withColumn("_is_train", split_flag(content_key(keyed, features + [target]), train_split, random_state)).persist()
+    try:
+        pre = build_preprocessing(keyed, features, target, task).fit(keyed.where("_is_train"))
+        transformed = pre.transform(keyed)
+        if task == "classification":
+            transformed = label_indexer(keyed, target).transform(transformed)
+        prepared = materialize(
+            transformed.select("features", "label", "_is_train").withColumn("_rid", F.monotonically_increasing_id()),
+            "benchmark-data",
+        )
+    finally:
+        keyed.unpersist()
     stats = prepared.agg(
         F.count_if("_is_train").alias("n_train"), F.count_if(~F.col("_is_train")).alias("n_test"),
         F.stddev_samp(F.when(F.col("_is_train"), F.col("label"))).alias("std"),
@@ -193,8 +204,8 @@ def cross_validate(df: DataFrame, target: str, model: str, task: str | None = No
     spark = df.sparkSession
     task = task or infer_problem_type(df, target)
     features = features or [c for c in df.columns if c != target]
-    keyed = df.where(F.col(target).isNotNull()).withColumn("_fold", F.pmod(md5_key(seed, content_key(df, features + [target])), F.lit(folds)))
-    keyed = materialize(keyed, "cv-folds")
+    base = spread(df.where(F.col(target).isNotNull()))
+    keyed = materialize(base.withColumn("_fold", F.pmod(F.xxhash64(F.lit(int(seed)), content_key(base, features + [target])), F.lit(folds))), "cv-folds")
     rows = []
     for k in range(folds):
         tr, te = keyed.where(F.col("_fold") != k), keyed.where(F.col("_fold") == k)

@@ -16,6 +16,7 @@ from pyspark.sql import types as T
 
 from tidelab.functions.text import is_blank, js_trim, round_value
 from tidelab.operators.schema import INTEGER, REAL, TEXT, at_most_two_values, type_name
+from tidelab.session import spread
 
 PREVIEW_ROWS = 10
 
@@ -93,7 +94,7 @@ def profile_columns(
         base = uniq.join(F.broadcast(nulls), "column_name")
     else:
         pairs = F.array(*[F.struct(F.lit(i).alias("ordinal"), _text_value(df, c).alias("value")) for i, c, _ in meta])
-        cells = df.select(F.inline(pairs))
+        cells = spread(df).select(F.inline(pairs))
         per_pair = cells.groupBy("ordinal", "value").agg(F.count(F.lit(1)).alias("n"))
         per_col = per_pair.groupBy("ordinal").agg(
             F.count("value").alias("unique_count"),

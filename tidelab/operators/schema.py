@@ -12,6 +12,7 @@ from pyspark.sql import types as T
 
 from tidelab.functions.naming import sanitize_identifier
 from tidelab.functions.text import INT_PATTERN, REAL_PATTERN, is_blank, js_trim
+from tidelab.session import spread
 
 INTEGER, REAL, TEXT = "INTEGER", "REAL", "TEXT"
 # Integer-like text longer than this many digits does not fit a bigint safely.
@@ -37,7 +38,7 @@ def infer_types(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     matches ``-?\\d+(\\.\\d+)?``, TEXT otherwise or when it has no non-blank value.
     """
     cols = columns or df.columns
-    trimmed = df.select(*[js_trim(F.col(c).cast("string")).alias(c) for c in cols])
+    trimmed = spread(df).select(*[js_trim(F.col(c).cast("string")).alias(c) for c in cols])
     entries = []
     for i, c in enumerate(cols):
         v = F.col(c)
@@ -74,6 +75,7 @@ def coerce(df: DataFrame, types: dict[str, str]) -> DataFrame:
     or workbench type name.
     """
     alias = {INTEGER: "bigint", REAL: "double", TEXT: "string"}
+    df = spread(df)
     out = []
     for c in df.columns:
         target = alias.get(types.get(c, "string"), types.get(c, "string"))

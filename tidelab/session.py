@@ -56,6 +56,16 @@ def scratch_dir(spark: SparkSession, name: str = "scratch") -> str:
     return base.rstrip("/") + f"/tidelab-{name}-{uuid.uuid4().hex[:12]}"
 
 
+def spread(df, min_partitions: int | None = None):
+    """Round-robin the rows over at least ``defaultParallelism`` partitions when the input has
+    fewer (a single unsplittable file or row group would otherwise keep all map-side work in one
+    task). Inputs that are already parallel — any large table — are returned untouched."""
+    target = min_partitions or df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() >= target:
+        return df
+    return df.repartition(target)
+
+
 def materialize(df, name: str = "stage"):
     """Cut lineage by writing ``df`` as Parquet into the shared checkpoint folder and reading it
     back. Survives executor loss like ``checkpoint()``, reads columnar (pruned, with file-size
