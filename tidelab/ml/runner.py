@@ -110,7 +110,8 @@ def prepare_benchmark_data(df: DataFrame, target: str, features: list[str], task
     The keyed input is persisted while the preprocessing stages fit (each stage is one pass); the
     transformed frame is written once as Parquet into the shared checkpoint folder, so every model
     reads the same frozen rows and a lost executor re-reads files instead of refitting anything."""
-    keyed = spread(df.where(F.col(target).isNotNull()))
+    labelled = df.where(F.col(target).isNotNull())
+    keyed = spread(labelled, rows=labelled.count())
     keyed = keyed.withColumn("_is_train", split_flag(content_key(keyed, features + [target]), train_split, random_state)).persist()
     try:
         pre = build_preprocessing(keyed, features, target, task).fit(keyed.where("_is_train"))
@@ -204,7 +205,8 @@ def cross_validate(df: DataFrame, target: str, model: str, task: str | None = No
     spark = df.sparkSession
     task = task or infer_problem_type(df, target)
     features = features or [c for c in df.columns if c != target]
-    base = spread(df.where(F.col(target).isNotNull()))
+    labelled = df.where(F.col(target).isNotNull())
+    base = spread(labelled, rows=labelled.count())
     keyed = materialize(base.withColumn("_fold", F.pmod(F.xxhash64(F.lit(int(seed)), content_key(base, features + [target])), F.lit(folds))), "cv-folds")
     rows = []
     for k in range(folds):

@@ -56,12 +56,32 @@ def scratch_dir(spark: SparkSession, name: str = "scratch") -> str:
     return base.rstrip("/") + f"/tidelab-{name}-{uuid.uuid4().hex[:12]}"
 
 
-def spread(df, min_partitions: int | None = None):
-    """Round-robin the rows over at least ``defaultParallelism`` partitions when the input has
-    fewer (a single unsplittable file or row group would otherwise keep all map-side work in one
-    task). Inputs that are already parallel — any large table — are returned untouched."""
-    target = min_partitions or df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() >= target:
+def estimated_bytes(df) -> int | None:
+    """Catalyst's size estimate of a frame (file sizes scaled by the projection), no job."""
+    jdf = getattr(df, "_jdf", None)
+    if jdf is None:
+        return None
+    return int(str(jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+
+
+def spread(df, bytes_per_partition: int = 1 << 16, rows: int | None = None, rows_per_partition: int = 50_000):
+    """Round-robin the rows over more partitions when the input arrives in fewer than its size
+    warrants (a single unsplittable file or row group keeps all map-side work in one task).
+
+    The wanted count is ``rows / rows_per_partition`` when the row count is known, else the size
+    estimate over ``bytes_per_partition``, capped at ``defaultParallelism``. Inputs that already have
+    that many partitions — any large table — are returned untouched, so on a cluster this is a no-op.
+    """
+    jdf = getattr(df, "_jdf", None)
+    if jdf is None:
+        return df
+    parallelism = df.sparkSession.sparkContext.defaultParallelism
+    if rows is not None:
+        want = -(-int(rows) // rows_per_partition)
+    else:
+        want = -(-(estimated_bytes(df) or 0) // bytes_per_partition)
+    target = max(1, min(parallelism, want))
+    if jdf.rdd().getNumPartitions() >= target:
         return df
     return df.repartition(target)
 
