@@ -39,7 +39,13 @@ def get_session(master: str | None = None, app: str = "tidelab", **conf: str) ->
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the cluster's checkpoint dir; set a local one only when none is configured."""
-    sc = spark.sparkContext
+    try:
+        sc = spark.sparkContext
+    except Exception:  # noqa: BLE001 - Spark Connect has no SparkContext; the server owns the setting
+        configured = spark.conf.get("spark.checkpoint.dir", None)
+        if not configured:
+            raise RuntimeError("spark.checkpoint.dir must be set on a Spark Connect server") from None
+        return configured
     current = sc.getCheckpointDir()
     if current:
         return current

@@ -69,9 +69,16 @@ SELECT o_custkey, COUNT(*) AS n_orders FROM orders GROUP BY o_custkey HAVING COU
 }
 
 
+_REGISTERED: dict[int, str] = {}
+
+
 def _lab(spark, sf_dir) -> SqlLab:
+    """Lab over the supplied tables; views are (re)registered only when the folder changes."""
     lab = SqlLab(spark)
-    lab.register_tables(sf_dir, TABLES)
+    key = id(spark._jsparkSession) if hasattr(spark, "_jsparkSession") else id(spark)
+    if _REGISTERED.get(key) != sf_dir or not all(spark.catalog.tableExists(t) for t in TABLES[:1]):
+        lab.register_tables(sf_dir, TABLES)
+        _REGISTERED[key] = sf_dir
     return lab
 
 
