@@ -100,3 +100,23 @@ def test_target_stats_and_problem_type(spark):
     p = profile(labels, "quality")
     assert p.problem_type == "classification" and p.preview.count() == 10
     assert resolve_target(["a", "b_c"], "B C") == "b_c" and resolve_target(["a", "b"], "zz") == "b"
+
+
+def test_describe_and_experiment_helpers(spark):
+    from tidelab.operators.experiments import metrics_map, run_params, run_scores, workspace_summary
+    from tidelab.operators.profile import describe_columns
+
+    df = spark.createDataFrame([(1, 2.0, "a")], "a int, b double, c string")
+    assert describe_columns(df) == [("a", "int", "INTEGER"), ("b", "double", "REAL"), ("c", "string", "TEXT")]
+    metrics = spark.createDataFrame(
+        [(1, 10, "f1", 0.5), (2, 10, "f1", 0.7), (3, 10, "accuracy", 0.9), (4, 11, "r2", 0.3), (5, 12, "rmse", 2.0)],
+        "id long, run_id long, metric_name string, metric_value double")
+    mm = {r["run_id"]: r["metrics"] for r in metrics_map(metrics).collect()}
+    assert mm[10] == {"f1": 0.7, "accuracy": 0.9} and mm[12] == {"rmse": 2.0}
+    sc = {r["run_id"]: r["score"] for r in run_scores(metrics).collect()}
+    assert sc == {10: 0.7, 11: 0.3}  # precedence: f1 before accuracy; run 12 has no score metric
+    cfg = spark.createDataFrame([(1, 10, '{"C": 1, "kernel": "rbf"}'), (2, 11, "not json")], "id long, run_id long, params_json string")
+    assert sorted((r["run_id"], r["param"], r["value"]) for r in run_params(cfg).collect()) == [(10, "C", "1"), (10, "kernel", "rbf")]
+    one = spark.createDataFrame([(1,)], "id long")
+    ws = {r["name"]: r["value"] for r in workspace_summary(one, one, one, metrics).collect()}
+    assert ws == {"datasets": 1.0, "saved_queries": 1.0, "experiments": 1.0, "best_accuracy": 0.9}
