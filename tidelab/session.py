@@ -79,7 +79,7 @@ def spread(df, bytes_per_partition: int = 1 << 16, rows: int | None = None, rows
     that many partitions — any large table — are returned untouched, so on a cluster this is a no-op.
     """
     jdf = getattr(df, "_jdf", None)
-    if jdf is None:
+    if jdf is None or df.isStreaming:
         return df
     parallelism = df.sparkSession.sparkContext.defaultParallelism
     if rows is not None:
