@@ -73,7 +73,7 @@ def test_metrics_brute_force(spark):
     rep = {r["class"]: r for r in class_report(df).collect()}
     assert rep[1]["support"] == int((y == 1).sum())
     w = classification_metrics(df, average="weighted").collect()[0]
-    assert 0 <= w["f1"] <= 1
+    assert 0 <= w["f1"] <= 1 and w["accuracy"] == m["accuracy"]
     reg = spark.createDataFrame([(1.0, 1.5), (2.0, 1.0), (3.0, 3.5)], "label double, prediction double")
     rm = regression_metrics(reg).collect()[0]
     e = np.array([0.5, -1.0, 0.5])

@@ -60,26 +60,30 @@ def classification_metrics(
             round_value(r, DIGITS).alias("recall"),
             round_value(_f1(p, r), DIGITS).alias("f1"),
         ).withColumn("score", F.col("f1"))
-    rep = class_report(pred, label, prediction, rounded=False)
-    acc = pred.agg(_safe_div(F.count_if(F.col(label) == F.col(prediction)), F.count(F.lit(1))).alias("accuracy"))
+    rep = class_report(pred, label, prediction, rounded=False, with_tp=True)
     if average == "weighted":
         w = F.col("support").cast("double")
         agg = rep.agg(
             (F.sum(F.col("precision") * w) / F.sum(w)).alias("precision"),
             (F.sum(F.col("recall") * w) / F.sum(w)).alias("recall"),
             (F.sum(F.col("f1") * w) / F.sum(w)).alias("f1"),
+            _safe_div(F.sum("tp"), F.sum("support")).alias("accuracy"),
         )
     elif average == "macro":
-        agg = rep.agg(F.avg("precision").alias("precision"), F.avg("recall").alias("recall"), F.avg("f1").alias("f1"))
+        agg = rep.agg(
+            F.avg("precision").alias("precision"), F.avg("recall").alias("recall"), F.avg("f1").alias("f1"),
+            _safe_div(F.sum("tp"), F.sum("support")).alias("accuracy"),
+        )
     else:
         raise ValueError(f"unknown average {average!r}")
-    # Both sides are single rows.
-    return acc.join(agg).select(
+    # Accuracy comes from the same per-class table (Σ tp / Σ support): one aggregate, no join.
+    return agg.select(
         *[round_value(F.col(m), DIGITS).alias(m) for m in ("accuracy", "precision", "recall", "f1")]
     ).withColumn("score", F.col("f1"))
 
 
-def class_report(pred: DataFrame, label: str = "label", prediction: str = "prediction", rounded: bool = True) -> DataFrame:
+def class_report(pred: DataFrame, label: str = "label", prediction: str = "prediction", rounded: bool = True,
+                 with_tp: bool = False) -> DataFrame:
     """Per class: ``class, precision, recall, f1, support`` (a class never predicted or never
     present gets 0 for the undefined ratios). Two partial aggregates and an outer join on class."""
     by_label = pred.groupBy(F.col(label).alias("class")).agg(
@@ -98,7 +102,8 @@ def class_report(pred: DataFrame, label: str = "label", prediction: str = "predi
     r = _safe_div(F.col("tp"), F.col("support"))
     f = _f1(p, r)
     rnd = (lambda c: round_value(c, DIGITS)) if rounded else (lambda c: c)
-    return j.select("class", rnd(p).alias("precision"), rnd(r).alias("recall"), rnd(f).alias("f1"), F.col("support").cast("long"))
+    extra = [F.col("tp")] if with_tp else []
+    return j.select("class", rnd(p).alias("precision"), rnd(r).alias("recall"), rnd(f).alias("f1"), F.col("support").cast("long"), *extra)
 
 
 def confusion_matrix(pred: DataFrame, label: str = "label", prediction: str = "prediction", classes: list | None = None) -> DataFrame:

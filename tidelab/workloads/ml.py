@@ -245,3 +245,38 @@ def linreg_1d_q(spark, sf_dir):
     m = LinearRegression(featuresCol="features", labelCol="l_extendedprice", regParam=0.0, solver="normal").fit(data)
     row = spark.range(1).select(F.lit(float(m.coefficients[0])).alias("slope"), F.lit(float(m.intercept)).alias("intercept"))
     return row.select(round_value(F.col("slope"), 2).alias("slope"), round_value(F.col("intercept"), 2).alias("intercept"))
+
+
+_MULTI_SQL = """SELECT o_orderpriority AS label,
+       CASE WHEN o_totalprice >= 300000 THEN '1-URGENT' WHEN o_totalprice >= 200000 THEN '2-HIGH'
+            WHEN o_totalprice >= 100000 THEN '3-MEDIUM' ELSE '5-LOW' END AS prediction FROM orders"""
+
+
+def _multi_pred(spark, sf_dir):
+    o = read_table(spark, sf_dir, "orders")
+    p = F.col("o_totalprice")
+    pred = (F.when(p >= 300000, "1-URGENT").when(p >= 200000, "2-HIGH").when(p >= 100000, "3-MEDIUM").otherwise("5-LOW"))
+    return o.select(F.col("o_orderpriority").alias("label"), pred.alias("prediction"))
+
+
+@register(
+    "metrics_multiclass",
+    f"""
+WITH p AS ({_MULTI_SQL}),
+bl AS (SELECT label AS class, count(*) AS support, count_if(label = prediction) AS tp FROM p GROUP BY label),
+bp AS (SELECT prediction AS class, count(*) AS predicted FROM p GROUP BY prediction),
+j AS (SELECT COALESCE(bl.class, bp.class) AS class, COALESCE(support, 0) AS support, COALESCE(tp, 0) AS tp,
+             COALESCE(predicted, 0) AS predicted FROM bl FULL OUTER JOIN bp ON bl.class = bp.class),
+m AS (SELECT support, tp, CASE WHEN predicted = 0 THEN 0.0 ELSE tp / predicted END AS pr,
+             CASE WHEN support = 0 THEN 0.0 ELSE tp / support END AS rc FROM j),
+f AS (SELECT *, CASE WHEN pr + rc = 0 THEN 0.0 ELSE 2.0 * pr * rc / (pr + rc) END AS f1 FROM m)
+SELECT {_r4("sum(tp) / sum(support)")} AS accuracy,
+       {_r4("sum(pr * support) / sum(support)")} AS precision,
+       {_r4("sum(rc * support) / sum(support)")} AS recall,
+       {_r4("sum(f1 * support) / sum(support)")} AS f1,
+       {_r4("sum(f1 * support) / sum(support)")} AS score
+FROM f""",
+)
+def metrics_multiclass_q(spark, sf_dir):
+    """Support-weighted multi-class metrics (5 order priorities predicted from the price)."""
+    return classification_metrics(_multi_pred(spark, sf_dir), average="weighted")
