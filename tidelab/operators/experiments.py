@@ -106,14 +106,19 @@ def metrics_map(metrics: DataFrame) -> DataFrame:
 
 def experiment_details(runs: DataFrame, configs: DataFrame, metrics: DataFrame, artifacts: DataFrame, experiment_id: int | None = None) -> DataFrame:
     """Runs nested with their config, metric list and artifact list (missing → null / empty list).
-    Children are pre-aggregated per run (one list per run, built map-side), then left-joined."""
+    Children are pre-aggregated per run (one list per run, built map-side), then left-joined. The
+    lists hold what one model run wrote (its metrics and artifacts), bounded by the metric catalogue
+    rather than by data size; ``metrics_long`` / ``run_artifacts`` are the flat forms."""
     if experiment_id is not None:
         runs = runs.where(F.col("experiment_id") == F.lit(experiment_id))
-    ids = runs.select(F.col("id").alias("run_id"))
-    cfg = configs.join(ids, "run_id", "left_semi").groupBy("run_id").agg(F.max_by(F.struct("id", "params_json"), "id").alias("config"))
-    met = metrics.join(ids, "run_id", "left_semi").groupBy("run_id").agg(
+        # Children of the selected runs only, pruned before they are aggregated (H2).
+        ids = runs.select(F.col("id").alias("run_id"))
+        configs, metrics, artifacts = (t.join(ids, "run_id", "left_semi") for t in (configs, metrics, artifacts))
+    last_cfg = configs.groupBy("run_id").agg(F.max("id").alias("id"))
+    cfg = configs.join(last_cfg, ["run_id", "id"], "left_semi").select("run_id", F.struct("id", "params_json").alias("config"))
+    met = metrics.groupBy("run_id").agg(
         F.sort_array(F.collect_list(F.struct("id", "metric_name", "metric_value"))).alias("metrics"))
-    art = artifacts.join(ids, "run_id", "left_semi").groupBy("run_id").agg(
+    art = artifacts.groupBy("run_id").agg(
         F.sort_array(F.collect_list(F.struct("id", "artifact_type", "artifact_key"))).alias("artifacts"))
     empty_m = F.array().cast("array<struct<id:bigint,metric_name:string,metric_value:double>>")
     empty_a = F.array().cast("array<struct<id:bigint,artifact_type:string,artifact_key:string>>")
