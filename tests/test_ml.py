@@ -149,3 +149,25 @@ def test_cross_validate(spark):
     df = _signal_frame(spark).drop("yr")
     cv = cross_validate(df, "y", "Logistic Regression", "classification", folds=3).collect()
     assert len(cv) == 4 and all(r["score"] > 0.5 for r in cv)
+
+
+def test_ridge_lasso_closed_form(spark):
+    from pyspark.ml.feature import VectorAssembler
+
+    from tidelab.ml.pipeline import build_estimator
+
+    rng = np.random.default_rng(5)
+    x = rng.normal(2.0, 1.5, 400)
+    y = 3.0 * x + 1.0 + rng.normal(0, 0.5, 400)
+    df = VectorAssembler(inputCols=["x"], outputCol="features").transform(
+        spark.createDataFrame([(float(a), float(b)) for a, b in zip(x, y)], "x double, label double"))
+    n = len(x)
+    xc, yc = x - x.mean(), y - y.mean()
+    sxx, sxy = (xc * xc).sum(), (xc * yc).sum()
+    alpha = 50.0
+    ridge = build_estimator("regression", "Ridge", {"alpha": alpha}, n_train=n, label_std=float(np.std(y, ddof=1))).fit(df)
+    assert ridge.coefficients[0] == pytest.approx(sxy / (sxx + alpha), rel=1e-4)
+    lam = 0.3
+    lasso = build_estimator("regression", "Lasso", {"alpha": lam}, n_train=n).fit(df)
+    expected = np.sign(sxy / n) * max(abs(sxy / n) - lam, 0.0) / (sxx / n)
+    assert lasso.coefficients[0] == pytest.approx(expected, rel=1e-3)

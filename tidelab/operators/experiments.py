@@ -134,8 +134,14 @@ def run_artifacts(runs: DataFrame, artifacts: DataFrame) -> DataFrame:
     return artifacts.join(r, "run_id").select(F.col("id").alias("artifact_id"), "run_id", "model_name", "artifact_type", "artifact_key")
 
 
-def compare_runs(runs: DataFrame, metrics: DataFrame, metric_names: list[str], configs: DataFrame | None = None) -> DataFrame:
-    """One row per run, one column per metric (latest value), plus duration and params."""
+def compare_runs(runs: DataFrame, metrics: DataFrame, metric_names: list[str], configs: DataFrame | None = None,
+                 experiment_ids: list[int] | None = None) -> DataFrame:
+    """One row per run, one column per metric (latest value), plus duration and params;
+    ``experiment_ids`` restricts the comparison to some experiments."""
+    if experiment_ids is not None:
+        runs = runs.where(F.col("experiment_id").isin(list(experiment_ids)))
+        ids = runs.select(F.col("id").alias("run_id"))
+        metrics = metrics.join(ids, "run_id", "left_semi")
     m = _dedup_ids(metrics.where(F.col("metric_name").isin(metric_names)))
     pv = m.groupBy("run_id").agg(*[_latest(n).alias(n) for n in metric_names])
     out = runs.select(F.col("id").alias("run_id"), "experiment_id", "model_name", "status", "duration_ms").join(pv, "run_id", "left")
