@@ -171,3 +171,21 @@ def test_ridge_lasso_closed_form(spark):
     lasso = build_estimator("regression", "Lasso", {"alpha": lam}, n_train=n).fit(df)
     expected = np.sign(sxy / n) * max(abs(sxy / n) - lam, 0.0) / (sxx / n)
     assert lasso.coefficients[0] == pytest.approx(expected, rel=1e-3)
+
+
+def test_tabular_features(spark):
+    from tidelab.ml.features import TabularFeatures
+
+    rows = [(1.0, "b", "x", True), (3.0, "a", "y", True), (None, "c", "x", True), (5.0, None, "y", True), (7.0, "z", "x", False)]
+    df = spark.createDataFrame(rows, "v double, c string, y string, t boolean")
+    m = TabularFeatures(featureCols=["v", "c"], labelCol="y", task="classification", trainCol="t").fit(df)
+    out = {i: r for i, r in enumerate(m.transform(df).select("features", "label").collect())}
+    vals = np.array([1.0, 3.0, 3.0, 5.0])  # training rows, null imputed with the mean 3
+    sd = vals.std(ddof=1)
+    # levels desc: c, b, a, __missing__ → index 3 (alphabetically first: "__missing__") is dropped
+    assert m.levels["c"] == ["c", "b", "a", "__missing__"]
+    f0 = out[0]["features"].toArray()
+    assert f0[0] == pytest.approx((1.0 - 3.0) / sd) and list(f0[1:]) == [0.0, 1.0, 0.0]
+    assert list(out[3]["features"].toArray()[1:]) == [0.0, 0.0, 0.0]  # missing → baseline
+    assert list(out[4]["features"].toArray()[1:]) == [0.0, 0.0, 0.0]  # unseen "z" → baseline
+    assert [out[i]["label"] for i in range(5)] == [0.0, 1.0, 0.0, 1.0, 0.0]

@@ -1,8 +1,8 @@
 """Preprocessing pipeline (G17, G18) and estimator construction.
 
-Preprocessing is a ``pyspark.ml.Pipeline`` fitted on the training rows only: numeric features are
-mean-imputed and standardised, categorical ones indexed and one-hot encoded; the label is indexed
-for classification. Estimators map the workbench's (scikit-learn style) hyper-parameters onto Spark
+Preprocessing is a ``pyspark.ml.Pipeline`` whose statistics come from the training rows only:
+numeric features are mean-imputed and standardised, categorical ones indexed and one-hot encoded;
+the label is indexed for classification (see ``ml/features.py``). Estimators map the workbench's (scikit-learn style) hyper-parameters onto Spark
 ML's: an L2 penalty ``alpha·‖w‖²`` over ``n`` rows becomes ``regParam = alpha·σ_y / n`` (Spark
 scales the label internally), ``C`` becomes ``regParam = 1 / (C·n)``.
 """
@@ -21,75 +21,18 @@ from pyspark.ml.classification import (
     OneVsRest,
     RandomForestClassifier,
 )
-from pyspark.ml.feature import (
-    Imputer,
-    OneHotEncoder,
-    PolynomialExpansion,
-    SQLTransformer,
-    StandardScaler,
-    StringIndexer,
-    VectorAssembler,
-)
+from pyspark.ml.feature import PolynomialExpansion
 from pyspark.ml.regression import DecisionTreeRegressor, LinearRegression
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from tidelab.ml.custom import AdaBoostClassifier, LinearSVR, RandomFourierFeatures
+from tidelab.ml.features import TabularFeatures, split_features  # noqa: F401 - re-exported
 from tidelab.ml.registry import merge_params, normalise_kernel
 
-_NUMERIC = (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.FloatType, T.DoubleType, T.DecimalType)
-_TIME = (T.DateType, T.TimestampType, T.TimestampNTZType)
-MISSING = "__missing__"
-
-
-def split_features(df: DataFrame, features: list[str]) -> tuple[list[str], list[str]]:
-    num, cat = [], []
-    for f in features:
-        dt = df.schema[f].dataType
-        (num if isinstance(dt, _NUMERIC + _TIME) else cat).append(f)
-    return num, cat
-
-
-def _q(c: str) -> str:
-    return "`" + c.replace("`", "``") + "`"
-
-
-def build_preprocessing(df: DataFrame, features: list[str], target: str, task: str) -> Pipeline:
-    """Stages producing ``features`` (vector), and ``label`` (double) for regression; for
-    classification ``_label_raw`` is indexed by ``label_indexer``."""
-    num, cat = split_features(df, features)
-    stages = []
-    # Cast numerics/times to double, fill missing categories, keep the label under a fixed name.
-    select = [f"CAST({_q(c)} AS DOUBLE) AS {_q('n__' + c)}" if not isinstance(df.schema[c].dataType, _TIME)
-              else f"CAST(unix_seconds(CAST({_q(c)} AS TIMESTAMP)) AS DOUBLE) AS {_q('n__' + c)}" for c in num]
-    select += [f"COALESCE(CAST({_q(c)} AS STRING), '{MISSING}') AS {_q('c__' + c)}" for c in cat]
-    label_expr = f"CAST({_q(target)} AS DOUBLE)" if task == "regression" else f"CAST({_q(target)} AS STRING)"
-    stages.append(SQLTransformer(statement=f"SELECT *, {', '.join(select + [label_expr + ' AS `_label_raw`'])} FROM __THIS__"))
-    vec_inputs = []
-    if num:
-        imp_out = [f"i__{c}" for c in num]
-        stages.append(Imputer(inputCols=[f"n__{c}" for c in num], outputCols=imp_out, strategy="mean"))
-        stages.append(VectorAssembler(inputCols=imp_out, outputCol="_num_vec", handleInvalid="keep"))
-        stages.append(StandardScaler(inputCol="_num_vec", outputCol="_num_scaled", withMean=True, withStd=True))
-        vec_inputs.append("_num_scaled")
-    if cat:
-        idx = [f"x__{c}" for c in cat]
-        ohe = [f"o__{c}" for c in cat]
-        stages.append(StringIndexer(inputCols=[f"c__{c}" for c in cat], outputCols=idx, stringOrderType="alphabetDesc", handleInvalid="keep"))
-        stages.append(OneHotEncoder(inputCols=idx, outputCols=ohe, dropLast=True, handleInvalid="keep"))
-        vec_inputs += ohe
-    stages.append(VectorAssembler(inputCols=vec_inputs, outputCol="features", handleInvalid="keep"))
-    if task == "regression":
-        stages.append(SQLTransformer(statement="SELECT *, `_label_raw` AS label FROM __THIS__"))
-    return Pipeline(stages=stages)
-
-
-def label_indexer(df: DataFrame, target: str):
-    """Class → index (alphabetical), fitted on every labelled row: the class set is not a training
-    statistic, and a test row whose class is absent from the training side must still be scored."""
-    raw = df.select(F.col(target).cast("string").alias("_label_raw")).where(F.col("_label_raw").isNotNull())
-    return StringIndexer(inputCol="_label_raw", outputCol="label", stringOrderType="alphabetAsc").fit(raw)
+def build_preprocessing(df: DataFrame, features: list[str], target: str, task: str, train_col: str = "") -> Pipeline:
+    """Preprocessing as a Pipeline stage producing ``features`` (vector) and ``label`` (double):
+    one ``TabularFeatures`` estimator (single statistics pass, expression-based transform)."""
+    return Pipeline(stages=[TabularFeatures(featureCols=list(features), labelCol=target, task=task, trainCol=train_col)])
 
 
 def build_estimator(task: str, name: str, params: dict | None = None, n_train: int = 1, label_std: float = 1.0, num_classes: int = 2):

@@ -20,7 +20,7 @@ from pyspark.sql.window import Window
 
 from tidelab.ml.knn import knn_predict
 from tidelab.ml.metrics import class_report, classification_metrics, confusion_long, regression_metrics, roc_auc
-from tidelab.ml.pipeline import build_estimator, build_preprocessing, label_indexer
+from tidelab.ml.pipeline import build_estimator, build_preprocessing
 from tidelab.ml.registry import default_models, merge_params
 from tidelab.sources.catalog import now
 from tidelab.operators.schema import infer_problem_type
@@ -107,23 +107,18 @@ def split_flag(key: F.Column, train_pct: float, seed: int) -> F.Column:
 def prepare_benchmark_data(df: DataFrame, target: str, features: list[str], task: str, train_split: float = 80, random_state: int = 42):
     """Split, fit preprocessing on train, return materialised (train, test, stats).
 
-    The keyed input is persisted while the preprocessing stages fit (each stage is one pass); the
-    transformed frame is written once as Parquet into the shared checkpoint folder, so every model
-    reads the same frozen rows and a lost executor re-reads files instead of refitting anything."""
+    Feature statistics take one pass over the training rows; the transformed frame is written once
+    as Parquet into the shared checkpoint folder, so every model reads the same frozen rows and a
+    lost executor re-reads files instead of refitting anything."""
     labelled = df.where(F.col(target).isNotNull())
     keyed = spread(labelled, rows=labelled.count())
-    keyed = keyed.withColumn("_is_train", split_flag(content_key(keyed, features + [target]), train_split, random_state)).persist()
-    try:
-        pre = build_preprocessing(keyed, features, target, task).fit(keyed.where("_is_train"))
-        transformed = pre.transform(keyed)
-        if task == "classification":
-            transformed = label_indexer(keyed, target).transform(transformed)
-        prepared = materialize(
-            transformed.select("features", "label", "_is_train").withColumn("_rid", F.monotonically_increasing_id()),
-            "benchmark-data",
-        )
-    finally:
-        keyed.unpersist()
+    keyed = keyed.withColumn("_is_train", split_flag(content_key(keyed, features + [target]), train_split, random_state))
+    # One statistics pass (training rows; label classes over all rows), then one transform pass.
+    pre = build_preprocessing(keyed, features, target, task, train_col="_is_train").fit(keyed)
+    prepared = materialize(
+        pre.transform(keyed).select("features", "label", "_is_train").withColumn("_rid", F.monotonically_increasing_id()),
+        "benchmark-data",
+    )
     stats = prepared.agg(
         F.count_if("_is_train").alias("n_train"), F.count_if(~F.col("_is_train")).alias("n_test"),
         F.stddev_samp(F.when(F.col("_is_train"), F.col("label"))).alias("std"),
@@ -210,12 +205,9 @@ def cross_validate(df: DataFrame, target: str, model: str, task: str | None = No
     keyed = materialize(base.withColumn("_fold", F.pmod(F.xxhash64(F.lit(int(seed)), content_key(base, features + [target])), F.lit(folds))), "cv-folds")
     rows = []
     for k in range(folds):
-        tr, te = keyed.where(F.col("_fold") != k), keyed.where(F.col("_fold") == k)
-        pre = build_preprocessing(tr, features, target, task).fit(tr)
-        ptr, pte = pre.transform(tr), pre.transform(te)
-        if task == "classification":
-            li = label_indexer(keyed, target)
-            ptr, pte = li.transform(ptr), li.transform(pte)
+        fold = keyed.withColumn("_is_train", F.col("_fold") != k)
+        pre = build_preprocessing(fold, features, target, task, train_col="_is_train").fit(fold)
+        ptr, pte = pre.transform(fold.where("_is_train")), pre.transform(fold.where(~F.col("_is_train")))
         ptr = ptr.select("features", "label").withColumn("_rid", F.monotonically_increasing_id())
         pte = pte.select("features", "label").withColumn("_rid", F.monotonically_increasing_id() + F.lit(1 << 40))
         st = ptr.agg(F.count(F.lit(1)).alias("n_train"), F.stddev_samp("label").alias("std"), F.max("label").alias("max_label")).collect()[0]
