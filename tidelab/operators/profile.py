@@ -116,6 +116,46 @@ def profile_columns(
     )
 
 
+def text_profile(df: DataFrame, target: str | None = None) -> DataFrame:
+    """Type inference and profile of raw text columns in one scan:
+    ``(ordinal, column_name, data_type, spark_type, is_target, has_nulls, null_count, unique_count)``.
+
+    Cells are unpivoted to ``(column, trimmed value)`` and counted per pair (map-side combined);
+    the integer/real patterns are then tested once per *distinct* value rather than once per cell —
+    a column is INTEGER iff all its distinct non-blank values are integer-like.
+    """
+    from tidelab.functions.text import INT_PATTERN, REAL_PATTERN
+    from tidelab.operators.schema import MAX_BIGINT_DIGITS
+
+    cols = df.columns
+    pairs = F.array(*[F.struct(F.lit(i).alias("ordinal"), _text_value(df, c).alias("value")) for i, c in enumerate(cols)])
+    per_pair = spread(df).select(F.inline(pairs)).groupBy("ordinal", "value").agg(F.count(F.lit(1)).alias("n"))
+    v = F.col("value")
+    is_int = v.rlike(INT_PATTERN)
+    per_col = per_pair.groupBy("ordinal").agg(
+        F.count(v).alias("unique_count"),
+        F.coalesce(F.sum(F.when(v.isNull(), F.col("n"))), F.lit(0)).alias("null_count"),
+        F.count_if(is_int).alias("_int"),
+        F.count_if(v.rlike(REAL_PATTERN)).alias("_real"),
+        F.count_if(is_int & (F.length(F.regexp_replace(v, "^-", "")) > MAX_BIGINT_DIGITS)).alias("_wide"),
+    )
+    u = F.col("unique_count")
+    dtype = (F.when(u == 0, F.lit(TEXT)).when(F.col("_int") == u, F.lit(INTEGER))
+             .when(F.col("_real") == u, F.lit(REAL)).otherwise(F.lit(TEXT)))
+    spark_type = (F.when(dtype == INTEGER, F.when(F.col("_wide") > 0, F.lit("decimal(38,0)")).otherwise(F.lit("bigint")))
+                  .when(dtype == REAL, F.lit("double")).otherwise(F.lit("string")))
+    names = df.sparkSession.createDataFrame([(i, c) for i, c in enumerate(cols)], "ordinal int, column_name string")
+    # One row per column on each side: the name table is broadcast.
+    j = per_col.join(F.broadcast(names), "ordinal", "right")
+    return j.select(
+        "ordinal", "column_name", dtype.alias("data_type"), spark_type.alias("spark_type"),
+        (F.col("column_name") == F.lit(target or "")).cast("int").alias("is_target"),
+        (F.coalesce("null_count", F.lit(0)) > 0).cast("int").alias("has_nulls"),
+        F.coalesce("null_count", F.lit(0)).cast("long").alias("null_count"),
+        F.coalesce("unique_count", F.lit(0)).cast("long").alias("unique_count"),
+    )
+
+
 def table_shape(df: DataFrame) -> DataFrame:
     """``(row_count, column_count)``."""
     return df.agg(F.count(F.lit(1)).alias("row_count")).select("row_count", F.lit(len(df.columns)).cast("long").alias("column_count"))

@@ -3,8 +3,9 @@
 The header is read on its own (one record) and cleaned on the driver; the body is read by Spark's
 CSV reader with an explicit all-string schema (no ``inferSchema``: its rules differ — it accepts
 ``1e5``, booleans, timestamps), staged once as Parquet in the shared scratch folder, then typed
-and profiled from the staged copy. The raw file is therefore parsed exactly once, and the staged
-copy cuts the lineage so a lost executor never re-parses the CSV.
+and profiled from the staged copy in one scan (``text_profile``) and written typed in a second.
+The raw file is therefore parsed exactly once, and the staged copy cuts the lineage so a lost
+executor never re-parses the CSV.
 
 ``multiline=True`` (default) handles quoted newlines but makes each file a single split; use
 ``multiline=False`` for large clean files so Spark can split them. Files with uniform LF, CRLF or
@@ -21,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidelab.functions.naming import header_names
-from tidelab.operators.profile import PREVIEW_ROWS, distinct_counts, null_counts, profile_columns
+from tidelab.operators.profile import PREVIEW_ROWS, profile_columns, text_profile
 from tidelab.operators.schema import coerce, drop_blank_rows, infer_types, resolve_target
 from tidelab.session import scratch_dir
 
@@ -100,13 +101,22 @@ def ingest_csv(
     if staged.limit(1).count() == 0:
         raise IngestError("CSV needs a header and at least one data row")
 
-    inferred = infer_types(staged).collect()  # one row per column: metadata only
-    spark_types = {r["column_name"]: r["spark_type"] for r in inferred}
-    type_names = {r["column_name"]: r["data_type"] for r in inferred}
     tgt = resolve_target(staged.columns, target)
-
-    # Distinct and null counts are taken on the text (so "1", "01" and "1.0" are three values).
-    columns = profile_columns(staged, tgt, approx=approx_distinct, types=type_names)
+    # Types, distinct and null counts in one scan of the text (so "1", "01" and "1.0" are three
+    # values); one row per column comes back — metadata only.
+    if approx_distinct:
+        inferred = infer_types(staged).collect()
+        type_names = {r["column_name"]: r["data_type"] for r in inferred}
+        spark_types = {r["column_name"]: r["spark_type"] for r in inferred}
+        columns = profile_columns(staged, tgt, approx=True, types=type_names)
+    else:
+        meta = text_profile(staged, tgt).collect()
+        type_names = {r["column_name"]: r["data_type"] for r in meta}
+        spark_types = {r["column_name"]: r["spark_type"] for r in meta}
+        columns = spark.createDataFrame(
+            [(r["ordinal"], r["column_name"], r["data_type"], r["is_target"], r["has_nulls"], r["null_count"], r["unique_count"]) for r in meta],
+            "ordinal int, column_name string, data_type string, is_target int, has_nulls int, null_count long, unique_count long",
+        )
     typed = coerce(staged, spark_types)
     if problem_type is None:
         row = columns.where(F.col("is_target") == 1).select("data_type", "unique_count").collect()

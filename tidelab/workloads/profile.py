@@ -139,3 +139,20 @@ def schema_evolution_q(spark, sf_dir):
     """Older rows read against a newer schema: missing columns appear as typed nulls."""
     old = read_table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_totalprice")
     return ensure_columns(old, "o_orderkey long, o_custkey long, o_totalprice double, o_comment string, o_shippriority int")
+
+
+from tidelab.operators.profile import text_profile  # noqa: E402
+from tidelab.workloads.schema import _infer_sql  # noqa: E402
+
+
+@register(
+    "text_profile",
+    f"""
+WITH p AS ({_profile_sql(customer_text_sql(), [(c, "TEXT", True) for c in CUSTOMER_TEXT], "segment")}),
+i AS ({_infer_sql()})
+SELECT p.ordinal, p.column_name, i.data_type, i.spark_type, p.is_target, p.has_nulls, p.null_count, p.unique_count
+FROM p JOIN i ON p.column_name = i.column_name""",
+)
+def text_profile_q(spark, sf_dir):
+    """Type inference and profile of raw text in one scan (what CSV ingest uses)."""
+    return text_profile(customer_text(spark, sf_dir), target="segment")
