@@ -189,3 +189,13 @@ def test_tabular_features(spark):
     assert list(out[3]["features"].toArray()[1:]) == [0.0, 0.0, 0.0]  # missing → baseline
     assert list(out[4]["features"].toArray()[1:]) == [0.0, 0.0, 0.0]  # unseen "z" → baseline
     assert [out[i]["label"] for i in range(5)] == [0.0, 1.0, 0.0, 1.0, 0.0]
+
+
+def test_tabular_features_hashes_wide_columns(spark):
+    from tidelab.ml.features import TabularFeatures
+
+    df = spark.range(0, 300).selectExpr("cast(id as string) as key", "cast(id % 3 as string) as small", "id % 2 as y")
+    m = TabularFeatures(featureCols=["key", "small"], labelCol="y", task="classification", maxLevels=50, hashFeatures=64).fit(df)
+    assert m.cat == ["small"] and m.hashed == ["key"]
+    r = m.transform(df).select("features").first()["features"]
+    assert r.size == 2 + 64  # one-hot of 3 levels minus the dropped one, plus hashed slots
