@@ -29,3 +29,12 @@ def test_entry_flagship(spark):
     rows = df.collect()
     assert df.columns == ["region", "total_revenue"]
     assert len(rows) == 5 and rows[0]["total_revenue"] >= rows[-1]["total_revenue"]
+
+
+def test_sql_workloads_leave_caller_views_alone(spark):
+    import __spark_entry__ as e
+
+    spark.range(3).createOrReplaceTempView("lineitem")
+    e.queries()["sql_rollup"](spark, "/root/testdata/sf0.001").collect()
+    assert spark.table("lineitem").count() == 3
+    spark.catalog.dropTempView("lineitem")

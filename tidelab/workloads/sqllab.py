@@ -69,16 +69,26 @@ SELECT o_custkey, COUNT(*) AS n_orders FROM orders GROUP BY o_custkey HAVING COU
 }
 
 
-_REGISTERED: dict[int, str] = {}
+_LABS: dict[tuple[int, str], SqlLab] = {}
+# Session settings carried over to the lab's own session.
+_CARRY = ("spark.sql.shuffle.partitions", "spark.sql.session.timeZone", "spark.sql.ansi.enabled",
+          "spark.sql.adaptive.enabled", "spark.sql.autoBroadcastJoinThreshold")
 
 
 def _lab(spark, sf_dir) -> SqlLab:
-    """Lab over the supplied tables; views are (re)registered only when the folder changes."""
-    lab = SqlLab(spark)
-    key = id(spark._jsparkSession) if hasattr(spark, "_jsparkSession") else id(spark)
-    if _REGISTERED.get(key) != sf_dir or not all(spark.catalog.tableExists(t) for t in TABLES[:1]):
+    """Lab over the supplied tables in a child session (same SparkContext, own temp views), so the
+    caller's views are never replaced; one child per folder, views registered once."""
+    key = (id(spark), sf_dir)
+    lab = _LABS.get(key)
+    if lab is None:
+        child = spark.newSession()
+        for k in _CARRY:
+            v = spark.conf.get(k, None)
+            if v is not None:
+                child.conf.set(k, v)
+        lab = SqlLab(child)
         lab.register_tables(sf_dir, TABLES)
-        _REGISTERED[key] = sf_dir
+        _LABS[key] = lab
     return lab
 
 
