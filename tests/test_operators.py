@@ -120,3 +120,10 @@ def test_describe_and_experiment_helpers(spark):
     one = spark.createDataFrame([(1,)], "id long")
     ws = {r["name"]: r["value"] for r in workspace_summary(one, one, one, metrics).collect()}
     assert ws == {"datasets": 1.0, "saved_queries": 1.0, "experiments": 1.0, "best_accuracy": 0.9}
+
+
+def test_auto_chart(spark):
+    from tidelab.operators.charts import auto_chart
+
+    p, data = auto_chart(spark.createDataFrame([("x", 1.0), ("y", 2.0), ("x", 3.0)], "c string, v double"))
+    assert p.chart_type == "bar" and {r.label: r.value for r in data.collect()} == {"x": 4.0, "y": 2.0}

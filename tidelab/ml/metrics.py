@@ -106,13 +106,19 @@ def class_report(pred: DataFrame, label: str = "label", prediction: str = "predi
     return j.select("class", rnd(p).alias("precision"), rnd(r).alias("recall"), rnd(f).alias("f1"), F.col("support").cast("long"), *extra)
 
 
+MAX_PIVOT_CLASSES = 1000
+
+
 def confusion_matrix(pred: DataFrame, label: str = "label", prediction: str = "prediction", classes: list | None = None) -> DataFrame:
     """``label`` × predicted class counts, one column ``pred_<c>`` per class. An explicit class
-    list saves the extra distinct job the pivot would otherwise run."""
+    list saves the extra distinct job the pivot would otherwise run; without one, at most
+    ``MAX_PIVOT_CLASSES`` classes are fetched (``confusion_long`` is the unbounded form)."""
     if classes is None:
-        classes = sorted(
-            r[0] for r in pred.select(F.col(label).alias("c")).union(pred.select(F.col(prediction).cast(pred.schema[label].dataType))).distinct().collect()
-        )
+        found = (pred.select(F.col(label).alias("c")).union(pred.select(F.col(prediction).cast(pred.schema[label].dataType)))
+                 .distinct().limit(MAX_PIVOT_CLASSES + 1).collect())
+        if len(found) > MAX_PIVOT_CLASSES:
+            raise ValueError(f"more than {MAX_PIVOT_CLASSES} classes: use confusion_long")
+        classes = sorted(r[0] for r in found)
     pv = pred.groupBy(F.col(label).alias("label")).pivot(prediction, classes).agg(F.count(F.lit(1)))
     return pv.select("label", *[F.coalesce(F.col(f"`{c}`"), F.lit(0)).cast("long").alias(f"pred_{c}") for c in classes])
 

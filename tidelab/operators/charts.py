@@ -154,6 +154,12 @@ def suggest_chart(df: DataFrame) -> ChartPreset:
     return ChartPreset("bar", cols[0] if cols else "", numeric[0] if numeric else "", "count", 12)
 
 
+def auto_chart(df: DataFrame) -> tuple[ChartPreset, DataFrame]:
+    """The suggested preset and its chart data."""
+    p = suggest_chart(df)
+    return p, chart_data(df, p.chart_type, p.x, p.y or None, p.aggregation, p.limit)
+
+
 def chart_query_name(chart_type: str, x: str, y: str | None) -> str:
     """History name used when chart queries are logged."""
     return f"DataViz {chart_type} - {x} / {y or 'count'}"
