@@ -112,13 +112,22 @@ def prepare_benchmark_data(df: DataFrame, target: str, features: list[str], task
     lost executor re-reads files instead of refitting anything."""
     labelled = df.where(F.col(target).isNotNull())
     keyed = spread(labelled, rows=labelled.count())
+    # A spread (small, re-shuffled) input is kept in memory for the passes below; a large input is
+    # already parallel and is simply re-read, never cached whole.
+    cached = keyed is not labelled
     keyed = keyed.withColumn("_is_train", split_flag(content_key(keyed, features + [target]), train_split, random_state))
-    # One statistics pass (training rows; label classes over all rows), then one transform pass.
-    pre = build_preprocessing(keyed, features, target, task, train_col="_is_train").fit(keyed)
-    prepared = materialize(
-        pre.transform(keyed).select("features", "label", "_is_train").withColumn("_rid", F.monotonically_increasing_id()),
-        "benchmark-data",
-    )
+    if cached:
+        keyed = keyed.persist()
+    try:
+        # One statistics pass (training rows; label classes over all rows), then one transform pass.
+        pre = build_preprocessing(keyed, features, target, task, train_col="_is_train").fit(keyed)
+        prepared = materialize(
+            pre.transform(keyed).select("features", "label", "_is_train").withColumn("_rid", F.monotonically_increasing_id()),
+            "benchmark-data",
+        )
+    finally:
+        if cached:
+            keyed.unpersist()
     stats = prepared.agg(
         F.count_if("_is_train").alias("n_train"), F.count_if(~F.col("_is_train")).alias("n_test"),
         F.stddev_samp(F.when(F.col("_is_train"), F.col("label"))).alias("std"),
