@@ -199,3 +199,20 @@ def test_tabular_features_hashes_wide_columns(spark):
     assert m.cat == ["small"] and m.hashed == ["key"]
     r = m.transform(df).select("features").first()["features"]
     assert r.size == 2 + 64  # one-hot of 3 levels minus the dropped one, plus hashed slots
+
+
+def test_leaderboard_is_a_permutation(spark):
+    import __spark_entry__ as e
+
+    lb = e.queries()["leaderboard"](spark, SF001)
+    runs = spark.read.parquet(f"{SF001}/orders.parquet")
+    assert lb.count() == runs.count()
+    per = lb.groupBy("experiment_id").agg(F.count(F.lit(1)).alias("n"), F.min("rank").alias("lo"), F.max("rank").alias("hi"),
+                                          F.countDistinct("rank").alias("d"))
+    assert per.where("lo != 1 OR hi != n OR d != n").count() == 0
+    # usable runs come first inside each experiment
+    from pyspark.sql.window import Window
+
+    w = Window.partitionBy("experiment_id").orderBy("rank")
+    bad = lb.withColumn("prev_ok", F.lag("ok").over(w)).where("prev_ok = 0 AND ok = 1").count()
+    assert bad == 0
