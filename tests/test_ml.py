@@ -216,3 +216,12 @@ def test_leaderboard_is_a_permutation(spark):
     w = Window.partitionBy("experiment_id").orderBy("rank")
     bad = lb.withColumn("prev_ok", F.lag("ok").over(w)).where("prev_ok = 0 AND ok = 1").count()
     assert bad == 0
+
+
+def test_benchmark_stratified(spark):
+    df = _signal_frame(spark).drop("yr")
+    res = benchmark(df, "y", "classification", models=["Naive Bayes"], stratify=True)
+    n1 = df.where("y = 1").count()
+    n0 = df.count() - n1
+    assert res.train_rows == (n1 * 80) // 100 + (n0 * 80) // 100
+    assert res.runs[0].status == "completed"

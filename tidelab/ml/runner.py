@@ -21,6 +21,7 @@ from pyspark.sql.window import Window
 from tidelab.ml.knn import knn_predict
 from tidelab.ml.metrics import class_report, classification_metrics, confusion_long, regression_metrics, roc_auc
 from tidelab.ml.pipeline import build_estimator, build_preprocessing
+from tidelab.ml.split import stratified_split
 from tidelab.ml.registry import default_models, merge_params
 from tidelab.sources.catalog import now
 from tidelab.operators.schema import infer_problem_type
@@ -104,7 +105,8 @@ def split_flag(key: F.Column, train_pct: float, seed: int) -> F.Column:
     return F.pmod(F.xxhash64(F.lit(int(seed)), key), F.lit(10000)) < F.lit(slots)
 
 
-def prepare_benchmark_data(df: DataFrame, target: str, features: list[str], task: str, train_split: float = 80, random_state: int = 42):
+def prepare_benchmark_data(df: DataFrame, target: str, features: list[str], task: str, train_split: float = 80,
+                           random_state: int = 42, stratify: bool = False):
     """Split, fit preprocessing on train, return materialised (train, test, stats).
 
     Feature statistics take one pass over the training rows; the transformed frame is written once
@@ -115,7 +117,13 @@ def prepare_benchmark_data(df: DataFrame, target: str, features: list[str], task
     # A spread (small, re-shuffled) input is kept in memory for the passes below; a large input is
     # already parallel and is simply re-read, never cached whole.
     cached = keyed is not labelled
-    keyed = keyed.withColumn("_is_train", split_flag(content_key(keyed, features + [target]), train_split, random_state))
+    if stratify and task == "classification":
+        # Exact per-class shares (skew-safe ranking; its result is already materialised).
+        keyed = stratified_split(keyed.withColumn("_key", content_key(keyed, features + [target])), target, "_key",
+                                 train_split, random_state).withColumnRenamed("is_train", "_is_train").drop("_key")
+        cached = False
+    else:
+        keyed = keyed.withColumn("_is_train", split_flag(content_key(keyed, features + [target]), train_split, random_state))
     if cached:
         keyed = keyed.persist()
     try:
@@ -169,11 +177,13 @@ def benchmark(
     features: list[str] | None = None,
     train_split: float = 80,
     random_state: int = 42,
+    stratify: bool = False,
 ) -> BenchmarkResult:
-    """Fit and score every model of the task (or the given list) on one shared split."""
+    """Fit and score every model of the task (or the given list) on one shared split
+    (``stratify=True``: exact per-class train shares for classification)."""
     task = task or infer_problem_type(df, target)
     features = features or [c for c in df.columns if c != target]
-    train, test, stats = prepare_benchmark_data(df, target, features, task, train_split, random_state)
+    train, test, stats = prepare_benchmark_data(df, target, features, task, train_split, random_state, stratify)
     runs = [run_model(m, task, (params_by_model or {}).get(m), train, test, stats) for m in (models or default_models(task))]
     return BenchmarkResult(task, target, features, train_split, random_state, int(stats["n_train"]), int(stats["n_test"]), runs)
 
