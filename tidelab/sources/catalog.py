@@ -199,7 +199,7 @@ class Catalog:
         new_id = self.register_dataset(
             out, f"{meta['name']} · {version}", source_type="prepared", description=meta.get("description"),
             target_column=plan.target_output, parent_dataset_id=dataset_id, version_name=version, prep_config=cfg,
-            columns_meta=profile_columns(out, plan.target_output).drop("ordinal").withColumn("ordinal", F.lit(0)),
+            columns_meta=profile_columns(out, plan.target_output),
             table=f"prepared_{dataset_id}_{int(now().timestamp() * 1000)}",
         )
         new_meta = self.dataset(new_id)
