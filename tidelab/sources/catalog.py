@@ -236,9 +236,10 @@ def list_datasets(datasets: DataFrame, columns: DataFrame) -> DataFrame:
     The target is the flagged column, else the dataset's ``target_column``. TEXT target →
     classification; numeric with ≤ 2 distinct values → classification; otherwise regression.
     """
-    flagged = columns.where(F.col("is_target") == 1).groupBy("dataset_id").agg(
-        F.max_by(F.struct("column_name", "data_type", "unique_count"), F.col("id")).alias("t")
-    )
+    target_rows = columns.where(F.col("is_target") == 1)
+    last = target_rows.groupBy("dataset_id").agg(F.max("id").alias("id"))  # hash aggregate, no sort
+    flagged = target_rows.join(last, ["dataset_id", "id"], "left_semi").select(
+        "dataset_id", F.struct("column_name", "data_type", "unique_count").alias("t"))
     by_name = columns.select(
         F.col("dataset_id").alias("n_dataset_id"), F.col("column_name").alias("n_column_name"),
         F.col("data_type").alias("n_data_type"), F.col("unique_count").alias("n_unique_count"),
