@@ -225,3 +225,21 @@ def test_benchmark_stratified(spark):
     n0 = df.count() - n1
     assert res.train_rows == (n1 * 80) // 100 + (n0 * 80) // 100
     assert res.runs[0].status == "completed"
+
+
+def test_adaboost_stumps(spark):
+    from pyspark.ml.feature import VectorAssembler
+
+    from tidelab.ml.custom import AdaBoostClassifier
+
+    rng = np.random.default_rng(3)
+    X = rng.uniform(-1, 1, size=(800, 2))
+    y = ((X[:, 0] + X[:, 1]) > 0.1).astype(int)  # a diagonal boundary: many stumps needed
+    df = VectorAssembler(inputCols=["a", "b"], outputCol="features").transform(
+        spark.createDataFrame([(float(a), float(b), int(c)) for (a, b), c in zip(X, y)], "a double, b double, label int"))
+    m1 = AdaBoostClassifier(numRounds=1).fit(df)
+    m = AdaBoostClassifier(numRounds=40).fit(df)
+    acc1 = m1.transform(df).where("prediction = label").count() / 800
+    acc = m.transform(df).where("prediction = label").count() / 800
+    assert len(m1.stumps) == 1 and acc1 < 0.8
+    assert acc > 0.9 and len(m.stumps) > 3

@@ -6,8 +6,8 @@ into ``Pipeline``:
 * ``LinearSVR`` — ε-insensitive linear support-vector regression, full-batch sub-gradient descent;
   each iteration is one distributed pass (per-partition numpy partial gradients combined by the
   ``Summarizer`` aggregate, i.e. a tree aggregate), the model vector is broadcast with the closure.
-* ``AdaBoostClassifier`` — SAMME over weighted depth-1 trees; sample weights live in a column,
-  updated by a column expression each round, with lineage cut by checkpoints.
+* ``AdaBoostClassifier`` — SAMME over decision stumps, one distributed histogram pass per round;
+  sample weights are recomputed from the stumps so far, so the lineage never grows.
 """
 
 from __future__ import annotations
@@ -18,7 +18,6 @@ import numpy as np
 import pandas as pd
 from pyspark import keyword_only
 from pyspark.ml import Estimator, Model
-from pyspark.ml.classification import DecisionTreeClassifier
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.param import Param, Params, TypeConverters
 from pyspark.ml.param.shared import HasFeaturesCol, HasLabelCol, HasPredictionCol, HasSeed
@@ -27,7 +26,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidelab.session import ensure_checkpoint_dir
 
 
 class _Setters:
@@ -193,78 +191,110 @@ class _AdaParams(_Setters, HasFeaturesCol, HasLabelCol, HasPredictionCol, HasSee
     numRounds = Param(Params._dummy(), "numRounds", "boosting rounds", TypeConverters.toInt)
     learningRate = Param(Params._dummy(), "learningRate", "shrinkage", TypeConverters.toFloat)
     numClasses = Param(Params._dummy(), "numClasses", "number of classes (0: infer)", TypeConverters.toInt)
-    checkpointEvery = Param(Params._dummy(), "checkpointEvery", "rounds between checkpoints", TypeConverters.toInt)
+    maxBins = Param(Params._dummy(), "maxBins", "candidate thresholds per feature", TypeConverters.toInt)
 
 
 class AdaBoostClassifier(Estimator, _AdaParams):
-    """SAMME: each round fits a weighted stump, weights of misclassified rows grow by exp(α)."""
+    """SAMME boosting of decision stumps, one distributed pass per round.
+
+    Candidate thresholds are per-feature approximate quantiles (one ``percentile_approx`` pass).
+    In round m every partition recomputes each row's weight from the m−1 stumps so far
+    (``exp(Σ α·[h(x) ≠ y])`` — no weight column is stored, so the lineage never grows) and
+    accumulates weighted class histograms per (feature, bin) with numpy; the histograms are summed
+    by the ``Summarizer`` aggregate (d × bins × classes numbers), and the driver picks the split
+    with the lowest weighted error, which is also the round's error.
+    """
 
     @keyword_only
     def __init__(self, featuresCol="features", labelCol="label", predictionCol="prediction", numRounds=50,
-                 learningRate=1.0, numClasses=0, checkpointEvery=10, seed=42):
+                 learningRate=1.0, numClasses=0, maxBins=32, seed=42):
         super().__init__()
         self._setDefault(featuresCol="features", labelCol="label", predictionCol="prediction", numRounds=50,
-                         learningRate=1.0, numClasses=0, checkpointEvery=10, seed=42)
+                         learningRate=1.0, numClasses=0, maxBins=32, seed=42)
         self._set(**self._input_kwargs)
 
     def _fit(self, dataset: DataFrame) -> "AdaBoostModel":
-        ensure_checkpoint_dir(dataset.sparkSession)
         fc, lc = self.getFeaturesCol(), self.getLabelCol()
-        k = self.getOrDefault(self.numClasses) or int(dataset.agg(F.max(lc)).collect()[0][0]) + 1
+        data = dataset.select(vector_to_array(F.col(fc)).alias("x"), F.col(lc).cast("double").alias("y"))
+        first = data.limit(1).collect()
+        d = len(first[0]["x"]) if first else 0
+        k = self.getOrDefault(self.numClasses) or int(data.agg(F.max("y")).collect()[0][0] or 0) + 1
         k = max(k, 2)
+        bins = self.getOrDefault(self.maxBins)
+        probs = [i / bins for i in range(1, bins)]
+        q = data.select(F.posexplode("x").alias("j", "v")).groupBy("j").agg(
+            F.percentile_approx("v", probs, 1000).alias("t")).collect()  # d rows of ≤ bins-1 thresholds
+        thresholds = [np.array([])] * d
+        for r in q:
+            thresholds[r["j"]] = np.unique(np.array(r["t"], dtype=float))
+        width = max((len(t) for t in thresholds), default=0) + 1
         lr = self.getOrDefault(self.learningRate)
-        data = dataset.select(F.col(fc).alias("features"), F.col(lc).cast("double").alias("label"))
-        n = data.count()
-        cur = data.withColumn("w", F.lit(1.0 / max(n, 1))).persist()
-        stumps, alphas = [], []
-        cached = [cur]
-        for m in range(self.getOrDefault(self.numRounds)):
-            stump = DecisionTreeClassifier(maxDepth=1, weightCol="w", labelCol="label", featuresCol="features",
-                                           predictionCol="_p", rawPredictionCol="_raw", probabilityCol="_prob",
-                                           seed=self.getOrDefault(self.seed)).fit(cur)
-            pred = stump.transform(cur).withColumn("_miss", (F.col("_p") != F.col("label")).cast("double"))
-            agg = pred.agg(F.sum(F.col("w") * F.col("_miss")).alias("e"), F.sum("w").alias("t")).collect()[0]
-            err = (agg["e"] or 0.0) / (agg["t"] or 1.0)
-            if err >= 1.0 - 1.0 / k:
+        stumps: list = []
+        for _ in range(self.getOrDefault(self.numRounds)):
+            current = list(stumps)
+            shift = sum(a for *_, a in current)  # max possible Σα: weights land in (0, 1], same scale everywhere
+
+            def hist(batches, current=current, shift=shift):
+                H = np.zeros((d, width, k))
+                for pdf in batches:
+                    if not len(pdf):
+                        continue
+                    X = np.stack(pdf["x"].to_numpy())
+                    y = pdf["y"].to_numpy().astype(int)
+                    miss = np.zeros(len(X))
+                    for j, t, left, right, alpha in current:
+                        miss += alpha * (np.where(X[:, j] <= t, left, right) != y)
+                    w = np.exp(miss - shift)
+                    for j in range(d):
+                        b = np.searchsorted(thresholds[j], X[:, j], side="left")
+                        np.add.at(H[j], (b, y), w)
+                yield pd.DataFrame({"g": [H.ravel().tolist()]})
+
+            H = self._histograms(data, hist, current, d, width, k)
+            total = H.sum(axis=(1, 2))[0] if d else 0.0
+            if total <= 0:
+                break
+            best = None
+            for j in range(d):
+                left = np.cumsum(H[j], axis=0)[:-1]  # split after bin s: bins ≤ s go left
+                right = H[j].sum(axis=0)[None, :] - left
+                err = total - left.max(axis=1) - right.max(axis=1)
+                s = int(np.argmin(err))
+                if len(thresholds[j]) and (best is None or err[s] < best[0]):
+                    best = (float(err[s]), j, float(thresholds[j][s]), int(left[s].argmax()), int(right[s].argmax()))
+            if best is None:
                 break
-            alpha = lr * (math.log((1.0 - err) / max(err, 1e-12)) + math.log(k - 1))
-            stumps.append(stump)
-            alphas.append(alpha)
-            if err <= 0:
+            e = best[0] / total
+            if e >= 1.0 - 1.0 / k:
                 break
-            cur = pred.select("features", "label", (F.col("w") * F.exp(F.lit(alpha) * F.col("_miss"))).alias("w"))
-            if (m + 1) % self.getOrDefault(self.checkpointEvery) == 0:
-                cur = cur.checkpoint(eager=True)  # reliable checkpoint: bounded lineage
-            cur = cur.persist()
-            cached.append(cur)
-            if len(cached) > 2:
-                cached.pop(0).unpersist()
-        for c in cached:
-            c.unpersist()
-        model = AdaBoostModel(stumps, alphas, k)
+            alpha = lr * (math.log((1.0 - e) / max(e, 1e-12)) + math.log(k - 1))
+            stumps.append((best[1], best[2], best[3], best[4], alpha))
+            if e <= 0:
+                break
+        model = AdaBoostModel(stumps, k)
         model._set(featuresCol=fc, predictionCol=self.getPredictionCol())
         return model
 
+    @staticmethod
+    def _histograms(data: DataFrame, fn, current, d: int, width: int, k: int) -> np.ndarray:
+        rows = data.mapInPandas(fn, "g array<double>").select(array_to_vector("g").alias("g"))
+        out = rows.agg(Summarizer.sum(F.col("g")).alias("s")).collect()[0]["s"]
+        return np.zeros((d, width, k)) if out is None else out.toArray().reshape(d, width, k)
+
 
 class AdaBoostModel(Model, _AdaParams):
-    def __init__(self, stumps=None, alphas=None, k=2):
+    def __init__(self, stumps=None, k=2):
         super().__init__()
-        self.stumps, self.alphas, self.k = stumps or [], alphas or [], k
+        self.stumps, self.k = stumps or [], k
 
     def _transform(self, dataset: DataFrame) -> DataFrame:
-        out = dataset
+        x = vector_to_array(F.col(self.getFeaturesCol()))
         votes = [F.lit(0.0)] * self.k
-        for i, (stump, alpha) in enumerate(zip(self.stumps, self.alphas)):
-            col = f"_ada_{i}"
-            stump = stump.copy()
-            stump.setPredictionCol(col).setRawPredictionCol(f"_ada_raw_{i}").setProbabilityCol(f"_ada_prob_{i}")
-            stump.setFeaturesCol(self.getFeaturesCol())
-            out = stump.transform(out).drop(f"_ada_raw_{i}", f"_ada_prob_{i}")
-            votes = [v + F.when(F.col(col) == c, F.lit(alpha)).otherwise(F.lit(0.0)) for c, v in enumerate(votes)]
-        best = F.lit(0.0)
-        best_v = votes[0]
+        for j, t, left, right, alpha in self.stumps:
+            cls = F.when(x[j] <= F.lit(t), F.lit(left)).otherwise(F.lit(right))
+            votes = [v + F.when(cls == c, F.lit(alpha)).otherwise(F.lit(0.0)) for c, v in enumerate(votes)]
+        best, best_v = F.lit(0.0), votes[0]
         for c in range(1, self.k):
             best = F.when(votes[c] > best_v, F.lit(float(c))).otherwise(best)
             best_v = F.greatest(best_v, votes[c])
-        tmp = [f"_ada_{i}" for i in range(len(self.stumps))]
-        return out.withColumn(self.getPredictionCol(), best).drop(*tmp)
+        return dataset.withColumn(self.getPredictionCol(), best)
