@@ -228,3 +228,18 @@ SELECT * FROM lb WHERE score IS NOT NULL"""),
 def ranked_scores_q(spark, sf_dir):
     lg = _logs(spark, sf_dir)
     return ranked_scores(lg["runs"], lg["metrics"])
+
+
+from tidelab.operators.experiments import metrics_map  # noqa: E402
+
+
+@register(
+    "metrics_map",
+    _with("""x AS (SELECT 1)
+SELECT run_id, metric_name, max_by(metric_value, {'i': id, 'v': metric_value}) AS metric_value
+FROM metrics GROUP BY run_id, metric_name"""),
+)
+def metrics_map_q(spark, sf_dir):
+    """One metric map per run (latest value per name), flattened for comparison."""
+    m = metrics_map(_logs(spark, sf_dir)["metrics"])
+    return m.select("run_id", F.explode("metrics").alias("metric_name", "metric_value"))
