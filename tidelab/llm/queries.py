@@ -39,3 +39,24 @@ def op7_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tidelab.llm.records import token_records
 
     return token_records(spark, read_table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"))
+
+
+@query("op6_simhash")
+def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidelab.llm.simhash import simhash_groups
+
+    return simhash_groups(read_table(spark, sf_dir, "documents"), words=3, radius=3)
+
+
+@query("op2_sharding")
+def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidelab.llm.sharding import shard_documents
+
+    return shard_documents(read_table(spark, sf_dir, "documents"), shards=8)
+
+
+@query("op3_secrets")
+def op3_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidelab.llm.secrets import digest, find_secrets
+
+    return digest(find_secrets(read_table(spark, sf_dir, "documents")))
