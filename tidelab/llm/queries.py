@@ -60,3 +60,10 @@ def op3_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tidelab.llm.secrets import digest, find_secrets
 
     return digest(find_secrets(read_table(spark, sf_dir, "documents")))
+
+
+@query("op5_licenses")
+def op5_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidelab.llm.licenses import scan_licenses
+
+    return scan_licenses(read_table(spark, sf_dir, "documents")).drop("spans")
