@@ -67,3 +67,33 @@ def op5_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tidelab.llm.licenses import scan_licenses
 
     return scan_licenses(read_table(spark, sf_dir, "documents")).drop("spans")
+
+
+@query("op4_embeddings")
+def op4_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidelab.llm.embeddings import near_vectors
+
+    return near_vectors(read_table(spark, sf_dir, "embeddings"))
+
+
+@query("op8_quality")
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidelab.llm.quality import score_quality, train
+
+    docs = read_table(spark, sf_dir, "documents")
+    return score_quality(docs, train(docs, read_table(spark, sf_dir, "labels")))
+
+
+@query("op9_toxicity")
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidelab.llm.toxicity import score_toxicity, train
+
+    docs = read_table(spark, sf_dir, "documents")
+    return score_toxicity(docs, train(docs, read_table(spark, sf_dir, "labels")))
+
+
+@query("op10_decontamination")
+def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidelab.llm.decontam import find_leaks
+
+    return find_leaks(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
