@@ -33,6 +33,22 @@ def _matrix(column, dim: int) -> np.ndarray:
     return out
 
 
+def spread_out(sample: np.ndarray, count: int, apart: float = 0.7) -> np.ndarray:
+    """Up to ``count`` reference points of a sample, farthest first: each next one has the least
+    largest cosine to those chosen. Ends when all that is left lies within ``apart`` of one, as points
+    out of one group of near copies would tell its members apart by noise alone."""
+    unit = sample / np.linalg.norm(sample, axis=1, keepdims=True)
+    chosen = [0]
+    nearest = unit @ unit[0]
+    while len(chosen) < min(count, len(sample)):
+        nxt = int(nearest.argmin())
+        if nearest[nxt] >= apart:
+            break
+        chosen.append(nxt)
+        nearest = np.maximum(nearest, unit @ unit[nxt])
+    return sample[chosen]
+
+
 def describe(classes: DataFrame, pivots: np.ndarray, nearest: int) -> DataFrame:
     """``(cid, grp, n, vec binary, near array<int>)``: ``near`` are the numbers of the nearest pivots
     by cosine, nearest first by construction of the index, sorted for the lists."""
@@ -160,13 +176,14 @@ def pivot_links(described: DataFrame, pivots: int, share: int, least: float, til
 
 
 def near_vectors(
-    vectors: DataFrame, least: float = 0.93, pivots: int = 256, nearest: int = 8, share: int = 3, tile: int = 2048,
+    vectors: DataFrame, least: float = 0.93, pivots: int = 256, sample_rows: int = 4096, nearest: int = 8, share: int = 3, tile: int = 2048,
     id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label",
 ) -> DataFrame:
     """One row per vector: ``(vec_id, n_links, component_id, kept)``.
 
     Vectors are compared when their labels are equal and not null (and they have as many components).
-    ``pivots`` vectors, the bounded sample the index is fitted on, are chosen by hash. Null vectors,
+    The index is fitted on a bounded sample, ``sample_rows`` distinct vectors chosen by hash, of which
+    ``pivots`` become reference points. Null vectors,
     and those that are zero or hold a null or non-finite component, link with nothing. Repeated
     rows link with each other; a null id is passed over when a component's smallest is taken. An empty
     table gives no rows, other columns are not read."""
@@ -185,14 +202,15 @@ def near_vectors(
         classes.withColumn("cid", F.monotonically_increasing_id()).withColumn("grp", F.xxhash64("label", F.size("vector"))),
         "vector-classes",
     )
-    sample = classes.orderBy(F.xxhash64("vector"), "cid").limit(pivots).select("vector").collect()
+    sample = classes.orderBy(F.xxhash64("vector"), "cid").limit(sample_rows).select("vector").collect()
     if sample:
         dim = max(len(r[0]) for r in sample)
         points = np.zeros((len(sample), dim))
         for i, r in enumerate(sample):
             points[i, : len(r[0])] = r[0]
+        points = spread_out(points, pivots)
         described, _ = stored(describe(classes, points, nearest), "described")
-        links, _ = stored(pivot_links(described, len(sample), min(share, len(sample)), least, tile), "vector-links")
+        links, _ = stored(pivot_links(described, len(points), min(share, len(points)), least, tile), "vector-links")
     else:
         links = spark.createDataFrame([], "cid long, root long, links long")
     found = links.groupBy("cid").agg(F.sum("links").alias("links"))
