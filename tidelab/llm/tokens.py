@@ -2,8 +2,9 @@
 
 Both vocabularies split a text at white space before merging, so a word's ids do not depend on its
 neighbours. ``WordwiseEncoder`` uses that: it has the library encode each distinct word once, keeps
-the ids in a bounded table, and joins them per text. Texts whose white space is not plain single
-blanks and line ends (where a run of white space is a token of its own) are encoded whole.
+the ids in a bounded table, and joins them per text. They split letters from signs too, so a word with
+a comma or a full stop after it is the word's ids and the sign's. Texts whose white space is not plain
+single blanks and line ends (where a run of white space is a token of its own) are encoded whole.
 """
 
 from __future__ import annotations
@@ -20,10 +21,11 @@ class WordwiseEncoder:
     """``encode(texts) -> list[bytes]``: little-endian ids of each text, ``width`` bytes an id.
 
     ``kind`` is ``"bytes"`` (byte-level BPE: a blank belongs to the word after it) or ``"words"``
-    (white space is dropped). ``capacity`` bounds the table of words; at the bound it is emptied.
+    (white space and letter case are dropped). ``capacity`` bounds the table of words; at the bound
+    the longer words, which come back least, are dropped.
     """
 
-    def __init__(self, path: str, kind: str, capacity: int = 700_000):
+    def __init__(self, path: str, kind: str, capacity: int = 1_000_000):
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
@@ -37,6 +39,7 @@ class WordwiseEncoder:
         self.first: dict[str, bytes] = {}
         self.mark = "\n" if kind == "bytes" else "\x01"
         self.mark_ids = self.tok.encode(self.mark, add_special_tokens=False).ids
+        self.signs = dict(zip(",.", self.whole([",", "."]), strict=True))
 
     def whole(self, texts: list[str]) -> list[bytes]:
         return [
@@ -67,6 +70,28 @@ class WordwiseEncoder:
                 table[w] = raw[at * self.width : cut * self.width]
                 at = cut + 1
 
+    def _base(self, word: str) -> tuple[str, str]:
+        """A word without a sign at its end, in the case the vocabulary sees, and the sign."""
+        sign = ""
+        if word[-1:] in self.signs and word[:-1].lstrip("\n").isalpha():
+            word, sign = word[:-1], word[-1]
+        return (word.lower() if self.kind == "words" and word.isascii() else word), sign
+
+    def _learn_inner(self, words: set[str]) -> None:
+        bases = {w: self._base(w) for w in words}
+        new = list({b for b, _ in bases.values()}.difference(self.inner))
+        self._learn(self.inner, new, new if self.kind == "words" else [w if w[:1] == "\n" else " " + w for w in new])
+        for w, (base, sign) in bases.items():
+            if w != base:
+                self.inner[w] = self.inner[base] + (self.signs[sign] if sign else b"")
+
+    def _trim(self) -> None:
+        """Drop the longer words, then shorter ones, until half of the table is free."""
+        longest = 9
+        while len(self.inner) > self.capacity // 2 and longest >= 0:
+            self.inner = {w: ids for w, ids in self.inner.items() if len(w) <= longest}
+            longest -= 1
+
     def encode(self, texts: list[str]) -> list[bytes]:
         out: list[bytes | None] = [None] * len(texts)
         plain: list[tuple[int, list[str]]] = []
@@ -81,16 +106,13 @@ class WordwiseEncoder:
         for i, ids in zip(odd, self.whole([texts[i] for i in odd]), strict=True):
             out[i] = ids
         if len(self.inner) > self.capacity:
-            self.inner.clear()
+            self._trim()
         if len(self.first) > self.capacity:
             self.first.clear()
-        new = list(set().union(*(p for _, p in plain)).difference(self.inner))
+        self._learn_inner(set().union(*(p for _, p in plain)).difference(self.inner))
         if self.kind == "bytes":
             heads = list({p[0] for _, p in plain}.difference(self.first))
             self._learn(self.first, heads, heads)
-            self._learn(self.inner, new, [w if w[:1] == "\n" else " " + w for w in new])
-        else:
-            self._learn(self.inner, new, new)
         get = self.inner.__getitem__
         for i, p in plain:
             if self.kind == "bytes":
