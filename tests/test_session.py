@@ -1,6 +1,6 @@
-"""Session helpers: scratch paths under the shared checkpoint folder, materialisation, spreading."""
+"""Session helpers: scratch paths under the shared checkpoint folder, materialisation, release."""
 
-from tidelab.session import ensure_checkpoint_dir, materialize, scratch_dir, spread
+from tidelab.session import drop_path, ensure_checkpoint_dir, materialize, scratch_dir
 
 
 def test_scratch_and_materialize(spark):
@@ -13,10 +13,9 @@ def test_scratch_and_materialize(spark):
     assert "parquet" in m._jdf.queryExecution().optimizedPlan().toString().lower() or m.inputFiles()
 
 
-def test_spread(spark):
-    one = spark.range(0, 200_000, numPartitions=1)
-    assert spread(one, rows=200_000, rows_per_partition=50_000)._jdf.rdd().getNumPartitions() == 4
-    small = spark.range(0, 10, numPartitions=1)
-    assert spread(small, rows=10) is small
-    wide = spark.range(0, 1000, numPartitions=spark.sparkContext.defaultParallelism)
-    assert spread(wide, rows=10**9) is wide
+def test_dropped_scratch_is_gone(spark):
+    path = scratch_dir(spark, "gone")
+    spark.range(3).write.parquet(path)
+    drop_path(spark, path)
+    hpath = spark._jvm.org.apache.hadoop.fs.Path(path)
+    assert not hpath.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hpath)

@@ -15,6 +15,7 @@ TRIM_PATTERN = rf"^{JS_SPACE_CLASS}+|{JS_SPACE_CLASS}+$"
 # The inference patterns for integer-like and real-like text.
 INT_PATTERN = r"^-?[0-9]+$"
 REAL_PATTERN = r"^-?[0-9]+(\.[0-9]+)?$"
+NUMBER_PATTERN = r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?$"
 DATE_PATTERN = r"^[0-9]{4}[-/][0-9]{2}[-/][0-9]{2}"
 
 
@@ -39,8 +40,13 @@ def safe_string(c) -> Column:
 
 
 def to_number(c) -> Column:
-    """Non-numeric text → null (``try_cast`` to double); numbers pass through as double."""
-    return _c(c).try_cast("double")
+    """Numbers as double. Text counts as a number only if, trimmed, it is a plain or scientific
+    decimal; anything else (``1d``, ``NaN``, ``Infinity``, words) is null, and so is a NaN or infinite
+    number."""
+    col = _c(c)
+    text = js_trim(col.cast("string"))
+    value = F.when(text.rlike(NUMBER_PATTERN), text).try_cast("double")
+    return F.when(F.abs(value) < F.lit(float("inf")), value)
 
 
 def is_date_like(c) -> Column:

@@ -16,7 +16,6 @@ from pyspark.sql import types as T
 
 from tidelab.functions.text import is_blank, js_trim, round_value
 from tidelab.operators.schema import INTEGER, REAL, TEXT, at_most_two_values, type_name
-from tidelab.session import spread
 
 PREVIEW_ROWS = 10
 
@@ -94,7 +93,7 @@ def profile_columns(
         base = uniq.join(F.broadcast(nulls), "column_name")
     else:
         pairs = F.array(*[F.struct(F.lit(i).alias("ordinal"), _text_value(df, c).alias("value")) for i, c, _ in meta])
-        cells = spread(df).select(F.inline(pairs))
+        cells = df.select(F.inline(pairs))
         per_pair = cells.groupBy("ordinal", "value").agg(F.count(F.lit(1)).alias("n"))
         per_col = per_pair.groupBy("ordinal").agg(
             F.count("value").alias("unique_count"),
@@ -125,11 +124,11 @@ def text_profile(df: DataFrame, target: str | None = None) -> DataFrame:
     a column is INTEGER iff all its distinct non-blank values are integer-like.
     """
     from tidelab.functions.text import INT_PATTERN, REAL_PATTERN
-    from tidelab.operators.schema import MAX_BIGINT_DIGITS
+    from tidelab.operators.schema import digits, storage_type
 
     cols = df.columns
     pairs = F.array(*[F.struct(F.lit(i).alias("ordinal"), _text_value(df, c).alias("value")) for i, c in enumerate(cols)])
-    per_pair = spread(df).select(F.inline(pairs)).groupBy("ordinal", "value").agg(F.count(F.lit(1)).alias("n"))
+    per_pair = df.select(F.inline(pairs)).groupBy("ordinal", "value").agg(F.count(F.lit(1)).alias("n"))
     v = F.col("value")
     is_int = v.rlike(INT_PATTERN)
     per_col = per_pair.groupBy("ordinal").agg(
@@ -137,13 +136,12 @@ def text_profile(df: DataFrame, target: str | None = None) -> DataFrame:
         F.coalesce(F.sum(F.when(v.isNull(), F.col("n"))), F.lit(0)).alias("null_count"),
         F.count_if(is_int).alias("_int"),
         F.count_if(v.rlike(REAL_PATTERN)).alias("_real"),
-        F.count_if(is_int & (F.length(F.regexp_replace(v, "^-", "")) > MAX_BIGINT_DIGITS)).alias("_wide"),
+        F.max(F.when(is_int, digits(v))).alias("_widest"),
     )
     u = F.col("unique_count")
     dtype = (F.when(u == 0, F.lit(TEXT)).when(F.col("_int") == u, F.lit(INTEGER))
              .when(F.col("_real") == u, F.lit(REAL)).otherwise(F.lit(TEXT)))
-    spark_type = (F.when(dtype == INTEGER, F.when(F.col("_wide") > 0, F.lit("decimal(38,0)")).otherwise(F.lit("bigint")))
-                  .when(dtype == REAL, F.lit("double")).otherwise(F.lit("string")))
+    spark_type = storage_type(dtype, F.col("_widest"))
     names = df.sparkSession.createDataFrame([(i, c) for i, c in enumerate(cols)], "ordinal int, column_name string")
     # One row per column on each side: the name table is broadcast.
     j = per_col.join(F.broadcast(names), "ordinal", "right")

@@ -6,17 +6,16 @@ real-like) computed map-side, so the shuffle carries one partial row per task wh
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidelab.functions.naming import sanitize_identifier
 from tidelab.functions.text import INT_PATTERN, REAL_PATTERN, is_blank, js_trim
-from tidelab.session import spread
 
 INTEGER, REAL, TEXT = "INTEGER", "REAL", "TEXT"
-# Integer-like text longer than this many digits does not fit a bigint safely.
-MAX_BIGINT_DIGITS = 18
+# Integer-like text longer than this many digits does not fit a bigint safely, nor a decimal.
+MAX_BIGINT_DIGITS, MAX_DECIMAL_DIGITS = 18, 38
 
 _INTEGRAL = (T.ByteType, T.ShortType, T.IntegerType, T.LongType)
 _FRACTIONAL = (T.FloatType, T.DoubleType, T.DecimalType)
@@ -31,6 +30,26 @@ def type_name(dtype: T.DataType) -> str:
     return TEXT
 
 
+def digits(text) -> Column:
+    """Number of digits of integer-like text."""
+    return F.length(F.regexp_replace(text, "^-", ""))
+
+
+def storage_type(dtype: Column, widest: Column) -> Column:
+    """Spark type that keeps every value of a column of type ``dtype`` whose widest integer has
+    ``widest`` digits. Integers beyond a decimal become doubles: rounded, never lost."""
+    return (
+        F.when(
+            dtype == F.lit(INTEGER),
+            F.when(widest > MAX_DECIMAL_DIGITS, F.lit("double"))
+            .when(widest > MAX_BIGINT_DIGITS, F.lit("decimal(38,0)"))
+            .otherwise(F.lit("bigint")),
+        )
+        .when(dtype == F.lit(REAL), F.lit("double"))
+        .otherwise(F.lit("string"))
+    )
+
+
 def infer_types(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     """``(ordinal, column_name, data_type, spark_type)`` for text columns.
 
@@ -38,25 +57,21 @@ def infer_types(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     matches ``-?\\d+(\\.\\d+)?``, TEXT otherwise or when it has no non-blank value.
     """
     cols = columns or df.columns
-    trimmed = spread(df).select(*[js_trim(F.col(c).cast("string")).alias(c) for c in cols])
+    trimmed = df.select(*[js_trim(F.col(c).cast("string")).alias(c) for c in cols])
     entries = []
     for i, c in enumerate(cols):
         v = F.col(c)
         non_blank = F.count_if(v != F.lit(""))
         int_like = F.count_if(v.rlike(INT_PATTERN))
         real_like = F.count_if(v.rlike(REAL_PATTERN))
-        wide = F.count_if(v.rlike(INT_PATTERN) & (F.length(F.regexp_replace(v, "^-", "")) > MAX_BIGINT_DIGITS))
+        widest = F.max(F.when(v.rlike(INT_PATTERN), digits(v)))
         dtype = (
             F.when(non_blank == 0, F.lit(TEXT))
             .when(int_like == non_blank, F.lit(INTEGER))
             .when(real_like == non_blank, F.lit(REAL))
             .otherwise(F.lit(TEXT))
         )
-        spark_type = (
-            F.when(dtype == F.lit(INTEGER), F.when(wide > 0, F.lit("decimal(38,0)")).otherwise(F.lit("bigint")))
-            .when(dtype == F.lit(REAL), F.lit("double"))
-            .otherwise(F.lit("string"))
-        )
+        spark_type = storage_type(dtype, widest)
         entries.append(
             F.struct(
                 F.lit(i).alias("ordinal"),
@@ -75,7 +90,6 @@ def coerce(df: DataFrame, types: dict[str, str]) -> DataFrame:
     or workbench type name.
     """
     alias = {INTEGER: "bigint", REAL: "double", TEXT: "string"}
-    df = spread(df)
     out = []
     for c in df.columns:
         target = alias.get(types.get(c, "string"), types.get(c, "string"))

@@ -3,13 +3,16 @@
 The library never creates machine-local scratch space behind the user's back: anything that must
 survive an executor loss (checkpoints, round-trip files, logs) goes under the shared folder the
 cluster names in ``spark.checkpoint.dir``. Only when that setting is missing (local tests) do we
-create one.
+create one, and only for a local master.
 """
 
 from __future__ import annotations
 
+import atexit
+import os
 import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import SparkSession
 
@@ -22,6 +25,11 @@ _DEFAULTS = {
 }
 
 
+#: Scratch folders by application, and the applications that have this package on their executors.
+_scratch: dict[str, list[str]] = {}
+_shipped: set[str] = set()
+
+
 def get_session(master: str | None = None, app: str = "tidelab", **conf: str) -> SparkSession:
     """Return the active session or build one with sane defaults (AQE on, UTC, no UI)."""
     active = SparkSession.getActiveSession()
@@ -51,45 +59,64 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         return current
     configured = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
     if not configured:
+        if not str(sc.master).startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         configured = tempfile.mkdtemp(prefix="tidelab-ckpt-")
     sc.setCheckpointDir(configured)
     return sc.getCheckpointDir() or configured
 
 
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the executors, once per application, so that tasks can import it even
+    where the repository is not on the workers' path."""
+    app = spark.sparkContext.applicationId
+    if app in _shipped:
+        return
+    root = os.path.dirname(os.path.abspath(__file__))
+    path = os.path.join(tempfile.mkdtemp(prefix="tidelab-ship-"), "tidelab_package.zip")
+    with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as z:
+        for folder, _, names in os.walk(root):
+            for name in names:
+                if name.endswith(".py"):
+                    full = os.path.join(folder, name)
+                    z.write(full, os.path.relpath(full, os.path.dirname(root)))
+    spark.sparkContext.addPyFile(path)
+    _shipped.add(app)
+
+
 def scratch_dir(spark: SparkSession, name: str = "scratch") -> str:
-    """A fresh, unique (not yet existing) path under the shared checkpoint directory."""
+    """A fresh, unique (not yet existing) path under the shared checkpoint directory, deleted by
+    ``release_scratch`` or when the driver ends."""
     base = ensure_checkpoint_dir(spark)
-    return base.rstrip("/") + f"/tidelab-{name}-{uuid.uuid4().hex[:12]}"
-
-
-def estimated_bytes(df) -> int | None:
-    """Catalyst's size estimate of a frame (file sizes scaled by the projection), no job."""
-    jdf = getattr(df, "_jdf", None)
-    if jdf is None:
-        return None
-    return int(str(jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-
-
-def spread(df, bytes_per_partition: int = 1 << 16, rows: int | None = None, rows_per_partition: int = 50_000):
-    """Round-robin the rows over more partitions when the input arrives in fewer than its size
-    warrants (a single unsplittable file or row group keeps all map-side work in one task).
-
-    The wanted count is ``rows / rows_per_partition`` when the row count is known, else the size
-    estimate over ``bytes_per_partition``, capped at ``defaultParallelism``. Inputs that already have
-    that many partitions — any large table — are returned untouched, so on a cluster this is a no-op.
-    """
-    jdf = getattr(df, "_jdf", None)
-    if jdf is None or df.isStreaming:
-        return df
-    parallelism = df.sparkSession.sparkContext.defaultParallelism
-    if rows is not None:
-        want = -(-int(rows) // rows_per_partition)
-    else:
-        want = -(-(estimated_bytes(df) or 0) // bytes_per_partition)
-    target = max(1, min(parallelism, want))
-    if jdf.rdd().getNumPartitions() >= target:
-        return df
-    return df.repartition(target)
+    path = base.rstrip("/") + f"/tidelab-{name}-{uuid.uuid4().hex[:12]}"
+    _scratch.setdefault(spark.sparkContext.applicationId, []).append(path)
+    return path
+
+
+def drop_path(spark: SparkSession, path: str) -> None:
+    """Delete a folder on whatever file system holds it."""
+    hpath = spark._jvm.org.apache.hadoop.fs.Path(path)
+    hpath.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hpath, True)
+
+
+def release_scratch(spark: SparkSession) -> int:
+    """Delete every scratch folder made so far for this application; returns how many. Frames that
+    read from them can no longer be evaluated."""
+    paths = _scratch.pop(spark.sparkContext.applicationId, [])
+    for path in paths:
+        drop_path(spark, path)
+    return len(paths)
+
+
+@atexit.register
+def _release_at_exit() -> None:
+    spark = SparkSession.getActiveSession()
+    if spark is None:
+        return
+    try:
+        release_scratch(spark)
+    except Exception:  # noqa: BLE001 - the context is already gone; nothing is left to delete with
+        return
 
 
 def materialize(df, name: str = "stage"):
