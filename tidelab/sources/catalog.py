@@ -82,12 +82,16 @@ class AppendLog:
         return int(row["m"] or 0)
 
     def append(self, batch: DataFrame) -> DataFrame:
-        """Append a metadata batch; rows without ``id`` get consecutive ids after the current max."""
-        if "id" not in batch.columns or batch.where(F.col("id").isNull()).limit(1).count() > 0:
-            base = self.max_id()
+        """Append a metadata batch. Given ids stay; rows without one get consecutive ids after the
+        largest of the log and the batch."""
+        if "id" not in batch.columns:
+            batch = batch.withColumn("id", F.lit(None).cast("long"))
+        given = batch.agg(F.max("id").alias("m"), F.count_if(F.col("id").isNull()).alias("n")).collect()[0]
+        if given["n"]:
+            base = max(self.max_id(), int(given["m"] or 0))
             # A metadata batch is small; a single ordered window over it is fine.
-            order = Window.orderBy(F.monotonically_increasing_id())
-            batch = batch.drop("id").withColumn("id", F.lit(base) + F.row_number().over(order))
+            order = Window.partitionBy(F.col("id").isNull()).orderBy(F.monotonically_increasing_id())
+            batch = batch.withColumn("id", F.coalesce("id", F.lit(base) + F.row_number().over(order)))
         out = ensure_columns(batch, self._st).select(*[f.name for f in self._st.fields])
         out.write.mode("append").parquet(self.path)
         return out
@@ -186,7 +190,7 @@ class Catalog:
         """Prepared version (D1–D15): one select written as a new table, a child dataset row with
         parent id and version, and lineage rows (preparation, feature selection, transformations)."""
         from tidelab.operators.prep import DEFAULT_VERSION, dropped_features, prepare
-        from tidelab.operators.profile import profile_columns
+        from tidelab.operators.schema import infer_problem_type
 
         meta = self.dataset(dataset_id)
         if meta is None:
@@ -199,7 +203,6 @@ class Catalog:
         new_id = self.register_dataset(
             out, f"{meta['name']} · {version}", source_type="prepared", description=meta.get("description"),
             target_column=plan.target_output, parent_dataset_id=dataset_id, version_name=version, prep_config=cfg,
-            columns_meta=profile_columns(out, plan.target_output),
             table=f"prepared_{dataset_id}_{int(now().timestamp() * 1000)}",
         )
         new_meta = self.dataset(new_id)
@@ -212,7 +215,7 @@ class Catalog:
         dropped = dropped_features(src.columns, plan.features, plan.target)
         self.logs["feature_selections"].append(self.spark.createDataFrame([(
             None, new_id, prep_id, plan.target_output, json.dumps(plan.feature_outputs), json.dumps(dropped),
-            task_type or "classification", ts)], LOG_SCHEMAS["feature_selections"]))
+            task_type or infer_problem_type(self.load(new_id), plan.target_output), ts)], LOG_SCHEMAS["feature_selections"]))
         trans = [(None, new_id, prep_id, "feature_selection", json.dumps({"selected": plan.features, "dropped": dropped}), ts)]
         if plan.rename:
             trans.append((None, new_id, prep_id, "rename", json.dumps(plan.rename), ts))
