@@ -32,14 +32,14 @@ def rank_within(
     num_partitions: int | None = None,
 ) -> DataFrame:
     """Add ``rank_col`` (1-based row number inside each group under ``order_cols``) and, if
-    ``size_col`` is set, the group size. ``order_cols`` must make the order total (end with a key)."""
+    ``size_col`` is set, the group size. ``order_cols`` must make the order total (end with a key).
+    Without ``num_partitions`` the session's setting and AQE choose the number from the data's size."""
     spark = df.sparkSession
     ensure_checkpoint_dir(spark)
-    n = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     orders = [F.col(c) if isinstance(c, str) else c for c in order_cols]
     keys = [F.col(g) for g in group_cols] + orders
     ranged = (
-        df.repartitionByRange(n, *keys)
+        (df.repartitionByRange(num_partitions, *keys) if num_partitions else df.repartitionByRange(*keys))
         .sortWithinPartitions(*keys)
         .withColumn("_pid", F.spark_partition_id())
         .withColumn("_mid", F.monotonically_increasing_id())

@@ -21,7 +21,7 @@ HISTORY_SCHEMA = "id long, dataset_id long, query_name string, query_text string
 # Default history name length.
 DEFAULT_NAME_CHARS = 80
 
-# The saved example queries, re-expressed over the demo tables.
+# The saved example queries.
 EXAMPLES = {
     "Retail - revenue by region": "SELECT region, ROUND(SUM(revenue), 2) AS total_revenue FROM retail_sales GROUP BY region ORDER BY total_revenue DESC",
     "Retail - average units by category": "SELECT product_category, ROUND(AVG(units_sold), 2) AS avg_units FROM retail_sales GROUP BY product_category ORDER BY avg_units DESC",
