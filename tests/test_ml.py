@@ -5,7 +5,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tidelab.ml.knn import knn_search
+from tidelab.ml.knn import knn_predict, knn_search
 from tidelab.ml.metrics import class_report, classification_metrics, confusion_matrix, regression_metrics, roc_auc
 from tidelab.ml.registry import default_models, merge_params, model_registry, normalise_kernel
 from tidelab.ml.runner import benchmark, cross_validate, rank_runs, save_benchmark
@@ -88,7 +88,7 @@ def test_knn_matches_brute_force(spark):
     Q = np.round(rng.normal(size=(60, 5)), 1)
     train = spark.createDataFrame([(i, [float(v) for v in x]) for i, x in enumerate(X)], "id long, f array<double>")
     qs = spark.createDataFrame([(1000 + i, [float(v) for v in x]) for i, x in enumerate(Q)], "id long, f array<double>")
-    got = knn_search(train, qs, k=4, features="f", max_cell_rows=16, max_query_rows=8).collect()
+    got = knn_search(train, qs, k=4, features="f", block_bytes=7000).collect()
     res = {}
     for r in got:
         res.setdefault(r["query_id"], []).append((r["rank"], r["neighbor_id"]))
@@ -98,6 +98,17 @@ def test_knn_matches_brute_force(spark):
         assert [n for _, n in sorted(res[1000 + i])] == order
 
 
+@pytest.mark.parametrize("block_bytes", [1 << 20, 1000])
+def test_knn_ties_go_by_id(spark, block_bytes):
+    same = spark.createDataFrame([(i, [1.0, 2.0], i % 2) for i in range(200)], "id long, f array<double>, y int").repartition(7)
+    ask = spark.createDataFrame([(0, [1.0, 2.0]), (500, [3.0, 2.0])], "id long, f array<double>")
+    got = knn_search(same, ask, k=5, features="f", block_bytes=block_bytes, exclude_self=True).collect()
+    near = {q: [r["neighbor_id"] for r in sorted(got, key=lambda r: r["rank"]) if r["query_id"] == q] for q in (0, 500)}
+    assert near == {0: [1, 2, 3, 4, 5], 500: [0, 1, 2, 3, 4]}
+    votes = {r["query_id"]: r["prediction"] for r in knn_predict(same, ask, k=4, features="f", label="y", block_bytes=block_bytes).collect()}
+    assert votes == {0: 0, 500: 0}  # two against two: the smaller label
+
+
 def _signal_frame(spark):
     rng = np.random.default_rng(2)
     x1, x2 = rng.normal(size=600), rng.normal(size=600)
@@ -195,7 +206,9 @@ def test_tabular_features_hashes_wide_columns(spark):
     from tidelab.ml.features import TabularFeatures
 
     df = spark.range(0, 300).selectExpr("cast(id as string) as key", "cast(id % 3 as string) as small", "id % 2 as y")
-    m = TabularFeatures(featureCols=["key", "small"], labelCol="y", task="classification", maxLevels=50, hashFeatures=64).fit(df)
+    m = TabularFeatures(featureCols=["key", "small"], labelCol="y", task="classification", maxLevels=50, hashCols=["key"], hashFeatures=64).fit(df)
+    with pytest.raises(ValueError, match="more than 50 levels"):
+        TabularFeatures(featureCols=["key", "small"], labelCol="y", task="classification", maxLevels=50).fit(df)
     assert m.cat == ["small"] and m.hashed == ["key"]
     r = m.transform(df).select("features").first()["features"]
     assert r.size == 2 + 64  # one-hot of 3 levels minus the dropped one, plus hashed slots

@@ -3,8 +3,9 @@
 ``fit`` takes one statistics pass — per numeric column the mean, sample deviation and non-null count
 of the training rows, per categorical column a HyperLogLog level count — and, when categorical
 columns or classes exist, a second pass collecting the level sets the sketch has proven small
-(≤ ``maxLevels``; what ``StringIndexer`` would collect too). Wider categorical columns are hashed
-into ``hashFeatures`` slots (``FeatureHasher``) instead of being collected. ``transform`` is plain
+(≤ ``maxLevels``; what ``StringIndexer`` would collect too). A wider column is an error, unless the
+caller names it in ``hashCols``: those are hashed into ``hashFeatures`` slots (``FeatureHasher``), at
+any number of levels, so no column changes its encoding as the data grows. ``transform`` is plain
 column expressions: numerics mean-imputed and standardised (the deviation is that of the imputed
 column, as an imputer followed by a scaler would give), categoricals indexed in descending order and
 one-hot encoded with the last index dropped — so the alphabetically first level and unseen or
@@ -51,6 +52,7 @@ def _cat(c: str) -> Column:
 class _FeatureParams(Params):
     featureCols = Param(Params._dummy(), "featureCols", "input columns", TypeConverters.toListString)
     maxLevels = Param(Params._dummy(), "maxLevels", "largest level set collected for one-hot encoding", TypeConverters.toInt)
+    hashCols = Param(Params._dummy(), "hashCols", "categorical columns to hash instead of one-hot encoding", TypeConverters.toListString)
     hashFeatures = Param(Params._dummy(), "hashFeatures", "hashed slots for high-cardinality columns", TypeConverters.toInt)
     labelCol = Param(Params._dummy(), "labelCol", "target column", TypeConverters.toString)
     task = Param(Params._dummy(), "task", "regression | classification", TypeConverters.toString)
@@ -59,9 +61,11 @@ class _FeatureParams(Params):
 
 class TabularFeatures(Estimator, _FeatureParams):
     @keyword_only
-    def __init__(self, featureCols=None, labelCol="label", task="regression", trainCol="", maxLevels=10_000, hashFeatures=1 << 18):
+    def __init__(self, featureCols=None, labelCol="label", task="regression", trainCol="", maxLevels=10_000, hashCols=None,
+                 hashFeatures=1 << 18):
         super().__init__()
-        self._setDefault(featureCols=[], labelCol="label", task="regression", trainCol="", maxLevels=10_000, hashFeatures=1 << 18)
+        self._setDefault(featureCols=[], labelCol="label", task="regression", trainCol="", maxLevels=10_000, hashCols=[],
+                         hashFeatures=1 << 18)
         self._set(**self._input_kwargs)
 
     def _fit(self, dataset: DataFrame) -> "TabularFeaturesModel":
@@ -83,9 +87,12 @@ class TabularFeatures(Estimator, _FeatureParams):
         row = dataset.agg(*aggs).collect()[0]  # one row: statistics and level-count sketches
         n = row["_n"] or 0
         # Level sets are collected only where the sketch proves them small (2% slack over the 1%
-        # error); wider columns are hashed into a fixed number of slots instead.
-        small = [c for i, c in enumerate(cat) if (row[f"a{i}"] or 0) <= max_levels * 0.98]
-        hashed = [c for c in cat if c not in small]
+        # error of the sketch).
+        chosen = set(self.getOrDefault(self.hashCols))
+        hashed = [c for c in cat if c in chosen]
+        small = [c for c in cat if c not in chosen]
+        if wide := [c for i, c in enumerate(cat) if c in small and (row[f"a{i}"] or 0) > max_levels * 0.98]:
+            raise ValueError(f"columns with more than {max_levels} levels: {wide}; name them in hashCols or drop them")
         sets = [F.collect_set(F.when(train, _cat(c))).alias(f"l{i}") for i, c in enumerate(small)]
         if task == "classification":
             if (row["_a_classes"] or 0) > max_levels * 0.98:

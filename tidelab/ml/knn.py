@@ -1,175 +1,131 @@
-"""Exact k-nearest neighbours without an all-pairs join.
-
-1. ``M`` pivots are drawn from the training rows (a deterministic hash-ordered top-M: its size is
-   M × dim, bounded by construction) and every training row is assigned to its nearest pivot
-   (its *cell*), keeping its distance ``r`` to the pivot. Per cell: radius ``R`` and size.
-2. For a query ``q`` the triangle inequality gives, for every cell ``c``,
-   ``d(q, p_c) − R_c ≤ d(q, x) ≤ d(q, p_c) + R_c`` for all ``x`` in ``c``. Walking cells by their
-   upper bound until ``k`` rows are covered yields ``τ_q ≥`` the true k-th distance; only cells with
-   lower bound ``≤ τ_q`` can hold a neighbour — the rest are pruned *exactly*.
-3. Big cells are split into shards of at most ``max_cell_rows`` training rows, and the queries
-   meeting a shard are split into blocks of at most ``max_query_rows``; each (cell, shard, block)
-   group is one bounded cogroup solved with numpy (Arrow batches), returning its local top-k.
-4. Local top-k lists (≤ k rows per query and group) are merged per query.
-
-Every step is a Spark shuffle/aggregate; nothing but pivots and per-cell statistics (≤ M rows)
-reaches the driver.
+"""Exact k-nearest neighbours: a query side against reference rows, in blocks.
+
+The reference rows go to the tasks as one numpy matrix, in as many blocks as a documented byte bound
+asks for; the query rows never move. Each task scores its queries against a block by matrix products,
+takes every reference row that could be among the ``k`` nearest (the k-th approximate distance and a
+margin for rounding, so ties are never cut), computes those distances exactly, and keeps the first
+``k`` by (distance, reference id). With more than one block the short lists of a query, ``k`` rows each,
+are merged by one aggregate. The cost is queries x references distances, stated and split over tasks;
+fitting on a sample of the reference rows is the caller's choice, never made here.
 """
 
 from __future__ import annotations
 
-import math
+from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.window import Window
-
-from tidelab.session import materialize, spread
-
-
-def _as_array(df: DataFrame, col: str) -> DataFrame:
-    dtype = df.schema[col].dataType
-    if isinstance(dtype, T.ArrayType):
-        return df.withColumn(col, F.col(col).cast("array<double>"))
-    return df.withColumn(col, vector_to_array(F.col(col)))
-
-
-def knn_search(
-    train: DataFrame,
-    queries: DataFrame,
-    k: int = 5,
-    train_id: str = "id",
-    query_id: str = "id",
-    features: str = "features",
-    exclude_self: bool = False,
-    max_cell_rows: int = 4096,
-    max_query_rows: int = 4096,
-    num_pivots: int | None = None,
-    seed: int = 42,
-) -> DataFrame:
-    """``(query_id, neighbor_id, distance, rank)`` — the ``k`` nearest training rows of every query
-    row by Euclidean distance, ties broken by neighbour id. ``exclude_self`` drops pairs with equal
-    ids (leave-one-out when both sides are the same table)."""
-    spark = train.sparkSession
-    tr = _as_array(spread(train).select(F.col(train_id).alias("tid"), F.col(features).alias("x")), "x").where(F.col("x").isNotNull())
-    qs = _as_array(spread(queries).select(F.col(query_id).alias("qid"), F.col(features).alias("x")), "x").where(F.col("x").isNotNull())
-    n_train = tr.count()
-    if n_train == 0:
-        return spark.createDataFrame([], "query_id long, neighbor_id long, distance double, rank int")
-    m = num_pivots or max(1, min(4096, math.ceil(n_train / max(1, max_cell_rows // 4))))
-    piv_rows = tr.orderBy(F.xxhash64(F.col("tid"), F.lit(seed)), "tid").limit(m).select("x").collect()
-    P = np.array([r["x"] for r in piv_rows], dtype=np.float64)
-    P_sq = (P * P).sum(axis=1)
-
-    def nearest(batches):
-        for pdf in batches:
-            if not len(pdf):
-                continue
-            X = np.stack(pdf["x"].to_numpy())
-            d2 = np.maximum((X * X).sum(axis=1)[:, None] + P_sq[None, :] - 2 * X @ P.T, 0.0)
-            c = d2.argmin(axis=1)
-            yield pd.DataFrame({"tid": pdf["tid"], "x": pdf["x"], "cell": c.astype(np.int32), "r": np.sqrt(d2[np.arange(len(c)), c])})
-
-    cells = tr.mapInPandas(nearest, "tid long, x array<double>, cell int, r double").persist()
-    try:
-        stats = cells.groupBy("cell").agg(F.max("r").alias("R"), F.count(F.lit(1)).alias("cnt")).collect()  # ≤ M rows
-        R = np.zeros(len(P))
-        cnt = np.zeros(len(P), dtype=np.int64)
-        for s in stats:
-            R[s["cell"]] = s["R"]
-            cnt[s["cell"]] = s["cnt"]
-        shards = np.maximum(1, np.ceil(cnt / max_cell_rows)).astype(np.int64)
-        need = k + (1 if exclude_self else 0)
-
-        def candidates(batches):
-            for pdf in batches:
-                if not len(pdf):
-                    continue
-                X = np.stack(pdf["x"].to_numpy())
-                dq = np.sqrt(np.maximum((X * X).sum(axis=1)[:, None] + P_sq[None, :] - 2 * X @ P.T, 0.0))
-                upper = dq + R[None, :]
-                lower = dq - R[None, :]
-                order = np.argsort(upper, axis=1)
-                covered = np.cumsum(cnt[order], axis=1)
-                pos = np.minimum((covered < need).sum(axis=1), len(P) - 1)
-                tau = upper[np.arange(len(X)), order[np.arange(len(X)), pos]]
-                # Numerical slack so that rounding in the bounds never prunes a true neighbour.
-                keep = (lower <= tau[:, None] * (1 + 1e-9) + 1e-9) & (cnt[None, :] > 0)
-                qi, ci = np.nonzero(keep)
-                yield pd.DataFrame({"qid": pdf["qid"].to_numpy()[qi], "x": pdf["x"].to_numpy()[qi], "cell": ci.astype(np.int32)})
-
-        cand = qs.mapInPandas(candidates, "qid long, x array<double>, cell int")
-        shard_df = spark.createDataFrame([(int(c), int(s)) for c, s in enumerate(shards) if cnt[c] > 0], "cell int, shards long")
-        # One row per cell (≤ M): broadcast is bounded by the pivot count.
-        cand = cand.join(F.broadcast(shard_df), "cell").withColumn("shard", F.explode(F.sequence(F.lit(0), F.col("shards") - 1))).drop("shards")
-        blocks = cand.groupBy("cell", "shard").agg(F.count(F.lit(1)).alias("nq")).withColumn(
-            "blocks", F.greatest(F.lit(1), F.ceil(F.col("nq") / F.lit(max_query_rows))).cast("long")
-        ).select("cell", "shard", "blocks")
-        cand = cand.join(blocks, ["cell", "shard"]).withColumn("block", F.pmod(F.xxhash64("qid"), F.col("blocks"))).drop("blocks")
-        trs = cells.join(F.broadcast(shard_df), "cell").withColumn("shard", F.pmod(F.xxhash64("tid"), F.col("shards"))).drop("shards", "r")
-        trs = trs.join(blocks, ["cell", "shard"]).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).drop("blocks")
-
-        def local_topk(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-            if not len(left) or not len(right):
-                return pd.DataFrame({"query_id": [], "neighbor_id": [], "distance": []})
-            Q = np.stack(left["x"].to_numpy())
-            Xt = np.stack(right["x"].to_numpy())
-            tids = right["tid"].to_numpy()
-            qids = left["qid"].to_numpy()
-            out_q, out_n, out_d = [], [], []
-            x_sq = (Xt * Xt).sum(axis=1)
-            take = min(len(Xt), need + 8)
-            for s in range(0, len(Q), 1024):
-                Qb = Q[s : s + 1024]
-                d2 = (Qb * Qb).sum(axis=1)[:, None] + x_sq[None, :] - 2 * Qb @ Xt.T
-                idx = np.argpartition(d2, take - 1, axis=1)[:, :take] if take < len(Xt) else np.tile(np.arange(len(Xt)), (len(Qb), 1))
-                for i in range(len(Qb)):
-                    cand_idx = idx[i]
-                    exact = np.sqrt(((Xt[cand_idx] - Qb[i]) ** 2).sum(axis=1))
-                    out_q.append(np.full(len(cand_idx), qids[s + i]))
-                    out_n.append(tids[cand_idx])
-                    out_d.append(exact)
-            return pd.DataFrame({"query_id": np.concatenate(out_q), "neighbor_id": np.concatenate(out_n), "distance": np.concatenate(out_d)})
-
-        pairs = (
-            cand.groupBy("cell", "shard", "block")
-            .cogroup(trs.groupBy("cell", "shard", "block"))
-            .applyInPandas(local_topk, "query_id long, neighbor_id long, distance double")
-        )
-        if exclude_self:
-            pairs = pairs.where(F.col("query_id") != F.col("neighbor_id"))
-        w = Window.partitionBy("query_id").orderBy("distance", "neighbor_id")
-        # Per query at most (k + 8) rows per candidate group reach this window.
-        out = pairs.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
-        # Materialised before ``cells`` is released: the result no longer depends on it.
-        return materialize(out, "knn")
-    finally:
-        cells.unpersist()
-
-
-def knn_predict(
-    train: DataFrame,
-    queries: DataFrame,
-    k: int = 5,
-    train_id: str = "id",
-    query_id: str = "id",
-    features: str = "features",
-    label: str = "label",
-    exclude_self: bool = False,
-    task: str = "classification",
-    **kwargs,
+
+HITS = "array<struct<distance: double, neighbor_id: long, label: double>>"
+_HIT_TYPE = pa.list_(pa.struct([("distance", pa.float64()), ("neighbor_id", pa.int64()), ("label", pa.float64())]))
+
+
+def _as_array(df: DataFrame, col: str) -> Column:
+    if isinstance(df.schema[col].dataType, T.ArrayType):
+        return F.col(col).cast("array<double>")
+    return vector_to_array(F.col(col))
+
+
+def _matrix(column, dim: int) -> np.ndarray:
+    return np.asarray(column.flatten().to_numpy(zero_copy_only=False), np.float64).reshape(len(column), dim)
+
+
+def _nearest(query: np.ndarray, rows: np.ndarray, squares: np.ndarray, ids: np.ndarray, skip, k: int):
+    """For each query the positions and exact distances of its ``k`` nearest rows by (distance, id);
+    ``skip[i]`` is an id that query ``i`` may not meet, or None."""
+    own = (query * query).sum(1)
+    d2 = own[:, None] + squares[None, :] - 2 * query @ rows.T
+    margin = 1e-9 * (own + (squares.max() if len(squares) else 0.0)) + 1e-12
+    for i in range(len(query)):
+        near = d2[i]
+        if skip is not None:
+            near = np.where(ids == skip[i], np.inf, near)
+        kth = np.partition(near, k - 1)[k - 1] if k < len(near) else np.inf
+        at = np.flatnonzero((near <= kth + margin[i]) & np.isfinite(near))
+        exact = np.sqrt(((rows[at] - query[i]) ** 2).sum(1))
+        order = np.lexsort((ids[at], exact))[:k]
+        yield at[order], exact[order]
+
+
+def knn_hits(
+    train: DataFrame, queries: DataFrame, k: int = 5, train_id: str = "id", query_id: str = "id",
+    features: str = "features", label: str | None = None, exclude_self: bool = False, block_bytes: int = 64 << 20,
 ) -> DataFrame:
-    """``(query_id, prediction)``: majority label of the k neighbours (ties → smallest label) for
-    classification, mean label for regression."""
-    nb = knn_search(train, queries, k, train_id, query_id, features, exclude_self, **kwargs)
-    labels = train.select(F.col(train_id).alias("neighbor_id"), F.col(label).alias("_y"))
-    j = nb.join(labels, "neighbor_id")
+    """``(query_id, hits)``: up to ``k`` hits per query row, nearest first, ties by reference id.
+
+    Query ids are unique; ``exclude_self`` passes over reference rows with the query's own id. Rows
+    without features take no part. ``block_bytes`` bounds what a task holds of the reference rows."""
+    label_col = F.col(label).cast("double") if label else F.lit(None).cast("double")
+    ref = train.select(
+        F.col(train_id).cast("long").alias("id"), label_col.alias("label"), _as_array(train, features).alias("x")
+    ).where("x is not null")
+    asks = queries.select(F.col(query_id).cast("long").alias("query_id"), _as_array(queries, features).alias("x")).where("x is not null")
+    size = ref.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("x")).alias("d")).first()
+    if not size["n"]:
+        return asks.select("query_id", F.expr(f"cast(array() as {HITS})").alias("hits"))
+    dim = size["d"]
+    blocks = max(1, -(-size["n"] * (dim + 2) * 8 // block_bytes))
+    parts = []
+    for b in range(blocks):
+        mine = ref if blocks == 1 else ref.where(F.pmod(F.xxhash64("id", "x"), F.lit(blocks)) == b)
+        table = mine.toArrow()
+        if not len(table):
+            continue
+        rows = _matrix(table.column("x").combine_chunks(), dim)
+        ids, labels = table.column("id").to_numpy(), table.column("label").to_numpy()
+        squares = (rows * rows).sum(1)
+
+        def score(batches: Iterator[pa.RecordBatch], rows=rows, ids=ids, labels=labels, squares=squares) -> Iterator[pa.RecordBatch]:
+            step = max(1, (8 << 20) // len(rows))
+            for batch in batches:
+                for a in range(0, len(batch), step):
+                    part = batch.slice(a, step)
+                    skip = part.column(0).to_numpy() if exclude_self else None
+                    hits = [
+                        [
+                            {"distance": d, "neighbor_id": i, "label": None if np.isnan(y) else y}
+                            for d, i, y in zip(dist.tolist(), ids[at].tolist(), labels[at].tolist(), strict=True)
+                        ]
+                        for at, dist in _nearest(_matrix(part.column(1), dim), rows, squares, ids, skip, k)
+                    ]
+                    yield pa.RecordBatch.from_arrays([part.column(0), pa.array(hits, _HIT_TYPE)], ["query_id", "hits"])
+
+        parts.append(asks.mapInArrow(score, f"query_id long, hits {HITS}"))
+    out = parts[0]
+    if len(parts) == 1:
+        return out
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    merged = out.groupBy("query_id").agg(F.sort_array(F.flatten(F.collect_list("hits"))).alias("hits"))
+    return merged.select("query_id", F.slice("hits", 1, k).alias("hits"))
+
+
+def knn_search(train: DataFrame, queries: DataFrame, k: int = 5, train_id: str = "id", query_id: str = "id",
+               features: str = "features", exclude_self: bool = False, **kwargs) -> DataFrame:
+    """``(query_id, neighbor_id, distance, rank)`` of the ``k`` nearest reference rows by Euclidean
+    distance."""
+    hits = knn_hits(train, queries, k, train_id, query_id, features, None, exclude_self, **kwargs)
+    return hits.select("query_id", F.posexplode("hits").alias("pos", "hit")).select(
+        "query_id", "hit.neighbor_id", "hit.distance", (F.col("pos") + 1).alias("rank")
+    )
+
+
+def knn_predict(train: DataFrame, queries: DataFrame, k: int = 5, train_id: str = "id", query_id: str = "id",
+                features: str = "features", label: str = "label", exclude_self: bool = False,
+                task: str = "classification", **kwargs) -> DataFrame:
+    """``(query_id, prediction)``: majority label of the ``k`` neighbours (ties: the smallest label)
+    for classification, mean label for regression; null without neighbours."""
+    hits = knn_hits(train, queries, k, train_id, query_id, features, label, exclude_self, **kwargs)
+    labels = F.transform("hits", lambda h: h["label"])
     if task == "regression":
-        return j.groupBy("query_id").agg(F.avg(F.col("_y").cast("double")).alias("prediction"))
-    votes = j.groupBy("query_id", "_y").agg(F.count(F.lit(1)).alias("_c"))
-    best = votes.groupBy("query_id").agg(F.max_by(F.col("_y"), F.struct(F.col("_c"), -F.col("_y").cast("double"))).alias("prediction"))
-    return best
+        mean = F.aggregate(labels, F.lit(0.0), lambda a, y: a + y) / F.nullif(F.size("hits"), F.lit(0))
+        return hits.select("query_id", mean.alias("prediction"))
+    votes = F.transform(
+        F.array_distinct(labels),
+        lambda y: F.struct(F.size(F.filter(labels, lambda other: other == y)).alias("votes"), (-y).alias("minus")),
+    )
+    return hits.select("query_id", (-F.array_max(votes)["minus"]).cast(train.schema[label].dataType).alias("prediction"))

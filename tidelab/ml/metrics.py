@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tidelab.functions.text import round_value
+from tidelab.session import ship_package
 
 DIGITS = 4
 
@@ -85,18 +86,15 @@ def classification_metrics(
 def class_report(pred: DataFrame, label: str = "label", prediction: str = "prediction", rounded: bool = True,
                  with_tp: bool = False) -> DataFrame:
     """Per class: ``class, precision, recall, f1, support`` (a class never predicted or never
-    present gets 0 for the undefined ratios). Two partial aggregates and an outer join on class."""
-    by_label = pred.groupBy(F.col(label).alias("class")).agg(
-        F.count(F.lit(1)).alias("support"), F.count_if(F.col(label) == F.col(prediction)).alias("tp")
-    )
-    by_pred = pred.groupBy(F.col(prediction).cast(pred.schema[label].dataType).alias("class")).agg(
-        F.count(F.lit(1)).alias("predicted")
-    )
-    j = by_label.join(by_pred, "class", "full_outer").select(
-        "class",
-        F.coalesce("support", F.lit(0)).alias("support"),
-        F.coalesce("tp", F.lit(0)).alias("tp"),
-        F.coalesce("predicted", F.lit(0)).alias("predicted"),
+    present gets 0 for the undefined ratios). The predictions are read once: each row counts for its
+    label and for its prediction, combined map-side per class."""
+    y, yh = F.col(label), F.col(prediction).cast(pred.schema[label].dataType)
+    sides = pred.select(F.inline(F.array(
+        F.struct(y.alias("class"), F.lit(1).alias("s"), (y == yh).cast("int").alias("t"), F.lit(0).alias("p")),
+        F.struct(yh.alias("class"), F.lit(0).alias("s"), F.lit(0).alias("t"), F.lit(1).alias("p")),
+    )))
+    j = sides.groupBy("class").agg(
+        F.sum("s").alias("support"), F.coalesce(F.sum("t"), F.lit(0)).alias("tp"), F.sum("p").alias("predicted")
     )
     p = _safe_div(F.col("tp"), F.col("predicted"))
     r = _safe_div(F.col("tp"), F.col("support"))
@@ -106,19 +104,11 @@ def class_report(pred: DataFrame, label: str = "label", prediction: str = "predi
     return j.select("class", rnd(p).alias("precision"), rnd(r).alias("recall"), rnd(f).alias("f1"), F.col("support").cast("long"), *extra)
 
 
-MAX_PIVOT_CLASSES = 1000
-
-
 def confusion_matrix(pred: DataFrame, label: str = "label", prediction: str = "prediction", classes: list | None = None) -> DataFrame:
-    """``label`` × predicted class counts, one column ``pred_<c>`` per class. An explicit class
-    list saves the extra distinct job the pivot would otherwise run; without one, at most
-    ``MAX_PIVOT_CLASSES`` classes are fetched (``confusion_long`` is the unbounded form)."""
+    """``label`` × predicted class counts. With a list of classes, one column ``pred_<c>`` for each;
+    without one the long form (``confusion_long``), which holds any number of classes."""
     if classes is None:
-        found = (pred.select(F.col(label).alias("c")).union(pred.select(F.col(prediction).cast(pred.schema[label].dataType)))
-                 .distinct().limit(MAX_PIVOT_CLASSES + 1).collect())
-        if len(found) > MAX_PIVOT_CLASSES:
-            raise ValueError(f"more than {MAX_PIVOT_CLASSES} classes: use confusion_long")
-        classes = sorted(r[0] for r in found)
+        return confusion_long(pred, label, prediction)
     pv = pred.groupBy(F.col(label).alias("label")).pivot(prediction, classes).agg(F.count(F.lit(1)))
     return pv.select("label", *[F.coalesce(F.col(f"`{c}`"), F.lit(0)).cast("long").alias(f"pred_{c}") for c in classes])
 
@@ -147,12 +137,11 @@ def _auc_partition(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def roc_auc(pred: DataFrame, label: str = "label", score: str = "score", positive=1) -> DataFrame:
     """Exact ROC AUC (ties count one half), one row ``roc_auc`` rounded to 4 decimals; null when a
     class is missing."""
-    spark = pred.sparkSession
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    ship_package(pred.sparkSession)
     per_score = pred.where(F.col(score).isNotNull()).groupBy(F.col(score).cast("double").alias("s")).agg(
         F.count_if(F.col(label) == positive).alias("pos"), F.count_if(F.col(label) != positive).alias("neg")
     )
-    ranged = per_score.repartitionByRange(n, "s").sortWithinPartitions("s")
+    ranged = per_score.repartitionByRange("s").sortWithinPartitions("s")
     parts = ranged.mapInPandas(_auc_partition, "pid int, p long, n long, u double")
     w = Window.orderBy("pid").rowsBetween(Window.unboundedPreceding, -1)  # one row per partition
     parts = parts.withColumn("neg_before", F.coalesce(F.sum("n").over(w), F.lit(0)))

@@ -35,6 +35,14 @@ def build_preprocessing(df: DataFrame, features: list[str], target: str, task: s
     return Pipeline(stages=[TabularFeatures(featureCols=list(features), labelCol=target, task=task, trainCol=train_col)])
 
 
+def _depth(wanted) -> int:
+    """Spark's trees go 30 levels deep; a run that asks for more fails instead of training less."""
+    depth = int(wanted)
+    if depth > 30:
+        raise ValueError(f"max_depth {depth} is more than the 30 levels that Spark's trees support")
+    return depth
+
+
 def build_estimator(task: str, name: str, params: dict | None = None, n_train: int = 1, label_std: float = 1.0, num_classes: int = 2):
     """Spark ML estimator for a registry model (``featuresCol=features``, ``labelCol=label``).
     KNN is not an ``Estimator`` here; the benchmark runs it through ``knn_predict``."""
@@ -56,7 +64,7 @@ def build_estimator(task: str, name: str, params: dict | None = None, n_train: i
             return Pipeline(stages=[RandomFourierFeatures(outputCol="_rff", numFeatures=int(p.get("n_components", 200))),
                                     svr.setFeaturesCol("_rff")])
         if name == "Decision Tree":
-            return DecisionTreeRegressor(maxDepth=min(int(p["max_depth"]), 30),
+            return DecisionTreeRegressor(maxDepth=_depth(p["max_depth"]),
                                          minInstancesPerNode=max(1, math.ceil(int(p["min_samples_split"]) / 2)))
         raise ValueError(f"unknown regression model {name!r}")
     if name == "Logistic Regression":
@@ -78,12 +86,12 @@ def build_estimator(task: str, name: str, params: dict | None = None, n_train: i
     if name == "Naive Bayes":
         return NaiveBayes(modelType="gaussian")
     if name == "Random Forest":
-        return RandomForestClassifier(numTrees=int(p["n_estimators"]), maxDepth=min(int(p["max_depth"]), 30), seed=42)
+        return RandomForestClassifier(numTrees=int(p["n_estimators"]), maxDepth=_depth(p["max_depth"]), seed=42)
     if name == "XGBoost":  # gradient-boosted trees
-        gbt = GBTClassifier(maxIter=int(p["n_estimators"]), stepSize=float(p["learning_rate"]), maxDepth=min(int(p["max_depth"]), 30), seed=42)
+        gbt = GBTClassifier(maxIter=int(p["n_estimators"]), stepSize=float(p["learning_rate"]), maxDepth=_depth(p["max_depth"]), seed=42)
         return OneVsRest(classifier=gbt) if multi else gbt
     if name == "AdaBoost":
         return AdaBoostClassifier(numRounds=int(p["n_estimators"]), learningRate=float(p["learning_rate"]), numClasses=num_classes)
     if name == "Decision Tree":
-        return DecisionTreeClassifier(maxDepth=min(int(p.get("max_depth", 5)), 30))
+        return DecisionTreeClassifier(maxDepth=_depth(p.get("max_depth", 5)))
     raise ValueError(f"unknown classification model {name!r}")

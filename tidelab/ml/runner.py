@@ -10,6 +10,7 @@ values (a handful of numbers per model).
 
 from __future__ import annotations
 
+import datetime as dt
 import json
 import time
 from dataclasses import dataclass, field
@@ -18,14 +19,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from tidelab.functions.hashing import md5_key
 from tidelab.ml.knn import knn_predict
 from tidelab.ml.metrics import class_report, classification_metrics, confusion_long, regression_metrics, roc_auc
 from tidelab.ml.pipeline import build_estimator, build_preprocessing
-from tidelab.ml.split import stratified_split
+from tidelab.ml.split import hash_split, stratified_split
 from tidelab.ml.registry import default_models, merge_params
 from tidelab.sources.catalog import now
 from tidelab.operators.schema import infer_problem_type
-from tidelab.session import materialize, spread
+from tidelab.session import materialize
 
 RUN_SCHEMA = "run_id long, model_name string, status string, duration_ms long, error_message string, score double, rank int, params_json string"
 
@@ -98,44 +100,26 @@ def _with_score(pred: DataFrame) -> tuple[DataFrame, bool]:
     return pred, False
 
 
-def split_flag(key: F.Column, train_pct: float, seed: int) -> F.Column:
-    """``True`` for training rows: ``xxhash64(seed, key)`` bucketed into 10,000 slots, the first
-    ``train_pct`` percent train — one cheap hash per row, no string building."""
-    slots = int(round(float(train_pct) * 100))
-    return F.pmod(F.xxhash64(F.lit(int(seed)), key), F.lit(10000)) < F.lit(slots)
-
-
 def prepare_benchmark_data(df: DataFrame, target: str, features: list[str], task: str, train_split: float = 80,
-                           random_state: int = 42, stratify: bool = False):
+                           random_state: int = 42, stratify: bool = False, key: str | None = None):
     """Split, fit preprocessing on train, return materialised (train, test, stats).
 
     Feature statistics take one pass over the training rows; the transformed frame is written once
     as Parquet into the shared checkpoint folder, so every model reads the same frozen rows and a
     lost executor re-reads files instead of refitting anything."""
     labelled = df.where(F.col(target).isNotNull())
-    keyed = spread(labelled, rows=labelled.count())
-    # A spread (small, re-shuffled) input is kept in memory for the passes below; a large input is
-    # already parallel and is simply re-read, never cached whole.
-    cached = keyed is not labelled
+    labelled = labelled.withColumn("_key", F.col(key) if key else content_key(labelled, features + [target]))
     if stratify and task == "classification":
         # Exact per-class shares (skew-safe ranking; its result is already materialised).
-        keyed = stratified_split(keyed.withColumn("_key", content_key(keyed, features + [target])), target, "_key",
-                                 train_split, random_state).withColumnRenamed("is_train", "_is_train").drop("_key")
-        cached = False
+        keyed = stratified_split(labelled, target, "_key", train_split, random_state).withColumnRenamed("is_train", "_is_train")
     else:
-        keyed = keyed.withColumn("_is_train", split_flag(content_key(keyed, features + [target]), train_split, random_state))
-    if cached:
-        keyed = keyed.persist()
-    try:
-        # One statistics pass (training rows; label classes over all rows), then one transform pass.
-        pre = build_preprocessing(keyed, features, target, task, train_col="_is_train").fit(keyed)
-        prepared = materialize(
-            pre.transform(keyed).select("features", "label", "_is_train").withColumn("_rid", F.monotonically_increasing_id()),
-            "benchmark-data",
-        )
-    finally:
-        if cached:
-            keyed.unpersist()
+        keyed = hash_split(labelled, "_key", train_split, random_state).withColumnRenamed("is_train", "_is_train")
+    # One statistics pass (training rows; label classes over all rows), then one transform pass.
+    pre = build_preprocessing(keyed, features, target, task, train_col="_is_train").fit(keyed)
+    prepared = materialize(
+        pre.transform(keyed).select("features", "label", "_is_train", "_key").withColumn("_rid", F.monotonically_increasing_id()),
+        "benchmark-data",
+    )
     stats = prepared.agg(
         F.count_if("_is_train").alias("n_train"), F.count_if(~F.col("_is_train")).alias("n_test"),
         F.stddev_samp(F.when(F.col("_is_train"), F.col("label"))).alias("std"),
@@ -146,16 +130,27 @@ def prepare_benchmark_data(df: DataFrame, target: str, features: list[str], task
     return train, test, stats
 
 
+def failure_text(e: Exception) -> str:
+    """What went wrong, in one line: the error's type and the last line of each cause that says
+    something (a worker's traceback ends with the error itself)."""
+    said = [x.strip() for x in str(e).splitlines() if x.strip() and not x.lstrip().startswith(("at ", "File ", "Traceback", "JVM stacktrace"))]
+    lines = said[:1] + [x for x in said[1:] if "Error" in x or "Exception" in x][-1:]
+    return f"{type(e).__name__}: {' | '.join(lines)}"[:1000]
+
+
 def run_model(name: str, task: str, params: dict | None, train: DataFrame, test: DataFrame, stats) -> RunResult:
     merged = merge_params(name, params)
     num_classes = int(stats["max_label"] or 0) + 1 if task == "classification" else 0
     t0 = time.time()
     try:
         if name == "KNN":
-            nb = knn_predict(train, test, k=int(merged.get("n_neighbors", 5)), train_id="_rid", query_id="_rid",
+            # Ties go by the key, which does not change with the partitioning.
+            nb = knn_predict(train, test, k=int(merged.get("n_neighbors", 5)), train_id="_key", query_id="_rid",
                              features="features", label="label", task=task)
             pred = test.join(nb.withColumnRenamed("query_id", "_rid"), "_rid", "left")
-            pred = pred.withColumn("prediction", F.coalesce(F.col("prediction").cast("double"), F.lit(0.0)))
+            if pred.where(F.col("prediction").isNull()).limit(1).count():
+                raise ValueError("test rows without a neighbour: the training split is empty")
+            pred = pred.withColumn("prediction", F.col("prediction").cast("double"))
             has_score = False
         else:
             est = build_estimator(task, name, merged, n_train=stats["n_train"], label_std=stats["std"] or 1.0, num_classes=num_classes)
@@ -164,7 +159,7 @@ def run_model(name: str, task: str, params: dict | None, train: DataFrame, test:
         metrics = _evaluate(pred, task, num_classes, has_score)
         status, err = "completed", None
     except Exception as e:  # noqa: BLE001 - failure isolation: the run is recorded as failed
-        pred, metrics, status, err = None, {}, "failed", f"{type(e).__name__}: {str(e).splitlines()[0][:500]}"
+        pred, metrics, status, err = None, {}, "failed", failure_text(e)
     return RunResult(name, status, merged, metrics, int((time.time() - t0) * 1000), err, pred)
 
 
@@ -178,12 +173,14 @@ def benchmark(
     train_split: float = 80,
     random_state: int = 42,
     stratify: bool = False,
+    key: str | None = None,
 ) -> BenchmarkResult:
     """Fit and score every model of the task (or the given list) on one shared split
-    (``stratify=True``: exact per-class train shares for classification)."""
+    (``stratify=True``: exact per-class train shares for classification). The split goes by the
+    integer column ``key``, which is no feature then, or else by the rows' content."""
     task = task or infer_problem_type(df, target)
-    features = features or [c for c in df.columns if c != target]
-    train, test, stats = prepare_benchmark_data(df, target, features, task, train_split, random_state, stratify)
+    features = features or [c for c in df.columns if c not in (target, key)]
+    train, test, stats = prepare_benchmark_data(df, target, features, task, train_split, random_state, stratify, key)
     runs = [run_model(m, task, (params_by_model or {}).get(m), train, test, stats) for m in (models or default_models(task))]
     return BenchmarkResult(task, target, features, train_split, random_state, int(stats["n_train"]), int(stats["n_test"]), runs)
 
@@ -214,26 +211,30 @@ def train(df: DataFrame, target: str, model: str, task: str | None = None, param
 
 
 def cross_validate(df: DataFrame, target: str, model: str, task: str | None = None, folds: int = 3,
-                   params: dict | None = None, features: list[str] | None = None, seed: int = 42) -> DataFrame:
-    """k-fold CV with hash-assigned folds; one row per fold plus the mean (``fold = -1``)."""
+                   params: dict | None = None, features: list[str] | None = None, seed: int = 42,
+                   key: str | None = None) -> DataFrame:
+    """k-fold CV; a row's fold is the md5 of its key (the column ``key``, else its content) modulo
+    ``folds``. One row per fold with its counts and scores, plus the mean (``fold = -1``)."""
     spark = df.sparkSession
     task = task or infer_problem_type(df, target)
-    features = features or [c for c in df.columns if c != target]
+    features = features or [c for c in df.columns if c not in (target, key)]
     labelled = df.where(F.col(target).isNotNull())
-    base = spread(labelled, rows=labelled.count())
-    keyed = materialize(base.withColumn("_fold", F.pmod(F.xxhash64(F.lit(int(seed)), content_key(base, features + [target])), F.lit(folds))), "cv-folds")
+    labelled = labelled.withColumn("_key", F.col(key) if key else content_key(labelled, features + [target]))
+    keyed = materialize(labelled.withColumn("_fold", F.pmod(md5_key(seed, "_key"), F.lit(folds))), "cv-folds")
     rows = []
     for k in range(folds):
         fold = keyed.withColumn("_is_train", F.col("_fold") != k)
         pre = build_preprocessing(fold, features, target, task, train_col="_is_train").fit(fold)
         ptr, pte = pre.transform(fold.where("_is_train")), pre.transform(fold.where(~F.col("_is_train")))
-        ptr = ptr.select("features", "label").withColumn("_rid", F.monotonically_increasing_id())
-        pte = pte.select("features", "label").withColumn("_rid", F.monotonically_increasing_id() + F.lit(1 << 40))
+        ptr = ptr.select("features", "label", "_key")
+        pte = materialize(pte.select("features", "label", "_key").withColumn("_rid", F.monotonically_increasing_id()), "cv-test")
         st = ptr.agg(F.count(F.lit(1)).alias("n_train"), F.stddev_samp("label").alias("std"), F.max("label").alias("max_label")).collect()[0]
         r = run_model(model, task, params, ptr, pte, st)
-        rows.append((k, r.status, r.score, json.dumps(r.metrics, sort_keys=True)))
-    out = spark.createDataFrame(rows, "fold int, status string, score double, metrics_json string")
-    mean = out.agg(F.lit(-1).alias("fold"), F.lit("mean").alias("status"), F.avg("score").alias("score"), F.lit(None).cast("string").alias("metrics_json"))
+        rows.append((k, r.status, int(st["n_train"]), pte.count(), r.score, json.dumps(r.metrics, sort_keys=True)))
+    out = spark.createDataFrame(rows, "fold int, status string, n_train long, n_test long, score double, metrics_json string")
+    none = lambda kind, name: F.lit(None).cast(kind).alias(name)
+    mean = out.agg(F.lit(-1).alias("fold"), F.lit("mean").alias("status"), none("long", "n_train"), none("long", "n_test"),
+                   F.avg("score").alias("score"), none("string", "metrics_json"))
     return out.unionByName(mean)
 
 
@@ -246,12 +247,13 @@ def save_benchmark(catalog, result: BenchmarkResult, dataset_id: int | None = No
     ts = now()
     catalog.log("experiments").append(spark.createDataFrame([(
         exp_id, dataset_id, experiment_name or f"Benchmark {result.task}", result.task, result.target,
-        float(result.train_rows), float(result.test_rows), result.random_state, result.task, float(result.train_split),
+        result.train_split / 100, 1 - result.train_split / 100, result.random_state, result.task, float(result.train_split),
         json.dumps(results), json.dumps({r.model_name: r.params for r in result.runs}, sort_keys=True),
         json.dumps(result.features), ts)], catalog.schema("experiments")))
     base_run = catalog.log("model_runs").max_id()
     catalog.log("model_runs").append(spark.createDataFrame(
-        [(base_run + i + 1, exp_id, r.model_name, r.status, ts, ts, r.duration_ms, r.error) for i, r in enumerate(result.runs)],
+        [(base_run + i + 1, exp_id, r.model_name, r.status, ts - dt.timedelta(milliseconds=r.duration_ms), ts, r.duration_ms, r.error)
+         for i, r in enumerate(result.runs)],
         catalog.schema("model_runs")))
     catalog.log("model_configs").append(spark.createDataFrame(
         [(None, base_run + i + 1, json.dumps(r.params, sort_keys=True)) for i, r in enumerate(result.runs)], catalog.schema("model_configs")))

@@ -95,15 +95,16 @@ def chart_data(
         .select(
             safe_string(F.col("_label")).alias("label"),
             F.coalesce(round_value(F.col("_agg"), 2), F.lit(0.0)).alias("value"),
+            F.col("_label"),
         )
     )
     if order_by == "label":
-        ordered = grouped.orderBy(F.col("label").asc())
+        ordered = grouped.orderBy(F.col("_label").asc())  # typed: 2 comes before 10
     elif chart_type == "line":
         ordered = grouped.orderBy(F.col("value").asc(), F.col("label").asc())
     else:
         ordered = grouped.orderBy(F.col("value").desc(), F.col("label").asc())
-    top = ordered.limit(k)
+    top = ordered.limit(k).drop("_label")
     if share or (share is None and chart_type == "pie"):
         # The window runs over at most 500 rows (after the limit): a single task is fine here.
         total = F.sum("value").over(Window.partitionBy())
@@ -170,12 +171,17 @@ def _ident(name: str) -> str:
 
 
 def chart_sql(table: str, chart_type: str, x: str, y: str | None = None, aggregation: str = "sum", limit: int = 12) -> str:
-    """The SQL text equivalent to ``chart_data`` on a registered view — what the history records."""
-    k = clamp_limit(limit)
+    """SQL text that gives the rows of ``chart_data`` on a registered view, for the history: the same
+    rounding of the binary value, the same tie-break by label."""
+    source, label = _ident(table), _ident(x)
+    kept = [label] + ([_ident(y)] if chart_type == "scatter" else [])
+    where = " AND ".join(f"{c} IS NOT NULL" for c in kept)
+    rows = f"FROM {source} WHERE {where}"
     if chart_type == "scatter":
-        return (f"SELECT {_ident(x)} AS x, {_ident(y)} AS y FROM {_ident(table)} "
-                f"WHERE {_ident(x)} IS NOT NULL AND {_ident(y)} IS NOT NULL LIMIT {k}")
-    agg = "COUNT(*)" if aggregation == "count" or not y else f"{aggregation.upper()}({_ident(y)})"
-    direction = "ASC" if chart_type == "line" else "DESC"
-    return (f"SELECT {_ident(x)} AS label, ROUND({agg}, 2) AS value FROM {_ident(table)} "
-            f"WHERE {_ident(x)} IS NOT NULL GROUP BY {_ident(x)} ORDER BY value {direction} LIMIT {k}")
+        picked = ", ".join(f"TRY_CAST({c} AS DOUBLE) AS {name}" for c, name in zip(kept, ("x", "y"), strict=True))
+        return f"SELECT {picked} {rows} LIMIT {clamp_limit(limit)}"
+    counted = aggregation == "count" or not y
+    measure = "count(1)" if counted else f"{aggregation}({_ident(y)})"
+    rounded = f"coalesce(round(CAST({measure} AS DOUBLE) * 100.0D, 0) / 100.0D, 0.0D)"
+    order = "value, label" if chart_type == "line" else "value DESC, label"
+    return f"SELECT CAST({label} AS STRING) AS label, {rounded} AS value {rows} GROUP BY {label} ORDER BY {order} LIMIT {clamp_limit(limit)}"

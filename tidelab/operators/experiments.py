@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from tidelab.plans.ranking import rank_within
 
 # Score precedence (first present wins).
-SCORE_PRECEDENCE = ["score", "f1", "r2", "accuracy"]
+SCORE_PRECEDENCE = ["score", "f1", "r2", "accuracy", "roc_auc"]
 
 
 def _dedup_ids(metrics: DataFrame) -> DataFrame:
@@ -29,7 +29,7 @@ def _latest(metric: str):
 
 
 def run_scores(metrics: DataFrame, precedence: list[str] | None = None) -> DataFrame:
-    """``(run_id, score)`` — first present of score, f1, r2, accuracy (the latest of each)."""
+    """``(run_id, score)`` — first present of score, f1, r2, accuracy, roc_auc (the latest of each)."""
     names = precedence or SCORE_PRECEDENCE
     m = _dedup_ids(metrics.where(F.col("metric_name").isin(names)))
     agg = m.groupBy("run_id").agg(*[_latest(n).alias(f"_m_{i}") for i, n in enumerate(names)])
@@ -69,9 +69,13 @@ def list_experiments(experiments: DataFrame, runs: DataFrame, metrics: DataFrame
         F.count_if(F.col("status") == "failed").alias("failed_runs"),
         F.round(F.avg(F.when(F.col("duration_ms") > 0, F.col("duration_ms")))).alias("avg_duration_ms"),
     )
-    # Best run = first leaderboard entry, kept only when usable (a failed or unscored run is no "best").
-    best = leaderboard(runs, metrics).where((F.col("rank") == 1) & (F.col("ok") == 1)).select(
-        F.col("experiment_id").alias("_bx"), F.col("model_name").alias("best_model"), F.col("score").alias("best_score"))
+    # Best run: the highest score among usable runs, of those the smallest id. Two aggregates with
+    # map-side combine; no run is ranked.
+    usable = scored_runs(runs, metrics).where(_usable()).select("experiment_id", "id", "model_name", "score")
+    top = usable.groupBy("experiment_id").agg(F.max("score").alias("best_score"))
+    at_top = usable.join(top, "experiment_id").where(F.col("score") == F.col("best_score"))
+    best = at_top.groupBy(F.col("experiment_id").alias("_bx")).agg(
+        F.min_by("model_name", "id").alias("best_model"), F.max("best_score").alias("best_score"))
     e = experiments.alias("e")
     j = e.join(per, F.col("e.id") == per.experiment_id, "left").join(best, F.col("e.id") == F.col("_bx"), "left")
     return j.select(
@@ -85,6 +89,11 @@ def list_experiments(experiments: DataFrame, runs: DataFrame, metrics: DataFrame
     ).orderBy(F.col("e.id").desc())
 
 
+def list_created(rows: DataFrame) -> DataFrame:
+    """Any log newest first by its creation time, of equal times the larger id first."""
+    return rows.orderBy(F.col("created_at").desc_nulls_last(), F.col("id").desc())
+
+
 def list_runs(runs: DataFrame, experiment_id: int | None = None) -> DataFrame:
     if experiment_id is not None:
         runs = runs.where(F.col("experiment_id") == F.lit(experiment_id))

@@ -58,7 +58,7 @@ def _reader(spark: SparkSession, multiline: bool):
     )
 
 
-def read_header(spark: SparkSession, path: str, multiline: bool = True) -> list[str]:
+def read_header(spark: SparkSession, path: str, multiline: bool = False) -> list[str]:
     first = _reader(spark, multiline).option("header", False).csv(path).limit(1).collect()
     if not first:
         raise IngestError("CSV needs a header and at least one data row")
@@ -68,12 +68,18 @@ def read_header(spark: SparkSession, path: str, multiline: bool = True) -> list[
     return raw
 
 
-def read_csv_text(spark: SparkSession, path: str, multiline: bool = True) -> DataFrame:
-    """Body of the CSV as all-string columns named by B1/B2, all-blank rows dropped."""
-    names = header_names(read_header(spark, path, multiline))
-    schema = T.StructType([T.StructField(n, T.StringType(), True) for n in names])
-    body = _reader(spark, multiline).option("header", True).option("enforceSchema", True).schema(schema).csv(path)
-    return drop_blank_rows(body)
+def read_csv_text(spark: SparkSession, path: str, multiline: bool = False) -> DataFrame:
+    """Body of the CSV as all-string columns named by B1/B2, all-blank rows dropped.
+
+    Where the header's names can be a schema (none empty, none twice), Spark checks the header of
+    every file of a folder against it and fails on another order or another name; other headers are
+    read by position."""
+    header = read_header(spark, path, multiline)
+    names = header_names(header)
+    checked = all(h.strip() for h in header) and len({h.lower() for h in header}) == len(header)
+    schema = T.StructType([T.StructField(n, T.StringType(), True) for n in (header if checked else names)])
+    body = _reader(spark, multiline).option("header", True).option("enforceSchema", not checked).schema(schema).csv(path)
+    return drop_blank_rows(body.toDF(*names))
 
 
 def _import_problem_type(data_type: str | None, unique_count: int) -> str:
@@ -88,12 +94,13 @@ def ingest_csv(
     name: str | None = None,
     target: str | None = None,
     problem_type: str | None = None,
-    multiline: bool = True,
+    multiline: bool = False,
     catalog=None,
     description: str | None = None,
     approx_distinct: bool = False,
 ) -> IngestResult:
-    """Read, clean, type, profile and (with a catalog) register a CSV file or folder."""
+    """Read, clean, type, profile and (with a catalog) register a CSV file or folder. ``multiline``
+    is for files whose quoted cells hold line ends; such a file is read by one task."""
     text = read_csv_text(spark, path, multiline)
     stage = scratch_dir(spark, "ingest-stage")
     text.write.mode("overwrite").parquet(stage)
@@ -158,4 +165,4 @@ def ingest_csv_text(spark: SparkSession, text: str, name: str | None = None, **k
     folder = scratch_dir(spark, "csv-text")
     path = f"{folder}/upload.csv"
     write_text(spark, path, text.replace("\r\n", "\n").replace("\r", "\n"))
-    return ingest_csv(spark, path, name=name or "pasted", **kwargs)
+    return ingest_csv(spark, path, name=name or "pasted", **{"multiline": True, **kwargs})

@@ -8,6 +8,7 @@ prepare(id, ...)       prepared version with lineage (D1–D15)
 preparations(id)       preparations newest first (D13)
 run_sql(q, ...)        guarded read-only SQL with history (F1–F5)
 sql_history(id)        query history newest first (F4)
+chart(id, ...)         chart points, logged as a query (E, F8); suggest_chart(id) a preset (E10)
 models()               model registry (G13)
 train(id, model, ...)  one model; train_all(id, ...) every model of the task (G21, G22)
 experiments(id)        experiment list with run counts and best model (H5)
@@ -27,6 +28,7 @@ from pyspark.sql import functions as F
 
 from tidelab.ml.registry import model_registry
 from tidelab.ml.runner import benchmark, resolve_inputs, save_benchmark
+from tidelab.operators.charts import ChartPreset, chart_data, suggest_chart
 from tidelab.operators.experiments import experiment_details, leaderboard, list_experiments
 from tidelab.operators.prep import list_preparations
 from tidelab.operators.profile import Profile, profile
@@ -85,6 +87,19 @@ class Workbench:
     def sql_history(self, dataset_id: int | None = None) -> DataFrame:
         return self.lab.history(dataset_id)
 
+    # charts -------------------------------------------------------------------------------
+    def suggest_chart(self, dataset_id: int) -> ChartPreset:
+        return suggest_chart(self.catalog.load(dataset_id))
+
+    def chart(self, dataset_id: int, chart_type: str, x: str, y: str | None = None, aggregation: str = "sum",
+              limit: int = 12) -> DataFrame:
+        """Chart points of a dataset; the equivalent SQL goes to the query history."""
+        out = chart_data(self.catalog.load(dataset_id), chart_type, x, y, aggregation, limit)
+        meta = self.catalog.dataset(dataset_id)
+        table = self.catalog.table_name(dataset_id, meta["storage_key"])
+        self.lab.log_chart(table, chart_type, x, y, aggregation, limit, dataset_id)
+        return out
+
     # models -------------------------------------------------------------------------------
     def models(self) -> DataFrame:
         return model_registry(self.spark)
