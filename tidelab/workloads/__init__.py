@@ -3,6 +3,7 @@ an optional equivalent DuckDB SQL text used as an independent oracle."""
 
 from __future__ import annotations
 
+import importlib
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -25,14 +26,10 @@ def register(name: str, sql: str | None = None):
     return deco
 
 
+MODULES = ("charts", "schema", "profile", "prep", "sqllab", "ingest", "ml", "experiments", "catalog")
+
+
 def load_all() -> tuple[dict[str, Workload], dict[str, str]]:
-    # Import for side effects (registration).
-    from tidelab.workloads import charts  # noqa: F401
-
-    for mod in ("schema", "profile", "prep", "sqllab", "ingest", "ml", "experiments", "catalog"):
-        try:
-            __import__(f"tidelab.workloads.{mod}")
-        except ModuleNotFoundError as e:
-            if e.name != f"tidelab.workloads.{mod}":
-                raise
+    for mod in MODULES:  # imported for their registrations
+        importlib.import_module(f"tidelab.workloads.{mod}")
     return dict(REGISTRY), dict(ORACLE)

@@ -21,7 +21,7 @@ from tidelab.operators.experiments import (
 from tidelab.session import read_table
 from tidelab.workloads import register
 
-_METRIC_NAME = "CASE l_linenumber WHEN 1 THEN 'accuracy' WHEN 2 THEN 'r2' WHEN 3 THEN 'f1' WHEN 4 THEN 'score' WHEN 5 THEN 'accuracy' ELSE 'rmse' END"
+_METRIC_NAME = "CASE WHEN l_linenumber = 1 AND l_orderkey % 5 = 0 THEN 'roc_auc' ELSE CASE l_linenumber WHEN 1 THEN 'accuracy' WHEN 2 THEN 'r2' WHEN 3 THEN 'f1' WHEN 4 THEN 'score' WHEN 5 THEN 'accuracy' ELSE 'rmse' END END"
 
 LOG_SQL = {
     "runs": """SELECT o_orderkey AS id, o_custkey AS experiment_id, o_orderpriority AS model_name,
@@ -52,7 +52,7 @@ def _logs(spark, sf_dir):
         (F.floor("o_totalprice").cast("long") - 150000).alias("duration_ms"),
     )
     ln = F.col("l_linenumber")
-    name = (F.when(ln == 1, "accuracy").when(ln == 2, "r2").when(ln == 3, "f1").when(ln == 4, "score")
+    name = (F.when((ln == 1) & (F.col("l_orderkey") % 5 == 0), "roc_auc").when(ln == 1, "accuracy").when(ln == 2, "r2").when(ln == 3, "f1").when(ln == 4, "score")
             .when(ln == 5, "accuracy").otherwise("rmse"))
     metrics = li.select(
         (F.col("l_orderkey") * 10 + ln).alias("id"), F.col("l_orderkey").alias("run_id"), name.alias("metric_name"),
@@ -85,8 +85,9 @@ _SCORES = """scores AS (
   SELECT run_id, COALESCE(max_by(metric_value, CASE WHEN metric_name = 'score' THEN {'i': id, 'v': metric_value} END),
                           max_by(metric_value, CASE WHEN metric_name = 'f1' THEN {'i': id, 'v': metric_value} END),
                           max_by(metric_value, CASE WHEN metric_name = 'r2' THEN {'i': id, 'v': metric_value} END),
-                          max_by(metric_value, CASE WHEN metric_name = 'accuracy' THEN {'i': id, 'v': metric_value} END)) AS score
-  FROM metrics WHERE metric_name IN ('score', 'f1', 'r2', 'accuracy') GROUP BY run_id),
+                          max_by(metric_value, CASE WHEN metric_name = 'accuracy' THEN {'i': id, 'v': metric_value} END),
+                          max_by(metric_value, CASE WHEN metric_name = 'roc_auc' THEN {'i': id, 'v': metric_value} END)) AS score
+  FROM metrics WHERE metric_name IN ('score', 'f1', 'r2', 'accuracy', 'roc_auc') GROUP BY run_id),
 scored AS (
   SELECT r.*, s.score, CASE WHEN r.status <> 'failed' AND s.score IS NOT NULL THEN 1 ELSE 0 END AS ok
   FROM runs r LEFT JOIN scores s ON r.id = s.run_id)"""

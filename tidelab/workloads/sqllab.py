@@ -69,26 +69,22 @@ SELECT o_custkey, COUNT(*) AS n_orders FROM orders GROUP BY o_custkey HAVING COU
 }
 
 
-_LABS: dict[tuple[int, str], SqlLab] = {}
-# Session settings carried over to the lab's own session.
-_CARRY = ("spark.sql.shuffle.partitions", "spark.sql.session.timeZone", "spark.sql.ansi.enabled",
-          "spark.sql.adaptive.enabled", "spark.sql.autoBroadcastJoinThreshold")
+_LABS: dict[tuple[str, str], SqlLab] = {}
 
 
 def _lab(spark, sf_dir) -> SqlLab:
     """Lab over the supplied tables in a child session (same SparkContext, own temp views), so the
     caller's views are never replaced; one child per folder, views registered once."""
-    key = (id(spark), sf_dir)
+    key = (spark.sparkContext.applicationId, sf_dir)
     lab = _LABS.get(key)
     if lab is None:
-        child = spark.newSession()
-        for k in _CARRY:
-            v = spark.conf.get(k, None)
-            if v is not None:
-                child.conf.set(k, v)
-        lab = SqlLab(child)
+        lab = SqlLab(spark.newSession())
         lab.register_tables(sf_dir, TABLES)
         _LABS[key] = lab
+    own = {k: v for k, v in spark.conf.getAll.items() if k.startswith("spark.sql.")}
+    for k, v in own.items():  # the caller's settings hold in the lab's session too
+        if lab.spark.conf.isModifiable(k) and lab.spark.conf.get(k, None) != v:
+            lab.spark.conf.set(k, v)
     return lab
 
 
