@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidelab.llm.common import owned_dir
+from tidelab.llm.common import scratch_dir
 from tidelab.llm.decontam import drop_leaked
 from tidelab.llm.packing import pack_documents
 from tidelab.llm.queries import vocabulary
@@ -59,7 +59,7 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        path = owned_dir(spark, f"stage-{name}")
+        path = scratch_dir(spark, f"stage-{name}")
         out = stage(spark, docs, sf_dir)
         out.write.parquet(path)
         docs = spark.read.schema(out.schema).parquet(path)

@@ -4,6 +4,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tidelab.llm import decontam, quality, toxicity
 from tidelab.llm.labelled import fit_platt
@@ -88,7 +89,7 @@ def test_leaks_hold_all_verbatim_copies(spark):
     got = {(r.doc_id, r.item_id) for r in decontam.find_leaks(docs, items).where("score = 1").collect()}
     want = {
         (r.doc_id, r.item_id)
-        for r in docs.join(items.withColumnRenamed("text", "item"), docs.text.contains(items.text)).select("doc_id", "item_id").collect()
+        for r in docs.join(items.withColumnRenamed("text", "item"), F.col("text").contains(F.col("item"))).select("doc_id", "item_id").collect()
     }
     assert want <= got and len(got) <= len(want) + 3
 

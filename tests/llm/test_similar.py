@@ -119,8 +119,8 @@ def test_near_pairs_small_tiles(spark):
 def test_keep_one(odd_documents):
     kept = simhash.keep_one(odd_documents)
     assert kept.schema == odd_documents.schema
-    ids = sorted(r.doc_id for r in kept.collect())
-    assert ids == sorted(set(ids)) and 1 in ids and 2 in ids and 3 not in ids
+    ids = [r.doc_id for r in kept.collect()]
+    assert len(ids) == len(set(ids)) and {None, 1, 2} <= set(ids) and not {3, 4} & set(ids)
 
 
 def brute_links(rows, least=0.93):
@@ -191,7 +191,8 @@ def jump(key, shards):
 def test_jump_hash(spark):
     from pyspark.sql import functions as F
 
-    keys = [0, 1, -1, 2**63 - 1, -(2**63), *random.Random(1).sample(range(-(2**62), 2**62), 200)]
+    rnd = random.Random(1)
+    keys = [0, 1, -1, 2**63 - 1, -(2**63), *(rnd.randrange(-(2**62), 2**62) for _ in range(200))]
     df = spark.createDataFrame([(k,) for k in keys], "k long")
     for shards in (1, 2, 8, 100, 5000):
         got = df.select("k", sharding.jump_shard(F.col("k"), shards, unrolled=6 if shards < 5000 else 48).alias("s")).collect()

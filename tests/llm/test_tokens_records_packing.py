@@ -10,7 +10,7 @@ import pytest
 from tokenizers import Tokenizer
 
 from tidelab.llm import packing, records
-from tidelab.llm.common import owned_dir
+from tidelab.llm.common import scratch_dir
 from tidelab.llm.tokens import WordwiseEncoder
 
 BYTES = public_tokenizers.path("byte_bpe_50k.json")
@@ -52,7 +52,7 @@ def test_records_round_trip(spark, documents):
 
 
 def test_records_odd_rows_and_shuffled_reads(spark, odd_documents):
-    path = owned_dir(spark, "t-records")
+    path = scratch_dir(spark, "t-records")
     records.write_records(odd_documents, path, BYTES)
     index = records.build_index(spark, path)
     table = records.token_table(index).collect()

@@ -2,77 +2,21 @@
 
 from __future__ import annotations
 
-import atexit
-import io
-import os
-import zipfile
 from collections.abc import Iterable
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidelab.session import scratch_dir
-
-_shipped: set[str] = set()
-_owned: dict[str, list[str]] = {}
-
-
-def ship(spark: SparkSession) -> None:
-    """Send this package to the executors once per application, so that tasks can import it even
-    where the repository is not on the workers' path."""
-    app = spark.sparkContext.applicationId
-    if app in _shipped:
-        return
-    import tempfile
-
-    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
-    buf = io.BytesIO()
-    with zipfile.ZipFile(buf, "w", zipfile.ZIP_DEFLATED) as z:
-        for folder, _, names in os.walk(root):
-            for name in names:
-                if name.endswith(".py"):
-                    full = os.path.join(folder, name)
-                    z.write(full, os.path.relpath(full, os.path.dirname(root)))
-    path = os.path.join(tempfile.mkdtemp(prefix="tidelab-ship-"), "tidelab_pkg.zip")
-    with open(path, "wb") as f:
-        f.write(buf.getvalue())
-    spark.sparkContext.addPyFile(path)
-    _shipped.add(app)
-
-
-def drop_path(spark: SparkSession, path: str) -> None:
-    """Delete a scratch folder this library made."""
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
-
-
-def _clean() -> None:
-    spark = SparkSession.getActiveSession()
-    if spark is None:
-        return
-    try:
-        for path in _owned.pop(spark.sparkContext.applicationId, []):
-            drop_path(spark, path)
-    except Exception:  # noqa: BLE001 - the application is ending; its shared folder is cleaned by the cluster
-        return
-
-
-atexit.register(_clean)
-
-
-def owned_dir(spark: SparkSession, name: str) -> str:
-    """A fresh folder under ``spark.checkpoint.dir`` that goes when the application ends."""
-    path = scratch_dir(spark, name)
-    _owned.setdefault(spark.sparkContext.applicationId, []).append(path)
-    return path
+from tidelab.session import drop_path, scratch_dir
+from tidelab.session import ship_package as ship
 
+__all__ = ["components", "drop_path", "free_name", "local_forest", "parallel_slots", "scratch_dir", "ship", "stored", "utf8"]
 
 def stored(df: DataFrame, name: str) -> tuple[DataFrame, str]:
     """Write ``df`` as Parquet in the shared folder and read it back: cuts lineage and survives
     the loss of executors. Returns the frame and its folder (for ``drop_path`` when done)."""
-    path = owned_dir(df.sparkSession, name)
+    path = scratch_dir(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path), path
 

@@ -30,7 +30,7 @@ def word_hashes(text: bytes, cache: dict[bytes, int]) -> np.ndarray:
     from xxhash import xxh64_intdigest
 
     words = words_of(text)
-    if len(cache) > 500_000:
+    if len(cache) > 200_000:
         cache.clear()
     for w in set(words).difference(cache):
         cache[w] = xxh64_intdigest(w)

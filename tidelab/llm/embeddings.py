@@ -49,9 +49,10 @@ def spread_out(sample: np.ndarray, count: int, apart: float = 0.7) -> np.ndarray
     return sample[chosen]
 
 
-def describe(classes: DataFrame, pivots: np.ndarray, nearest: int) -> DataFrame:
+def describe(classes: DataFrame, pivots: np.ndarray, nearest: int, kind: str) -> DataFrame:
     """``(cid, grp, n, vec binary, near array<int>)``: ``near`` are the numbers of the nearest pivots
-    by cosine, nearest first by construction of the index, sorted for the lists."""
+    by cosine, sorted for the lists; ``vec`` holds the components as numpy ``kind``, the width they
+    came in."""
     dim = pivots.shape[1]
     unit = pivots / np.linalg.norm(pivots, axis=1, keepdims=True)
     k = min(nearest, len(unit))
@@ -63,7 +64,7 @@ def describe(classes: DataFrame, pivots: np.ndarray, nearest: int) -> DataFrame:
                 x = _matrix(batch.column(3).slice(at, 4096), dim)
                 near[at : at + 4096] = np.argsort(-(x @ unit.T), axis=1, kind="stable")[:, :k]
             near.sort(axis=1)
-            vecs = [np.asarray(v, np.float64).tobytes() for v in batch.column(3).to_pylist()]
+            vecs = [np.asarray(v, kind).tobytes() for v in batch.column(3).to_pylist()]
             yield pa.RecordBatch.from_arrays(
                 [*batch.columns[:3], pa.array(vecs, pa.binary()), pa.array(list(near), pa.list_(pa.int32()))],
                 ["cid", "grp", "n", "vec", "near"],
@@ -96,7 +97,7 @@ def _tile_links(rows: dict, mine: np.ndarray, theirs: np.ndarray, heads: list[in
             yield x[close], y[close]
 
 
-def _work(table: pa.Table, pivots: int, share: int, least: float) -> pa.Table:
+def _work(table: pa.Table, pivots: int, share: int, least: float, kind: str) -> pa.Table:
     """All tiles of a unit of work: per class with links, how many vectors they lead to and one link
     to the smallest class its tile connects it with."""
     keys = np.column_stack([table.column(c).to_numpy() for c in ("grp", "p1", "p2", "row", "col")])
@@ -113,7 +114,7 @@ def _work(table: pa.Table, pivots: int, share: int, least: float) -> pa.Table:
             continue
         _, p1, p2, row, col = keys[a]
         heads = [int(p1)] if p2 < 0 else [int(p1), int(p2)]
-        vec = np.frombuffer(b"".join(raw[i] for i in order[a:b]), np.float64).reshape(b - a, -1)
+        vec = np.frombuffer(b"".join(raw[i] for i in order[a:b]), kind).reshape(b - a, -1).astype(np.float64)
         rows = {"near": near[a:b], "unit": vec / np.linalg.norm(vec, axis=1, keepdims=True)}
         here = np.arange(b - a)
         mine, theirs = (here, here) if row == col else (here[side[a:b] == row], here[side[a:b] == col])
@@ -139,7 +140,7 @@ def _work(table: pa.Table, pivots: int, share: int, least: float) -> pa.Table:
     return pa.table({c: pa.array(np.concatenate(p), pa.int64()) for c, p in zip(("cid", "root", "links"), parts, strict=True)})
 
 
-def pivot_links(described: DataFrame, pivots: int, share: int, least: float, tile: int) -> DataFrame:
+def pivot_links(described: DataFrame, pivots: int, share: int, least: float, tile: int, kind: str) -> DataFrame:
     """``(cid, root, links)`` rows of all tiles over the inverted lists of ``described``."""
     spark = described.sparkSession
     at = F.expr(f"sequence(0, greatest(size(near) - {share}, 0))")
@@ -171,7 +172,7 @@ def pivot_links(described: DataFrame, pivots: int, share: int, least: float, til
     return (
         spread.withColumn("unit", F.pmod(F.xxhash64("grp", "p1", "p2", "row", "col"), F.lit(units)))
         .groupBy("unit")
-        .applyInArrow(lambda t: _work(t, pivots, share, least), "cid long, root long, links long")
+        .applyInArrow(lambda t: _work(t, pivots, share, least, kind), "cid long, root long, links long")
     )
 
 
@@ -188,6 +189,7 @@ def near_vectors(
     rows link with each other; a null id is passed over when a component's smallest is taken. An empty
     table gives no rows, other columns are not read."""
     spark = vectors.sparkSession
+    kind = "<f4" if dict(vectors.dtypes)[vector_col] == "array<float>" else "<f8"
     rows = vectors.select(
         F.col(id_col).cast("long").alias("vec_id"), F.col(label_col).alias("label"),
         F.col(vector_col).cast("array<double>").alias("vector"),
@@ -209,8 +211,8 @@ def near_vectors(
         for i, r in enumerate(sample):
             points[i, : len(r[0])] = r[0]
         points = spread_out(points, pivots)
-        described, _ = stored(describe(classes, points, nearest), "described")
-        links, _ = stored(pivot_links(described, len(points), min(share, len(points)), least, tile), "vector-links")
+        described, _ = stored(describe(classes, points, nearest, kind), "described")
+        links, _ = stored(pivot_links(described, len(points), min(share, len(points)), least, tile, kind), "vector-links")
     else:
         links = spark.createDataFrame([], "cid long, root long, links long")
     found = links.groupBy("cid").agg(F.sum("links").alias("links"))

@@ -42,7 +42,7 @@ def ngrams(text: bytes, cache: dict[bytes, int]) -> set[int]:
     grams = set(shapes)
     grams.update(map(b" ".join, zip(shapes, shapes[1:], strict=False)))
     grams.update(map(b" ".join, zip(shapes, shapes[1:], shapes[2:], strict=False)))
-    if len(cache) > 500_000:
+    if len(cache) > 200_000:
         cache.clear()
     for g in grams.difference(cache):
         cache[g] = crc32(g) & ((1 << BITS) - 1)

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tidelab.llm.common import owned_dir, parallel_slots, ship, utf8
+from tidelab.llm.common import scratch_dir, parallel_slots, ship, utf8
 from tidelab.llm.tokens import encoder, slices
 
 MASK_DELTA = 0xA282EAD8  # fixed value of the record format
@@ -186,6 +186,6 @@ def token_table(index: DataFrame) -> DataFrame:
 
 def token_records(spark: SparkSession, docs: DataFrame, tokenizer: str) -> DataFrame:
     """Write the records and their index to the shared folder and report every document from them."""
-    path = owned_dir(spark, "records")
+    path = scratch_dir(spark, "records")
     write_records(docs, path, tokenizer)
     return token_table(build_index(spark, path))

@@ -216,9 +216,18 @@ def simhash_groups(
 
 def keep_one(docs: DataFrame, words: int = 3, radius: int = 3) -> DataFrame:
     """``docs`` with one row left of each group: the one with the smallest doc_id. Of rows that
-    repeat that doc_id in one group one is left; rows of a group without any id leave one."""
+    repeat that doc_id in one group one is left; rows of a group without any id leave one.
+
+    The texts are shuffled once, to meet the chosen ids; only rows whose id repeats, if there are
+    any, are aggregated after that."""
     tag = free_name(docs.columns, "_kept_id")
-    groups = simhash_groups(docs, words, radius)
-    chosen = groups.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias(tag)).distinct()
-    kept = docs.join(chosen, docs["doc_id"].eqNullSafe(chosen[tag]), "left_semi")
-    return kept.dropDuplicates(["doc_id"])
+    groups, _ = stored(simhash_groups(docs, words, radius), "groups")
+    chosen = (
+        groups.where(F.col("doc_id").eqNullSafe(F.col("component_id")))
+        .groupBy(F.col("doc_id").alias(tag)).agg(F.count(F.lit(1)).alias("n"))
+    )
+    chosen, _ = stored(chosen, "chosen")
+    meet = lambda ids: docs.join(ids.select(tag), docs["doc_id"].eqNullSafe(F.col(tag)), "left_semi")
+    repeated = chosen.where("n > 1")
+    kept = meet(chosen.where("n = 1"))
+    return kept if repeated.isEmpty() else kept.unionByName(meet(repeated).dropDuplicates(["doc_id"]))

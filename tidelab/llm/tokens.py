@@ -25,7 +25,7 @@ class WordwiseEncoder:
     the longer words, which come back least, are dropped.
     """
 
-    def __init__(self, path: str, kind: str, capacity: int = 1_000_000):
+    def __init__(self, path: str, kind: str, capacity: int = 500_000):
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
@@ -86,9 +86,9 @@ class WordwiseEncoder:
                 self.inner[w] = self.inner[base] + (self.signs[sign] if sign else b"")
 
     def _trim(self) -> None:
-        """Drop the longer words, then shorter ones, until half of the table is free."""
+        """Drop the longer words, then shorter ones, until a third of the table is free."""
         longest = 9
-        while len(self.inner) > self.capacity // 2 and longest >= 0:
+        while len(self.inner) > 2 * self.capacity // 3 and longest >= 0:
             self.inner = {w: ids for w, ids in self.inner.items() if len(w) <= longest}
             longest -= 1
 
@@ -132,7 +132,7 @@ def encoder(path: str, kind: str) -> WordwiseEncoder:
     return _made[(path, kind)]
 
 
-def slices(texts: list, most: int = 4 << 20):
+def slices(texts: list, most: int = 3 << 19):
     """Index ranges of ``texts`` with about ``most`` characters each (a longer text alone)."""
     at = size = 0
     for i, t in enumerate(texts):

@@ -36,7 +36,7 @@ def terms_of(word: bytes) -> list[int]:
 
 def all_terms(text: bytes, cache: dict[bytes, list[int]]) -> set[int]:
     words = set(words_of(text))
-    if len(cache) > 300_000:
+    if len(cache) > 100_000:
         cache.clear()
     for w in words.difference(cache):
         cache[w] = terms_of(w)
@@ -62,7 +62,7 @@ class Model:
     def found(self, text: bytes, cache: dict[bytes, tuple]) -> list[int]:
         """Rows of the kept terms in a text; ``cache`` keeps them per word."""
         words = set(words_of(text))
-        if len(cache) > 500_000:
+        if len(cache) > 200_000:
             cache.clear()
         for w in words.difference(cache):
             cache[w] = tuple(r for t in terms_of(w) if (r := self.rows.get(t)) is not None)
