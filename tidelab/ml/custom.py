@@ -4,10 +4,12 @@ into ``Pipeline``:
 * ``RandomFourierFeatures`` — approximate RBF/polynomial kernel map (Rahimi & Recht) applied per
   Arrow batch; turns kernel SVM/SVR into linear models over the mapped features.
 * ``LinearSVR`` — ε-insensitive linear support-vector regression, full-batch sub-gradient descent;
-  each iteration is one distributed pass (per-partition numpy partial gradients combined by the
-  ``Summarizer`` aggregate, i.e. a tree aggregate), the model vector is broadcast with the closure.
-* ``AdaBoostClassifier`` — SAMME over decision stumps, one distributed histogram pass per round;
-  sample weights are recomputed from the stumps so far, so the lineage never grows.
+  each iteration is one distributed pass (per-partition numpy partial gradients, one short vector a
+  task, summed by the ``Summarizer`` aggregate), the model vector is broadcast with the closure.
+* ``AdaBoostClassifier`` — SAMME over decision stumps, one distributed histogram pass per round over
+  rows binned once.
+
+Inputs too wide for what a task or the driver holds are refused with an error, never narrowed.
 """
 
 from __future__ import annotations
@@ -26,6 +28,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tidelab.session import drop_path, materialize
+
+
+
+#: Doubles that go with a task or come back from one (128 MB).
+MOST_NUMBERS = 16 << 20
 
 
 class _Setters:
@@ -59,6 +67,8 @@ class RandomFourierFeatures(Estimator, _RffParams):
         gamma = gamma if gamma > 0 else 1.0 / max(d, 1)
         rng = np.random.default_rng(self.getOrDefault(self.seed))
         D = self.getOrDefault(self.numFeatures)
+        if d * D > MOST_NUMBERS:
+            raise ValueError(f"{d} features x {D} random features are more than go with a task")
         W = rng.normal(0.0, math.sqrt(2 * gamma), size=(d, D))
         b = rng.uniform(0, 2 * math.pi, size=D)
         m = RandomFourierModel(W, b)
@@ -119,6 +129,8 @@ class LinearSVR(Estimator, _SvrParams):
         try:
             first = data.limit(1).collect()
             d = len(first[0]["x"]) if first else 0
+            if (d + 1) ** 2 > MOST_NUMBERS:
+                raise ValueError(f"{d} features: the start of the SVR needs a {d + 1} x {d + 1} matrix in each task")
             C, eps = self.getOrDefault(self.C), self.getOrDefault(self.epsilon)
 
             def gram(batches):
@@ -197,14 +209,18 @@ class _AdaParams(_Setters, HasFeaturesCol, HasLabelCol, HasPredictionCol, HasSee
 class AdaBoostClassifier(Estimator, _AdaParams):
     """SAMME boosting of decision stumps, one distributed pass per round.
 
-    Candidate thresholds are per-feature approximate quantiles (one ``percentile_approx`` pass).
-    In round m every partition recomputes each row's weight from the m−1 stumps so far
-    (``exp(Σ α·[h(x) ≠ y])`` — no weight column is stored, so the lineage never grows) and
-    accumulates weighted class histograms per (feature, bin) with numpy; the histograms are summed
-    by the ``Summarizer`` aggregate (d × bins × classes numbers), and the driver picks the split
-    with the lowest weighted error, which is also the round's error.
+    Candidate thresholds are per-feature approximate quantiles (one ``percentile_approx`` pass). Each
+    row is binned once, a byte per feature, and stored with its weight's exponent in the shared folder.
+    A round reads those, adds the stumps found since the exponents were last stored (at most
+    ``REFRESH``), and counts weighted class histograms per (feature, bin); the driver picks the split
+    with the lowest weighted error, which is also the round's error. Every ``REFRESH`` rounds the
+    exponents are stored anew, so work per round and lineage stay constant. A task sends features x
+    bins x classes numbers to one final sum; more than ``MOST_CELLS`` of them is an error.
     """
 
+    REFRESH = 10
+    MOST_CELLS = 4 << 20
+
     @keyword_only
     def __init__(self, featuresCol="features", labelCol="label", predictionCol="prediction", numRounds=50,
                  learningRate=1.0, numClasses=0, maxBins=32, seed=42):
@@ -228,29 +244,58 @@ class AdaBoostClassifier(Estimator, _AdaParams):
         for r in q:
             thresholds[r["j"]] = np.unique(np.array(r["t"], dtype=float))
         width = max((len(t) for t in thresholds), default=0) + 1
+        if width > 256 or d * width * k > self.MOST_CELLS:
+            raise ValueError(f"{d} features x {width} bins x {k} classes are more histogram cells than a task may hold")
         lr = self.getOrDefault(self.learningRate)
+
+        def to_bins(batches):
+            for pdf in batches:
+                if not len(pdf):
+                    continue
+                X = np.stack(pdf["x"].to_numpy())
+                B = np.column_stack([np.searchsorted(thresholds[j], X[:, j], side="left") for j in range(d)]).astype(np.uint8)
+                yield pd.DataFrame({"bins": [r.tobytes() for r in B], "y": pdf["y"].astype(int), "miss": 0.0})
+
+        def missed(pdf, recent):
+            """Bins, labels and exponents with the recent stumps added."""
+            B = np.frombuffer(b"".join(pdf["bins"]), np.uint8).reshape(len(pdf), d)
+            y, miss = pdf["y"].to_numpy(), pdf["miss"].to_numpy(copy=True)
+            for j, s, left, right, alpha in recent:
+                miss += alpha * (np.where(B[:, j] <= s, left, right) != y)
+            return B, y, miss
+
+        spark = dataset.sparkSession
+        binned = materialize(data.mapInPandas(to_bins, "bins binary, y long, miss double"), "boosting")
+        held = binned.inputFiles()
         stumps: list = []
+        recent: list = []
+        offsets = np.arange(d) * width * k
         for _ in range(self.getOrDefault(self.numRounds)):
-            current = list(stumps)
-            shift = sum(a for *_, a in current)  # max possible Σα: weights land in (0, 1], same scale everywhere
+            if len(recent) == self.REFRESH:
 
-            def hist(batches, current=current, shift=shift):
-                H = np.zeros((d, width, k))
+                def refresh(batches, recent=tuple(recent)):
+                    for pdf in batches:
+                        if len(pdf):
+                            yield pd.DataFrame({"bins": pdf["bins"], "y": pdf["y"], "miss": missed(pdf, recent)[2]})
+
+                binned, old = materialize(binned.mapInPandas(refresh, "bins binary, y long, miss double"), "boosting"), held
+                held = binned.inputFiles()
+                if old:
+                    drop_path(spark, old[0].rsplit("/", 1)[0])
+                recent = []
+            shift = sum(a for *_, a in stumps)  # largest exponent possible: weights lie in (0, 1], on one scale
+
+            def hist(batches, recent=tuple(recent), shift=shift):
+                H = np.zeros(d * width * k)
                 for pdf in batches:
                     if not len(pdf):
                         continue
-                    X = np.stack(pdf["x"].to_numpy())
-                    y = pdf["y"].to_numpy().astype(int)
-                    miss = np.zeros(len(X))
-                    for j, t, left, right, alpha in current:
-                        miss += alpha * (np.where(X[:, j] <= t, left, right) != y)
-                    w = np.exp(miss - shift)
-                    for j in range(d):
-                        b = np.searchsorted(thresholds[j], X[:, j], side="left")
-                        np.add.at(H[j], (b, y), w)
-                yield pd.DataFrame({"g": [H.ravel().tolist()]})
-
-            H = self._histograms(data, hist, current, d, width, k)
+                    B, y, miss = missed(pdf, recent)
+                    cells = offsets[None, :] + B.astype(np.int64) * k + y[:, None]
+                    H += np.bincount(cells.ravel(), np.repeat(np.exp(miss - shift), d), len(H))
+                yield pd.DataFrame({"g": [H.tolist()]})
+
+            H = self._histograms(binned, hist, d, width, k)
             total = H.sum(axis=(1, 2))[0] if d else 0.0
             if total <= 0:
                 break
@@ -261,14 +306,15 @@ class AdaBoostClassifier(Estimator, _AdaParams):
                 err = total - left.max(axis=1) - right.max(axis=1)
                 s = int(np.argmin(err))
                 if len(thresholds[j]) and (best is None or err[s] < best[0]):
-                    best = (float(err[s]), j, float(thresholds[j][s]), int(left[s].argmax()), int(right[s].argmax()))
+                    best = (float(err[s]), j, s, int(left[s].argmax()), int(right[s].argmax()))
             if best is None:
                 break
             e = best[0] / total
             if e >= 1.0 - 1.0 / k:
                 break
             alpha = lr * (math.log((1.0 - e) / max(e, 1e-12)) + math.log(k - 1))
-            stumps.append((best[1], best[2], best[3], best[4], alpha))
+            stumps.append((best[1], float(thresholds[best[1]][best[2]]), best[3], best[4], alpha))
+            recent.append((best[1], best[2], best[3], best[4], alpha))
             if e <= 0:
                 break
         model = AdaBoostModel(stumps, k)
@@ -276,7 +322,7 @@ class AdaBoostClassifier(Estimator, _AdaParams):
         return model
 
     @staticmethod
-    def _histograms(data: DataFrame, fn, current, d: int, width: int, k: int) -> np.ndarray:
+    def _histograms(data: DataFrame, fn, d: int, width: int, k: int) -> np.ndarray:
         rows = data.mapInPandas(fn, "g array<double>").select(array_to_vector("g").alias("g"))
         out = rows.agg(Summarizer.sum(F.col("g")).alias("s")).collect()[0]["s"]
         return np.zeros((d, width, k)) if out is None else out.toArray().reshape(d, width, k)

@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import datetime as dt
 import json
+import math
 import time
 from dataclasses import dataclass, field
 
@@ -24,7 +25,7 @@ from tidelab.ml.knn import knn_predict
 from tidelab.ml.metrics import class_report, classification_metrics, confusion_long, regression_metrics, roc_auc
 from tidelab.ml.pipeline import build_estimator, build_preprocessing
 from tidelab.ml.split import hash_split, stratified_split
-from tidelab.ml.registry import default_models, merge_params
+from tidelab.ml.registry import default_models, merge_params, normalise_kernel
 from tidelab.sources.catalog import now
 from tidelab.operators.schema import infer_problem_type
 from tidelab.session import materialize
@@ -130,6 +131,19 @@ def prepare_benchmark_data(df: DataFrame, target: str, features: list[str], task
     return train, test, stats
 
 
+MOST_TERMS = 200_000  # of a polynomial expansion
+
+
+def refuse_wide_expansion(name: str, params: dict, train: DataFrame) -> None:
+    """A polynomial kernel expands d features to (d + degree choose degree) terms a row."""
+    if name != "SVM" or normalise_kernel(params.get("kernel")) != "poly":
+        return
+    first = train.select("features").first()
+    degree = int(params.get("degree", 3))
+    if first and math.comb(first["features"].size + degree, degree) > MOST_TERMS:
+        raise ValueError(f"degree {degree} over {first['features'].size} features: more than {MOST_TERMS} terms a row")
+
+
 def failure_text(e: Exception) -> str:
     """What went wrong, in one line: the error's type and the last line of each cause that says
     something (a worker's traceback ends with the error itself)."""
@@ -153,6 +167,7 @@ def run_model(name: str, task: str, params: dict | None, train: DataFrame, test:
             pred = pred.withColumn("prediction", F.col("prediction").cast("double"))
             has_score = False
         else:
+            refuse_wide_expansion(name, merged, train)
             est = build_estimator(task, name, merged, n_train=stats["n_train"], label_std=stats["std"] or 1.0, num_classes=num_classes)
             model = est.fit(train)
             pred, has_score = _with_score(model.transform(test))

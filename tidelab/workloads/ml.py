@@ -233,7 +233,7 @@ for _key, _model, _task, _params in [
     ("model_linear_regression", "Linear Regression", "regression", None),
     ("model_ridge", "Ridge", "regression", None),
     ("model_lasso", "Lasso", "regression", None),
-    ("model_svr", "SVR", "regression", None),
+    ("model_svr", "SVR", "regression", {"C": 1000.0}),
     ("model_decision_tree", "Decision Tree", "regression", None),
     ("model_logistic_regression", "Logistic Regression", "classification", None),
     ("model_knn", "KNN", "classification", None),
