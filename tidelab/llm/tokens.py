@@ -25,7 +25,7 @@ class WordwiseEncoder:
     the longer words, which come back least, are dropped.
     """
 
-    def __init__(self, path: str, kind: str, capacity: int = 500_000):
+    def __init__(self, path: str, kind: str, capacity: int = 600_000):
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
@@ -77,13 +77,16 @@ class WordwiseEncoder:
             word, sign = word[:-1], word[-1]
         return (word.lower() if self.kind == "words" and word.isascii() else word), sign
 
-    def _learn_inner(self, words: set[str]) -> None:
+    def _learn_inner(self, words: set[str]) -> dict[str, bytes]:
+        """Put the base forms of ``words`` into the table; the ids of the other forms are returned."""
         bases = {w: self._base(w) for w in words}
         new = list({b for b, _ in bases.values()}.difference(self.inner))
         self._learn(self.inner, new, new if self.kind == "words" else [w if w[:1] == "\n" else " " + w for w in new])
-        for w, (base, sign) in bases.items():
-            if w != base:
-                self.inner[w] = self.inner[base] + (self.signs[sign] if sign else b"")
+        return {
+            w: self.inner[base] + self.signs[sign] if sign else self.inner[base]
+            for w, (base, sign) in bases.items()
+            if w != base
+        }
 
     def _trim(self) -> None:
         """Drop the longer words, then shorter ones, until a third of the table is free."""
@@ -109,7 +112,8 @@ class WordwiseEncoder:
             self._trim()
         if len(self.first) > self.capacity:
             self.first.clear()
-        self._learn_inner(set().union(*(p for _, p in plain)).difference(self.inner))
+        forms = self._learn_inner(set().union(*(p for _, p in plain)).difference(self.inner))
+        self.inner.update(forms)  # for these texts only
         if self.kind == "bytes":
             heads = list({p[0] for _, p in plain}.difference(self.first))
             self._learn(self.first, heads, heads)
@@ -119,6 +123,8 @@ class WordwiseEncoder:
                 out[i] = self.first[p[0]] + b"".join(map(get, p[1:]))
             else:
                 out[i] = b"".join(map(get, p))
+        for w in forms:
+            del self.inner[w]
         return out
 
 
