@@ -123,6 +123,14 @@ def test_keep_one(odd_documents):
     assert len(ids) == len(set(ids)) and {None, 1, 2} <= set(ids) and not {3, 4} & set(ids)
 
 
+def test_keep_one_of_tangled_ids(spark):
+    a, b = "one two three four five six", "quite another text of seven words here"
+    rows = [(5, a), (5, b), (3, b), (None, "nothing like it one"), (None, "nothing like it one"), (None, "else wholly different x"), (9, a)]
+    kept = simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r.doc_id or -1, r.text) for r in kept) == [
+        (-1, "else wholly different x"), (-1, "nothing like it one"), (3, b), (5, a)]
+
+
 def brute_links(rows, least=0.93):
     sets, links = Sets(len(rows)), [0] * len(rows)
     vecs = [

@@ -54,18 +54,19 @@ def fingerprint(text: bytes, words: int) -> int:
     return int(np.packbits(2 * ones > n, bitorder="little").view(np.uint64)[0])
 
 
-def with_fingerprint(docs: DataFrame, column: str, words: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``(doc_id, <column> long)`` for every row; null texts count as empty."""
+def with_fingerprint(docs: DataFrame, words: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``(doc_id, text_hash, fp)`` for every row; null texts count as empty."""
     ship(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column(1).cast(pa.binary())
+            texts = batch.column(2).cast(pa.binary())
             prints = np.fromiter((fingerprint(t.as_py(), words) for t in texts), np.uint64, len(texts))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(prints.view(np.int64))], ["doc_id", column])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(prints.view(np.int64))], ["doc_id", "text_hash", "fp"])
 
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), utf8(text_col).alias("text"))
-    return rows.mapInArrow(run, f"doc_id long, {column} long")
+    text = utf8(text_col)
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text).alias("text_hash"), text.alias("text"))
+    return rows.mapInArrow(run, "doc_id long, text_hash long, fp long")
 
 
 def even_masks(parts: int) -> list[int]:
@@ -191,6 +192,20 @@ def near_pairs(prints: DataFrame, radius: int = 3, levels: int = 3, tile: int =
     )
 
 
+def grouped(docs: DataFrame, words: int, radius: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``(doc_id, text_hash, fp, root, component_id)`` for every row; ``root`` is the smallest
+    fingerprint of a component, which names it even where no row of it has an id."""
+    rows, _ = stored(with_fingerprint(docs, words, id_col, text_col), "fingerprints")
+    classes, _ = stored(rows.groupBy("fp").agg(F.min("doc_id").alias("first")), "classes")
+    roots = components(near_pairs(classes.select("fp"), radius))
+    linked = classes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select(
+        "fp", "first", F.coalesce("root", "fp").alias("root")
+    )
+    least = linked.groupBy("root").agg(F.min("first").alias("component_id"))
+    named = linked.join(least, "root").select("fp", "root", "component_id")
+    return rows.join(named, "fp").select("doc_id", "text_hash", "fp", "root", "component_id")
+
+
 def simhash_groups(
     docs: DataFrame, words: int = 3, radius: int = 3, id_col: str = "doc_id", text_col: str = "text",
 ) -> DataFrame:
@@ -201,33 +216,33 @@ def simhash_groups(
     Null and empty texts have fingerprint zero and link like any other; equal fingerprints link, so
     repeated rows share a component; a null id is passed over when the smallest is taken (null only
     if its whole component has none); other columns are not read; an empty table gives no rows."""
-    rows, _ = stored(with_fingerprint(docs, "fp", words, id_col, text_col), "fingerprints")
-    classes, _ = stored(rows.groupBy("fp").agg(F.min("doc_id").alias("first")), "classes")
-    roots = components(near_pairs(classes.select("fp"), radius))
-    linked = classes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select(
-        "fp", "first", F.coalesce("root", "fp").alias("root")
-    )
-    least = linked.groupBy("root").agg(F.min("first").alias("component_id"))
-    named = linked.join(least, "root").select("fp", "component_id")
-    return rows.join(named, "fp").select(
+    return grouped(docs, words, radius, id_col, text_col).select(
         "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"
     )
 
 
-def keep_one(docs: DataFrame, words: int = 3, radius: int = 3) -> DataFrame:
-    """``docs`` with one row left of each group: the one with the smallest doc_id. Of rows that
-    repeat that doc_id in one group one is left; rows of a group without any id leave one.
+def keep_one(docs: DataFrame, words: int = 3, radius: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``docs`` with one row left of each group: one with the group's smallest id, of several such rows
+    the one whose text has the smallest hash, of rows that repeat id and text one. A group without any
+    id leaves one row too. All columns stay.
 
-    The texts are shuffled once, to meet the chosen ids; only rows whose id repeats, if there are
-    any, are aggregated after that."""
-    tag = free_name(docs.columns, "_kept_id")
-    groups, _ = stored(simhash_groups(docs, words, radius), "groups")
-    chosen = (
-        groups.where(F.col("doc_id").eqNullSafe(F.col("component_id")))
-        .groupBy(F.col("doc_id").alias(tag)).agg(F.count(F.lit(1)).alias("n"))
+    The texts are shuffled once, to meet the chosen ids and hashes; only rows that repeat, if there
+    are any, are aggregated after that."""
+    key, hash_ = free_name(docs.columns, "_id"), free_name(docs.columns, "_hash")
+    first = (
+        grouped(docs, words, radius, id_col, text_col).where(F.col("doc_id").eqNullSafe(F.col("component_id")))
+        .groupBy("root", F.col("doc_id").alias(key), F.col("text_hash").alias(hash_)).agg(F.count(F.lit(1)).alias("n"))
+        .groupBy("root", key).agg(F.min_by("n", hash_).alias("n"), F.min(hash_).alias(hash_))
     )
-    chosen, _ = stored(chosen, "chosen")
-    meet = lambda ids: docs.join(ids.select(tag), docs["doc_id"].eqNullSafe(F.col(tag)), "left_semi")
-    repeated = chosen.where("n > 1")
+    chosen, _ = stored(first, "chosen")
+    tagged = docs.withColumns({f"{key}2": F.col(id_col).cast("long"), f"{hash_}2": F.xxhash64(utf8(text_col))})
+
+    def meet(ids: DataFrame) -> DataFrame:
+        same = F.col(f"{key}2").eqNullSafe(F.col(key)) & (F.col(f"{hash_}2") == F.col(hash_))
+        return tagged.join(ids.select(key, hash_), same, "left_semi")
+
     kept = meet(chosen.where("n = 1"))
-    return kept if repeated.isEmpty() else kept.unionByName(meet(repeated).dropDuplicates(["doc_id"]))
+    repeated = chosen.where("n > 1")
+    if not repeated.isEmpty():
+        kept = kept.unionByName(meet(repeated).dropDuplicates([f"{key}2", f"{hash_}2"]))
+    return kept.select(*docs.columns)
