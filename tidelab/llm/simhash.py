@@ -239,7 +239,8 @@ def keep_one(docs: DataFrame, words: int = 3, radius: int = 3, id_col: str = "do
 
     def meet(ids: DataFrame) -> DataFrame:
         same = F.col(f"{key}2").eqNullSafe(F.col(key)) & (F.col(f"{hash_}2") == F.col(hash_))
-        return tagged.join(ids.select(key, hash_), same, "left_semi")
+        # The same plan at every size: both sides are shuffled, the texts are not sorted.
+        return tagged.join(ids.select(key, hash_).hint("shuffle_hash"), same, "left_semi")
 
     kept = meet(chosen.where("n = 1"))
     repeated = chosen.where("n > 1")
