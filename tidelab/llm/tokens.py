@@ -25,7 +25,7 @@ class WordwiseEncoder:
     the longer words, which come back least, are dropped.
     """
 
-    def __init__(self, path: str, kind: str, capacity: int = 600_000):
+    def __init__(self, path: str, kind: str, capacity: int = 800_000):
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
@@ -138,7 +138,7 @@ def encoder(path: str, kind: str) -> WordwiseEncoder:
     return _made[(path, kind)]
 
 
-def slices(texts: list, most: int = 3 << 19):
+def slices(texts: list, most: int = 5 << 19):
     """Index ranges of ``texts`` with about ``most`` characters each (a longer text alone)."""
     at = size = 0
     for i, t in enumerate(texts):
