@@ -135,6 +135,21 @@ def test_edited_copies_and_odd_rows(spark, odd_documents):
     assert decontam.drop_leaked(odd_documents, bench.where("false")).count() == odd_documents.count()
 
 
+def test_edited_copies_keep_seeds_in_small_and_hot_tables(spark):
+    """Short intact runs between changed words, in few documents and in nearly all of them."""
+    rnd = random.Random(9)
+    text = lambda n: [f"w{rnd.randrange(5000)}" for _ in range(n)]
+    items = [text(40) for _ in range(9)]
+    edited = [[f"x{k}" if k % (5 + i % 3) == 4 else w for k, w in enumerate(t)] for i, t in enumerate(items)]
+    rows = [(i, " ".join([*text(30), *t, *text(30)])) for i, t in enumerate(edited)]
+    rows += [(100 + i, " ".join([*text(9), *edited[0], *text(9)])) for i in range(200)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    bench = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(items)], "item_id long, text string")
+    got = {(r.doc_id, r.item_id) for r in decontam.find_leaks(docs, bench).collect()}
+    assert got == {(i, i) for i in range(9)} | {(100 + i, 0) for i in range(200)}
+    assert decontam.drop_leaked(docs, bench).count() == 0
+
+
 def test_pipeline(spark):
     import corpus_pipeline as p
 

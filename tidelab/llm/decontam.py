@@ -1,11 +1,12 @@
-"""Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment.
-
-Test items are cut into word n-grams. One pass over the corpus counts in how many documents each
-occurs; seeds are those that are rare there and, in every window of an item, the rarest one, so that
-an item copied into very many documents still has seeds. A second pass finds the seeds in
-each document and aligns the item with the words around them, which also scores edited copies. The test
-set is the query side: it goes to the tasks in blocks of a bounded number of words, the corpus is
-never shuffled, and nothing about a document leaves its task but its matches.
+"""Benchmark decontamination: n-gram seeds, then Smith-Waterman alignment.
+
+Test items are cut into word n-grams, all of which are seeds, however common they are. One pass over
+the corpus finds the seeds in each document and aligns the item with the words around them, which
+also scores edited copies. An alignment cannot match more of an item's words than occur in the
+document, and in the part around the seeds; items that this bound rules out are not aligned, which
+loses nothing and keeps common phrases cheap. The test set is the query side: it goes to the tasks in
+blocks of a bounded number of words, the corpus is never shuffled, and nothing about a document leaves
+its task but its matches.
 """
 
 from __future__ import annotations
@@ -59,18 +60,27 @@ class Items:
     owner: np.ndarray = None
     place: np.ndarray = None
     bloom: np.ndarray = None
+    flat: np.ndarray = None
+    sizes: np.ndarray = None
 
-    def index(self, keep: np.ndarray | None = None) -> Items:
+    def index(self) -> Items:
         grams = [gram_hashes(w, self.n) for w in self.words]
         owner = np.repeat(np.arange(len(grams)), [len(g) for g in grams])
         place = np.concatenate([np.arange(len(g)) for g in grams]) if grams else np.zeros(0, np.int64)
         flat = np.concatenate(grams) if grams else np.zeros(0, np.uint64)
-        if keep is not None:
-            flat, owner, place = flat[keep], owner[keep], place[keep]
         order = np.argsort(flat, kind="stable")
         bloom = np.zeros(1 << _FILTER_BITS, bool)
         bloom[flat & np.uint64((1 << _FILTER_BITS) - 1)] = True
-        return Items(self.ids, self.words, self.n, flat[order], owner[order], place[order], bloom)
+        words = np.concatenate(self.words) if self.words else np.zeros(0, np.uint64)
+        sizes = np.array([len(w) for w in self.words], np.int64)
+        return Items(self.ids, self.words, self.n, flat[order], owner[order], place[order], bloom, words, sizes)
+
+    def known_words(self, nos: np.ndarray, words: np.ndarray) -> np.ndarray:
+        """How many words of each of the items ``nos`` are among ``words``."""
+        sizes = self.sizes[nos]
+        first = np.cumsum(sizes) - sizes
+        at = np.repeat((np.cumsum(self.sizes) - self.sizes)[nos] - first, sizes) + np.arange(sizes.sum())
+        return np.add.reduceat(np.isin(self.flat[at], words), first, dtype=np.int64)
 
     def hits(self, grams: np.ndarray) -> np.ndarray:
         """Positions in ``grams`` of those that are in the index."""
@@ -97,47 +107,6 @@ def item_blocks(items: DataFrame, n: int, id_col: str, text_col: str, block_word
         yield Items([i for _, i in kept], [word_hashes(t, cache) for t, _ in kept], n).index()
 
 
-def gram_counts(docs: DataFrame, items: Items, text_col: str = "text") -> tuple[dict[int, int], int]:
-    """In how many documents each n-gram of the items occurs, and the number of documents. Tasks
-    count before the shuffle; the result has a row per n-gram of the block."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache: dict[bytes, int] = {}
-        count = np.zeros(len(items.grams), np.int64)
-        total = 0
-        for batch in batches:
-            for t in batch.column(0).cast(pa.binary()):
-                grams = gram_hashes(word_hashes(t.as_py(), cache), items.n)
-                found = np.unique(grams[items.hits(grams)])
-                count[np.searchsorted(items.grams, found)] += 1
-            total += len(batch)
-        on = np.flatnonzero(count)
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(np.r_[-1, on], pa.int64()), pa.array(np.r_[total, count[on]], pa.int64())], ["gram", "docs"]
-        )
-
-    rows = docs.select(utf8(text_col).alias("text")).mapInArrow(run, "gram long, docs long")
-    got = {r["gram"]: r["docs"] for r in rows.groupBy("gram").agg(F.sum("docs").alias("docs")).collect()}
-    total = got.pop(-1, 0)
-    return got, total
-
-
-def rare_seeds(items: Items, counts: dict[int, int], total: int, rare_share: float, window: int) -> Items:
-    """The items indexed by their seeds alone: n-grams in at most ``rare_share`` of all documents, and
-    the rarest in each ``window`` n-grams in a row."""
-    df = np.zeros(len(items.grams), np.int64)
-    df[list(counts)] = list(counts.values())
-    flat = [gram_hashes(w, items.n) for w in items.words]
-    keep = []
-    for g in flat:
-        d = df[np.searchsorted(items.grams, g)]
-        k = d <= rare_share * total
-        for at in range(max(1, len(d) - window + 1)):
-            k[at + int(np.argmin(d[at : at + window]))] = True
-        keep.append(k)
-    return items.index(np.concatenate(keep) if keep else None)
-
-
 def align(item: np.ndarray, words: np.ndarray) -> tuple[int, int]:
     """Smith-Waterman with linear gaps: the best local score and the number of ``words`` up to its
     end. Rows are vectors; the chain of gaps along a row is a running maximum."""
@@ -167,11 +136,16 @@ def matches(words: np.ndarray, items: Items, least: float) -> list[tuple[int, fl
     where = np.repeat(at, hi - lo)
     entry = np.concatenate([np.arange(a, b) for a, b in zip(lo, hi, strict=True)])
     owner, begin = items.owner[entry], where - items.place[entry]
+    order = np.lexsort((begin, owner))
+    owner, begin = owner[order], begin[order]
+    nos, first = np.unique(owner, return_index=True)
+    ends = np.r_[first[1:], len(owner)]
+    likely = items.known_words(nos, words) / items.sizes[nos] >= least
     out = []
-    for no in np.unique(owner).tolist():
+    for no, x, y in zip(nos[likely].tolist(), first[likely].tolist(), ends[likely].tolist(), strict=True):
         item = items.words[no]
         size, slack = len(item), max(8, len(item) // 2)
-        starts = np.unique(begin[owner == no])
+        starts = np.unique(begin[x:y])
         best = (0.0, 0, 0)
         cuts = np.flatnonzero(np.diff(starts) > size + slack) + 1
         for group in np.split(starts, cuts):  # neighbouring seeds share one window
@@ -182,6 +156,8 @@ def matches(words: np.ndarray, items: Items, least: float) -> list[tuple[int, fl
             if best[0] == 1.0:
                 break
             a, b = max(0, int(group[0]) - slack), min(len(words), int(group[-1]) + size + slack)
+            if np.isin(item, words[a:b]).sum() / size < least:
+                continue
             score, end = align(item, words[a:b])
             share = score / (MATCH * size)
             if share > best[0]:
@@ -192,17 +168,9 @@ def matches(words: np.ndarray, items: Items, least: float) -> list[tuple[int, fl
     return out
 
 
-def _seeded(docs: DataFrame, items: DataFrame, n, rare_share, window, block_words, text_col, item_id, item_text) -> Iterator[Items]:
-    ship(docs.sparkSession)
-    for block in item_blocks(items, n, item_id, item_text, block_words):
-        counts, total = gram_counts(docs, block, text_col)
-        yield rare_seeds(block, counts, total, rare_share, window)
-
-
 def find_leaks(
-    docs: DataFrame, items: DataFrame, n: int = 4, least: float = 0.4, rare_share: float = 1e-3, window: int = 4,
-    block_words: int = 1_000_000, id_col: str = "doc_id", text_col: str = "text",
-    item_id: str = "item_id", item_text: str = "text",
+    docs: DataFrame, items: DataFrame, n: int = 4, least: float = 0.4, block_words: int = 1_000_000, id_col: str = "doc_id",
+    text_col: str = "text", item_id: str = "item_id", item_text: str = "text",
 ) -> DataFrame:
     """One row per document and test item found in it: ``(doc_id, item_id, score, first_word,
     last_word)``; ``score`` is the alignment's share of a full match, from ``least`` to 1.
@@ -213,7 +181,8 @@ def find_leaks(
     schema = "doc_id long, item_id long, score double, first_word long, last_word long"
     out = docs.sparkSession.createDataFrame([], schema)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), utf8(text_col).alias("text"))
-    for block in _seeded(docs, items, n, rare_share, window, block_words, text_col, item_id, item_text):
+    ship(docs.sparkSession)
+    for block in item_blocks(items, n, item_id, item_text, block_words):
 
         def run(batches: Iterator[pa.RecordBatch], block=block) -> Iterator[pa.RecordBatch]:
             cache: dict[bytes, int] = {}
@@ -237,8 +206,8 @@ def find_leaks(
 
 
 def drop_leaked(
-    docs: DataFrame, items: DataFrame, n: int = 4, least: float = 0.4, rare_share: float = 1e-3, window: int = 4,
-    block_words: int = 1_000_000, text_col: str = "text", item_id: str = "item_id", item_text: str = "text",
+    docs: DataFrame, items: DataFrame, n: int = 4, least: float = 0.4, block_words: int = 1_000_000, text_col: str = "text",
+    item_id: str = "item_id", item_text: str = "text",
 ) -> DataFrame:
     """``docs`` without the rows in which a test item is found; all columns stay. The same decisions
     as ``find_leaks``, taken where each row lies."""
@@ -246,7 +215,8 @@ def drop_leaked(
     name = free_name(docs.columns, "_leaked")
     schema = docs.withColumn(name, F.lit(False)).schema
     out = docs
-    for block in _seeded(docs, items, n, rare_share, window, block_words, text_col, item_id, item_text):
+    ship(docs.sparkSession)
+    for block in item_blocks(items, n, item_id, item_text, block_words):
 
         def run(batches: Iterator[pa.RecordBatch], block=block) -> Iterator[pa.RecordBatch]:
             cache: dict[bytes, int] = {}
