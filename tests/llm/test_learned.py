@@ -150,6 +150,33 @@ def test_edited_copies_keep_seeds_in_small_and_hot_tables(spark):
     assert decontam.drop_leaked(docs, bench).count() == 0
 
 
+def test_phrases_are_no_leaks_and_short_items_are_found(spark):
+    items = {
+        1: "What is the capital of the old northern kingdom?", 2: "what is the capital of Peru",
+        3: "Name all seven of the great rivers that cross this wide and very flat land today", 4: "photosynthesis", 5: "Mount Everest",
+        6: "the red planet",
+    }
+    docs = {
+        10: "people often ask what is the capital of a country and get no answer",
+        11: "we saw seven of the great rivers that bend near towns",
+        12: "so what is the capital of peru they asked", 13: "what is the capital of the cold northern kingdom",
+        14: "plants live by photosynthesis alone, photosynthesis", 15: "He climbed Mount Everest", 16: "mount of the red old planet the everest",
+        17: "on THE red planet",
+    }
+    docs = spark.createDataFrame(list(docs.items()), "doc_id long, text string")
+    bench = spark.createDataFrame(list(items.items()), "item_id long, text string")
+    got = {(r.doc_id, r.item_id, r.first_word, r.last_word) for r in decontam.find_leaks(docs, bench).collect()}
+    assert {r[:2] for r in got} == {(12, 2), (13, 1), (14, 4), (15, 5), (17, 6)}
+    assert {(14, 4, 3, 3), (15, 5, 2, 3), (17, 6, 1, 3)} <= got
+    assert {r.doc_id for r in decontam.drop_leaked(docs, bench).collect()} == {10, 11, 16}
+
+
+def test_shared_words_of_the_best_alignment():
+    a = np.array([1, 2, 3, 4, 5, 6])
+    assert decontam.shared_words(a, a) == 6 and decontam.shared_words(a, np.array([9, 1, 2, 9, 4, 5, 6])) == 5
+    assert decontam.shared_words(a, np.array([8, 9])) == 0
+
+
 def test_pipeline(spark):
     import corpus_pipeline as p
 

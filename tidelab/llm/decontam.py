@@ -6,7 +6,7 @@ also scores edited copies. An alignment cannot match more of an item's words tha
 document, and in the part around the seeds; items that this bound rules out are not aligned, which
 loses nothing and keeps common phrases cheap. The test set is the query side: it goes to the tasks in
 blocks of a bounded number of words, the corpus is never shuffled, and nothing about a document leaves
-its task but its matches.
+its task but its matches. Items shorter than an n-gram are looked up by their whole word sequence.
 """
 
 from __future__ import annotations
@@ -62,6 +62,7 @@ class Items:
     bloom: np.ndarray = None
     flat: np.ndarray = None
     sizes: np.ndarray = None
+    short: dict[int, tuple[np.ndarray, np.ndarray]] = None
 
     def index(self) -> Items:
         grams = [gram_hashes(w, self.n) for w in self.words]
@@ -73,7 +74,14 @@ class Items:
         bloom[flat & np.uint64((1 << _FILTER_BITS) - 1)] = True
         words = np.concatenate(self.words) if self.words else np.zeros(0, np.uint64)
         sizes = np.array([len(w) for w in self.words], np.int64)
-        return Items(self.ids, self.words, self.n, flat[order], owner[order], place[order], bloom, words, sizes)
+        short = {}
+        for size in range(1, self.n):
+            nos = np.flatnonzero(sizes == size)
+            if len(nos):
+                whole = np.concatenate([gram_hashes(self.words[no], size) for no in nos])
+                by = np.argsort(whole, kind="stable")
+                short[size] = whole[by], nos[by]
+        return Items(self.ids, self.words, self.n, flat[order], owner[order], place[order], bloom, words, sizes, short)
 
     def known_words(self, nos: np.ndarray, words: np.ndarray) -> np.ndarray:
         """How many words of each of the items ``nos`` are among ``words``."""
@@ -93,7 +101,7 @@ class Items:
 
 def item_blocks(items: DataFrame, n: int, id_col: str, text_col: str, block_words: int) -> Iterator[Items]:
     """The test items in blocks of about ``block_words`` words, on the driver one at a time. Null
-    items and those shorter than an n-gram cannot be seeded and are passed over."""
+    items and those without words are passed over."""
     rows = items.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).where("text is not null")
     size = rows.agg(F.sum(F.size(F.split("text", r"\s+")))).first()[0] or 0
     blocks = max(1, -(-int(size) // block_words))
@@ -103,7 +111,7 @@ def item_blocks(items: DataFrame, n: int, id_col: str, text_col: str, block_word
         same: dict[bytes, list] = {}
         for r in rows.where(key == b).collect():
             same.setdefault(b" ".join(words_of(r["text"].encode())), []).append(r["id"])
-        kept = sorted((t, sorted(i, key=lambda x: (x is None, x))) for t, i in same.items() if t.count(b" ") >= n - 1 and t)
+        kept = sorted((t, sorted(i, key=lambda x: (x is None, x))) for t, i in same.items() if t)
         yield Items([i for _, i in kept], [word_hashes(t, cache) for t, _ in kept], n).index()
 
 
@@ -124,13 +132,48 @@ def align(item: np.ndarray, words: np.ndarray) -> tuple[int, int]:
     return best, end
 
 
-def matches(words: np.ndarray, items: Items, least: float) -> list[tuple[int, float, int, int]]:
+def shared_words(item: np.ndarray, words: np.ndarray) -> int:
+    """The most words that an alignment of the best local score matches: ``align`` over scores that
+    carry the count in their low bits."""
+    unit = 1 << 24
+    ramp = -GAP * unit * np.arange(len(words) + 1)
+    above = np.zeros(len(words) + 1, np.int64)
+    best = 0
+    for w in item:
+        here = np.zeros(len(words) + 1, np.int64)
+        here[1:] = np.maximum(above[:-1] + np.where(words == w, MATCH * unit + 1, MISMATCH * unit), above[1:] + GAP * unit)
+        above = np.maximum.accumulate(np.maximum(here, 0) + ramp) - ramp
+        best = max(best, int(above.max()))
+    return best % unit
+
+
+def least_shared(size, least_words: int):
+    """Words that a copy of an item of ``size`` words shares with it at least: half of them and
+    ``least_words``, or all of a shorter item."""
+    return np.minimum(size, np.maximum(least_words, -(-size // 2)))
+
+
+def short_matches(words: np.ndarray, items: Items) -> list[tuple[int, float, int, int]]:
+    """The first whole copy of each item shorter than an n-gram."""
+    out = []
+    for size, (whole, nos) in items.short.items():
+        grams = gram_hashes(words, size)
+        at = np.searchsorted(whole, grams)
+        found = np.flatnonzero(whole[np.minimum(at, len(whole) - 1)] == grams)
+        _, first = np.unique(grams[found], return_index=True)
+        for a in found[first].tolist():
+            out.append((int(nos[at[a]]), 1.0, a, a + size))
+    return out
+
+
+def matches(words: np.ndarray, items: Items, least: float, least_words: int) -> list[tuple[int, float, int, int]]:
     """``(item, score, first word, word after the last)`` of the items found in a text, the best
     place of each. The score is the alignment's share of a full match."""
+    out = short_matches(words, items)
     grams = gram_hashes(words, items.n)
     at = items.hits(grams)
     if not len(at):
-        return []
+        return out
     lo = np.searchsorted(items.grams, grams[at], side="left")
     hi = np.searchsorted(items.grams, grams[at], side="right")
     where = np.repeat(at, hi - lo)
@@ -140,11 +183,11 @@ def matches(words: np.ndarray, items: Items, least: float) -> list[tuple[int, fl
     owner, begin = owner[order], begin[order]
     nos, first = np.unique(owner, return_index=True)
     ends = np.r_[first[1:], len(owner)]
-    likely = items.known_words(nos, words) / items.sizes[nos] >= least
-    out = []
+    known, sizes = items.known_words(nos, words), items.sizes[nos]
+    likely = (known / sizes >= least) & (known >= least_shared(sizes, least_words))
     for no, x, y in zip(nos[likely].tolist(), first[likely].tolist(), ends[likely].tolist(), strict=True):
         item = items.words[no]
-        size, slack = len(item), max(8, len(item) // 2)
+        size, slack, need = len(item), max(8, len(item) // 2), least_shared(len(item), least_words)
         starts = np.unique(begin[x:y])
         best = (0.0, 0, 0)
         cuts = np.flatnonzero(np.diff(starts) > size + slack) + 1
@@ -156,27 +199,31 @@ def matches(words: np.ndarray, items: Items, least: float) -> list[tuple[int, fl
             if best[0] == 1.0:
                 break
             a, b = max(0, int(group[0]) - slack), min(len(words), int(group[-1]) + size + slack)
-            if np.isin(item, words[a:b]).sum() / size < least:
+            known = np.isin(item, words[a:b]).sum()
+            if known < need or known / size < least:
                 continue
             score, end = align(item, words[a:b])
             share = score / (MATCH * size)
-            if share > best[0]:
+            if share >= least and share > best[0]:
                 _, back = align(item[::-1], words[a : a + end][::-1])
-                best = (share, a + end - back, a + end)
-        if best[0] >= least:
+                if shared_words(item, words[a + end - back : a + end]) >= need:
+                    best = (share, a + end - back, a + end)
+        if best[0]:
             out.append((no, *best))
     return out
 
 
 def find_leaks(
-    docs: DataFrame, items: DataFrame, n: int = 4, least: float = 0.4, block_words: int = 1_000_000, id_col: str = "doc_id",
-    text_col: str = "text", item_id: str = "item_id", item_text: str = "text",
+    docs: DataFrame, items: DataFrame, n: int = 4, least: float = 0.4, least_words: int = 8, block_words: int = 1_000_000,
+    id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text",
 ) -> DataFrame:
     """One row per document and test item found in it: ``(doc_id, item_id, score, first_word,
     last_word)``; ``score`` is the alignment's share of a full match, from ``least`` to 1.
+    The alignment shares at least half of the item's words and ``least_words`` with it, or all of an
+    item of fewer; items shorter than ``n`` words are found where they stand whole and unedited.
 
     Null and empty texts match nothing; repeated documents each give their rows, and so do repeated
-    items; items that are null or shorter than ``n`` words match nothing; other columns are not read;
+    items; items that are null or hold no words match nothing; other columns are not read;
     without documents or items there are no rows."""
     schema = "doc_id long, item_id long, score double, first_word long, last_word long"
     out = docs.sparkSession.createDataFrame([], schema)
@@ -190,7 +237,7 @@ def find_leaks(
                 got = [
                     (i, item, score, a, b - 1)
                     for i, t in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()), strict=True)
-                    for no, score, a, b in matches(word_hashes(t.as_py(), cache), block, least)
+                    for no, score, a, b in matches(word_hashes(t.as_py(), cache), block, least, least_words)
                     for item in block.ids[no]
                 ]
                 if got:
@@ -206,7 +253,7 @@ def find_leaks(
 
 
 def drop_leaked(
-    docs: DataFrame, items: DataFrame, n: int = 4, least: float = 0.4, block_words: int = 1_000_000, text_col: str = "text",
+    docs: DataFrame, items: DataFrame, n: int = 4, least: float = 0.4, least_words: int = 8, block_words: int = 1_000_000, text_col: str = "text",
     item_id: str = "item_id", item_text: str = "text",
 ) -> DataFrame:
     """``docs`` without the rows in which a test item is found; all columns stay. The same decisions
@@ -222,7 +269,7 @@ def drop_leaked(
             cache: dict[bytes, int] = {}
             for batch in batches:
                 texts = batch.column(at).cast(pa.binary())
-                bad = [bool(matches(word_hashes(t.as_py() or b"", cache), block, least)) for t in texts]
+                bad = [bool(matches(word_hashes(t.as_py() or b"", cache), block, least, least_words)) for t in texts]
                 yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(bad)], [*batch.schema.names, name])
 
         out = out.mapInArrow(run, schema).where(~F.col(name)).drop(name)
