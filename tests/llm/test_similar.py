@@ -227,3 +227,15 @@ def test_shards(documents, odd_documents, no_documents):
 def test_sharding_is_native(documents):
     plan = sharding.shard_documents(documents)._jdf.queryExecution().toString()
     assert not re.search("Python|Pandas|Arrow", plan)
+
+
+def test_vectors_in_a_narrow_cone(spark):
+    """All vectors near one reference point, more of them than a tile holds."""
+    rng = np.random.default_rng(12)
+    x = np.r_[20.0, np.zeros(11)] + rng.normal(0, 1.6, (90, 12))
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    close = (unit @ unit.T >= 0.93) & ~np.eye(len(x), dtype=bool)
+    assert (unit @ unit.T).min() > 0.7 and 0 < close.sum() < close.size - len(x)
+    df = spark.createDataFrame([(i, v.tolist(), 1) for i, v in enumerate(x)], "vec_id long, embedding array<double>, label long")
+    got = {r.vec_id: r.n_links for r in embeddings.near_vectors(df, tile=16).collect()}
+    assert got == dict(enumerate(close.sum(1).tolist()))

@@ -5,8 +5,8 @@ vectors. Two vectors are candidates if they share at least ``share`` of their ``
 candidates are verified by their cosine in double precision.
 
 The inverted lists are rows: a vector goes to the list of (label, pivot) for each of its pivots that
-can be the smallest shared one. Lists longer than ``tile`` are keyed once more, by the two smallest
-shared pivots, which shortens them by the share of vectors that have the second pivot too; what
+can be the smallest shared one. Lists longer than ``tile`` are keyed once more, where two pivots must be shared, by
+the two smallest shared ones, which shortens them by the share of vectors that have the second too; what
 is still long (a large group of near copies) is cut into tiles of bounded size, all pairs of which are
 worked on in tasks of their own. Inside a tile shared pivots are counted for all its rows at once; a
 pair counts only in the list of its smallest shared pivots, so it is found once. Tasks give back a
@@ -148,7 +148,7 @@ def pivot_links(described: DataFrame, pivots: int, share: int, least: float, til
         "cid", "grp", "n", "vec", "near", "i", F.element_at("near", F.col("i") + 1).alias("p1")
     )
     sizes = lists.groupBy("grp", "p1").agg(F.count(F.lit(1)).alias("m"))
-    long = sizes.where(F.col("m") > tile).select("grp", "p1")
+    long = sizes.where((F.col("m") > tile) & F.lit(share >= 2)).select("grp", "p1")  # one shared pivot: no second key
     minus = F.lit(-1).cast("int")
     plain = lists.join(long, ["grp", "p1"], "left_anti").withColumn("p2", minus)
     deeper = (
