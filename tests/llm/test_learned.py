@@ -69,6 +69,27 @@ def test_machine_learns_pairs():
     assert np.mean([(model.score(r) >= 0.5) == y for r, y in zip(rows, label, strict=True)]) > 0.99
 
 
+def test_rare_insults_and_harmless_words_toxic_together_are_learned(spark):
+    """Insults in under 5% of the toxic rows and in no other; two words neutral alone, toxic together."""
+    rnd = random.Random(21)
+    more = {3: ["blick", "norfa"], 4: ["blick"], 5: ["norfa"], 6: [], 7: []}
+    rows = []
+    for i in range(2400):
+        words = [f"word{rnd.randrange(300)}" for _ in range(20)] + more.get(i % 8, [f"insult{rnd.randrange(16)}"])
+        rows.append((i, " ".join(rnd.sample(words, len(words))), int(i % 8 < 4)))
+    df = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    model = toxicity.train(df.select("doc_id", "text"), df.select("doc_id", "toxic"))
+    terms = {w: toxicity.crc32(w.encode()) & toxicity._MASK for w in ["blick", "norfa", *(f"insult{k}" for k in range(16))]}
+    assert all(t in model.rows for t in terms.values())
+    got = toxicity.score_toxicity(df, model).where("held_out").join(df, "doc_id").collect()
+    assert np.mean([r.predicted == r.toxic for r in got]) > 0.97
+
+
+def test_pairs_tell_where_words_do_not():
+    p = toxicity.likelihood_ratio(np.array([100.0, 50.0]), np.array([0.0, 50.0]), 8000, 8000)
+    assert p[0] > 16 and abs(p[1]) < 1e-6
+
+
 def test_dual_coordinate_descent_separates():
     rng = np.random.default_rng(1)
     rows = [np.unique(rng.integers(0, 50, 8)) for _ in range(400)]

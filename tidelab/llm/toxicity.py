@@ -4,7 +4,9 @@ Each text is the set of its terms, words and word beginnings (so that inflected
 hashed. A term has a weight and a short vector; a text's score is the sum of its terms' weights plus
 the inner products of all pairs of their vectors, which learn what terms mean together, such as an
 insult with a group named beside it, where a sum of weights alone cannot. Terms that the sample does
-not tell apart by class are left out before fitting, which keeps long harmless texts harmless.
+not tell apart by class are left out before fitting, which keeps long harmless texts harmless: a term
+stays if a likelihood-ratio test tells its classes apart, or if it is a word that does so together with
+another one, tested on all pairs of words. However many pass are kept.
 """
 
 from __future__ import annotations
@@ -17,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidelab.llm.common import drop_path, free_name, ship, stored, utf8
+from tidelab.llm.common import drop_path, free_name, parallel_slots, ship, stored, utf8
 from tidelab.llm.labelled import fit_platt, held_out, sigmoid, training_sample
 from tidelab.llm.licenses import words_of
 
@@ -125,30 +127,86 @@ def fit_model(rows: list[list[int]], label: np.ndarray, weight: dict[int, float]
     return model
 
 
-def telling_terms(sample: DataFrame, n_pos: int, n_neg: int, least_df: int, least_z: float, most: int) -> list[int]:
-    """Hashes of the terms whose log odds differ between the classes by ``least_z`` deviations or
-    more, the ``most`` clearest at most, from counts over the whole sample."""
+def telling_terms(sample: DataFrame, n_pos: int, n_neg: int, least_df: int, least_z: float) -> list[int]:
+    """Hashes of all terms whose rows differ in class from the rest by a likelihood ratio of ``least_z``
+    deviations or more, from counts over the whole sample. Terms of one class alone are no exception."""
     counts = (
         sample.select("label", F.explode("ids").alias("term")).groupBy("term")
         .agg(F.sum("label").cast("double").alias("p"), F.sum(1 - F.col("label")).cast("double").alias("q"))
+        .where(F.col("p") + F.col("q") >= least_df)
     )
-    odds = lambda c, n: F.log((F.col(c) + 0.5) / (F.lit(float(n)) - F.col(c) + 0.5))
-    z = (odds("p", n_pos) - odds("q", n_neg)) / F.sqrt(1 / (F.col("p") + 0.5) + 1 / (F.col("q") + 0.5))
-    kept = (
-        counts.where(F.col("p") + F.col("q") >= least_df).select("term", z.alias("z"))
-        .where(F.abs("z") >= least_z).orderBy(F.abs("z").desc(), "term").limit(most)
-    )
-    return [r["term"] for r in kept.collect()]
+    found = counts.orderBy("term").toArrow()
+    p, q = found.column("p").to_numpy(), found.column("q").to_numpy()
+    return found.column("term").to_numpy()[likelihood_ratio(p, q, n_pos, n_neg) >= least_z**2].tolist()
+
+
+def likelihood_ratio(p: np.ndarray, q: np.ndarray, n_pos, n_neg) -> np.ndarray:
+    """Twice the log likelihood ratio (G) of ``p`` of ``n_pos`` and ``q`` of ``n_neg`` rows against
+    one share in both."""
+
+    def plogp(x):
+        x = np.asarray(x, np.float64)
+        return x * np.log(np.where(x > 0, x, 1.0))
+
+    inner = plogp(p) + plogp(q) + plogp(n_pos - p) + plogp(n_neg - q) + plogp(n_pos + n_neg)
+    return 2 * (inner - plogp(p + q) - plogp(n_pos + n_neg - p - q) - plogp(n_pos) - plogp(n_neg))
+
+
+def telling_pairs(spark, own: list[np.ndarray], label: np.ndarray, least_df: int, least_z: float) -> list[int]:
+    """Hashes of the words that tell the classes apart with another word: in the rows of either one
+    the other one's likelihood ratio passes. As each word is tested with all others, the bar is
+    higher by ``2 ln`` of the words. Equal rows count once, as each copy would confirm all its pairs.
+    Each word is counted against the words of its rows, in tasks; the sample goes to all of them."""
+    kept = sorted({(y, r.tobytes()) for r, y in zip(own, label.tolist(), strict=True)})
+    rows, label = [np.frombuffer(r, np.int32) for _, r in kept], np.array([y for y, _ in kept])
+    df = np.bincount(np.concatenate([*rows, np.zeros(0, np.int32)]), minlength=_MASK + 1)
+    words = np.flatnonzero(df >= least_df)
+    if len(words) < 2:
+        return []
+    number = np.full(_MASK + 1, -1, np.int32)
+    number[words] = np.arange(len(words))
+    rows = [n[n >= 0] for n in (number[r] for r in rows)]
+    size = np.array([len(r) for r in rows])
+    flat, begin = np.concatenate(rows), np.cumsum(size) - size
+    holder = np.repeat(np.arange(len(rows), dtype=np.int32), size)[np.argsort(flat, kind="stable")]
+    ends = np.cumsum(df[words])
+    n_pos = np.bincount(flat, np.repeat(label, size), len(words))
+    bar, n_all = least_z**2 + 2 * np.log(len(words)), df[words]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            got: set[int] = set()
+            for a in batch.column(0).to_pylist():
+                docs = holder[ends[a] - n_all[a] : ends[a]]
+                n = size[docs]
+                others = flat[np.repeat(begin[docs] - (np.cumsum(n) - n), n) + np.arange(n.sum())]
+                toxic = np.repeat(label[docs], n)
+                later = others > a
+                on, place = np.unique(others[later], return_inverse=True)
+                p = np.bincount(place, toxic[later], len(on))
+                q = np.bincount(place, minlength=len(on)) - p
+                often = p + q >= least_df
+                on, p, q = on[often], p[often], q[often]
+                least = np.minimum(
+                    likelihood_ratio(p, q, n_pos[a], n_all[a] - n_pos[a]), likelihood_ratio(p, q, n_pos[on], n_all[on] - n_pos[on])
+                )
+                if (least >= bar).any():
+                    got.update([a, *on[least >= bar].tolist()])
+            yield pa.RecordBatch.from_arrays([pa.array(sorted(got), pa.int64())], ["word"])
+
+    parts = parallel_slots(spark) * 4
+    anchors = spark.range(len(words)).select("id").repartition(parts, F.xxhash64("id"))
+    return [int(words[r["word"]]) for r in anchors.mapInArrow(run, "word long").distinct().collect()]
 
 
 def train(
     docs: DataFrame, labels: DataFrame, per_class: int = 8000, modulus: int = 4, remainder: int = 2,
     label_col: str = "toxic", id_col: str = "doc_id", text_col: str = "text",
-    least_df: int = 5, least_z: float = 4.0, most_terms: int = 4096,
+    least_df: int = 5, least_z: float = 4.0,
 ) -> Model:
     """Fit on at most ``per_class`` labelled rows of each class that are not held out. Terms are taken
-    from whole texts and counted in Spark; the driver gets the sample's kept terms alone. With one
-    class or none labelled, every text gets the same score."""
+    from whole texts and counted in Spark; the driver gets the sample's word hashes, for the pairs, and
+    its kept terms. With one class or none labelled, every text gets the same score."""
     spark = docs.sparkSession
     ship(spark)
     sample, weight = training_sample(docs, labels, label_col, modulus, remainder, per_class, id_col, text_col)
@@ -156,24 +214,35 @@ def train(
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache: dict[bytes, list[int]] = {}
         for batch in batches:
-            ids = [sorted(all_terms(t.as_py(), cache)) for t in batch.column(2).cast(pa.binary())]
+            texts = [t.as_py() for t in batch.column(2).cast(pa.binary())]
+            ids = [sorted(all_terms(t, cache)) for t in texts]
+            own = [sorted({crc32(w) & _MASK for w in words_of(t)}) for t in texts]
+            kind = pa.list_(pa.int32())
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array(ids, pa.list_(pa.int32()))], ["doc_id", "label", "ids"]
+                [batch.column(0), batch.column(1), pa.array(ids, kind), pa.array(own, kind)], ["doc_id", "label", "ids", "own"]
             )
 
-    terms = sample.select("doc_id", "label", "text").mapInArrow(run, "doc_id long, label int, ids array<int>")
+    terms = sample.select("doc_id", "label", "text").mapInArrow(run, "doc_id long, label int, ids array<int>, own array<int>")
     terms, path = stored(terms, "toxicity-sample")
     size = {r["label"]: r["n"] for r in terms.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
     if len(size) < 2:
         drop_path(spark, path)
         return Model({}, np.zeros(1), np.zeros((1, 1)), 0.0, 0.0, 4.0 if size.get(1) else -4.0)
-    hashes = telling_terms(terms, size[1], size[0], least_df, least_z, most_terms)
-    kept = F.array(*[F.lit(h) for h in hashes]).cast("array<int>") if hashes else F.expr("cast(array() as array<int>)")
-    got = terms.select("doc_id", "label", F.array_intersect("ids", kept).alias("ids")).collect()
+    words = terms.select("label", "own").toArrow()
+    own = [np.asarray(r.values.to_numpy(zero_copy_only=False), np.int32) for r in words.column("own")]
+    pairs = telling_pairs(spark, own, words.column("label").to_numpy(), least_df, least_z)
+    hashes = sorted({*telling_terms(terms, size[1], size[0], least_df, least_z), *pairs})
+    row = {h: i for i, h in enumerate(hashes)}
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids = [[row[t] for t in r if t in row] for r in batch.column(2).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(ids, pa.list_(pa.int32()))], ["doc_id", "label", "ids"])
+
+    got = terms.select("doc_id", "label", "ids").mapInArrow(keep, "doc_id long, label int, ids array<int>").collect()
     drop_path(spark, path)
     got = sorted(got, key=lambda r: (crc32(str(r["doc_id"]).encode()), r["doc_id"]))
-    row = {h: i for i, h in enumerate(hashes)}
-    return fit_model([[row[t] for t in r["ids"]] for r in got], np.array([r["label"] for r in got]), weight, hashes)
+    return fit_model([r["ids"] for r in got], np.array([r["label"] for r in got]), weight, hashes)
 
 
 def with_score(docs: DataFrame, model: Model, column: str, text_col: str = "text") -> DataFrame:
