@@ -138,3 +138,22 @@ def test_genetic_operators_keep_every_item():
         child = packing.mutate(sizes, child, 100, rng)
         assert packing.fills(sizes, child).max() <= 100 and (np.bincount(child) > 0).all()
         a = child
+
+
+def test_packed_sequences_hold_their_ids(spark, documents, odd_documents):
+    """The ids of a sequence's rows, in a row, are gapless, and the pieces of a document its tokens."""
+    docs = documents.select("doc_id", "text").unionByName(odd_documents.select("doc_id", "text").where("doc_id = 1 or doc_id is null"))
+    want = sorted(
+        (r.doc_id is None, r.doc_id or 0, r.piece, r.ids)
+        for r in packing.cut_pieces(docs, WORDS, with_ids=True).collect()
+    )
+    rows = packing.pack_documents(docs, WORDS).collect()
+    assert sorted((r.doc_id is None, r.doc_id or 0, r.piece, r.ids) for r in rows) == want
+    assert all(len(r.ids) == 4 * r.length and zlib.crc32(r.ids) == r.ids_crc32 for r in rows)
+    full, last = {}, None
+    for r in rows:
+        assert r.sequence_id == last or r.sequence_id not in full
+        last = r.sequence_id
+        assert len(full.setdefault(last, b"")) == 4 * r.offset
+        full[last] += r.ids
+    assert max(map(len, full.values())) <= 4 * 2048

@@ -13,11 +13,12 @@ from tidelab.session import ship_package as ship
 
 __all__ = ["components", "drop_path", "free_name", "local_forest", "parallel_slots", "scratch_dir", "ship", "stored", "utf8"]
 
-def stored(df: DataFrame, name: str) -> tuple[DataFrame, str]:
-    """Write ``df`` as Parquet in the shared folder and read it back: cuts lineage and survives
-    the loss of executors. Returns the frame and its folder (for ``drop_path`` when done)."""
+def stored(df: DataFrame, name: str, **options: str) -> tuple[DataFrame, str]:
+    """Write ``df`` as Parquet (with writer ``options``) in the shared folder and read it back: cuts
+    lineage and survives the loss of executors. Returns the frame and its folder (for ``drop_path``
+    when done)."""
     path = scratch_dir(df.sparkSession, name)
-    df.write.parquet(path)
+    df.write.options(**options).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path), path
 
 

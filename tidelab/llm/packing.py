@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidelab.llm.common import parallel_slots, ship, stored, utf8
+from tidelab.llm.common import drop_path, parallel_slots, ship, stored, utf8
 from tidelab.llm.tokens import encoder, slices
 
 PIECE_SCHEMA = "doc_id long, piece int, start long, length long, ids_crc32 long"
@@ -30,11 +30,12 @@ PIECE_SCHEMA = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 def cut_pieces(
     docs: DataFrame, tokenizer: str, kind: str = "words", end_id: int = 0, capacity: int = 2048,
-    id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False,
+    id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False, narrow: bool = False,
 ) -> DataFrame:
     """Encode every whole text (null: empty), append ``end_id``, and cut only what is longer than
     ``capacity`` into pieces of ``capacity`` ids, the last one maybe shorter. One row per piece;
-    ``with_ids`` adds the ids (little-endian unsigned 32-bit) as ``ids binary``. Repeated rows give
+    ``with_ids`` adds the ids (little-endian unsigned 32-bit, or as wide as the encoder's if
+    ``narrow``) as ``ids binary``. Repeated rows give
     repeated pieces, a null id stays null, an empty text is the one end id, an empty table gives
     no rows; other columns are not read."""
     ship(docs.sparkSession)
@@ -49,8 +50,9 @@ def cut_pieces(
                 for key, raw in zip(keys[a:b], enc.encode(texts[a:b]), strict=True):
                     ids = np.append(np.frombuffer(raw, enc.dtype), end_id).astype("<u4")
                     for no, at in enumerate(range(0, len(ids), capacity)):
-                        part = ids[at : at + capacity].tobytes()
-                        out.append((key, no, at, len(part) // 4, zlib.crc32(part), part if with_ids else None))
+                        part = ids[at : at + capacity]
+                        held = part.astype(enc.dtype) if narrow else part
+                        out.append((key, no, at, len(part), zlib.crc32(part.tobytes()), held.tobytes() if with_ids else None))
                 cols = list(zip(*out, strict=True))
                 kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()]
                 names = ["doc_id", "piece", "start", "length", "ids_crc32"]
@@ -319,5 +321,27 @@ def pack(
 
 
 def pack_documents(docs: DataFrame, tokenizer: str, capacity: int = 2048) -> DataFrame:
-    """Documents to packed pieces: ``cut_pieces`` then ``pack``."""
-    return pack(cut_pieces(docs, tokenizer, capacity=capacity), capacity)
+    """Documents to packed sequences, in shared storage: a row per piece as ``cut_pieces`` gives them,
+    with ``ids``, ``sequence_id`` and ``offset``. The rows of a sequence lie together in one file, in
+    the order of their offsets, so that their ids in a row are the sequence. Pieces are packed by
+    their lengths alone; the ids join the placements by a number of their own, as document ids
+    may repeat or be null."""
+    cut = cut_pieces(docs, tokenizer, capacity=capacity, with_ids=True, narrow=True)
+    pieces, path = stored(cut.withColumn("row", F.monotonically_increasing_id()), "pieces-with-ids", compression="zstd")
+    placed = pack(pieces.drop("ids"), capacity)
+    names = [c for c in pieces.columns if c != "row"]
+    sequences = (
+        pieces.select("row", "ids").join(placed.hint("shuffle_hash"), "row").select(*names, "sequence_id", "offset")
+        .repartition("sequence_id").sortWithinPartitions("sequence_id", "offset")
+    )
+
+    def widen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, n = names.index("ids"), names.index("length")
+        for batch in batches:
+            raw = zip(batch.column(at).to_pylist(), batch.column(n).to_pylist(), strict=True)
+            wide = [np.frombuffer(b, f"<u{len(b) // size}").astype("<u4").tobytes() for b, size in raw]
+            yield batch.set_column(at, "ids", pa.array(wide, pa.binary()))
+
+    out, _ = stored(sequences.mapInArrow(widen, sequences.schema), "sequences", compression="zstd")
+    drop_path(docs.sparkSession, path)
+    return out
