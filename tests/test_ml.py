@@ -98,6 +98,19 @@ def test_knn_matches_brute_force(spark):
         assert [n for _, n in sorted(res[1000 + i])] == order
 
 
+def test_knn_keeps_the_tables_off_the_driver(spark, monkeypatch):
+    """Blocks and groups of a few rows each; no rows are collected while the plan is built."""
+    rng = np.random.default_rng(6)
+    x = rng.normal(0, 1, (120, 4))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, f array<double>")
+    with monkeypatch.context() as m:
+        m.setattr(type(df), "toArrow", lambda self: pytest.fail("a table on the driver"))
+        found = knn_search(df, df, k=3, features="f", exclude_self=True, block_bytes=2000, group_bytes=2000)
+    got = {(r["query_id"], r["rank"]): r["neighbor_id"] for r in found.collect()}
+    far = ((x[:, None] - x[None]) ** 2).sum(2) + np.diag(np.full(len(x), np.inf))
+    assert got == {(i, n + 1): int(j) for i in range(len(x)) for n, j in enumerate(np.argsort(far[i])[:3])}
+
+
 @pytest.mark.parametrize("block_bytes", [1 << 20, 1000])
 def test_knn_ties_go_by_id(spark, block_bytes):
     same = spark.createDataFrame([(i, [1.0, 2.0], i % 2) for i in range(200)], "id long, f array<double>, y int").repartition(7)

@@ -1,18 +1,18 @@
 """Exact k-nearest neighbours: a query side against reference rows, in blocks.
 
-The reference rows go to the tasks as one numpy matrix, in as many blocks as a documented byte bound
-asks for; the query rows never move. Each task scores its queries against a block by matrix products,
-takes every reference row that could be among the ``k`` nearest (the k-th approximate distance and a
-margin for rounding, so ties are never cut), computes those distances exactly, and keeps the first
-``k`` by (distance, reference id). With more than one block the short lists of a query, ``k`` rows each,
-are merged by one aggregate. The cost is queries x references distances, stated and split over tasks;
-fitting on a sample of the reference rows is the caller's choice, never made here.
+The reference rows are dealt into blocks and the query rows into groups, both of a documented byte
+bound, and each block meets each group in a call of its own. It scores the queries against the block
+by matrix products, takes every reference row that could be among the ``k`` nearest (the k-th
+approximate distance and a margin for rounding, so ties are never cut), computes those distances
+exactly, and keeps the first ``k`` by (distance, reference id). With more than one block the short lists
+of a query, ``k`` rows each, are merged by one aggregate. Only row counts reach the driver. The cost is
+queries x references distances, and in the shuffle a copy of the reference rows per group and of the
+query rows per block, stated and split over tasks; fitting on a sample of the reference rows is the
+caller's choice, never made here.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pyarrow as pa
 from pyspark.ml.functions import vector_to_array
@@ -20,6 +20,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tidelab.session import ship_package
+
 HITS = "array<struct<distance: double, neighbor_id: long, label: double>>"
 _HIT_TYPE = pa.list_(pa.struct([("distance", pa.float64()), ("neighbor_id", pa.int64()), ("label", pa.float64())]))
 
@@ -54,11 +56,13 @@ def _nearest(query: np.ndarray, rows: np.ndarray, squares: np.ndarray, ids: np.n
 def knn_hits(
     train: DataFrame, queries: DataFrame, k: int = 5, train_id: str = "id", query_id: str = "id",
     features: str = "features", label: str | None = None, exclude_self: bool = False, block_bytes: int = 64 << 20,
+    group_bytes: int = 64 << 20,
 ) -> DataFrame:
     """``(query_id, hits)``: up to ``k`` hits per query row, nearest first, ties by reference id.
 
     Query ids are unique; ``exclude_self`` passes over reference rows with the query's own id. Rows
-    without features take no part. ``block_bytes`` bounds what a task holds of the reference rows."""
+    without features take no part. ``block_bytes`` bounds what a task holds of the reference rows, ``group_bytes`` of the
+    query rows."""
     label_col = F.col(label).cast("double") if label else F.lit(None).cast("double")
     ref = train.select(
         F.col(train_id).cast("long").alias("id"), label_col.alias("label"), _as_array(train, features).alias("x")
@@ -68,38 +72,38 @@ def knn_hits(
     if not size["n"]:
         return asks.select("query_id", F.expr(f"cast(array() as {HITS})").alias("hits"))
     dim = size["d"]
-    blocks = max(1, -(-size["n"] * (dim + 2) * 8 // block_bytes))
-    parts = []
-    for b in range(blocks):
-        mine = ref if blocks == 1 else ref.where(F.pmod(F.xxhash64("id", "x"), F.lit(blocks)) == b)
-        table = mine.toArrow()
-        if not len(table):
-            continue
-        rows = _matrix(table.column("x").combine_chunks(), dim)
-        ids, labels = table.column("id").to_numpy(), table.column("label").to_numpy()
+    ship_package(train.sparkSession)
+    width = (dim + 2) * 8
+    blocks = max(1, -(-size["n"] * width // block_bytes))
+    slots = max(int(train.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
+    groups = max(1, -(-asks.count() * width // group_bytes), -(-slots // blocks))
+
+    def score(left: pa.Table, right: pa.Table) -> pa.Table:
+        out = []
+        rows = _matrix(left.column("x").combine_chunks(), dim) if len(left) else np.zeros((0, dim))
+        ids, labels = left.column("id").to_numpy(), left.column("label").to_numpy()
         squares = (rows * rows).sum(1)
-
-        def score(batches: Iterator[pa.RecordBatch], rows=rows, ids=ids, labels=labels, squares=squares) -> Iterator[pa.RecordBatch]:
-            step = max(1, (8 << 20) // len(rows))
-            for batch in batches:
-                for a in range(0, len(batch), step):
-                    part = batch.slice(a, step)
-                    skip = part.column(0).to_numpy() if exclude_self else None
-                    hits = [
-                        [
-                            {"distance": d, "neighbor_id": i, "label": None if np.isnan(y) else y}
-                            for d, i, y in zip(dist.tolist(), ids[at].tolist(), labels[at].tolist(), strict=True)
-                        ]
-                        for at, dist in _nearest(_matrix(part.column(1), dim), rows, squares, ids, skip, k)
-                    ]
-                    yield pa.RecordBatch.from_arrays([part.column(0), pa.array(hits, _HIT_TYPE)], ["query_id", "hits"])
-
-        parts.append(asks.mapInArrow(score, f"query_id long, hits {HITS}"))
-    out = parts[0]
-    if len(parts) == 1:
+        step = max(1, (8 << 20) // max(1, len(rows)))
+        for a in range(0, len(right), step):
+            part = right.slice(a, step)
+            skip = part.column("query_id").to_numpy() if exclude_self else None
+            queries = _matrix(part.column("x").combine_chunks(), dim)
+            hits = [
+                [
+                    {"distance": d, "neighbor_id": i, "label": None if np.isnan(y) else y}
+                    for d, i, y in zip(dist.tolist(), ids[at].tolist(), labels[at].tolist(), strict=True)
+                ]
+                for at, dist in _nearest(queries, rows, squares, ids, skip, k)
+            ]
+            out.append(pa.table({"query_id": part.column("query_id"), "hits": pa.array(hits, _HIT_TYPE)}))
+        return pa.concat_tables(out) if out else pa.table({"query_id": pa.array([], pa.int64()), "hits": pa.array([], _HIT_TYPE)})
+
+    every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))
+    left = ref.select("*", F.pmod(F.xxhash64("id", "x"), F.lit(blocks)).alias("block"), every(groups).alias("group"))
+    right = asks.select("*", F.pmod(F.xxhash64("query_id", "x"), F.lit(groups)).alias("group"), every(blocks).alias("block"))
+    out = left.groupBy("block", "group").cogroup(right.groupBy("block", "group")).applyInArrow(score, f"query_id long, hits {HITS}")
+    if blocks == 1:
         return out
-    for p in parts[1:]:
-        out = out.unionByName(p)
     merged = out.groupBy("query_id").agg(F.sort_array(F.flatten(F.collect_list("hits"))).alias("hits"))
     return merged.select("query_id", F.slice("hits", 1, k).alias("hits"))
 
