@@ -97,3 +97,10 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tidelab.llm.decontam import find_leaks
 
     return find_leaks(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+
+
+@query("op13_language_model")
+def op13_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidelab.llm.language_model import score_texts
+
+    return score_texts(read_table(spark, sf_dir, "documents"), order=2)
