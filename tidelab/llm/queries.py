@@ -104,3 +104,11 @@ def op13_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tidelab.llm.language_model import score_texts
 
     return score_texts(read_table(spark, sf_dir, "documents"), order=2)
+
+
+@query("op12_alignment")
+def op12_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidelab.llm.alignment import align_documents
+
+    docs = read_table(spark, sf_dir, "documents")
+    return align_documents(docs, vocabulary("byte_bpe_50k.json"), vocabulary("piece_bpe_32k.model"))[0]
