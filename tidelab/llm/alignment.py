@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tidelab.llm.blocks import pack, text_blocks, unpack
-from tidelab.llm.common import drop_path, ship, stored
+from tidelab.llm.common import ship, stored
 
 _SPACE = r"[\s\x0b\x1c-\x1f\x85\pZ]"
 _ODD = rf"{_SPACE}{_SPACE}|^{_SPACE}|{_SPACE}$|\r"
@@ -370,14 +370,14 @@ def align_documents(docs: DataFrame, byte_path: str, piece_path: str, id_col: st
     spark = docs.sparkSession
     ship(spark)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    kept, _ = stored(rows.mapInArrow(_align(byte_path, piece_path), _STORED), "alignment", compression="zstd")
+    kept, path = stored(rows.mapInArrow(_align(byte_path, piece_path), _STORED), "alignment", compression="zstd")
     asked = kept.where("kind = 1").select("block", "a", "b", "place", "documents")
     summed, _ = stored(asked.groupBy("a", "b").agg(F.sum("documents").alias("count")), "pair-counts")
     # An A id meets at most as many B ids as B's vocabulary has.
     top = F.max("count").over(Window.partitionBy("a"))
     pairs = summed.withColumn("best", F.col("count") == top)
     counts = asked.join(pairs, ["a", "b"]).select("block", "place", "count", "best")
-    documents = kept.where("kind = 0").select("block", "doc_id", "n_a", "n_b", "n_groups", "n_links", "groups_sha256", "pairs", "times")
+    documents = spark.read.schema(kept.schema).parquet(path).where("kind = 0").select("block", "doc_id", "n_a", "n_b", "n_groups", "n_links", "groups_sha256", "pairs", "times")
     return documents.groupBy("block").cogroup(counts.groupBy("block")).applyInArrow(_answer, _ALIGNED), pairs
 
 
