@@ -112,3 +112,10 @@ def op12_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     docs = read_table(spark, sf_dir, "documents")
     return align_documents(docs, vocabulary("byte_bpe_50k.json"), vocabulary("piece_bpe_32k.model"))[0]
+
+
+@query("op11_collocations")
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidelab.llm.collocations import collocations
+
+    return collocations(read_table(spark, sf_dir, "documents"))
