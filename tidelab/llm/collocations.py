@@ -13,7 +13,7 @@ of a candidate is then frequent too (Apriori), which bounds the search level by
    reach are counted with ``bincount``, and the counts are summed over the blocks. These are the counts that
    scores are made of.
 
-A trie holds the phrases of one hash share of first words, at most about ``trie_nodes`` of them, so that
+A trie holds the phrases of one share of the first words (by number), at most about ``trie_nodes`` of them, so that
 every broadcast and every array is bounded; with more phrases there are more tries, and a task takes one
 after the other over the same text. Numbered words reach the tasks in lists of at most ``trie_nodes``
 too. Scores are exact: products are taken in 38-digit decimals.
@@ -130,67 +130,80 @@ class Trie:
 
     @classmethod
     def build(cls, phrases: list[tuple[int, ...]], langs: dict[str, int], top: int) -> tuple["Trie", np.ndarray]:
-        """Lay out symbol strings (closed under prefixes). Returns the trie and each string's state."""
-        order = sorted(range(len(phrases)), key=lambda i: (len(phrases[i]), phrases[i]))
+        """Lay out symbol strings (closed under prefixes). Returns the trie and each string's state.
+
+        Nodes with several children are placed first, those with the most first, each at the first base
+        that leaves its children's places free; the only children then fill the places left over."""
         children: dict[tuple, list[int]] = {}
-        for i in order:
-            children.setdefault(phrases[i][:-1], []).append(phrases[i][-1])
-        size = top + 2 * len(phrases) + 2
-        base, check, used = np.zeros(size, np.int64), np.full(size, -1, np.int64), np.zeros(size, bool)
+        for p in sorted(phrases):
+            children.setdefault(p[:-1], []).append(p[-1])
+        used = np.zeros(2 * top + 4 * len(phrases) + 2, bool)
         used[0] = True
-        state, low = {(): 0}, 1
-        for prefix, symbols in children.items():  # parents before children, as the strings go by length
-            symbols_at = np.array(symbols)
-            while low < len(used) and used[low]:
-                low += 1
-            at = low
+        bases: dict[tuple, int] = {}
+        begin = 1
+        for prefix in sorted((p for p, c in children.items() if len(c) > 1), key=lambda p: -len(children[p])):
+            symbols = np.array(children[prefix])
+            window = max(16, min(512, (1 << 20) // len(symbols)))
+            at = begin
             while True:
-                if at + symbols_at[-1] - symbols_at[0] + 1 >= len(used):
-                    more = max(len(used), int(symbols_at[-1]) + 1)
-                    base, check = np.append(base, np.zeros(more, np.int64)), np.append(check, np.full(more, -1, np.int64))
-                    used = np.append(used, np.zeros(more, bool))
-                first = at + np.flatnonzero(~used[at : at + 512])
-                first = first[first - symbols_at[0] > 0]  # a base is above 0: the empty entries have 0
-                span = int(symbols_at[-1] - symbols_at[0])
-                first = first[first + span < len(used)]
-                if len(symbols) == 1:
-                    free = np.ones(len(first), bool)
-                else:
-                    free = ~used[(first - symbols_at[0])[:, None] + symbols_at].any(1) if len(first) * len(symbols) < 1 << 20 else np.array(
-                        [not used[f - symbols_at[0] + symbols_at].any() for f in first.tolist()], bool
-                    )
-                if free.any():
-                    b = int(first[np.argmax(free)] - symbols_at[0])
+                if at + window + top >= len(used):
+                    used = np.append(used, np.zeros(len(used), bool))
+                tried = np.arange(at, at + window)
+                fits = ~used[tried[:, None] + symbols].any(1)
+                if fits.any():
+                    bases[prefix] = b = int(tried[np.argmax(fits)])
+                    used[b + symbols] = True
                     break
-                at += 512
-            parent = state[prefix]
-            base[parent] = b
-            places = b + symbols_at
-            used[places], check[places] = True, parent
-            for c, t in zip(symbols, places.tolist(), strict=True):
-                state[(*prefix, c)] = t
-        end = int(base.max()) + top + 2  # every step from a state stays inside
-        base, check = (np.append(x, np.full(max(0, end - len(x)), f, np.int64))[:end] for x, f in ((base, 0), (check, -1)))
+                at += window
+                begin = at  # a crowded stretch is left to nodes with one child
+        single = sorted((c[0], p) for p, c in children.items() if len(c) == 1)
+        free = top + 1 + np.flatnonzero(~used[top + 1 :])
+        if len(free) < len(single):
+            free = np.append(free, len(used) + np.arange(len(single)))
+        for (symbol, prefix), place in zip(single, free.tolist(), strict=False):
+            bases[prefix] = place - symbol
+        state: dict[tuple, int] = {(): 0}
+        size = 1 + max([0, *(bases[p] + c[-1] for p, c in children.items())])
+        base, check = np.zeros(size, np.int32), np.full(size, -1, np.int32)
+        for p in sorted(phrases, key=len):  # parents before children
+            state[p] = t = bases[p[:-1]] + p[-1]
+            check[t] = state[p[:-1]]
+        for p, b in bases.items():
+            base[state[p]] = b
         return cls(base, check, langs, top), np.array([state[p] for p in phrases], np.int64)
 
-    def levels(self, lang: str, codes: np.ndarray, longest: int):
-        """Advance all positions at once: per level the positions still inside and their states."""
-        at = np.flatnonzero(codes > 0)
-        symbol = self.langs.get(lang)
-        if symbol is None or self.check[self.base[0] + symbol] != 0:
+    def step(self, states: np.ndarray, symbols: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Next states, and which of them exist."""
+        to = self.base[states] + symbols
+        inside = to < len(self.check)
+        to = np.where(inside, to, 0)
+        return to, inside & (self.check[to] == states) & (symbols > 0)
+
+    def levels(self, lang: str, codes: np.ndarray, longest: int, at: np.ndarray | None = None):
+        """Advance all positions (or those in ``at``) at once: per level the positions still inside and
+        their states."""
+        at = np.flatnonzero(codes > 0) if at is None else at
+        start, known = self.step(np.zeros(1, np.int64), np.array([self.langs.get(lang, 0)]))
+        if not known[0]:
             return
-        states = np.full(len(at), self.base[0] + symbol)
+        states = np.full(len(at), start[0])
         codes = np.append(codes, np.zeros(longest, codes.dtype))
         for level in range(longest):
-            step = codes[at + level]
-            to = self.base[states] + step
-            alive = (step > 0) & (self.check[to] == states)
+            to, alive = self.step(states, codes[at + level])
             at, states = at[alive], to[alive]
             yield at, states
             if not len(at):
                 return
 
 
+def _positions(codes: np.ndarray, shares: int) -> list[np.ndarray]:
+    """Positions of words by the trie that holds the phrases which begin with them."""
+    at = np.flatnonzero(codes > 0)
+    share = codes[at] % shares
+    at = at[np.argsort(share, kind="stable")]
+    return np.split(at, np.cumsum(np.bincount(share, minlength=shares))[:-1])
+
+
 def _tries(phrases: DataFrame, shares: int, top: int, langs: dict[str, int]) -> tuple[DataFrame, str]:
     """A row a trie with its arrays, and the states of its phrases, stored."""
 
@@ -204,7 +217,7 @@ def _tries(phrases: DataFrame, shares: int, top: int, langs: dict[str, int]) ->
             "state": [states[len(roots):].tolist()],
         })
 
-    share = F.pmod(F.xxhash64("lang", F.col("codes")[0]), F.lit(shares)).cast("int")
+    share = F.pmod(F.col("codes")[0], F.lit(shares)).cast("int")
     out = phrases.select("lang", "codes").withColumn("trie", share).groupBy("trie").applyInPandas(
         build, "trie int, base binary, check binary, lang array<string>, codes array<array<int>>, state array<long>"
     )
@@ -225,7 +238,7 @@ def _states(tries: DataFrame) -> DataFrame:
     return tries.select("trie", F.explode(F.arrays_zip("lang", "codes", "state")).alias("p")).select("trie", "p.state", "p.lang", "p.codes")
 
 
-def _longer(texts: DataFrame, tries: list, level: int, least: int) -> DataFrame:
+def _longer(texts: DataFrame, tries: list, shares: int, level: int, least: int) -> DataFrame:
     """``(trie, state, code)`` of the phrases of ``level`` + 1 words whose parts of ``level`` words are
     frequent and that stand ``least`` times."""
 
@@ -234,9 +247,9 @@ def _longer(texts: DataFrame, tries: list, level: int, least: int) -> DataFrame:
             for lang, packed in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 codes = unpack(packed.as_py()).astype(np.int64)
                 reached = np.zeros(len(codes) + 1, bool)
-                last = []
+                last, places = [], _positions(codes, shares)
                 for number, trie in tries:
-                    steps = list(trie.value.levels(lang, codes, level))
+                    steps = list(trie.value.levels(lang, codes, level, places[number]))
                     if len(steps) == level:
                         at, states = steps[-1]
                         reached[at] = True
@@ -256,16 +269,17 @@ def _longer(texts: DataFrame, tries: list, level: int, least: int) -> DataFrame:
     )
 
 
-def _counts(texts: DataFrame, tries: list, longest: int) -> DataFrame:
+def _counts(texts: DataFrame, tries: list, shares: int, longest: int) -> DataFrame:
     """``(trie, state, n)``: how many positions reach each state."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lang, packed in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 codes = unpack(packed.as_py()).astype(np.int64)
+                places = _positions(codes, shares)
                 for number, trie in tries:
                     sums = np.zeros(len(trie.value.base), np.int64)
-                    for _, states in trie.value.levels(lang, codes, longest):
+                    for _, states in trie.value.levels(lang, codes, longest, places[number]):
                         sums += np.bincount(states, minlength=len(sums))
                     state = np.flatnonzero(sums)
                     yield pa.RecordBatch.from_arrays(
@@ -276,7 +290,7 @@ def _counts(texts: DataFrame, tries: list, longest: int) -> DataFrame:
 
 
 def phrase_counts(
-    docs: DataFrame, longest: int = 5, least: int = 100, text_col: str = "text", lang_col: str = "lang", trie_nodes: int = 500_000
+    docs: DataFrame, longest: int = 5, least: int = 100, text_col: str = "text", lang_col: str = "lang", trie_nodes: int = 100_000
 ) -> tuple[DataFrame, DataFrame]:
     """``(lang, codes, words, n)`` of every frequent phrase of 1 to ``longest`` words, and ``(lang, n)``,
     the word occurrences of each language."""
@@ -302,12 +316,13 @@ def phrase_counts(
     for level in range(1, longest + 1):
         every, _ = stored(every, "phrases")
         held = every.count()
-        tries, _ = _tries(every, max(1, -(-held // trie_nodes)), top + 1 + len(langs), langs)
+        parts = max(1, -(-held // trie_nodes))
+        tries, _ = _tries(every, parts, top + 1 + len(langs), langs)
         sent = _broadcast(spark, tries, langs, top + 1 + len(langs))
         if level == longest:
             break
         code = numbered.select("code", "word")
-        longer = _longer(texts, sent, level, least).join(_states(tries), ["trie", "state"]).join(code, "code").select(
+        longer = _longer(texts, sent, parts, level, least).join(_states(tries), ["trie", "state"]).join(code, "code").select(
             "lang", F.concat("codes", F.array("code")).alias("codes"), "word"
         )
         shorter = every.where(F.size("codes") == level).select("lang", "codes", "words")
@@ -316,7 +331,7 @@ def phrase_counts(
         )
         every = every.unionByName(found.select("lang", "codes", F.concat("words", F.array("word")).alias("words")))
     counted, _ = stored(
-        _counts(texts, sent, longest).join(_states(tries), ["trie", "state"]).join(every, ["lang", "codes"]).select("lang", "codes", "words", "n"),
+        _counts(texts, sent, parts, longest).join(_states(tries), ["trie", "state"]).join(every, ["lang", "codes"]).select("lang", "codes", "words", "n"),
         "phrase-counts",
     )
     for _, b in sent:
@@ -326,7 +341,7 @@ def phrase_counts(
 
 def collocations(
     docs: DataFrame, longest: int = 5, least: int = 100, first: int = 2000, text_col: str = "text", lang_col: str = "lang",
-    trie_nodes: int = 500_000,
+    trie_nodes: int = 100_000,
 ) -> DataFrame:
     """``(lang, rank, phrase, a, l, r, n, score)``: each language's ``first`` phrases by score, count and
     words. A phrase is scored at its weakest cut, ``floor(1000 a n / (l r))``, the shortest first part
