@@ -7,10 +7,9 @@ and profiled from the staged copy in one scan (``text_profile``) and written typ
 The raw file is therefore parsed exactly once, and the staged copy cuts the lineage so a lost
 executor never re-parses the CSV.
 
-``multiline=True`` (default) handles quoted newlines but makes each file a single split; use
-``multiline=False`` for large clean files so Spark can split them. Files with uniform LF, CRLF or
-CR endings are read as is; a file that mixes endings should go through ``ingest_csv_text`` (which
-normalises them) or be normalised upstream.
+``multiline=True`` handles line ends inside quoted cells; such files are read in byte ranges like any
+other (``sources/ranges.py``), with their line ends normalised. ``multiline=False`` takes every line as a
+record and reads files with uniform endings as they are.
 """
 
 from __future__ import annotations
@@ -25,6 +24,7 @@ from tidelab.functions.naming import header_names
 from tidelab.operators.profile import PREVIEW_ROWS, profile_columns, text_profile
 from tidelab.operators.schema import coerce, drop_blank_rows, infer_types, resolve_target
 from tidelab.session import scratch_dir
+from tidelab.sources.ranges import read_cells
 
 BOM = "\ufeff"
 
@@ -47,19 +47,17 @@ class IngestResult:
         return self.df.limit(n)
 
 
-def _reader(spark: SparkSession, multiline: bool):
-    return (
-        spark.read.option("multiLine", multiline)
-        .option("quote", '"')
-        .option("escape", '"')
-        .option("mode", "PERMISSIVE")
-        .option("ignoreLeadingWhiteSpace", False)
-        .option("ignoreTrailingWhiteSpace", False)
-    )
+_OPTIONS = {
+    "quote": '"', "escape": '"', "mode": "PERMISSIVE", "ignoreLeadingWhiteSpace": "false", "ignoreTrailingWhiteSpace": "false",
+}
 
 
-def read_header(spark: SparkSession, path: str, multiline: bool = False) -> list[str]:
-    first = _reader(spark, multiline).option("header", False).csv(path).limit(1).collect()
+def _reader(spark: SparkSession):
+    return spark.read.options(**_OPTIONS)
+
+
+def read_header(spark: SparkSession, path: str) -> list[str]:
+    first = _reader(spark).option("header", False).csv(path).limit(1).collect()
     if not first:
         raise IngestError("CSV needs a header and at least one data row")
     raw = [v if v is not None else "" for v in first[0]]
@@ -74,11 +72,16 @@ def read_csv_text(spark: SparkSession, path: str, multiline: bool = False) -> Da
     Where the header's names can be a schema (none empty, none twice), Spark checks the header of
     every file of a folder against it and fails on another order or another name; other headers are
     read by position."""
-    header = read_header(spark, path, multiline)
+    if multiline:
+        try:
+            return drop_blank_rows(read_cells(spark, path, lambda cells: header_names([cells[0].removeprefix(BOM), *cells[1:]]), _OPTIONS))
+        except ValueError as e:
+            raise IngestError(str(e)) from None
+    header = read_header(spark, path)
     names = header_names(header)
     checked = all(h.strip() for h in header) and len({h.lower() for h in header}) == len(header)
     schema = T.StructType([T.StructField(n, T.StringType(), True) for n in (header if checked else names)])
-    body = _reader(spark, multiline).option("header", True).option("enforceSchema", not checked).schema(schema).csv(path)
+    body = _reader(spark).option("header", True).option("enforceSchema", not checked).schema(schema).csv(path)
     return drop_blank_rows(body.toDF(*names))
 
 
@@ -100,7 +103,7 @@ def ingest_csv(
     approx_distinct: bool = False,
 ) -> IngestResult:
     """Read, clean, type, profile and (with a catalog) register a CSV file or folder. ``multiline``
-    is for files whose quoted cells hold line ends; such a file is read by one task."""
+    is for files whose quoted cells hold line ends; they are read in byte ranges too."""
     text = read_csv_text(spark, path, multiline)
     stage = scratch_dir(spark, "ingest-stage")
     text.write.mode("overwrite").parquet(stage)
