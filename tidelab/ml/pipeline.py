@@ -14,7 +14,6 @@ import math
 from pyspark.ml import Pipeline
 from pyspark.ml.classification import (
     DecisionTreeClassifier,
-    GBTClassifier,
     LinearSVC,
     LogisticRegression,
     NaiveBayes,
@@ -25,6 +24,7 @@ from pyspark.ml.feature import PolynomialExpansion
 from pyspark.ml.regression import DecisionTreeRegressor, LinearRegression
 from pyspark.sql import DataFrame
 
+from tidelab.ml.boosting import SecondOrderBoosting
 from tidelab.ml.custom import AdaBoostClassifier, LinearSVR, RandomFourierFeatures
 from tidelab.ml.features import TabularFeatures, split_features  # noqa: F401 - re-exported
 from tidelab.ml.registry import merge_params, normalise_kernel
@@ -87,9 +87,11 @@ def build_estimator(task: str, name: str, params: dict | None = None, n_train: i
         return NaiveBayes(modelType="gaussian")
     if name == "Random Forest":
         return RandomForestClassifier(numTrees=int(p["n_estimators"]), maxDepth=_depth(p["max_depth"]), seed=42)
-    if name == "XGBoost":  # gradient-boosted trees
-        gbt = GBTClassifier(maxIter=int(p["n_estimators"]), stepSize=float(p["learning_rate"]), maxDepth=_depth(p["max_depth"]), seed=42)
-        return OneVsRest(classifier=gbt) if multi else gbt
+    if name == "XGBoost":
+        return SecondOrderBoosting(loss="softmax" if multi else "logistic", numClasses=max(num_classes, 2), rounds=int(p["n_estimators"]),
+                                   learningRate=float(p["learning_rate"]), maxDepth=_depth(p["max_depth"]),
+                                   regLambda=float(p.get("reg_lambda", 1)), gamma=float(p.get("gamma", 0)),
+                                   minChildWeight=float(p.get("min_child_weight", 1)))
     if name == "AdaBoost":
         return AdaBoostClassifier(numRounds=int(p["n_estimators"]), learningRate=float(p["learning_rate"]), numClasses=num_classes)
     if name == "Decision Tree":

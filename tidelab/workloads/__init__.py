@@ -26,7 +26,7 @@ def register(name: str, sql: str | None = None):
     return deco
 
 
-MODULES = ("charts", "schema", "profile", "prep", "sqllab", "ingest", "ml", "experiments", "catalog")
+MODULES = ("charts", "schema", "profile", "prep", "sqllab", "ingest", "ml", "learners", "experiments", "catalog")
 
 
 def load_all() -> tuple[dict[str, Workload], dict[str, str]]:
