@@ -26,6 +26,7 @@ from pyspark.sql import DataFrame
 
 from tidelab.ml.boosting import SecondOrderBoosting
 from tidelab.ml.custom import AdaBoostClassifier, LinearSVR, RandomFourierFeatures
+from tidelab.ml.dual import DualSVC, DualSVR
 from tidelab.ml.features import TabularFeatures, split_features  # noqa: F401 - re-exported
 from tidelab.ml.registry import merge_params, normalise_kernel
 
@@ -58,7 +59,8 @@ def build_estimator(task: str, name: str, params: dict | None = None, n_train: i
         if name == "Lasso":
             return LinearRegression(elasticNetParam=1.0, regParam=float(p["alpha"]), standardization=False, maxIter=500)
         if name == "SVR":
-            svr = LinearSVR(C=float(p.get("C", 1)), epsilon=float(p.get("epsilon", 0.1)))
+            solver = DualSVR if p.get("solver") == "dual" else LinearSVR
+            svr = solver(C=float(p.get("C", 1)), epsilon=float(p.get("epsilon", 0.1)))
             if normalise_kernel(p.get("kernel")) == "linear":
                 return svr
             return Pipeline(stages=[RandomFourierFeatures(outputCol="_rff", numFeatures=int(p.get("n_components", 200))),
@@ -71,7 +73,10 @@ def build_estimator(task: str, name: str, params: dict | None = None, n_train: i
         return LogisticRegression(regParam=1.0 / (float(p["C"]) * n), elasticNetParam=0.0, standardization=False,
                                   maxIter=int(p["max_iter"]))
     if name == "SVM":
-        svc = LinearSVC(regParam=1.0 / (float(p.get("C", 1)) * n), maxIter=200)
+        if p.get("solver") == "dual" and not multi:  # with a certificate; the intercept is penalised
+            svc = DualSVC(C=float(p.get("C", 1)))
+        else:
+            svc = LinearSVC(regParam=1.0 / (float(p.get("C", 1)) * n), maxIter=200)
         kernel = normalise_kernel(p.get("kernel"))
         if kernel == "rbf":
             svc.setFeaturesCol("_rff")

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import functions as F
 
 from tidelab.functions.text import round_value
 from tidelab.ml.boosting import SecondOrderBoosting
+from tidelab.ml.dual import DualSVC, DualSVR
 from tidelab.session import read_table
 from tidelab.workloads import register
 
@@ -78,3 +80,52 @@ def boosting_first_tree(spark, sf_dir):
     return model.tree_rows(spark).select(
         "node", "feature", "threshold", "missing_left", round_value(F.col("gain"), 6).alias("gain"), "g", "h", round_value(F.col("leaf"), 9).alias("leaf")
     )
+
+
+_ORDER_SQL = "SELECT count(*)::BIGINT AS n, 0::BIGINT AS outside_box, 0::BIGINT AS negative_terms, TRUE AS gap_reached, TRUE AS gap_confirmed, TRUE AS weights_confirmed FROM orders"
+
+
+def _order_frame(spark, sf_dir, label):
+    o = read_table(spark, sf_dir, "orders")
+    months = (F.year("o_orderdate") - 1995) + F.month("o_orderdate") / 12
+    x = array_to_vector(F.array(F.col("o_totalprice").cast("double") / 100_000, months.cast("double")))
+    return o.select("o_orderkey", x.alias("features"), label.cast("double").alias("label"))
+
+
+def _certificate(data, model, tol: float, C: float, term, low: float):
+    """Facts of a dual solution, from its rows: variables outside their box, terms of the duality gap below
+    zero (each row's is at least 0), whether the terms' sum is the gap that the fit reported and under the bound,
+    and whether the variables make up the weights."""
+    rows = model.duals.withColumn("term", term)
+    sign = F.lit(1.0) if model.regression else F.col("y")
+    joined = rows.join(data.select(F.col("o_orderkey").alias("key"), vector_to_array("features").alias("x")), "key")
+    weights = [F.abs(F.sum(F.col("a") * sign * F.col("x")[j]) - F.lit(float(w))) for j, w in enumerate(model.weights[:-1])]
+    far = F.greatest(*weights, F.abs(F.sum(F.col("a") * sign) - F.lit(float(model.weights[-1]))))
+    facts = model.facts
+    return joined.agg(
+        F.count(F.lit(1)).alias("n"),
+        F.count_if((F.col("a") < low) | (F.col("a") > C)).alias("outside_box"),
+        F.count_if(F.col("term") < -1e-9).alias("negative_terms"),
+        (F.sum("term") <= tol * facts["primal"]).alias("gap_reached"),
+        (F.abs(F.sum("term") - F.lit(facts["gap"])) <= 1e-6 * facts["primal"]).alias("gap_confirmed"),
+        (far <= 1e-6 * (1 + float(abs(model.weights).max()))).alias("weights_confirmed"),
+    )
+
+
+@register("svm_dual_certificate", _ORDER_SQL)
+def svm_dual_certificate(spark, sf_dir):
+    """(G8) Dual coordinate ascent on all orders: the certificate is recomputed from the dual variables."""
+    data = _order_frame(spark, sf_dir, F.col("o_orderstatus") == "F")
+    model = DualSVC(C=1.0, tol=0.02, epochs=10, keyCol="o_orderkey").fit(data)
+    slack = 1 - F.col("y") * F.col("margin")
+    return _certificate(data, model, 0.02, 1.0, F.greatest(F.lit(0.0), slack) - F.col("a") * slack, 0.0)
+
+
+@register("svr_dual_certificate", _ORDER_SQL)
+def svr_dual_certificate(spark, sf_dir):
+    """(G4) The same for regression of the year on price and date."""
+    data = _order_frame(spark, sf_dir, F.year("o_orderdate") - 1994)
+    model = DualSVR(C=1.0, epsilon=0.1, tol=0.02, epochs=10, keyCol="o_orderkey").fit(data)
+    off = F.col("y") - F.col("margin")
+    term = F.greatest(F.lit(0.0), F.abs(off) - 0.1) + 0.1 * F.abs("a") - F.col("a") * off
+    return _certificate(data, model, 0.02, 1.0, term, -1.0)
