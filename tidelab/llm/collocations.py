@@ -39,7 +39,8 @@ from tidelab.llm.common import drop_path, ship, stored
 
 #: What parts a text into pieces; a full stop can stand for a break, as no word holds one.
 BREAKS = "[.,;:!?\\n-\\r]"
-_PHRASE = "lang string, codes array<int>, words array<string>"
+#: Sums that a task holds (64 MB).
+HELD = 8 << 20
 
 
 def piece_words(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
@@ -270,21 +271,31 @@ def _longer(texts: DataFrame, tries: list, shares: int, level: int, least: int)
 
 
 def _counts(texts: DataFrame, tries: list, shares: int, longest: int) -> DataFrame:
-    """``(trie, state, n)``: how many positions reach each state."""
+    """``(trie, state, n)``: how many positions reach each state. A task hands over its sums at its end, or
+    before they pass ``HELD`` numbers."""
+
+    def told(held: dict[int, np.ndarray]) -> Iterator[pa.RecordBatch]:
+        for number, sums in held.items():
+            state = np.flatnonzero(sums)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.full(len(state), number, np.int32)), pa.array(state), pa.array(sums[state])], ["trie", "state", "n"]
+            )
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, np.ndarray] = {}
         for batch in batches:
             for lang, packed in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 codes = unpack(packed.as_py()).astype(np.int64)
                 places = _positions(codes, shares)
                 for number, trie in tries:
-                    sums = np.zeros(len(trie.value.base), np.int64)
+                    if number not in held:
+                        if sum(map(len, held.values())) + len(trie.value.base) > HELD:
+                            yield from told(held)
+                            held = {}
+                        held[number] = np.zeros(len(trie.value.base), np.int64)
                     for _, states in trie.value.levels(lang, codes, longest, places[number]):
-                        sums += np.bincount(states, minlength=len(sums))
-                    state = np.flatnonzero(sums)
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(np.full(len(state), number, np.int32)), pa.array(state), pa.array(sums[state])], ["trie", "state", "n"]
-                    )
+                        held[number] += np.bincount(states, minlength=len(held[number]))
+        yield from told(held)
 
     return texts.mapInArrow(count, "trie int, state long, n long").groupBy("trie", "state").agg(F.sum("n").alias("n"))
 
