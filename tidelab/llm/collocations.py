@@ -30,6 +30,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -41,6 +42,8 @@ from tidelab.llm.common import drop_path, ship, stored
 BREAKS = "[.,;:!?\\n-\\r]"
 #: Sums that a task holds (64 MB).
 HELD = 8 << 20
+#: States in a run of sums.
+RUN = 1 << 12
 
 
 def piece_words(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
@@ -272,17 +275,20 @@ def _longer(texts: DataFrame, tries: list, shares: int, level: int, least: int)
 
 def _counts(texts: DataFrame, tries: list, shares: int, longest: int) -> DataFrame:
     """``(trie, state, n)``: how many positions reach each state. A task hands over its sums at its end, or
-    before they pass ``HELD`` numbers."""
+    before they pass ``HELD`` numbers, as runs of ``RUN`` states; Spark adds the runs up in two steps."""
 
-    def told(held: dict[int, np.ndarray]) -> Iterator[pa.RecordBatch]:
+    def told(held: dict[int, np.ndarray], task: int) -> Iterator[pa.RecordBatch]:
         for number, sums in held.items():
-            state = np.flatnonzero(sums)
+            runs = [sums[i : i + RUN] for i in range(0, len(sums), RUN)]
             yield pa.RecordBatch.from_arrays(
-                [pa.array(np.full(len(state), number, np.int32)), pa.array(state), pa.array(sums[state])], ["trie", "state", "n"]
+                [pa.array([number] * len(runs), pa.int32()), pa.array(range(len(runs)), pa.int32()),
+                 pa.array([task % 64] * len(runs), pa.int32()), pa.array([pack(r) for r in runs], pa.binary())],
+                ["trie", "run", "share", "sums"],
             )
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[int, np.ndarray] = {}
+        task = TaskContext.get().partitionId()
         for batch in batches:
             for lang, packed in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 codes = unpack(packed.as_py()).astype(np.int64)
@@ -290,14 +296,31 @@ def _counts(texts: DataFrame, tries: list, shares: int, longest: int) -> DataFra
                 for number, trie in tries:
                     if number not in held:
                         if sum(map(len, held.values())) + len(trie.value.base) > HELD:
-                            yield from told(held)
+                            yield from told(held, task)
                             held = {}
                         held[number] = np.zeros(len(trie.value.base), np.int64)
                     for _, states in trie.value.levels(lang, codes, longest, places[number]):
                         held[number] += np.bincount(states, minlength=len(held[number]))
-        yield from told(held)
+        yield from told(held, task)
 
-    return texts.mapInArrow(count, "trie int, state long, n long").groupBy("trie", "state").agg(F.sum("n").alias("n"))
+    def add(parts: pa.Table) -> pa.Table:
+        sums = unpack(parts.column("sums")[0].as_py()).astype(np.int64)
+        for packed in parts.column("sums")[1:]:
+            sums = sums + unpack(packed.as_py()).astype(np.int64)
+        return parts.slice(0, 1).select(["trie", "run", "share"]).append_column("sums", pa.array([pack(sums)], pa.binary()))
+
+    def unfold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in batch.to_pylist():
+                n = unpack(row["sums"]).astype(np.int64)
+                state = np.flatnonzero(n)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.full(len(state), row["trie"], np.int32)), pa.array(state + row["run"] * RUN), pa.array(n[state])], ["trie", "state", "n"]
+                )
+
+    kinds = "trie int, run int, share int, sums binary"
+    some = texts.mapInArrow(count, kinds).groupBy("trie", "run", "share").applyInArrow(add, kinds)
+    return some.groupBy("trie", "run").applyInArrow(add, kinds).mapInArrow(unfold, "trie int, state long, n long")
 
 
 def phrase_counts(
