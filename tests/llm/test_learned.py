@@ -59,6 +59,13 @@ def test_training_without_both_classes(spark, documents):
     assert toxicity.score_toxicity(documents, toxicity.train(documents, none)).select("score").distinct().count() == 1
 
 
+def test_labels_that_tell_nothing_reject_nothing(spark, documents):
+    one_class = spark.createDataFrame([(i, 1) for i in range(50)], "doc_id long, toxic int")
+    few = spark.createDataFrame([(0, 1), (1, 0), (3, 0)], "doc_id long, toxic int")
+    for labels in (one_class, few):
+        assert toxicity.reject_toxic(documents, toxicity.train(documents, labels)).count() == documents.count()
+
+
 def test_machine_learns_pairs():
     """Two terms that are harmless alone and toxic together: no sum of weights can tell."""
     rng = np.random.default_rng(0)

@@ -131,6 +131,15 @@ def test_keep_one_of_tangled_ids(spark):
         (-1, "else wholly different x"), (-1, "nothing like it one"), (3, b), (5, a)]
 
 
+def test_keep_one_leaves_columns_of_its_own_names_alone(spark):
+    names = ["_id", "_hash", "_id2", "_hash2", "_own_id", "_own_hash"]
+    rows = [(i, t, *[100 * i + j for j in range(3)], *["u"] * 3) for i, t in [(1, "a b c d"), (1, "a b c d"), (2, "quite other words here")]]
+    df = spark.createDataFrame(rows, ["doc_id", "text", *names[:1], *names[2:3], *names[4:5], names[1], names[3], names[5]])
+    kept = simhash.keep_one(df)
+    assert kept.schema == df.schema
+    assert sorted(tuple(r) for r in kept.collect()) == sorted(set(rows))
+
+
 def brute_links(rows, least=0.93):
     sets, links = Sets(len(rows)), [0] * len(rows)
     vecs = [
@@ -239,3 +248,10 @@ def test_vectors_in_a_narrow_cone(spark):
     df = spark.createDataFrame([(i, v.tolist(), 1) for i, v in enumerate(x)], "vec_id long, embedding array<double>, label long")
     got = {r.vec_id: r.n_links for r in embeddings.near_vectors(df, tile=16).collect()}
     assert got == dict(enumerate(close.sum(1).tolist()))
+
+
+def test_vectors_of_any_magnitude(spark):
+    vecs = [[1e200, 1e200], [1e200, 1.01e200], [1e-200, 1e-200], [1.0, 0.1], [3e-310, 3e-310], [1.7e308, 0.0], [1e-300, -1e-300]]
+    df = spark.createDataFrame([(i, v, 1) for i, v in enumerate(vecs)], "vec_id long, embedding array<double>, label int")
+    got = {r.vec_id: (r.n_links, r.component_id) for r in embeddings.near_vectors(df).collect()}
+    assert got == {0: (3, 0), 1: (3, 0), 2: (3, 0), 4: (3, 0), 3: (1, 3), 5: (1, 3), 6: (0, 6)}

@@ -33,11 +33,19 @@ def _matrix(column, dim: int) -> np.ndarray:
     return out
 
 
+def _levelled(x: np.ndarray) -> np.ndarray:
+    """Rows scaled by a power of two, so that the largest component lies in [0.5, 1): their norms
+    neither overflow nor vanish, and no digit changes."""
+    most = np.abs(x).max(axis=1, initial=0.0, keepdims=True)
+    return np.ldexp(x, -np.frexp(most)[1])
+
+
 def spread_out(sample: np.ndarray, count: int, apart: float = 0.7) -> np.ndarray:
     """Up to ``count`` reference points of a sample, farthest first: each next one has the least
     largest cosine to those chosen. Ends when all that is left lies within ``apart`` of one, as points
     out of one group of near copies would tell its members apart by noise alone."""
-    unit = sample / np.linalg.norm(sample, axis=1, keepdims=True)
+    unit = _levelled(sample)
+    unit = unit / np.linalg.norm(unit, axis=1, keepdims=True)
     chosen = [0]
     nearest = unit @ unit[0]
     while len(chosen) < min(count, len(sample)):
@@ -54,14 +62,15 @@ def describe(classes: DataFrame, pivots: np.ndarray, nearest: int, kind: str) ->
     by cosine, sorted for the lists; ``vec`` holds the components as numpy ``kind``, the width they
     came in."""
     dim = pivots.shape[1]
-    unit = pivots / np.linalg.norm(pivots, axis=1, keepdims=True)
+    unit = _levelled(pivots)
+    unit = unit / np.linalg.norm(unit, axis=1, keepdims=True)
     k = min(nearest, len(unit))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             near = np.empty((len(batch), k), np.int32)
             for at in range(0, len(batch), 4096):
-                x = _matrix(batch.column(3).slice(at, 4096), dim)
+                x = _levelled(_matrix(batch.column(3).slice(at, 4096), dim))
                 near[at : at + 4096] = np.argsort(-(x @ unit.T), axis=1, kind="stable")[:, :k]
             near.sort(axis=1)
             vecs = [np.asarray(v, kind).tobytes() for v in batch.column(3).to_pylist()]
@@ -115,6 +124,7 @@ def _work(table: pa.Table, pivots: int, share: int, least: float, kind: str) ->
         _, p1, p2, row, col = keys[a]
         heads = [int(p1)] if p2 < 0 else [int(p1), int(p2)]
         vec = np.frombuffer(b"".join(raw[i] for i in order[a:b]), kind).reshape(b - a, -1).astype(np.float64)
+        vec = _levelled(vec)
         rows = {"near": near[a:b], "unit": vec / np.linalg.norm(vec, axis=1, keepdims=True)}
         here = np.arange(b - a)
         mine, theirs = (here, here) if row == col else (here[side[a:b] == row], here[side[a:b] == col])
@@ -168,7 +178,6 @@ def pivot_links(described: DataFrame, pivots: int, share: int, least: float, til
         *cols, "part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("other")
     ).select(*cols, "part", F.least("part", "other").alias("row"), F.greatest("part", "other").alias("col"))
     units = parallel_slots(spark) * 4
-    ship(spark)
     return (
         spread.withColumn("unit", F.pmod(F.xxhash64("grp", "p1", "p2", "row", "col"), F.lit(units)))
         .groupBy("unit")
@@ -189,6 +198,7 @@ def near_vectors(
     rows link with each other; a null id is passed over when a component's smallest is taken. An empty
     table gives no rows, other columns are not read."""
     spark = vectors.sparkSession
+    ship(spark)
     kind = "<f4" if dict(vectors.dtypes)[vector_col] == "array<float>" else "<f8"
     rows = vectors.select(
         F.col(id_col).cast("long").alias("vec_id"), F.col(label_col).alias("label"),

@@ -235,15 +235,16 @@ def keep_one(docs: DataFrame, words: int = 3, radius: int = 3, id_col: str = "do
         .groupBy("root", key).agg(F.min_by("n", hash_).alias("n"), F.min(hash_).alias(hash_))
     )
     chosen, _ = stored(first, "chosen")
-    tagged = docs.withColumns({f"{key}2": F.col(id_col).cast("long"), f"{hash_}2": F.xxhash64(utf8(text_col))})
+    own_key, own_hash = free_name([*docs.columns, key, hash_], "_own_id"), free_name([*docs.columns, key, hash_], "_own_hash")
+    tagged = docs.withColumns({own_key: F.col(id_col).cast("long"), own_hash: F.xxhash64(utf8(text_col))})
 
     def meet(ids: DataFrame) -> DataFrame:
-        same = F.col(f"{key}2").eqNullSafe(F.col(key)) & (F.col(f"{hash_}2") == F.col(hash_))
+        same = F.col(own_key).eqNullSafe(F.col(key)) & (F.col(own_hash) == F.col(hash_))
         # The same plan at every size: both sides are shuffled, the texts are not sorted.
         return tagged.join(ids.select(key, hash_).hint("shuffle_hash"), same, "left_semi")
 
     kept = meet(chosen.where("n = 1"))
     repeated = chosen.where("n > 1")
     if not repeated.isEmpty():
-        kept = kept.unionByName(meet(repeated).dropDuplicates([f"{key}2", f"{hash_}2"]))
+        kept = kept.unionByName(meet(repeated).dropDuplicates([own_key, own_hash]))
     return kept.select(*docs.columns)

@@ -206,7 +206,8 @@ def train(
 ) -> Model:
     """Fit on at most ``per_class`` labelled rows of each class that are not held out. Terms are taken
     from whole texts and counted in Spark; the driver gets the sample's word hashes, for the pairs, and
-    its kept terms. With one class or none labelled, every text gets the same score."""
+    its kept terms. Where the sample cannot tell the classes apart (one class or none is labelled, or no
+    term does), every text gets the same low score and nothing is rejected."""
     spark = docs.sparkSession
     ship(spark)
     sample, weight = training_sample(docs, labels, label_col, modulus, remainder, per_class, id_col, text_col)
@@ -224,14 +225,18 @@ def train(
 
     terms = sample.select("doc_id", "label", "text").mapInArrow(run, "doc_id long, label int, ids array<int>, own array<int>")
     terms, path = stored(terms, "toxicity-sample")
+    cannot_tell = Model({}, np.zeros(1), np.zeros((1, 1)), 0.0, 0.0, -4.0)
     size = {r["label"]: r["n"] for r in terms.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
     if len(size) < 2:
         drop_path(spark, path)
-        return Model({}, np.zeros(1), np.zeros((1, 1)), 0.0, 0.0, 4.0 if size.get(1) else -4.0)
+        return cannot_tell
     words = terms.select("label", "own").toArrow()
     own = [np.asarray(r.values.to_numpy(zero_copy_only=False), np.int32) for r in words.column("own")]
     pairs = telling_pairs(spark, own, words.column("label").to_numpy(), least_df, least_z)
     hashes = sorted({*telling_terms(terms, size[1], size[0], least_df, least_z), *pairs})
+    if not hashes:
+        drop_path(spark, path)
+        return cannot_tell
     row = {h: i for i, h in enumerate(hashes)}
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -277,6 +282,8 @@ def score_toxicity(
 
 
 def reject_toxic(docs: DataFrame, model: Model, threshold: float = 0.3, text_col: str = "text") -> DataFrame:
-    """``docs`` without the rows whose score reaches ``threshold``; all columns stay."""
+    """``docs`` without the rows whose score reaches ``threshold``; all columns stay. Null texts are scored
+    as empty ones, repeated rows stay or go together, an empty table stays empty; a model that cannot tell
+    the classes apart rejects nothing."""
     name = free_name(docs.columns, "_toxicity")
     return with_score(docs, model, name, text_col).where(F.col(name) < threshold).drop(name)
