@@ -227,6 +227,17 @@ def test_tabular_features_hashes_wide_columns(spark):
     assert r.size == 2 + 64  # one-hot of 3 levels minus the dropped one, plus hashed slots
 
 
+def test_benchmark_data_hashes_columns_with_too_many_levels(spark):
+    from tidelab.ml.runner import prepare_benchmark_data
+
+    df = spark.range(0, 14_000).selectExpr("id", "cast(id as string) as key", "cast(id % 7 as double) as v", "cast(id % 2 as string) as y")
+    with pytest.raises(ValueError, match="hash_cols"):
+        prepare_benchmark_data(df, "y", ["key", "v"], "classification", key="id")
+    train, _, stats = prepare_benchmark_data(df, "y", ["key", "v"], "classification", key="id", hash_cols=["key"])
+    row = train.first()["features"]
+    assert row.size == 1 + (1 << 18) and row.numNonzeros() <= 2 and stats["n_train"] + stats["n_test"] == 14_000
+
+
 def test_leaderboard_is_a_permutation(spark):
     import __spark_entry__ as e
 

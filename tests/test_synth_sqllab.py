@@ -63,6 +63,8 @@ def test_examples_run_through_lab(spark):
         "WITH a AS (SELECT * FROM text.`file:/etc/hostname`) SELECT * FROM a",
         "SELECT * FROM (SELECT a FROM t WHERE a IN (SELECT * FROM parquet.`/x`)) q",
         "SELECT * FROM some_python_table_function(1)",
+        "EXPLAIN SELECT * FROM json.`/etc/hostname`",
+        "EXPLAIN EXTENDED DROP TABLE x",
     ],
 )
 def test_guard_rejects(spark, q):

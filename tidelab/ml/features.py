@@ -92,7 +92,7 @@ class TabularFeatures(Estimator, _FeatureParams):
         hashed = [c for c in cat if c in chosen]
         small = [c for c in cat if c not in chosen]
         if wide := [c for i, c in enumerate(cat) if c in small and (row[f"a{i}"] or 0) > max_levels * 0.98]:
-            raise ValueError(f"columns with more than {max_levels} levels: {wide}; name them in hashCols or drop them")
+            raise ValueError(f"columns with more than {max_levels} levels: {wide}; name them in hash_cols (hashCols of this stage) or drop them")
         sets = [F.collect_set(F.when(train, _cat(c))).alias(f"l{i}") for i, c in enumerate(small)]
         if task == "classification":
             if (row["_a_classes"] or 0) > max_levels * 0.98:

@@ -30,10 +30,13 @@ from tidelab.ml.dual import DualSVC, DualSVR
 from tidelab.ml.features import TabularFeatures, split_features  # noqa: F401 - re-exported
 from tidelab.ml.registry import merge_params, normalise_kernel
 
-def build_preprocessing(df: DataFrame, features: list[str], target: str, task: str, train_col: str = "") -> Pipeline:
+def build_preprocessing(df: DataFrame, features: list[str], target: str, task: str, train_col: str = "",
+                        hash_cols: list[str] | None = None) -> Pipeline:
     """Preprocessing as a Pipeline stage producing ``features`` (vector) and ``label`` (double):
-    one ``TabularFeatures`` estimator (single statistics pass, expression-based transform)."""
-    return Pipeline(stages=[TabularFeatures(featureCols=list(features), labelCol=target, task=task, trainCol=train_col)])
+    one ``TabularFeatures`` estimator (single statistics pass, expression-based transform).
+    Columns of ``hash_cols`` are hashed instead of one-hot encoded, for more levels than that takes."""
+    return Pipeline(stages=[TabularFeatures(featureCols=list(features), labelCol=target, task=task, trainCol=train_col,
+                                            hashCols=[c for c in hash_cols or [] if c in features])])
 
 
 def _depth(wanted) -> int:

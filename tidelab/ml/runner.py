@@ -102,7 +102,8 @@ def _with_score(pred: DataFrame) -> tuple[DataFrame, bool]:
 
 
 def prepare_benchmark_data(df: DataFrame, target: str, features: list[str], task: str, train_split: float = 80,
-                           random_state: int = 42, stratify: bool = False, key: str | None = None):
+                           random_state: int = 42, stratify: bool = False, key: str | None = None,
+                           hash_cols: list[str] | None = None):
     """Split, fit preprocessing on train, return materialised (train, test, stats).
 
     Feature statistics take one pass over the training rows; the transformed frame is written once
@@ -116,7 +117,7 @@ def prepare_benchmark_data(df: DataFrame, target: str, features: list[str], task
     else:
         keyed = hash_split(labelled, "_key", train_split, random_state).withColumnRenamed("is_train", "_is_train")
     # One statistics pass (training rows; label classes over all rows), then one transform pass.
-    pre = build_preprocessing(keyed, features, target, task, train_col="_is_train").fit(keyed)
+    pre = build_preprocessing(keyed, features, target, task, "_is_train", hash_cols).fit(keyed)
     prepared = materialize(
         pre.transform(keyed).select("features", "label", "_is_train", "_key").withColumn("_rid", F.monotonically_increasing_id()),
         "benchmark-data",
@@ -189,13 +190,15 @@ def benchmark(
     random_state: int = 42,
     stratify: bool = False,
     key: str | None = None,
+    hash_cols: list[str] | None = None,
 ) -> BenchmarkResult:
     """Fit and score every model of the task (or the given list) on one shared split
     (``stratify=True``: exact per-class train shares for classification). The split goes by the
-    integer column ``key``, which is no feature then, or else by the rows' content."""
+    integer column ``key``, which is no feature then, or else by the rows' content. Columns with more
+    levels than one-hot encoding takes are named in ``hash_cols``."""
     task = task or infer_problem_type(df, target)
     features = features or [c for c in df.columns if c not in (target, key)]
-    train, test, stats = prepare_benchmark_data(df, target, features, task, train_split, random_state, stratify, key)
+    train, test, stats = prepare_benchmark_data(df, target, features, task, train_split, random_state, stratify, key, hash_cols)
     runs = [run_model(m, task, (params_by_model or {}).get(m), train, test, stats) for m in (models or default_models(task))]
     return BenchmarkResult(task, target, features, train_split, random_state, int(stats["n_train"]), int(stats["n_test"]), runs)
 
@@ -227,7 +230,7 @@ def train(df: DataFrame, target: str, model: str, task: str | None = None, param
 
 def cross_validate(df: DataFrame, target: str, model: str, task: str | None = None, folds: int = 3,
                    params: dict | None = None, features: list[str] | None = None, seed: int = 42,
-                   key: str | None = None) -> DataFrame:
+                   key: str | None = None, hash_cols: list[str] | None = None) -> DataFrame:
     """k-fold CV; a row's fold is the md5 of its key (the column ``key``, else its content) modulo
     ``folds``. One row per fold with its counts and scores, plus the mean (``fold = -1``)."""
     spark = df.sparkSession
@@ -239,7 +242,7 @@ def cross_validate(df: DataFrame, target: str, model: str, task: str | None = No
     rows = []
     for k in range(folds):
         fold = keyed.withColumn("_is_train", F.col("_fold") != k)
-        pre = build_preprocessing(fold, features, target, task, train_col="_is_train").fit(fold)
+        pre = build_preprocessing(fold, features, target, task, "_is_train", hash_cols).fit(fold)
         ptr, pte = pre.transform(fold.where("_is_train")), pre.transform(fold.where(~F.col("_is_train")))
         ptr = ptr.select("features", "label", "_key")
         pte = materialize(pte.select("features", "label", "_key").withColumn("_rid", F.monotonically_increasing_id()), "cv-test")

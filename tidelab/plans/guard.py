@@ -90,6 +90,8 @@ def _plan_faults(plan) -> Iterator[str]:
         for e in _seq(node.expressions()):
             yield from _expression_faults(e)
         stack += _seq(node.children())
+        if kind == "ExplainCommand":  # what it explains is planned, so it must be a reading plan itself
+            stack.append(node.logicalPlan())
         if kind == "UnresolvedWith":  # its inner children are the common table expressions
             stack += _seq(node.innerChildren())
 

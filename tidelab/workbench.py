@@ -106,9 +106,10 @@ class Workbench:
 
     def train_all(self, dataset_id: int, models: list[str] | None = None, target: str | None = None,
                   features: list[str] | None = None, task: str | None = None, params_by_model: dict | None = None,
-                  train_split: float = 80, random_state: int = 42, experiment_name: str | None = None) -> int:
+                  train_split: float = 80, random_state: int = 42, experiment_name: str | None = None,
+                  hash_cols: list[str] | None = None) -> int:
         df, tgt, feats, task = resolve_inputs(self.catalog, dataset_id, target, features, task)
-        res = benchmark(df, tgt, task, models, params_by_model, feats, train_split, random_state)
+        res = benchmark(df, tgt, task, models, params_by_model, feats, train_split, random_state, hash_cols=hash_cols)
         return save_benchmark(self.catalog, res, dataset_id, experiment_name)
 
     def train(self, dataset_id: int, model: str, params: dict | None = None, **kwargs) -> int:
