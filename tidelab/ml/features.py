@@ -159,4 +159,10 @@ class TabularFeaturesModel(Model, _FeatureParams):
             df = FeatureHasher(inputCols=[f"h__{c}" for c in self.hashed], outputCol="_hashed",
                                numFeatures=self.hash_slots).transform(df)
             inputs.append("_hashed")
-        return VectorAssembler(inputCols=inputs, outputCol="features", handleInvalid="keep").transform(df)
+        df = VectorAssembler(inputCols=inputs, outputCol="features", handleInvalid="keep").transform(df)
+        if not self.hashed:
+            return df
+        # The assembler names every slot in the column's metadata, which then goes into each plan, task and
+        # file: of a hashed vector only the size is kept.
+        size = len(self.num) + sum(max(len(self.levels[c]) - 1, 0) for c in self.cat) + self.hash_slots
+        return df.withColumn("features", F.col("features").alias("features", metadata={"ml_attr": {"num_attrs": size}}))

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tidelab.functions.text import round_value
 from tidelab.ml.boosting import SecondOrderBoosting
 from tidelab.ml.dual import DualSVC, DualSVR
+from tidelab.ml.neighbours import indexed_search
 from tidelab.session import read_table
 from tidelab.workloads import register
 
@@ -129,3 +130,23 @@ def svr_dual_certificate(spark, sf_dir):
     off = F.col("y") - F.col("margin")
     term = F.greatest(F.lit(0.0), F.abs(off) - 0.1) + 0.1 * F.abs("a") - F.col("a") * off
     return _certificate(data, model, 0.02, 1.0, term, -1.0)
+
+
+@register(
+    "knn_indexed",
+    """
+WITH o AS (SELECT o_orderkey AS id, o_totalprice::DOUBLE / 100000 AS x, date_diff('day', DATE '1992-01-01', o_orderdate::DATE)::DOUBLE / 365 AS y FROM orders),
+d AS (SELECT q.id AS query_id, r.id AS neighbor_id, sqrt((r.x - q.x) * (r.x - q.x) + (r.y - q.y) * (r.y - q.y)) AS distance
+      FROM o q JOIN o r ON r.id <> q.id WHERE q.id % 20 = 0),
+k AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, neighbor_id) AS rank FROM d)
+SELECT query_id, neighbor_id, round(distance * 1e9) / 1e9 AS distance, rank::INTEGER AS rank FROM k WHERE rank <= 5""",
+)
+def knn_indexed(spark, sf_dir):
+    """(G7) The five nearest orders by price and date of every order whose key is divisible by 20, through
+    the index of random projections, with exact search where the index does not prove the answer."""
+    o = read_table(spark, sf_dir, "orders")
+    days = F.datediff(F.col("o_orderdate").cast("date"), F.lit("1992-01-01").cast("date")).cast("double") / 365
+    x = F.array(F.col("o_totalprice").cast("double") / 100_000, days)
+    rows = o.select(F.col("o_orderkey").alias("id"), x.alias("features"))
+    found = indexed_search(rows, rows.where("id % 20 = 0"), 5, exclude_self=True)
+    return found.select("query_id", "neighbor_id", round_value(F.col("distance"), 9).alias("distance"), "rank")
