@@ -24,6 +24,9 @@ LOG_SCHEMAS = {
     "row_count long, column_count int, target_column string, created_at timestamp",
     "dataset_columns": "id long, dataset_id long, column_name string, data_type string, is_target int, "
     "has_nulls int, null_count long, unique_count long",
+    "column_sketches": "id long, dataset_id long, ordinal int, column_name string, cells long, missing long, "
+    "distinct_sketch binary, heavy_sketch struct<sketch: binary, maxItemsTracked: int, itemDataType: string, itemDataTypeDDL: string>, "
+    "quantile_sketch binary",
     "sql_queries": "id long, dataset_id long, query_name string, query_text string, created_at timestamp",
     "experiments": "id long, dataset_id long, experiment_name string, problem_type string, target_column string, "
     "train_size double, test_size double, random_state int, task_type string, train_split double, "
@@ -169,6 +172,33 @@ class Catalog:
             raise KeyError(f"dataset {dataset_id} not found")
         return self.spark.read.parquet(self.table_path(self.table_name(dataset_id, meta["storage_key"])))
 
+    def append_rows(self, dataset_id: int, rows: DataFrame) -> None:
+        """Add rows to a dataset's table and their column sketches to the log. The rows already there are
+        sketched once, before the first append; later appends read their own rows only. Rows need the
+        table's columns by name; what the log of datasets says of the table stays as of its import."""
+        from tidelab.operators.sketches import column_sketches
+
+        table = self.load(dataset_id)
+        if set(rows.columns) != set(table.columns):
+            raise ValueError(f"columns {sorted(rows.columns)} are not those of dataset {dataset_id}: {sorted(table.columns)}")
+        rows = rows.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in table.schema.fields])
+        parts = [rows]
+        if self._sketches(dataset_id).isEmpty():
+            parts.insert(0, table)
+        for part in parts:
+            self.logs["column_sketches"].append(column_sketches(part).withColumn("dataset_id", F.lit(dataset_id).cast("long")))
+        meta = self.dataset(dataset_id)
+        rows.write.mode("append").parquet(self.table_path(self.table_name(dataset_id, meta["storage_key"])))
+
+    def _sketches(self, dataset_id: int) -> DataFrame:
+        return self.logs["column_sketches"].read().where(F.col("dataset_id") == F.lit(dataset_id))
+
+    def column_estimates(self, dataset_id: int, **kwargs) -> DataFrame:
+        """Approximate profile of a dataset with appended rows, from its sketches alone."""
+        from tidelab.operators.sketches import sketch_estimates
+
+        return sketch_estimates(self._sketches(dataset_id), **kwargs).orderBy("ordinal")
+
     def list_datasets(self) -> DataFrame:
         return list_datasets(self.logs["datasets"].read(), self.logs["dataset_columns"].read())
 

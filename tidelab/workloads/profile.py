@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
-from tidelab.operators.profile import problem_types, profile_columns, profile_summary, table_shape, target_stats
-from tidelab.session import read_table
+from pyspark.sql import functions as F
+
+from tidelab.operators.profile import distinct_counts, problem_types, profile_columns, profile_summary, table_shape, target_stats
+from tidelab.operators.sketches import column_sketches, sketch_estimates
+from tidelab.session import read_table, scratch_dir
+from tidelab.sources.catalog import LOG_SCHEMAS, AppendLog
 from tidelab.workloads import register
 from tidelab.workloads.fixtures import CUSTOMER_TEXT, DUCK_TRIM_PATTERN, customer_text, duck_trim, customer_text_sql
 
@@ -156,3 +160,46 @@ FROM p JOIN i ON p.column_name = i.column_name""",
 def text_profile_q(spark, sf_dir):
     """Type inference and profile of raw text in one scan (what CSV ingest uses)."""
     return text_profile(customer_text(spark, sf_dir), target="segment")
+
+
+_SKETCHED = ("l_orderkey", "l_partkey", "l_linenumber", "l_extendedprice", "l_returnflag", "l_linestatus")
+
+
+def _sketch_sql(c: str) -> str:
+    numeric = "NULL::BOOLEAN" if c in ("l_returnflag", "l_linestatus") else "TRUE"
+    return f"""
+SELECT '{c}' AS column_name, count(*)::BIGINT AS cells, count_if({c} IS NULL)::BIGINT AS missing, count(DISTINCT {c})::BIGINT AS distinct_count,
+       TRUE AS distinct_within, TRUE AS same_as_whole, {numeric} AS median_within,
+       CASE WHEN count(DISTINCT {c}) <= 100
+            THEN (SELECT string_agg(v || ':' || n, ',' ORDER BY n DESC, v)
+                  FROM (SELECT {c}::VARCHAR AS v, count(*) AS n FROM lineitem WHERE {c} IS NOT NULL GROUP BY 1 ORDER BY n DESC, v LIMIT 3)) END AS heavy
+FROM lineitem"""
+
+
+@register("sketches_appended", " UNION ALL ".join(_sketch_sql(c) for c in _SKETCHED))
+def sketches_appended(spark, sf_dir):
+    """(C2, C7) Sketches of three parts of the line items, appended to a log one after the other and merged
+    by column, held against exact counts: distinct counts within three standard errors and the same as those of the
+    whole, medians within 1 % of the rows, frequent items of columns with few values."""
+    li = read_table(spark, sf_dir, "lineitem").select(*_SKETCHED)
+    log = AppendLog(spark, scratch_dir(spark, "sketches"), LOG_SCHEMAS["column_sketches"])
+    for part in range(3):
+        log.append(column_sketches(li.where(F.pmod(F.xxhash64("l_orderkey"), F.lit(3)) == part)))
+    found = sketch_estimates(log.read(), quantiles=(0.5,), top=3)
+    whole = sketch_estimates(column_sketches(li)).select("column_name", F.col("unique_count").alias("whole_count"))
+    exact = distinct_counts(li).withColumnRenamed("unique_count", "distinct_count")
+    numbers = [c for c in _SKETCHED if c not in ("l_returnflag", "l_linestatus")]
+    cells = li.select(F.inline(F.array(*[F.struct(F.lit(c).alias("column_name"), F.col(c).cast("double").alias("v")) for c in numbers])))
+    # A row per column: the sides of these joins are as small as the table is wide.
+    median = F.broadcast(found.select("column_name", F.col("quantiles")[0].alias("median")))
+    ranks = cells.where("v is not null").join(median, "column_name").groupBy("column_name").agg(
+        ((F.avg((F.col("v") < F.col("median")).cast("int")) <= 0.51) & (F.avg((F.col("v") <= F.col("median")).cast("int")) >= 0.49)).alias("median_within")
+    )
+    joined = found.join(whole, "column_name").join(exact, "column_name").join(ranks, "column_name", "left")
+    heavy = F.array_join(F.transform("heavy", lambda h: F.concat_ws(":", h["item"], h["count"].cast("string"))), ",")
+    return joined.select(
+        "column_name", "cells", "missing", "distinct_count",
+        (F.abs(F.col("unique_count") / F.col("distinct_count") - 1) <= 3 * 1.04 / 64).alias("distinct_within"),
+        (F.col("unique_count") == F.col("whole_count")).alias("same_as_whole"), "median_within",
+        F.when(F.col("distinct_count") <= 100, heavy).alias("heavy"),
+    )
