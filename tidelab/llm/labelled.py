@@ -19,8 +19,10 @@ def training_sample(
 ) -> tuple[DataFrame, dict[int, float]]:
     """``(doc_id, text, label)`` of at most ``per_class`` labelled rows of each class, chosen by a
     hash of the id, and how many labelled rows each of a class stands for. Repeated labels of an id
-    count once, conflicting ones as the larger; null labels and ids are left out. At most ``2 *
-    per_class`` ids of 8 bytes are broadcast, so the texts are read once and not shuffled."""
+    count once, conflicting ones as the larger; null labels and ids are left out. Of rows that share an id
+    one counts, that with the smallest hash of its text, so the bound holds for rows as well. At most
+    ``2 * per_class`` ids of 8 bytes are broadcast; the texts are read once, and of each id's rows one a
+    task is shuffled."""
     known = (
         labels.select(F.col(id_col).alias("doc_id"), F.col(label_col).cast("int").alias("label"))
         .where(F.col("doc_id").isNotNull() & F.col("label").isin(0, 1)).where(~held_out("doc_id", modulus, remainder))
@@ -31,7 +33,9 @@ def training_sample(
     chosen = part(0).unionByName(part(1))
     rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     weight = {y: max(1.0, counts.get(y, 0) / per_class) for y in (0, 1)}
-    return rows.join(F.broadcast(chosen), "doc_id"), weight
+    one = F.min(F.struct(F.xxhash64("text").alias("hash"), "text", "label")).alias("row")
+    picked = rows.join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(one)
+    return picked.select("doc_id", "row.text", "row.label"), weight
 
 
 def fit_platt(margin: np.ndarray, label: np.ndarray, weight: np.ndarray, steps: int = 200) -> tuple[float, float]:
@@ -69,8 +73,3 @@ def fit_platt(margin: np.ndarray, label: np.ndarray, weight: np.ndarray, steps:
 def sigmoid(z: float) -> float:
     return float(1 / (1 + np.exp(-np.clip(z, -35, 35))))
 
-
-def fit_tables(df: DataFrame, columns: list[str]) -> list[np.ndarray]:
-    """Columns of a small frame on the driver, as arrays."""
-    rows = df.select(*columns).collect()
-    return [np.array([r[c] for r in rows]) for c in columns]

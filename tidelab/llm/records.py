@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tidelab.llm.common import scratch_dir, parallel_slots, ship, utf8
-from tidelab.llm.tokens import encoder, slices
+from tidelab.llm.tokens import encoder, release, slices
 
 MASK_DELTA = 0xA282EAD8  # fixed value of the record format
 HEAD = struct.Struct("<II")
@@ -104,10 +104,12 @@ def write_records(
 
 def build_index(spark: SparkSession, path: str) -> DataFrame:
     """Read every file under ``path/records`` back, check both checksums of every record, write the
-    offset index to ``path/index`` and return it."""
+    offset index to ``path/index`` and return it. Workers that wrote the records let go of their word
+    tables first, so the tables do not stand beside the files' contents, nor beside later stages."""
     ship(spark)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         for batch in batches:
             for name, content in zip(batch.column(0), batch.column(1), strict=True):
                 data = memoryview(content.as_buffer())

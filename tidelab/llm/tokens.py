@@ -138,6 +138,11 @@ def encoder(path: str, kind: str) -> WordwiseEncoder:
     return _made[(path, kind)]
 
 
+def release() -> None:
+    """Forget the encoders of this worker process; a later task that encodes makes them anew."""
+    _made.clear()
+
+
 def slices(texts: list, most: int = 5 << 19):
     """Index ranges of ``texts`` with about ``most`` characters each (a longer text alone)."""
     at = size = 0
