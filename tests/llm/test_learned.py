@@ -222,4 +222,5 @@ def test_queries_are_registered():
     import __spark_entry__ as e
 
     names = set(e.queries())
-    assert {n.split("_")[0] for n in names if n.startswith("op")} == {f"op{i}" for i in range(1, 11)} and "pipeline" in names
+    assert {n.split("_")[0] for n in names if n.startswith("op")} == {f"op{i}" for i in range(1, 14)} and "pipeline" in names
+    assert {"op4_embeddings", "op11_collocations"} <= set(e.oracle_sql())
