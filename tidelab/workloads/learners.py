@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tidelab.functions.text import round_value
 from tidelab.ml.boosting import SecondOrderBoosting
 from tidelab.ml.dual import DualSVC, DualSVR
+from tidelab.ml.folds import cross_validate_linear
 from tidelab.ml.neighbours import indexed_search
 from tidelab.session import read_table
 from tidelab.workloads import register
@@ -150,3 +151,49 @@ def knn_indexed(spark, sf_dir):
     rows = o.select(F.col("o_orderkey").alias("id"), x.alias("features"))
     found = indexed_search(rows, rows.where("id % 20 = 0"), 5, exclude_self=True)
     return found.select("query_id", "neighbor_id", round_value(F.col("distance"), 9).alias("distance"), "rank")
+
+
+_FOLD_OF_LINE = "('0x' || substr(md5('42|' || CAST(l_orderkey * 10 + l_linenumber AS VARCHAR)), 1, 15))::BIGINT % 4"
+
+
+@register(
+    "cross_validate_ridge",
+    f"""
+WITH rows AS (
+  SELECT {_FOLD_OF_LINE} AS fold, l_extendedprice::DOUBLE + 2000 * l_quantity::DOUBLE AS y, CASE WHEN l_linenumber = 3 THEN NULL ELSE l_quantity::DOUBLE END AS a,
+         l_discount::DOUBLE * 100 AS b FROM lineitem),
+means AS (
+  SELECT k.fold, avg(r.a) AS ma, avg(r.b) AS mb, avg(r.y) AS my, count(*) AS n
+  FROM (SELECT DISTINCT fold FROM rows) k JOIN rows r ON r.fold <> k.fold GROUP BY k.fold),
+filled AS (
+  SELECT m.fold, r.fold <> m.fold AS train, coalesce(r.a, m.ma) - m.ma AS a, r.b - m.mb AS b, r.y - m.my AS y, m.n
+  FROM means m, rows r),
+moments AS (
+  SELECT fold, any_value(n) AS n, sqrt(sum(a * a) / (any_value(n) - 1)) AS sa, sqrt(sum(b * b) / (any_value(n) - 1)) AS sb,
+         sum(a * b) AS ab, sum(a * y) AS ay, sum(b * y) AS bxy FROM filled WHERE train GROUP BY fold),
+system AS (
+  SELECT m.*, p.alpha, n - 1 + p.alpha AS d, ab / (sa * sb) AS c, ay / sa AS u, bxy / sb AS v
+  FROM moments m, (VALUES (0.0::DOUBLE), (1000.0), (50000.0)) p(alpha)),
+fits AS (
+  SELECT fold, alpha, n, (u * d - v * c) / (d * d - c * c) / sa AS wa, (v * d - u * c) / (d * d - c * c) / sb AS wb FROM system),
+errors AS (
+  SELECT f.fold, f.alpha, f.n AS n_train, count(*) AS n_test, sum((r.y - wa * r.a - wb * r.b) ** 2) AS sse, var_pop(r.y) * count(*) AS sst
+  FROM fits f JOIN filled r ON r.fold = f.fold AND NOT r.train GROUP BY ALL),
+scores AS (SELECT fold, alpha, n_train, n_test, sqrt(sse / n_test) AS rmse, 1 - sse / sst AS r2 FROM errors),
+both_kinds AS (
+  SELECT * FROM scores UNION ALL
+  SELECT -1, alpha, NULL, sum(n_test), avg(rmse), avg(r2) FROM scores GROUP BY alpha)
+SELECT fold::INTEGER AS fold, alpha, n_train::BIGINT AS n_train, n_test::BIGINT AS n_test, round(rmse * 1e3) / 1e3 AS rmse, round(r2 * 1e6) / 1e6 AS r2
+FROM both_kinds""",
+)
+def cross_validate_ridge(spark, sf_dir):
+    """(G30, G2) Four folds and three penalties of a price made to grow with the quantity, by the quantity,
+    missing in places, and the discount, from one pass of sums that add up over folds."""
+    li = read_table(spark, sf_dir, "lineitem")
+    data = li.select(
+        (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("line"), (F.col("l_extendedprice").cast("double") + 2000 * F.col("l_quantity").cast("double")).alias("price"),
+        F.when(F.col("l_linenumber") != 3, F.col("l_quantity").cast("double")).alias("quantity"),
+        (F.col("l_discount").cast("double") * 100).alias("discount"),
+    )
+    found = cross_validate_linear(data, "price", "Ridge", [0.0, 1000.0, 50000.0], folds=4, key="line")
+    return found.select("fold", "alpha", "n_train", "n_test", round_value(F.col("rmse"), 3).alias("rmse"), round_value(F.col("r2"), 6).alias("r2"))
