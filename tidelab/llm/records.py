@@ -24,12 +24,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tidelab.llm.common import scratch_dir, parallel_slots, ship, utf8
-from tidelab.llm.tokens import encoder, release, slices
+from tidelab.llm.tokens import encoder, release, runs
 
 MASK_DELTA = 0xA282EAD8  # fixed value of the record format
 HEAD = struct.Struct("<II")
@@ -86,9 +87,10 @@ def write_records(
         enc = encoder(tokenizer, kind)
         end = np.array([end_id], enc.dtype).tobytes()
         for batch in batches:
-            ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            for a, b in slices(texts):
-                out = [frame(i, t + end, enc.width)[:-1] for i, t in zip(ids[a:b], enc.encode(texts[a:b]), strict=True)]
+            sizes = pc.binary_length(batch.column(1)).to_pylist()
+            for a, b in runs(sizes, 5 << 19):  # of a batch, one run of texts at a time becomes Python strings
+                ids, texts = (batch.column(c).slice(a, b - a).to_pylist() for c in (0, 1))
+                out = [frame(i, t + end, enc.width)[:-1] for i, t in zip(ids, enc.encode(texts), strict=True)]
                 yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], ["record"])
 
     (

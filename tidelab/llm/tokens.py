@@ -145,11 +145,16 @@ def release() -> None:
 
 def slices(texts: list, most: int = 5 << 19):
     """Index ranges of ``texts`` with about ``most`` characters each (a longer text alone)."""
-    at = size = 0
-    for i, t in enumerate(texts):
-        if i > at and size + len(t) > most:
-            yield at, i
-            at, size = i, 0
-        size += len(t)
-    if at < len(texts):
-        yield at, len(texts)
+    yield from runs(map(len, texts), most)
+
+
+def runs(sizes, most: int):
+    """Index ranges whose ``sizes`` add up to about ``most`` each (a larger one alone)."""
+    at = size = i = 0
+    for i, n in enumerate(sizes, 1):
+        if i - 1 > at and size + n > most:
+            yield at, i - 1
+            at, size = i - 1, 0
+        size += n
+    if at < i:
+        yield at, i
