@@ -88,7 +88,7 @@ def write_records(
         end = np.array([end_id], enc.dtype).tobytes()
         for batch in batches:
             sizes = pc.binary_length(batch.column(1)).to_pylist()
-            for a, b in runs(sizes, 5 << 19):  # of a batch, one run of texts at a time becomes Python strings
+            for a, b in runs(sizes, 3 << 19):  # of a batch, one run of texts at a time becomes Python strings
                 ids, texts = (batch.column(c).slice(a, b - a).to_pylist() for c in (0, 1))
                 out = [frame(i, t + end, enc.width)[:-1] for i, t in zip(ids, enc.encode(texts), strict=True)]
                 yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], ["record"])

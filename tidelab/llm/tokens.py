@@ -9,6 +9,7 @@ single blanks and line ends (where a run of white space is a token of its own) a
 
 from __future__ import annotations
 
+import os
 import re
 
 import numpy as np
@@ -28,6 +29,7 @@ class WordwiseEncoder:
     def __init__(self, path: str, kind: str, capacity: int = 800_000):
         from tokenizers import Tokenizer
 
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks are the threads; the library's own hold memory
         self.tok = Tokenizer.from_file(path)
         self.tok.encode_special_tokens = True  # their strings in a text are ordinary text
         self.tok.no_truncation()
