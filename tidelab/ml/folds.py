@@ -2,8 +2,8 @@
 
 One pass takes, per fold, the products of all pairs of columns: a constant, each numeric feature with
 missing cells as 0, its missing mark, each level of each categorical feature, the target. Numeric
-columns are shifted by a mean of their first rows, which keeps the products small and changes no
-result. The sums of a fold's training rows are the total less the fold's own, and everything a fit
+columns are shifted by a mean of some rows, which keeps the products small and changes no result; where
+there are categorical features, two aggregates before find their levels. The sums of a fold's training rows are the total less the fold's own, and everything a fit
 needs follows from them: a mean-imputed column is its values plus the mean times its mark, its
 deviation scales it, and the levels that the training rows hold, but the first in order, are its one-hot
 columns. So every fold and every penalty is fitted and scored without a further pass over the data, and
