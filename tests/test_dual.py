@@ -89,3 +89,24 @@ def test_benchmark_models_by_the_dual_solver(spark):
     params = {"solver": "dual", "kernel": "linear", "C": 0.01}
     fits = [build_estimator("classification", "SVM", params, n_train=200).fit(df), build_estimator("regression", "SVR", params).fit(df)]
     assert all("prediction" in f.transform(df).columns for f in fits)
+
+
+@pytest.mark.parametrize("kind", ["svc", "svr"])
+def test_rounds_do_not_grow_with_the_blocks(spark, monkeypatch, kind):
+    monkeypatch.setattr(dual, "BLOCK_ROWS", 64)
+    rng = np.random.default_rng(11)
+    x = rng.normal(size=(4000, 2))
+    signal = x @ np.array([1.0, -0.5]) + 0.2 + rng.normal(size=4000)
+    if kind == "svc":
+        label = (signal > 0).astype(float)
+        y, est, epsilon = 2 * label - 1, DualSVC(keyCol="id", tol=0.02, epochs=3, maxIter=40), None
+    else:
+        label = y = signal
+        est, epsilon = DualSVR(keyCol="id", epsilon=0.2, tol=0.02, epochs=3, maxIter=40), 0.2
+    model = est.fit(table(spark, x, label))
+    assert model.facts["converged"] and model.facts["rounds"] < 40
+    assert primal(model.weights, x, y, 1.0, epsilon) == pytest.approx(model.facts["primal"], rel=1e-9)
+    a = {r["key"]: r["a"] for r in model.duals.collect()}
+    assert len(a) == 4000 and all((0 if kind == "svc" else -1) <= v <= 1 for v in a.values())
+    weight = np.array([a[i] * (y[i] if kind == "svc" else 1) for i in range(4000)])
+    assert np.allclose(np.hstack([x, np.ones((4000, 1))]).T @ weight, model.weights, atol=1e-6)

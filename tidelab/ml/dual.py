@@ -14,6 +14,14 @@ the common ``w`` and the dual value; their difference, the duality gap, bounds h
 the optimum, and rounds end once it is below ``tol`` of the primal value. A model that ran out of rounds
 says so (``converged``) and has its gap.
 
+Averaging moves each variable by one block's share, so from zero the rounds would grow with the blocks. Where there
+is more than one, the first steps come from a smooth problem instead: the loss is rounded off over a width,
+which makes the dual variables a function of ``w`` (``smooth_duals``), and Newton steps, one pass over all rows each
+and independent of the number of blocks, find the ``w`` that its own variables add up to. The width shrinks until the
+rounding costs less than half of ``tol``. These variables are taken by the same best share as any round's
+change, and rounds of ascent go on from there until the gap is reached. Passes count as rounds and take at most half of
+``maxIter``; rows too wide for a square matrix in a task (``WIDEST``) start from zero.
+
 Blocks are laid out by number and cached once; only dual variables and changes of ``w`` move in a round.
 Sums go through partial sums per share of the blocks, so no task adds up all of them.
 """
@@ -37,7 +45,9 @@ from tidelab.session import drop_path, scratch_dir, ship_package
 
 #: Doubles and rows of a block at most.
 BLOCK_NUMBERS = 1 << 20
-BLOCK_ROWS = 1 << 16
+BLOCK_ROWS = 1 << 14
+#: Features, the constant included, up to which Newton steps are taken: a task holds their square.
+WIDEST = 512
 
 
 def ascend(x: np.ndarray, y: np.ndarray, a: np.ndarray, w: np.ndarray, C: float, epsilon: float | None, epochs: int,
@@ -75,6 +85,28 @@ def losses(x: np.ndarray, y: np.ndarray, w: np.ndarray, C: float, epsilon: float
     return float(C * (np.maximum(0.0, 1.0 - y * margin) if epsilon is None else np.maximum(0.0, np.abs(y - margin) - epsilon)).sum())
 
 
+def smooth_duals(margin: np.ndarray, y: np.ndarray, C: float, epsilon: float | None, width: float) -> tuple[np.ndarray, np.ndarray]:
+    """Dual variables that belong to margins when the loss is rounded off over ``width``, and each row's
+    distance into the loss (below 0: no loss)."""
+    depth = 1.0 - y * margin if epsilon is None else np.abs(y - margin) - epsilon
+    a = C * np.clip(depth / width, 0.0, 1.0)
+    return (a if epsilon is None else a * np.sign(y - margin)), depth
+
+
+def smooth_sums(x: np.ndarray, y: np.ndarray, w: np.ndarray, C: float, epsilon: float | None, width: float) -> np.ndarray:
+    """A block's part of: loss, rounded loss, dual terms' gap, row lengths, ``w`` as the variables make it up, the same of
+    the rows in the rounded part alone, and the curvature of the rounded loss."""
+    a, depth = smooth_duals(x @ w, y, C, epsilon, width)
+    size, over = np.abs(a), np.maximum(depth, 0.0)
+    at = (depth >= 0.0) & (depth <= width)
+    near, weight = x[at], a * (y if epsilon is None else 1.0)
+    rounded = size * over - 0.5 * width * size * size / C if C > 0 else np.zeros(len(y))
+    return np.concatenate([
+        [C * over.sum(), rounded.sum(), ((C - size) * over).sum(), np.sqrt((x * x).sum(1)).sum()],
+        x.T @ weight, near.T @ weight[at], (C / width * (near.T @ near)).ravel(),
+    ])
+
+
 class _DualParams(HasFeaturesCol, HasLabelCol, HasPredictionCol):
     C = Param(Params._dummy(), "C", "weight of the losses", TypeConverters.toFloat)
     epsilon = Param(Params._dummy(), "epsilon", "insensitive tube half-width", TypeConverters.toFloat)
@@ -130,12 +162,14 @@ class _DualMachine(Estimator, _DualParams):
         try:
             n = laid.count()
             w, rounds, gap, primal, taken = np.zeros(d), 0, 0.0, 0.0, 0.0
+            start, passes = self._start(laid, d, C, epsilon) if n > 1 and d <= WIDEST else (None, 0)  # n: blocks
             while n:
-                out, new = _store(self._round(laid, duals, taken, w, d, C, epsilon, rounds))
+                begin = start if duals is None else None
+                out, new = _store(self._round(laid, duals, taken, w, d, C, epsilon, passes + rounds, begin))
                 got = _sums(out)
                 square, change = float(w @ w), got["change"].toArray()
                 primal, gap = 0.5 * square + got["loss"], square + got["loss"] - got["dual"]  # before this round's steps
-                if gap <= get(self.tol) * max(primal, 1e-12) or rounds == get(self.maxIter):
+                if gap <= get(self.tol) * max(primal, 1e-12) or passes + rounds >= get(self.maxIter):
                     taken = 0.0
                     keep = new
                 else:
@@ -152,12 +186,60 @@ class _DualMachine(Estimator, _DualParams):
             for p in (home, path):
                 if p:
                     drop_path(spark, p)
-        model = DualModel(w, {"rounds": rounds, "gap": gap, "primal": primal, "converged": gap <= get(self.tol) * max(primal, 1e-12)}, self.regression)
+        model = DualModel(w, {"rounds": passes + rounds, "gap": gap, "primal": primal, "converged": gap <= get(self.tol) * max(primal, 1e-12)}, self.regression)
         model.duals = _dual_rows(blocks, duals, w, d) if key and n else None
         model._set(featuresCol=fc, predictionCol=self.getPredictionCol())
         return model
 
-    def _round(self, laid: DataFrame, duals: DataFrame | None, taken: float, w: np.ndarray, d: int, C: float, epsilon: float | None, rounds: int) -> DataFrame:
+    def _start(self, laid: DataFrame, d: int, C: float, epsilon: float | None) -> tuple[tuple[np.ndarray, float] | None, int]:
+        """Weights and width of a smooth problem near this one, solved, and the passes it took; None without any."""
+        tol, most = self.getOrDefault(self.tol), self.getOrDefault(self.maxIter) // 2
+        if not most or C <= 0:
+            return None, 0
+
+        def look(w: np.ndarray, width: float):
+            def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+                total = np.zeros(4 + 2 * d + d * d)
+                for batch in batches:
+                    for i in range(batch.num_rows):
+                        x, y = (np.frombuffer(c[i].as_py()) for c in batch.columns)
+                        total += smooth_sums(x.reshape(-1, d), y, w, C, epsilon, width)
+                yield pa.RecordBatch.from_arrays([pa.array([total.tolist()], pa.list_(pa.float64()))], ["sums"])
+
+            sums = laid.select("x", "y").mapInArrow(part, "sums array<double>").agg(Summarizer.sum(array_to_vector("sums")).alias("s")).first()["s"].toArray()
+            loss, rounded, between, lengths = sums[:4]
+            half = 0.5 * float(w @ w)
+            return half + loss, half + rounded, between, lengths, w - sums[4 : 4 + d], sums[4 + d : 4 + 2 * d], sums[4 + 2 * d :].reshape(d, d) + np.eye(d)
+
+        w, width, passes, step, best = np.zeros(d), 1.0, 1, None, None
+        now = look(w, width)
+        if epsilon is not None and now[0] > 0:  # of classification every loss is 1 at the start
+            count = float(laid.select((F.length("y") / 8).alias("n")).agg(F.sum("n")).first()[0])
+            width, passes = now[0] / (C * count), 2
+            now = look(w, width)
+        while passes < most:
+            primal, value, between, lengths, slope, inner, curve = now
+            settled = C * lengths * float(np.sqrt(slope @ slope)) <= 0.1 * tol * primal
+            if settled:
+                best = (w, width)
+                if between <= 0.5 * tol * primal:
+                    break
+                # Where the same rows stay in the rounded part, w moves with the width along a straight line.
+                smaller = width * min(0.5, max(0.05, float(np.sqrt(0.4 * tol * primal / between))))
+                w, width = w + (width - smaller) / width * np.linalg.solve(curve, inner), smaller
+                now, passes, step = look(w, width), passes + 1, None
+                continue
+            move = -np.linalg.solve(curve, slope)
+            step = 1.0 if step is None else step
+            there, passes = look(w + step * move, width), passes + 1
+            if there[1] <= value + 1e-4 * step * float(slope @ move) + 1e-12 * abs(value):
+                w, now, step = w + step * move, there, None
+            else:
+                step *= 0.4
+        return best or (w, width), passes
+
+    def _round(self, laid: DataFrame, duals: DataFrame | None, taken: float, w: np.ndarray, d: int, C: float, epsilon: float | None, rounds: int,
+               begin: tuple[np.ndarray, float] | None = None) -> DataFrame:
         epochs, seed = self.getOrDefault(self.epochs), self.getOrDefault(self.seed)
 
         def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -166,7 +248,10 @@ class _DualMachine(Estimator, _DualParams):
                     block, x, y, a, new = (c[i].as_py() for c in batch.columns)
                     x, y = np.frombuffer(x).reshape(-1, d), np.frombuffer(y)
                     a = np.frombuffer(a) + taken * (np.frombuffer(new) - np.frombuffer(a)) if a else np.zeros(len(y))
-                    new = ascend(x, y, a, w, C, epsilon, epochs, np.random.default_rng([seed, rounds, block]))
+                    if begin is None:
+                        new = ascend(x, y, a, w, C, epsilon, epochs, np.random.default_rng([seed, rounds, block]))
+                    else:
+                        new = smooth_duals(x @ begin[0], y, C, epsilon, begin[1])[0]
                     change = x.T @ ((new - a) * (y if epsilon is None else 1.0))
                     numbers = (losses(x, y, w, C, epsilon), linear_part(y, a, epsilon), linear_part(y, new, epsilon))
                     yield pa.RecordBatch.from_arrays(
