@@ -127,11 +127,22 @@ def prepare_benchmark_data(df: DataFrame, target: str, features: list[str], task
         F.stddev_samp(F.when(F.col("_is_train"), F.col("label"))).alias("std"),
         F.max("label").alias("max_label"),
     ).collect()[0]
-    train = prepared.where("_is_train").drop("_is_train")
-    test = prepared.where(~F.col("_is_train")).drop("_is_train")
+    train = dealt(prepared.where("_is_train").drop("_is_train"), stats["n_train"])
+    test = dealt(prepared.where(~F.col("_is_train")).drop("_is_train"), stats["n_test"])
     return train, test, stats
 
 
+PART_ROWS = 1 << 15
+
+
+def dealt(df: DataFrame, rows: int) -> DataFrame:
+    """``df`` in partitions of about ``PART_ROWS`` rows. Files of few bytes are read as one partition however
+    many rows they hold, and kernel features, cached blocks or trees' points of a row are far larger than its
+    bytes there."""
+    parts = -(-int(rows) // PART_ROWS)
+    return df.repartition(parts) if parts > 1 else df
+
+
 MOST_TERMS = 200_000  # of a polynomial expansion
 
 
@@ -247,8 +258,8 @@ def cross_validate(df: DataFrame, target: str, model: str, task: str | None = No
         ptr = ptr.select("features", "label", "_key")
         pte = materialize(pte.select("features", "label", "_key").withColumn("_rid", F.monotonically_increasing_id()), "cv-test")
         st = ptr.agg(F.count(F.lit(1)).alias("n_train"), F.stddev_samp("label").alias("std"), F.max("label").alias("max_label")).collect()[0]
-        r = run_model(model, task, params, ptr, pte, st)
-        rows.append((k, r.status, int(st["n_train"]), pte.count(), r.score, json.dumps(r.metrics, sort_keys=True)))
+        r = run_model(model, task, params, dealt(ptr, st["n_train"]), dealt(pte, (pte_rows := pte.count())), st)
+        rows.append((k, r.status, int(st["n_train"]), pte_rows, r.score, json.dumps(r.metrics, sort_keys=True)))
     out = spark.createDataFrame(rows, "fold int, status string, n_train long, n_test long, score double, metrics_json string")
     none = lambda kind, name: F.lit(None).cast(kind).alias(name)
     mean = out.agg(F.lit(-1).alias("fold"), F.lit("mean").alias("status"), none("long", "n_train"), none("long", "n_test"),
