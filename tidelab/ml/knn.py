@@ -22,6 +22,9 @@ from pyspark.sql import types as T
 
 from tidelab.session import ship_package
 
+#: Approximate distances that a step over queries holds at a time (8 MB).
+STEP_NUMBERS = 1 << 20
+
 HITS = "array<struct<distance: double, neighbor_id: long, label: double>>"
 _HIT_TYPE = pa.list_(pa.struct([("distance", pa.float64()), ("neighbor_id", pa.int64()), ("label", pa.float64())]))
 
@@ -36,6 +39,11 @@ def _matrix(column, dim: int) -> np.ndarray:
     return np.asarray(column.flatten().to_numpy(zero_copy_only=False), np.float64).reshape(len(column), dim)
 
 
+def per_step(rows: int) -> int:
+    """How many queries are scored at a time against that many rows."""
+    return max(1, STEP_NUMBERS // max(1, rows))
+
+
 def _nearest(query: np.ndarray, rows: np.ndarray, squares: np.ndarray, ids: np.ndarray, skip, k: int):
     """For each query the positions and exact distances of its ``k`` nearest rows by (distance, id);
     ``skip[i]`` is an id that query ``i`` may not meet, or None."""
@@ -55,8 +63,8 @@ def _nearest(query: np.ndarray, rows: np.ndarray, squares: np.ndarray, ids: np.n
 
 def knn_hits(
     train: DataFrame, queries: DataFrame, k: int = 5, train_id: str = "id", query_id: str = "id",
-    features: str = "features", label: str | None = None, exclude_self: bool = False, block_bytes: int = 64 << 20,
-    group_bytes: int = 64 << 20,
+    features: str = "features", label: str | None = None, exclude_self: bool = False, block_bytes: int = 32 << 20,
+    group_bytes: int = 32 << 20,
 ) -> DataFrame:
     """``(query_id, hits)``: up to ``k`` hits per query row, nearest first, ties by reference id.
 
@@ -83,7 +91,7 @@ def knn_hits(
         rows = _matrix(left.column("x").combine_chunks(), dim) if len(left) else np.zeros((0, dim))
         ids, labels = left.column("id").to_numpy(), left.column("label").to_numpy()
         squares = (rows * rows).sum(1)
-        step = max(1, (8 << 20) // max(1, len(rows)))
+        step = per_step(len(rows))
         for a in range(0, len(right), step):
             part = right.slice(a, step)
             skip = part.column("query_id").to_numpy() if exclude_self else None
@@ -124,12 +132,17 @@ def knn_predict(train: DataFrame, queries: DataFrame, k: int = 5, train_id: str
     """``(query_id, prediction)``: majority label of the ``k`` neighbours (ties: the smallest label)
     for classification, mean label for regression; null without neighbours."""
     hits = knn_hits(train, queries, k, train_id, query_id, features, label, exclude_self, **kwargs)
+    return votes(hits, task, train.schema[label].dataType)
+
+
+def votes(hits: DataFrame, task: str, kind: T.DataType) -> DataFrame:
+    """``(query_id, prediction)`` of hits with labels, as ``knn_predict`` says."""
     labels = F.transform("hits", lambda h: h["label"])
     if task == "regression":
         mean = F.aggregate(labels, F.lit(0.0), lambda a, y: a + y) / F.nullif(F.size("hits"), F.lit(0))
         return hits.select("query_id", mean.alias("prediction"))
-    votes = F.transform(
+    counted = F.transform(
         F.array_distinct(labels),
         lambda y: F.struct(F.size(F.filter(labels, lambda other: other == y)).alias("votes"), (-y).alias("minus")),
     )
-    return hits.select("query_id", (-F.array_max(votes)["minus"]).cast(train.schema[label].dataType).alias("prediction"))
+    return hits.select("query_id", (-F.array_max(counted)["minus"]).cast(kind).alias("prediction"))

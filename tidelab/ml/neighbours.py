@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidelab.ml.knn import HITS, _HIT_TYPE, _as_array, _matrix, _nearest, knn_hits
+from tidelab.ml.knn import HITS, _HIT_TYPE, _as_array, _matrix, _nearest, knn_hits, per_step
 from tidelab.session import materialize, ship_package
 
 
@@ -152,7 +152,7 @@ def indexed_hits(
             ref_x = _matrix(mine.column("x").combine_chunks(), dim)
             ids, labels = mine.column("id").to_numpy(), mine.column("label").to_numpy()
             squares = (ref_x * ref_x).sum(1)
-            step = max(1, (8 << 20) // len(ref_x))
+            step = per_step(len(ref_x))
             for a in range(0, len(theirs), step):
                 some = theirs.slice(a, step)
                 skip = some.column("query_id").to_numpy() if exclude_self else None
