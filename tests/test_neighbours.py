@@ -63,3 +63,45 @@ def test_small_and_empty_tables(spark):
     assert answers(indexed_search(three, three, 5, exclude_self=True)) == {1: [(2, 1.0), (3, 1.0)], 2: [(3, 0.0), (1, 1.0)], 3: [(2, 0.0), (1, 1.0)]}
     none = three.where("false")
     assert indexed_search(three, none).count() == 0 and indexed_hits(none, three).where("proven and size(hits) = 0").count() == 3
+
+
+def test_a_step_of_scores_stays_small():
+    import tracemalloc
+
+    from tidelab.ml.knn import _nearest, per_step
+
+    rng = np.random.default_rng(6)
+    rows = rng.normal(size=(20_000, 8))
+    query, squares, ids = rng.normal(size=(2000, 8)), (rows * rows).sum(1), np.arange(20_000)
+    tracemalloc.start()
+    try:
+        for a in range(0, 200, per_step(len(rows))):
+            list(_nearest(query[a : a + per_step(len(rows))], rows, squares, ids, None, 3))
+        assert tracemalloc.get_traced_memory()[1] < 64 << 20
+    finally:
+        tracemalloc.stop()
+
+
+def test_benchmark_neighbours_through_the_index_are_the_same(spark, monkeypatch):
+    from pyspark.ml.linalg import Vectors
+
+    from tidelab.ml import runner
+
+    rng = np.random.default_rng(8)
+    rows = [(i, i, Vectors.dense(x.tolist()), float(x[0] > 0)) for i, x in enumerate(rng.normal(size=(600, 3)).round(2))]
+    df = spark.createDataFrame(rows, ["_key", "_rid", "features", "label"])
+    train, test = df.where("_key % 4 > 0"), df.where("_key % 4 = 0")
+    want = sorted(map(tuple, runner.neighbour_predictions(train, test, 5, "classification", 450 * 150).collect()))
+    met = []
+    monkeypatch.setattr(runner, "indexed_hits", lambda *a: met.append(1) or indexed_hits(*a))
+    monkeypatch.setattr(runner, "MOST_DISTANCES", 0)
+    assert sorted(map(tuple, runner.neighbour_predictions(train, test, 5, "classification", 450 * 150).collect())) == want and met
+
+
+def test_rows_are_dealt_by_number_not_by_bytes(spark):
+    from tidelab.ml import runner
+
+    df = spark.range(runner.PART_ROWS * 3 + 5).coalesce(1)
+    out = runner.dealt(df, df.count())
+    assert out.rdd.getNumPartitions() == 4 and out.distinct().count() == runner.PART_ROWS * 3 + 5
+    assert runner.dealt(df, 10) is df
