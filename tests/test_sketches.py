@@ -47,3 +47,24 @@ def test_appended_rows_are_sketched_once(spark):
 def test_empty_table(spark):
     got = by_name(sketch_estimates(column_sketches(frame(spark, 0, 0))))
     assert all(r.cells == 0 and r.unique_count == 0 and r.quantiles is None and r.heavy == [] for r in got.values())
+
+
+def test_an_appended_aggregate_is_computed_once(spark, tmp_path):
+    from pyspark.sql import functions as F
+    from pyspark.sql import types as T
+
+    from tidelab.sources.catalog import AppendLog
+
+    seen = spark.sparkContext.accumulator(0)
+
+    @F.udf(T.LongType())
+    def counted(v):
+        seen.add(1)
+        return v
+
+    rows = spark.range(20).coalesce(1).select(counted("id").alias("v")).agg(F.sum("v").alias("total"))
+    one = rows.select(F.inline(F.array(F.struct(F.col("total")))))
+    log = AppendLog(spark, str(tmp_path / "log"), "id long, total long")
+    log.append(one)
+    assert [(r.id, r.total) for r in log.read().collect()] == [(1, 190)]
+    assert seen.value == 20

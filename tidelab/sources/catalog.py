@@ -89,14 +89,21 @@ class AppendLog:
         largest of the log and the batch."""
         if "id" not in batch.columns:
             batch = batch.withColumn("id", F.lit(None).cast("long"))
-        given = batch.agg(F.max("id").alias("m"), F.count_if(F.col("id").isNull()).alias("n")).collect()[0]
-        if given["n"]:
-            base = max(self.max_id(), int(given["m"] or 0))
-            # A metadata batch is small; a single ordered window over it is fine.
-            order = Window.partitionBy(F.col("id").isNull()).orderBy(F.monotonically_increasing_id())
-            batch = batch.withColumn("id", F.coalesce("id", F.lit(base) + F.row_number().over(order)))
-        out = ensure_columns(batch, self._st).select(*[f.name for f in self._st.fields])
-        out.write.mode("append").parquet(self.path)
+        # Read twice, for the ids and for the rows: an aggregate over a table is computed once.
+        mine = not batch.is_cached
+        batch = held = batch.persist()
+        try:
+            given = batch.agg(F.max("id").alias("m"), F.count_if(F.col("id").isNull()).alias("n")).collect()[0]
+            if given["n"]:
+                base = max(self.max_id(), int(given["m"] or 0))
+                # A metadata batch is small; a single ordered window over it is fine.
+                order = Window.partitionBy(F.col("id").isNull()).orderBy(F.monotonically_increasing_id())
+                batch = batch.withColumn("id", F.coalesce("id", F.lit(base) + F.row_number().over(order)))
+            out = ensure_columns(batch, self._st).select(*[f.name for f in self._st.fields])
+            out.write.mode("append").parquet(self.path)
+        finally:
+            if mine:
+                held.unpersist()
         return out
 
 
