@@ -12,7 +12,7 @@ import public_tokenizers
 
 from tidelab.llm.alignment import _sides, align_documents, links, write_alignments
 from tidelab.llm.blocks import pack, pack_sorted, unpack, unpack_sorted
-from tidelab.llm.collocations import Trie, collocations
+from tidelab.llm.collocations import BLOCK, Trie, _encode, _texts, collocations
 from tidelab.llm.language_model import _flagged, _open_weights, score_texts
 
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -93,6 +93,13 @@ def test_collocations_without_candidates(spark, no_documents):
     assert collocations(spark.createDataFrame([("a b", "en")], "text string, lang string")).count() == 0
 
 
+def test_collocation_blocks_are_small(spark):
+    """A task's arrays are in proportion to a block: 5 MB of text are several of at most 2 MB."""
+    docs = spark.range(5, numPartitions=1).selectExpr("repeat('ab ', 350000) as text", "'en' as lang")
+    blocks = [len(unpack(r["codes"])) for r in _encode(_texts(docs, "text", "lang"), []).collect()]
+    assert sum(blocks) == 5 * 350_001 and max(blocks) <= (2 << 20) / 3 + 1 and BLOCK == 2 << 20
+
+
 def brute_alignment(texts):
     sides, out, held = _sides(BYTE, PIECE), [], Counter()
     for text in texts:

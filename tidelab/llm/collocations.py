@@ -40,6 +40,9 @@ from tidelab.llm.common import drop_path, ship, stored
 
 #: What parts a text into pieces; a full stop can stand for a break, as no word holds one.
 BREAKS = "[.,;:!?\\n-\\r]"
+#: Bytes of text in a block. A task holds some twenty arrays of a block's words beside the tries, so blocks are
+#: smaller than elsewhere; what several of them hold is added up before the shuffle.
+BLOCK = 2 << 20
 #: Sums that a task holds (64 MB).
 HELD = 8 << 20
 #: States in a run of sums.
@@ -70,7 +73,7 @@ def count_words(rows: DataFrame) -> DataFrame:
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for a, b in text_blocks(batch.column(1)):
+            for a, b in text_blocks(batch.column(1), BLOCK):
                 words, sizes = piece_words(batch.column(1).slice(a, b - a))
                 coded = words.dictionary_encode()
                 langs = batch.column(0).slice(a, b - a).dictionary_encode()
@@ -105,7 +108,7 @@ def _encode(rows: DataFrame, shares: list) -> DataFrame:
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for a, b in text_blocks(batch.column(1)):
+            for a, b in text_blocks(batch.column(1), BLOCK):
                 words, sizes = piece_words(batch.column(1).slice(a, b - a))
                 coded = words.dictionary_encode()
                 number = np.zeros(len(coded.dictionary), np.int64)
@@ -299,8 +302,9 @@ def _counts(texts: DataFrame, tries: list, shares: int, longest: int) -> DataFra
                             yield from told(held, task)
                             held = {}
                         held[number] = np.zeros(len(trie.value.base), np.int64)
-                    for _, states in trie.value.levels(lang, codes, longest, places[number]):
-                        held[number] += np.bincount(states, minlength=len(held[number]))
+                    steps = [states for _, states in trie.value.levels(lang, codes, longest, places[number])]
+                    if steps:
+                        held[number] += np.bincount(np.concatenate(steps), minlength=len(held[number]))
         yield from told(held, task)
 
     def add(parts: pa.Table) -> pa.Table:
