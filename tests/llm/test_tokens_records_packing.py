@@ -9,8 +9,8 @@ import public_tokenizers
 import pytest
 from tokenizers import Tokenizer
 
-from tidelab.llm import packing, records
-from tidelab.llm.common import scratch_dir
+from tidelab.llm import packing, records, tokens
+from tidelab.llm.common import scratch_dir, stored
 from tidelab.llm.tokens import WordwiseEncoder
 
 BYTES = public_tokenizers.path("byte_bpe_50k.json")
@@ -157,3 +157,13 @@ def test_packed_sequences_hold_their_ids(spark, documents, odd_documents):
         assert len(full.setdefault(last, b"")) == 4 * r.offset
         full[last] += r.ids
     assert max(map(len, full.values())) <= 4 * 2048
+
+
+def test_stored_leaves_no_shuffle_files(spark):
+    def held():
+        files = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+        return {files.apply(i).getName() for i in range(files.size()) if files.apply(i).getName().startswith("shuffle_")}
+
+    before = held()
+    kept, _ = stored(spark.range(1000).selectExpr("id % 7 as k", "id").groupBy("k").count().repartition(3, "count"), "t-shuffles")
+    assert not held() - before and len(kept.collect()) == 7

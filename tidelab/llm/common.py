@@ -13,13 +13,24 @@ from tidelab.session import ship_package as ship
 
 __all__ = ["components", "drop_path", "free_name", "local_forest", "parallel_slots", "scratch_dir", "ship", "stored", "utf8"]
 
+#: Spark removes the shuffle files of a query at its end, not when the driver collects garbage.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def stored(df: DataFrame, name: str, **options: str) -> tuple[DataFrame, str]:
     """Write ``df`` as Parquet (with writer ``options``) in the shared folder and read it back: cuts
-    lineage and survives the loss of executors. Returns the frame and its folder (for ``drop_path``
+    lineage and survives the loss of executors. The shuffle files of the write go with its end, so that
+    those of the next one do not stand beside them. Returns the frame and its folder (for ``drop_path``
     when done)."""
-    path = scratch_dir(df.sparkSession, name)
-    df.write.options(**options).parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path), path
+    spark = df.sparkSession
+    path = scratch_dir(spark, name)
+    before = spark.conf.get(_CLEANUP, "false")
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.options(**options).parquet(path)
+    finally:
+        spark.conf.set(_CLEANUP, before)
+    return spark.read.schema(df.schema).parquet(path), path
 
 
 def parallel_slots(spark: SparkSession) -> int:
