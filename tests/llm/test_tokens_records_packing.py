@@ -159,6 +159,17 @@ def test_packed_sequences_hold_their_ids(spark, documents, odd_documents):
     assert max(map(len, full.values())) <= 4 * 2048
 
 
+def test_plain_texts_are_not_searched_for_wide_space(monkeypatch):
+    class Never:
+        def search(self, text):
+            raise AssertionError(text)
+
+    enc, one = WordwiseEncoder(BYTES, "bytes"), plain(BYTES)
+    monkeypatch.setattr(tokens, "_WIDE_SPACE", Never())
+    texts = ["one two\nthree, Two.", "", "é 漢字", "one"]
+    assert [np.frombuffer(b, enc.dtype).tolist() for b in enc.encode(texts)] == [one(t) for t in texts]
+
+
 def test_stored_leaves_no_shuffle_files(spark):
     def held():
         files = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()

@@ -13,11 +13,22 @@ import os
 import re
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 _WIDE_SPACE = re.compile(r"\s\s|^\s|\s$")
+_OTHER_SPACE = re.compile(r"[^\S \n]")
 _GROUP = 400  # words handed to the library in one string
 
 
+def _wide(text: str) -> bool:
+    """Whether white space other than single blanks and line ends inside stands in ``text``; a search for
+    the usual two goes first, as it is several times faster than the expression."""
+    if "  " in text or " \n" in text or "\n " in text or "\n\n" in text or text[:1].isspace() or text[-1:].isspace():
+        return True
+    return _OTHER_SPACE.search(text) is not None and (_WIDE_SPACE.search(text) is not None or "\r" in text)
+
+
 class WordwiseEncoder:
     """``encode(texts) -> list[bytes]``: little-endian ids of each text, ``width`` bytes an id.
 
@@ -52,43 +63,44 @@ class WordwiseEncoder:
     def _learn(self, table: dict[str, bytes], words: list[str], shown: list[str]) -> None:
         """Encode ``shown[i]`` as the ids of ``words[i]``, many in a string where a mark that is a
         token by itself can tell them apart."""
-        alone, grouped = [], []
-        for w, s in zip(words, shown, strict=True):
-            (alone if self.mark in s or not s.strip() or len(self.mark_ids) != 1 else grouped).append((w, s))
-        for (w, _), ids in zip(alone, self.whole([s for _, s in alone]), strict=True):
-            table[w] = ids
-        between = self.mark if self.kind == "bytes" else f" {self.mark} "
-        blocks = [grouped[i : i + _GROUP] for i in range(0, len(grouped), _GROUP)]
-        joined = self.tok.encode_batch_fast([between.join(s for _, s in b) for b in blocks], add_special_tokens=False)
-        for block, e in zip(blocks, joined, strict=True):
+        mark, one_id = self.mark, len(self.mark_ids) == 1
+        apart = [not one_id or mark in s or not s or s.isspace() for s in shown]
+        if any(apart):
+            alone = [i for i, x in enumerate(apart) if x]
+            table.update(zip([words[i] for i in alone], self.whole([shown[i] for i in alone]), strict=True))
+            words = [w for w, x in zip(words, apart, strict=True) if not x]
+            shown = [s for s, x in zip(shown, apart, strict=True) if not x]
+        between = mark if self.kind == "bytes" else f" {mark} "
+        at = range(0, len(words), _GROUP)
+        joined = self.tok.encode_batch_fast([between.join(shown[i : i + _GROUP]) for i in at], add_special_tokens=False)
+        for i, e in zip(at, joined, strict=True):
+            block = words[i : i + _GROUP]
             ids = np.array(e.ids, self.dtype)
             cuts = np.flatnonzero(ids == self.mark_ids[0])
             if len(cuts) != len(block) - 1:  # the mark's id came up inside a word
-                for (w, _), one in zip(block, self.whole([s for _, s in block]), strict=True):
-                    table[w] = one
+                table.update(zip(block, self.whole(shown[i : i + _GROUP]), strict=True))
                 continue
-            raw, at = ids.tobytes(), 0
-            for (w, _), cut in zip(block, [*cuts.tolist(), len(ids)], strict=True):
-                table[w] = raw[at * self.width : cut * self.width]
-                at = cut + 1
-
-    def _base(self, word: str) -> tuple[str, str]:
-        """A word without a sign at its end, in the case the vocabulary sees, and the sign."""
-        sign = ""
-        if word[-1:] in self.signs and word[:-1].lstrip("\n").isalpha():
-            word, sign = word[:-1], word[-1]
-        return (word.lower() if self.kind == "words" and word.isascii() else word), sign
-
-    def _learn_inner(self, words: set[str]) -> dict[str, bytes]:
-        """Put the base forms of ``words`` into the table; the ids of the other forms are returned."""
-        bases = {w: self._base(w) for w in words}
-        new = list({b for b, _ in bases.values()}.difference(self.inner))
-        self._learn(self.inner, new, new if self.kind == "words" else [w if w[:1] == "\n" else " " + w for w in new])
-        return {
-            w: self.inner[base] + self.signs[sign] if sign else self.inner[base]
-            for w, (base, sign) in bases.items()
-            if w != base
-        }
+            raw = ids.tobytes()
+            begin, end = [0, *((cuts + 1) * self.width).tolist()], [*(cuts * self.width).tolist(), len(raw)]
+            table.update(zip(block, map(raw.__getitem__, map(slice, begin, end)), strict=True))
+
+    def _learn_inner(self, words: list[str]) -> dict[str, bytes]:
+        """The ids of ``words``. Their base forms (without a sign at the end, in the case the vocabulary
+        sees) go into the table; the other forms do not."""
+        signs, lower = self.signs, self.kind == "words"
+        bases, ends = [], []
+        for w in words:
+            if w[-1:] in signs and w[:-1].lstrip("\n").isalpha():
+                base = w[:-1]
+                ends.append(signs[w[-1]])
+            else:
+                base = w
+                ends.append(b"")
+            bases.append(base.lower() if lower and base.isascii() else base)
+        new = list(set(bases).difference(self.inner))
+        self._learn(self.inner, new, new if lower else [w if w[:1] == "\n" else " " + w for w in new])
+        get = self.inner.__getitem__
+        return {w: get(base) + end for w, base, end in zip(words, bases, ends, strict=True)}
 
     def _trim(self) -> None:
         """Drop the longer words, then shorter ones, until a third of the table is free."""
@@ -99,34 +111,46 @@ class WordwiseEncoder:
 
     def encode(self, texts: list[str]) -> list[bytes]:
         out: list[bytes | None] = [None] * len(texts)
-        plain: list[tuple[int, list[str]]] = []
-        odd: list[int] = []
-        for i, t in enumerate(texts):
-            if self.kind == "words":
-                plain.append((i, t.replace("\n", " ").split(" ")))
-            elif _WIDE_SPACE.search(t) or "\r" in t:
-                odd.append(i)
-            else:
-                plain.append((i, t.replace("\n", " \n").split(" ")))
-        for i, ids in zip(odd, self.whole([texts[i] for i in odd]), strict=True):
-            out[i] = ids
+        plain = range(len(texts))
+        if self.kind == "bytes":
+            wide = [_wide(t) for t in texts]
+            plain = [i for i, w in enumerate(wide) if not w]
+            odd = [i for i, w in enumerate(wide) if w]
+            for i, ids in zip(odd, self.whole([texts[i] for i in odd]), strict=True):
+                out[i] = ids
         if len(self.inner) > self.capacity:
             self._trim()
         if len(self.first) > self.capacity:
             self.first.clear()
-        forms = self._learn_inner(set().union(*(p for _, p in plain)).difference(self.inner))
-        self.inner.update(forms)  # for these texts only
-        if self.kind == "bytes":
-            heads = list({p[0] for _, p in plain}.difference(self.first))
-            self._learn(self.first, heads, heads)
-        get = self.inner.__getitem__
-        for i, p in plain:
-            if self.kind == "bytes":
-                out[i] = self.first[p[0]] + b"".join(map(get, p[1:]))
-            else:
-                out[i] = b"".join(map(get, p))
-        for w in forms:
-            del self.inner[w]
+        shown = pa.array([texts[i] for i in plain], pa.large_string())
+        lists = pc.split_pattern(pc.replace_substring(shown, "\n", " " if self.kind == "words" else " \n"), " ")
+        begin = lists.offsets.to_numpy()
+        coded = lists.values.dictionary_encode()
+        codes, words = coded.indices.to_numpy().astype(np.int64), coded.dictionary.to_numpy(zero_copy_only=False).tolist()
+        heads: list[str] = []
+        if self.kind == "bytes":  # no blank stands before a text's first word
+            at = begin[:-1]
+            heads = [words[c] for c in codes[at].tolist()]
+            new = list(set(heads).difference(self.first))
+            self._learn(self.first, new, new)
+            codes[at] = len(words)
+            used = np.bincount(codes, minlength=len(words) + 1)[:-1] > 0
+            place = np.cumsum(used) - 1
+            words = [w for w, u in zip(words, used.tolist(), strict=True) if u]
+            codes = np.append(place, 0)[codes]
+            codes[at] = len(words) + np.arange(len(heads))
+        ids = list(map(self.inner.get, words))
+        learnt = self._learn_inner([w for w, i in zip(words, ids, strict=True) if i is None])
+        ids = [learnt[w] if i is None else i for w, i in zip(words, ids, strict=True)]
+        ids += map(self.first.__getitem__, heads)
+        # Taken in the order of the words, the ids of a text lie one after the other.
+        taken = pa.array(ids, pa.large_binary()).take(pa.array(codes))
+        _, ends, data = taken.buffers()
+        ends = np.frombuffer(ends, np.int64)[taken.offset : taken.offset + len(taken) + 1]
+        cuts = ends[begin].tolist()
+        joined = memoryview(data if data is not None else b"")
+        for i, a, b in zip(plain, cuts, cuts[1:], strict=False):
+            out[i] = bytes(joined[a:b])
         return out
 
 
