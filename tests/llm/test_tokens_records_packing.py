@@ -159,6 +159,30 @@ def test_packed_sequences_hold_their_ids(spark, documents, odd_documents):
     assert max(map(len, full.values())) <= 4 * 2048
 
 
+def test_ids_are_shuffled_once_to_many_blocks(spark, documents, monkeypatch):
+    """The ids meet their places block by block, without a join before or a shuffle after; sequences packed
+    across blocks lie together too."""
+    docs, plans = documents.select("doc_id", "text"), {}
+
+    def spy(df, name, **options):
+        plans[name] = df._jdf.queryExecution().optimizedPlan().toString()
+        return stored(df, name, **options)
+
+    monkeypatch.setattr(packing, "stored", spy)
+    rows = packing.pack_documents(docs, WORDS, block_pieces=20).collect()
+    assert "Join" not in plans["sequences"] and "Repartition" not in plans["sequences"]
+    assert len({r.sequence_id % 4 for r in rows}) >= 2 and any(r.sequence_id % 4 == 2 for r in rows)
+    want = [(r.doc_id, r.piece, r.start, r.ids) for r in packing.cut_pieces(docs, WORDS, with_ids=True).collect()]
+    assert sorted((r.doc_id, r.piece, r.start, r.ids) for r in rows) == sorted(want)
+    check_packed(rows, 2048)
+    seen, last = {}, None
+    for r in rows:
+        assert r.sequence_id == last or r.sequence_id not in seen
+        last = r.sequence_id
+        assert seen.setdefault(last, 0) == r.offset
+        seen[last] += r.length
+
+
 def test_plain_texts_are_not_searched_for_wide_space(monkeypatch):
     class Never:
         def search(self, text):

@@ -19,7 +19,8 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidelab.llm.common import drop_path, parallel_slots, ship, stored, utf8
@@ -292,16 +293,28 @@ def pack(
     clash = {"sequence_id", "offset", "filled", "block", "bin"} & {c.lower() for c in pieces.columns}
     if clash:
         raise ValueError(f"columns in use by packing: {sorted(clash)}")
-    cols = pieces.columns
     kept, _ = stored(pieces, "pieces")
+    n = _blocks(kept.where(F.col("length") < capacity).count(), block_pieces)
+    block = F.floor(F.rand(29) * n).cast("long")
+    return _placed(kept, block, n, capacity, block_pieces, islands, epochs, population, generations, near_full)
+
+
+def _blocks(pieces: int, block_pieces: int) -> int:
+    return max(1, -(-pieces // block_pieces))
+
+
+def _placed(
+    kept: DataFrame, block: Column, n: int, capacity: int = 2048, block_pieces: int = 4096, islands: int = 3,
+    epochs: int = 2, population: int = 4, generations: int = 10, near_full: float = 0.985,
+) -> DataFrame:
+    """The two levels of ``pack``: the rows of ``kept`` below ``capacity`` go to the ``n`` blocks that
+    ``block`` names. ``sequence_id`` mod 4 tells the level: 1 a block's own, 2 packed across blocks, 3 whole."""
+    cols = kept.columns
     whole = kept.where(F.col("length") >= capacity).select(
         *cols, (F.monotonically_increasing_id() * 4 + 3).alias("sequence_id"), F.lit(0).cast("long").alias("offset")
     )
-    rest = kept.where(F.col("length") < capacity)
-    n = max(1, -(-rest.count() // block_pieces))
-    deal = lambda count: F.floor(F.rand(29) * count).cast("long").alias("block")
     first = pack_blocks(
-        rest.select(*cols, F.lit(None).cast("long").alias("bin"), deal(n)),
+        kept.where(F.col("length") < capacity).select(*cols, F.lit(None).cast("long").alias("bin"), block.alias("block")),
         capacity, islands, epochs, population, generations, 1,
     )
     if n == 1:
@@ -309,7 +322,7 @@ def pack(
     first, _ = stored(first, "packed")
     full = F.col("filled") >= int(capacity * near_full)
     short = first.where(~full)
-    m = max(1, -(-short.count() // block_pieces))
+    m = _blocks(short.count(), block_pieces)
     again = pack_blocks(
         short.select(
             *cols, F.col("sequence_id").alias("bin"), F.pmod(F.xxhash64("sequence_id"), F.lit(m)).alias("block")
@@ -320,28 +333,60 @@ def pack(
     return whole.unionByName(first.where(full).select(*cols, *out)).unionByName(again.select(*cols, *out))
 
 
-def pack_documents(docs: DataFrame, tokenizer: str, capacity: int = 2048) -> DataFrame:
+def _join_ids(names: list[str]):
+    """Task body: a block's pieces with their places, sequence by sequence, ids widened to 32 bits."""
+
+    def join(pieces: pa.Table, placed: pa.Table) -> pa.Table:
+        by_row = lambda t: t.take(pc.sort_indices(t.column("row")))
+        pieces, placed = by_row(pieces), by_row(placed)
+        for name in ("sequence_id", "offset"):
+            pieces = pieces.append_column(name, placed.column(name))
+        pieces = pieces.select(names).sort_by([("sequence_id", "ascending"), ("offset", "ascending")]).combine_chunks()
+        raw = pieces.column("ids").cast(pa.large_binary()).combine_chunks()
+        ends = np.frombuffer(raw.buffers()[1], np.int64)[raw.offset : raw.offset + len(raw) + 1]
+        width = int(ends[-1] - ends[0]) // pc.sum(pieces.column("length")).as_py()
+        ids = np.frombuffer(raw.buffers()[2], f"<u{width}", count=int(ends[-1] - ends[0]) // width, offset=int(ends[0]))
+        ends = ((ends - ends[0]) // width * 4).astype(np.int32)
+        wide = pa.Array.from_buffers(pa.binary(), len(raw), [None, pa.py_buffer(ends), pa.py_buffer(ids.astype("<u4"))])
+        return pieces.set_column(names.index("ids"), "ids", wide)
+
+    return join
+
+
+def pack_documents(docs: DataFrame, tokenizer: str, capacity: int = 2048, block_pieces: int = 4096) -> DataFrame:
     """Documents to packed sequences, in shared storage: a row per piece as ``cut_pieces`` gives them,
     with ``ids``, ``sequence_id`` and ``offset``. The rows of a sequence lie together in one file, in
     the order of their offsets, so that their ids in a row are the sequence. Pieces are packed by
     their lengths alone; the ids join the placements by a number of their own, as document ids
-    may repeat or be null."""
+    may repeat or be null.
+
+    That number deals the pieces to the blocks too, so the ids are shuffled once, to their block, where
+    the sequences it filled come together. Only the pieces of the sequences packed across blocks are
+    shuffled again."""
+    spark = docs.sparkSession
     cut = cut_pieces(docs, tokenizer, capacity=capacity, with_ids=True, narrow=True)
     pieces, path = stored(cut.withColumn("row", F.monotonically_increasing_id()), "pieces-with-ids", compression="zstd")
-    placed = pack(pieces.drop("ids"), capacity)
+    told = pieces.agg(F.count_if(F.col("length") < capacity).alias("rest"), F.count_if(F.col("length") >= capacity).alias("whole")).first()
+    n, n_whole = (_blocks(told[k], block_pieces) for k in ("rest", "whole"))
+    deal = lambda count: F.pmod(F.xxhash64("row"), F.lit(count))
+    placed, placed_path = stored(_placed(pieces.select("row", "length"), deal(n), n, capacity, block_pieces), "placed")
+    block = F.when(F.col("length") < capacity, deal(n)).otherwise(deal(n_whole) + n).alias("key")
     names = [c for c in pieces.columns if c != "row"]
-    sequences = (
-        pieces.select("row", "ids").join(placed.hint("shuffle_hash"), "row").select(*names, "sequence_id", "offset")
-        .repartition("sequence_id").sortWithinPartitions("sequence_id", "offset")
+    out = [*names, "sequence_id", "offset"]
+    kinds = f"{PIECE_SCHEMA}, ids binary, sequence_id long, offset long"
+    sequences, _ = stored(
+        pieces.select(block, *pieces.columns).groupBy("key")
+        .cogroup(placed.select(block, "row", "sequence_id", "offset").groupBy("key"))
+        .applyInArrow(_join_ids(out), kinds),
+        "sequences", compression="zstd",
     )
-
-    def widen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, n = names.index("ids"), names.index("length")
-        for batch in batches:
-            raw = zip(batch.column(at).to_pylist(), batch.column(n).to_pylist(), strict=True)
-            wide = [np.frombuffer(b, f"<u{len(b) // size}").astype("<u4").tobytes() for b, size in raw]
-            yield batch.set_column(at, "ids", pa.array(wide, pa.binary()))
-
-    out, _ = stored(sequences.mapInArrow(widen, sequences.schema), "sequences", compression="zstd")
-    drop_path(docs.sparkSession, path)
-    return out
+    drop_path(spark, path)
+    drop_path(spark, placed_path)
+    if n == 1:
+        return sequences
+    level = F.pmod(F.col("sequence_id"), F.lit(4))
+    across, _ = stored(
+        sequences.where(level == 2).repartition("sequence_id").sortWithinPartitions("sequence_id", "offset"),
+        "sequences-across", compression="zstd",
+    )
+    return sequences.where(level != 2).unionByName(across)
